@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secrets
+from . import bpe, mixing, secrets, tokenfiles
 from .common import table
 
 
@@ -18,6 +18,14 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.op6_bpe_round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_secret_scan, op6_bpe_round_trip)}
+def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.op5_source_mix(table(spark, sf_dir, "documents"))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfiles.op9_token_files(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_secret_scan, op5_source_mix, op6_bpe_round_trip, op9_token_files)}
 
 ORACLES: dict[str, str] = {}
