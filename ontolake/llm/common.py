@@ -43,3 +43,13 @@ def partitions(spark: SparkSession) -> int:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def code_points(raw: bytes, places) -> dict[int, int]:
+    """Code-point offset of each byte offset in UTF-8 text."""
+    out, seen, chars = {}, 0, 0
+    for x in sorted(set(places)):
+        chars += len(raw[seen:x].decode("utf-8", "surrogatepass"))
+        out[x] = chars
+        seen = x
+    return out

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, secrets, tokenfiles
+from . import bpe, licenses, mixing, secrets, tokenfiles
 from .common import table
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.op3_license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op4_secret_scan(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,6 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.op9_token_files(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_secret_scan, op5_source_mix, op6_bpe_round_trip, op9_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_license_scan, op4_secret_scan, op5_source_mix, op6_bpe_round_trip, op9_token_files)}
 
 ORACLES: dict[str, str] = {}

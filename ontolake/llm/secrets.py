@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import code_points
+
 #: Order among spans that start at the same place.
 KINDS = ("assign", "access", "hex", "forge", "registry", "payment", "chat", "cloudkey", "jwt", "pem", "urlauth")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -118,11 +120,7 @@ class Scanner:
         found.sort()
         if len(raw) == len(text):
             return [(kind, a, b) for a, _, b, kind in found]
-        place: dict[int, int] = {0: 0}
-        seen = chars = 0
-        for x in sorted({y for a, _, b, _ in found for y in (a, b)}):
-            chars += len(raw[seen:x].decode("utf-8", "surrogatepass"))
-            place[x], seen = chars, x
+        place = code_points(raw, (y for a, _, b, _ in found for y in (a, b)))
         return [(kind, place[a], place[b]) for a, _, b, kind in found]
 
 
