@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, secrets, tokenfiles, warc
+from . import bpe, licenses, mixing, quality, secrets, tokenfiles, warc
 from .common import table
 
 
@@ -30,11 +30,15 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op7_warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op8_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op8_quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.op9_token_files(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_license_scan, op4_secret_scan, op5_source_mix, op6_bpe_round_trip, op7_warc_round_trip, op9_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_license_scan, op4_secret_scan, op5_source_mix, op6_bpe_round_trip, op7_warc_round_trip, op8_quality_scores, op9_token_files)}
 
 ORACLES: dict[str, str] = {
     "op7_warc_round_trip": """
