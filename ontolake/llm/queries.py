@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, licenses, mixing, quality, secrets, tokenfiles, warc
+from . import ann, bpe, licenses, mixing, quality, secrets, tokenfiles, warc
 from .common import table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.op1_nearest_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op3_license_scan(table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.op9_token_files(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_license_scan, op4_secret_scan, op5_source_mix, op6_bpe_round_trip, op7_warc_round_trip, op8_quality_scores, op9_token_files)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op3_license_scan, op4_secret_scan, op5_source_mix, op6_bpe_round_trip, op7_warc_round_trip, op8_quality_scores, op9_token_files)}
 
 ORACLES: dict[str, str] = {
     "op7_warc_round_trip": """
