@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, licenses, mixing, quality, secrets, tokenfiles, vector_dedup, warc
+from . import ann, bpe, licenses, mixing, order_minhash, quality, secrets, tokenfiles, vector_dedup, warc
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.op1_nearest_neighbours(table(spark, sf_dir, "embeddings"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.op2_near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.op3_license_scan(table(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.op10_vector_dedup(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op3_license_scan, op4_secret_scan, op5_source_mix, op6_bpe_round_trip, op7_warc_round_trip, op8_quality_scores, op9_token_files, op10_vector_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op2_near_duplicates, op3_license_scan, op4_secret_scan, op5_source_mix, op6_bpe_round_trip, op7_warc_round_trip, op8_quality_scores, op9_token_files, op10_vector_dedup)}
 
 ORACLES: dict[str, str] = {
     "op7_warc_round_trip": """
