@@ -383,3 +383,245 @@ def union_all_search(s: Store) -> DataFrame:
 def axiom_difference(s: Store) -> DataFrame:
     a = s.axioms(k("ClassAssertion"))
     return a.where("ont_id = 'trade'").select("axiom_key").subtract(a.where("ont_id <> 'trade'").select("axiom_key"))
+
+
+# P: profile rules
+
+from ..operators import profiles  # noqa: E402
+
+for _rule in profiles.RULES:
+    query(_rule.duckdb(), _rule.name)(_rule.spark)
+
+query(profiles.NONSIMPLE_SQL + " SELECT property FROM n", "nonsimple_properties")(profiles.nonsimple_properties)
+query(profiles.NONSIMPLE_SQL + f", u AS ({p.edge_sql(profiles._NONSIMPLE_KINDS, ['property', 'properties'], True)}) SELECT DISTINCT parent_key, child_key FROM u WHERE child_key IN (SELECT property FROM n)", "nonsimple_uses")(profiles.nonsimple_uses)
+query(profiles.CYCLIC_SQL, "cyclic_datatypes")(profiles.cyclic_datatypes)
+query(profiles.FOREST_SQL, "anonymous_forest")(profiles.anonymous_forest)
+query(profiles.EL_CHAIN_SQL, "el_chain_ranges")(profiles.el_chain_ranges)
+
+
+# C, T: change logs and transformations
+
+from ..functions.literals import DUCKDB, SPARK, escaped, file_extension, java_trim, media_type, normal_cardinality, short_form  # noqa: E402
+from ..model import RDF  # noqa: E402
+from ..operators import changes  # noqa: E402
+
+_LOG = f"log AS (SELECT event_id AS seq, ts, CASE WHEN event_id % 3 = 0 THEN 'remove' ELSE 'add' END AS op, {changes.LOG} AS axiom_key FROM events)"
+_LAST = "SELECT axiom_key, op FROM (SELECT axiom_key, op, row_number() OVER (PARTITION BY axiom_key ORDER BY ts DESC, seq DESC) AS nth FROM {}) WHERE nth = 1"
+
+
+@query(f"WITH {_LOG}, last AS ({_LAST.format('log')}) SELECT axiom_key FROM last WHERE op = 'add'")
+def apply_changes(s: Store) -> DataFrame:
+    log = changes.event_log(s)
+    return changes.applied(log.select("axiom_key").where("FALSE"), log)
+
+
+@query(f"WITH {_LOG}, early AS (SELECT * FROM log WHERE seq % 2 = 0), a AS ({_LAST.format('early')}), b AS ({_LAST.format('log')}) SELECT CASE WHEN b.axiom_key IS NULL THEN 'remove' ELSE 'add' END AS op, coalesce(a.axiom_key, b.axiom_key) AS axiom_key FROM (SELECT * FROM a WHERE op = 'add') a FULL OUTER JOIN (SELECT * FROM b WHERE op = 'add') b ON a.axiom_key = b.axiom_key WHERE a.axiom_key IS NULL OR b.axiom_key IS NULL")
+def net_changes(s: Store) -> DataFrame:
+    """What a commit of the whole log changes against a revision that holds its even entries."""
+    log = changes.event_log(s)
+    none = log.select("axiom_key").where("FALSE")
+    return changes.net_changes(changes.applied(none, log.where("seq % 2 = 0")), changes.applied(none, log))
+
+
+@query(f"WITH {_LOG} SELECT axiom_key, count(*) AS n_changes, sum(CASE WHEN op = 'add' THEN 1 ELSE 0 END) AS n_adds FROM log GROUP BY axiom_key")
+def change_counts(s: Store) -> DataFrame:
+    return changes.event_log(s).groupBy("axiom_key").agg(F.count(F.lit(1)).alias("n_changes"), F.sum((F.col("op") == "add").cast("int")).alias("n_adds"))
+
+
+def _rename_sql(old: str, new: str) -> str:
+    return f" SELECT 'remove' AS op, axiom_key FROM axiom WHERE position('{old}' IN axiom_key) > 0 UNION SELECT 'add', replace(axiom_key, '{old}', '{new}') FROM axiom WHERE position('{old}' IN axiom_key) > 0"
+
+
+_RENAME_KINDS = k("Declaration", "SubClassOf", "ClassAssertion", "EquivalentClasses", "AnnotationAssertion")
+
+
+@query(ctes(axiom=p.axiom_sql(_RENAME_KINDS)) + _rename_sql(f"<{EX}nation/7>", f"<{EX}country/7>"))
+def rename_changes(s: Store) -> DataFrame:
+    return changes.rename(s.axioms(_RENAME_KINDS), f"{EX}nation/7", f"{EX}country/7")
+
+
+@query(ctes(axiom=p.axiom_sql(AXIOM_KINDS, ["schema"])) + _rename_sql(f"ObjectProperty(<{EX}source>)", f"ObjectProperty(<{EX}origin>)"))
+def rename_changes_typed(s: Store) -> DataFrame:
+    """One kind of a punned IRI renamed; the annotation property of that IRI stays."""
+    return changes.rename(s.axioms(AXIOM_KINDS, ["schema"]), f"{EX}source", f"{EX}origin", "ObjectProperty")
+
+
+_REMOVE = k("Declaration", "SubClassOf", "EquivalentClasses", "DisjointUnion", "AnnotationAssertion", "ObjectPropertyRange", "ClassAssertion")
+
+
+@query(ctes(reach=p.reach_sql(_REMOVE), edge=p.edge_sql(k("AnnotationAssertion"), ["subject"])) + f" SELECT * FROM (SELECT DISTINCT ont_id, root_key AS axiom_key FROM reach WHERE node_key = 'Class(<{EX}Customer>)') UNION ALL SELECT ont_id, parent_key FROM edge WHERE child_key = '<{EX}Customer>'")
+def remove_changes(s: Store) -> DataFrame:
+    return changes.removal(s, f"Class(<{EX}Customer>)", f"{EX}Customer", _REMOVE)
+
+
+_DUPLICATED = "axiom_key"
+for _a, _b in sorted(changes.RENAMED.items()):
+    _DUPLICATED = f"replace({_DUPLICATED}, '<{_a}>', '<{_b}>')"
+
+
+@query(ctes(axiom=p.axiom_sql(AXIOM_KINDS, ["schema"])) + rf" SELECT DISTINCT regexp_replace({_DUPLICATED}, '(_:[^\s()@]+)@schema', '\1@copy', 'g') AS axiom_key FROM axiom")
+def duplicate_axioms(s: Store) -> DataFrame:
+    return changes.duplicate(s.axioms(AXIOM_KINDS, ["schema"]), changes.RENAMED, "schema", "copy")
+
+
+@query(ctes(axiom=p.axiom_sql(AXIOM_KINDS, ["schema"])) + " SELECT DISTINCT key_noann FROM axiom")
+def axioms_without_annotations(s: Store) -> DataFrame:
+    return s.axioms(AXIOM_KINDS, ["schema"]).select("key_noann").distinct()
+
+
+_LABELS = [f"AnnotationProperty(<{RDFS}label>)", f"AnnotationProperty(<{EX}source>)"]
+_LANGS = {_LABELS[0]: ["en", "de"]}
+_ANN = k("AnnotationAssertion")
+
+
+def _annotation_values(s: Store) -> DataFrame:
+    parts = []
+    for b in p.chosen(_ANN, None):
+        f = {x.name: x for x in b.fields}
+        parts.append(s._rows(b, {"subject_key": f["subject"].key, "property_key": f["property"].key, "value_key": f["value"].key, "value_kind": f"'{f['value'].kind}'", "lexical": f["value"].lexical, "lang": f["value"].language}))
+    return s._union([p.local(s.spark, _annotation_rows(), _ANN_SHAPE), *parts], _ANN_SHAPE)
+
+
+_ANN_SHAPE = "subject_key string, property_key string, value_key string, value_kind string, lexical string, lang string"
+
+
+def _annotation_rows() -> list[tuple]:
+    lit = {n[0]: n for n in p.schema_rows()["node"] if n[1] == "OWLLiteral"}
+    at: dict[str, dict[str, tuple[str, str]]] = {}
+    for r in p.schema_rows()["edge"]:
+        if r[2] == _ANN[0] and r[7]:
+            at.setdefault(r[1], {})[r[3]] = (r[5], r[6])
+    return [(v["subject"][0], v["property"][0], *v["value"], *(lit[v["value"][0]][3:5] if v["value"][0] in lit else (None, None))) for v in at.values()]
+
+
+def _ann_sql() -> str:
+    parts = [p.values_sql(_annotation_rows(), _ANN_SHAPE)]
+    for b in p.chosen(_ANN, None):
+        f = {x.name: x for x in b.fields}
+        parts.append(f"SELECT {f['subject'].key}, {f['property'].key}, {f['value'].key}, '{f['value'].kind}', {f['value'].lexical}, {f['value'].language} {p._from(b)}")
+    return "\nUNION ALL ".join(parts)
+
+
+def _short_sql(column: str) -> str:
+    return short_form(DUCKDB, f"substr({column}, 2, length({column}) - 2)")
+
+
+@query(
+    ctes(a=_ann_sql())
+    + f""", r AS (SELECT *, CASE WHEN property_key = '{_LABELS[0]}' THEN 1 ELSE 2 END AS o,
+  CASE WHEN value_kind = 'IRI' THEN -2 WHEN property_key = '{_LABELS[0]}' THEN CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 END ELSE 0 END AS rank
+  FROM a WHERE property_key IN ('{_LABELS[0]}', '{_LABELS[1]}')),
+lit AS (SELECT subject_key, o, lexical AS text, row_number() OVER (PARTITION BY subject_key, o ORDER BY rank, value_key) AS nth FROM r WHERE rank >= 0),
+iri AS (SELECT subject_key, o, {_short_sql('value_key')} AS text, row_number() OVER (PARTITION BY subject_key, o ORDER BY value_key DESC) AS nth FROM r WHERE rank = -2),
+c AS (SELECT s.subject_key, s.o, coalesce(l.text, i.text) AS text FROM (SELECT DISTINCT subject_key, o FROM r) s LEFT JOIN (SELECT * FROM lit WHERE nth = 1) l USING (subject_key, o) LEFT JOIN (SELECT * FROM iri WHERE nth = 1) i USING (subject_key, o)),
+b AS (SELECT subject_key, text, row_number() OVER (PARTITION BY subject_key ORDER BY CASE WHEN text IS NULL THEN 9 ELSE o END) AS nth FROM c)
+SELECT subject_key, coalesce(text, {_short_sql('subject_key')}) AS label FROM b WHERE nth = 1"""
+)
+def preferred_label(s: Store) -> DataFrame:
+    return changes.preferred_labels(_annotation_values(s), _LABELS, _LANGS)
+
+
+@query(ctes(reach=p.reach_sql(AXIOM_KINDS)) + f" SELECT DISTINCT node_key, {short_form(DUCKDB, profiles._IRI)} AS short_form FROM reach WHERE node_kind IN ('OWLClass', 'OWLObjectProperty', 'OWLDatatype')")
+def short_forms(s: Store) -> DataFrame:
+    r = s.reach(AXIOM_KINDS).where(F.col("node_kind").isin("OWLClass", "OWLObjectProperty", "OWLDatatype")).select("node_key").distinct()
+    return r.select("node_key", F.expr(short_form(SPARK, profiles._IRI)).alias("short_form"))
+
+
+@query(f"SELECT page_id, {short_form(DUCKDB, 'url')} AS short_form, {file_extension(DUCKDB, 'url')} AS extension, {media_type(chr(39) + ' Text/HTML; charset=utf-8' + chr(39))} AS media_type FROM pages")
+def page_source_hints(s: Store) -> DataFrame:
+    """What format selection looks at for each page: the IRI's last name, the file's extension, the media type."""
+    return s.table("pages").select("page_id", F.expr(short_form(SPARK, "url")).alias("short_form"), F.expr(file_extension(SPARK, "url")).alias("extension"), F.expr(media_type("' Text/HTML; charset=utf-8'")).alias("media_type"))
+
+
+@query(f"SELECT doc_id, sha256({java_trim(DUCKDB, escaped('text'))}) AS literal_sha256, length({java_trim(DUCKDB, 'text')}) AS n_trimmed FROM documents")
+def literal_texts(s: Store) -> DataFrame:
+    """The text of each document as a literal is written: escaped, trimmed as Java trims."""
+    return s.table("documents").select("doc_id", F.sha2(F.expr(java_trim(SPARK, escaped("text"))), 256).alias("literal_sha256"), F.expr(f"length({java_trim(SPARK, 'text')})").alias("n_trimmed"))
+
+
+@query(ctes(n=p.node_sql()) + f" SELECT DISTINCT kind, {normal_cardinality(DUCKDB, chr(39) + '00' + chr(39) + ' || cardinality')} AS cardinality FROM n WHERE cardinality IS NOT NULL")
+def cardinalities(s: Store) -> DataFrame:
+    return s.nodes().where("cardinality IS NOT NULL").select("kind", F.expr(normal_cardinality(SPARK, "'00' || cardinality")).alias("cardinality")).distinct()
+
+
+def _type_index_sql() -> str:
+    from ..model import TYPE_INDEX
+
+    return "CASE kind " + " ".join(f"WHEN '{x}' THEN {i}" for x, i in TYPE_INDEX.items() if x in AXIOM_KINDS) + " END"
+
+
+@query(ctes(axiom=p.axiom_sql(AXIOM_KINDS, ["schema"])) + f" SELECT ont_id, axiom_key, row_number() OVER (PARTITION BY ont_id ORDER BY {_type_index_sql()}, axiom_key) AS place FROM axiom")
+def display_order(s: Store) -> DataFrame:
+    return changes.display_order(s.axioms(AXIOM_KINDS, ["schema"]))
+
+
+# M: RDF
+
+_NAMED = r"^([A-Za-z]+\()?<[^<>]*>\)?$"
+_FIXED = {"SubClassOf": ("subClass", "superClass", f"<{RDFS}subClassOf>"), "SubObjectPropertyOf": ("subProperty", "superProperty", f"<{RDFS}subPropertyOf>"), "SubDataPropertyOf": ("subProperty", "superProperty", f"<{RDFS}subPropertyOf>"), "ClassAssertion": ("individual", "classExpression", f"<{RDF}type>"), "ObjectPropertyDomain": ("property", "domain", f"<{RDFS}domain>"), "DataPropertyDomain": ("property", "domain", f"<{RDFS}domain>"), "ObjectPropertyRange": ("property", "range", f"<{RDFS}range>"), "DataPropertyRange": ("property", "range", f"<{RDFS}range>")}
+
+
+def _plain(x: str) -> str:
+    return rf"regexp_replace({x}, '^[A-Za-z]+\((<.*>)\)$', '\1')"
+
+
+def _triples_sql(onts=None) -> str:
+    parts = []
+    for kw, (a, b, pred) in _FIXED.items():
+        parts.append(f"SELECT {_plain('x.child_key')} AS subject, '{pred}' AS predicate, {_plain('y.child_key')} AS object, x.ont_id AS graph FROM f x JOIN f y ON x.ont_id = y.ont_id AND x.parent_key = y.parent_key WHERE x.parent_kind = '{k(kw)[0]}' AND y.parent_kind = x.parent_kind AND x.field = '{a}' AND y.field = '{b}' AND regexp_matches(x.child_key, '{_NAMED}') AND regexp_matches(y.child_key, '{_NAMED}')")
+    parts.append(f"SELECT {_plain('a.child_key')}, {_plain('b.child_key')}, {_plain('c.child_key')}, a.ont_id FROM g a JOIN g b ON a.ont_id = b.ont_id AND a.parent_key = b.parent_key JOIN g c ON a.ont_id = c.ont_id AND a.parent_key = c.parent_key WHERE a.field = 'subject' AND b.field = 'property' AND c.field = 'value'")
+    fields = sorted({x for a, b, _ in _FIXED.values() for x in (a, b)})
+    return ctes(f=p.edge_sql(k(*_FIXED), fields, onts=onts), g=p.edge_sql(k("ObjectPropertyAssertion", "DataPropertyAssertion", "AnnotationAssertion"), ["property", "subject", "value"], onts=onts), t="\nUNION ".join(parts))
+
+
+@query(_triples_sql(["schema", "geo", "trade"]) + " SELECT subject, predicate, object, graph FROM t WHERE graph IN ('schema', 'geo', 'trade')")
+def owl_to_rdf(s: Store) -> DataFrame:
+    return changes.triples(s, ["schema", "geo", "trade"])
+
+
+@query(_triples_sql() + " SELECT graph, count(*) AS n_triples FROM t GROUP BY graph")
+def graph_selection(s: Store) -> DataFrame:
+    """Triples of each graph, which graph selection decides by."""
+    return changes.triples(s).groupBy("graph").agg(F.count(F.lit(1)).alias("n_triples"))
+
+
+@query(_triples_sql(["schema", "geo"]) + " SELECT DISTINCT subject, predicate, object FROM t WHERE graph IN ('schema', 'geo')")
+def graph_merge(s: Store) -> DataFrame:
+    return changes.triples(s, ["schema", "geo"]).select("subject", "predicate", "object").distinct()
+
+
+@query(_triples_sql(["geo", "trade"]) + f" SELECT 'ClassAssertion(Class(' || object || ') NamedIndividual(' || subject || '))' AS axiom_key FROM t WHERE graph = 'trade' AND predicate = '<{RDF}type>'")
+def rdf_to_class_assertions(s: Store) -> DataFrame:
+    t = changes.triples(s, ["geo", "trade"]).where((F.col("graph") == "trade") & (F.col("predicate") == f"<{RDF}type>"))
+    return t.select(F.concat(F.lit("ClassAssertion(Class("), "object", F.lit(") NamedIndividual("), "subject", F.lit("))")).alias("axiom_key"))
+
+
+_HEADERS = [("d1", "urn:a:long", "urn:a"), ("d1", "urn:a", "urn:a"), ("d2", "urn:bb", "urn:none"), ("d2", "urn:c", "urn:none"), ("d2", "urn:b", "urn:none"), ("d3", "urn:x", "urn:x")]
+_HEADER_SHAPE = "doc string, header string, document_iri string"
+
+
+@query(ctes(h=p.values_sql(_HEADERS, _HEADER_SHAPE)) + " SELECT doc, header FROM (SELECT doc, header, row_number() OVER (PARTITION BY doc ORDER BY header <> document_iri, length(header), header) AS nth FROM h) WHERE nth = 1")
+def header_choice(s: Store) -> DataFrame:
+    """Of several headers the document's own, then the shortest, then the first by code point."""
+    h = p.local(s.spark, _HEADERS, _HEADER_SHAPE)
+    order = F.struct(F.col("header") != F.col("document_iri"), F.length("header"), "header")
+    return h.groupBy("doc").agg(F.min_by("header", order).alias("header"))
+
+
+_CHAIN = "SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations"
+
+
+@query(f"WITH c AS ({_CHAIN}), h AS (SELECT conv_id, min(turn) AS head FROM conversations GROUP BY conv_id) SELECT c.conv_id, CAST(c.turn - h.head AS BIGINT) AS place, c.turn AS item FROM c JOIN h USING (conv_id)")
+def rdf_list_members(s: Store) -> DataFrame:
+    """Lists as first/rest chains, decoded by pointer doubling: in each round every cell knows what lies twice as far ahead,
+    so a list of n cells takes log n rounds."""
+    from ..operators.rdf import list_members
+
+    turns = s.table("conversations").select("conv_id", "turn")
+    cell = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    after = F.concat_ws("/", F.col("conv_id").cast("string"), (F.col("turn") + 1).cast("string"))
+    have = turns.select(cell.alias("cell"))
+    cells = turns.select(cell.alias("cell"), "turn", after.alias("rest"))
+    cells = cells.join(have.select(F.col("cell").alias("rest"), F.lit(True).alias("there")), "rest", "left").select("cell", F.col("turn").cast("string").alias("first"), F.when(F.col("there"), F.col("rest")).alias("rest"))
+    heads = turns.groupBy("conv_id").agg(F.min("turn").alias("turn")).select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("cell"))
+    return list_members(cells, heads).select(F.split("head", "/")[0].cast("long").alias("conv_id"), "place", F.col("item").cast("long").alias("item"))
