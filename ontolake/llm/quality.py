@@ -124,20 +124,19 @@ def isotonic(raw: np.ndarray, good: np.ndarray, n: np.ndarray) -> tuple[np.ndarr
 
 def fit(labelled: DataFrame) -> Model:
     """labelled: _stats and _good (0 to 1), read three times; best a stored table."""
-    spark = labelled.sparkSession
     sums = [f for i in range(len(STATS)) for f in (F.avg(F.col("_stats")[i]).alias(f"m{i}"), F.stddev_pop(F.col("_stats")[i]).alias(f"s{i}"))]
     row = labelled.agg(F.count(F.lit(1)).alias("n"), *sums).first()
     if not row["n"]:
         return Model(np.zeros(len(STATS)), np.ones(len(STATS)))
     scale = np.array([row[f"s{i}"] for i in range(len(STATS))])
     model = Model(np.array([row[f"m{i}"] for i in range(len(STATS))]), np.where(scale > 1e-9, scale, 1.0))
-    shape = spark.sparkContext.broadcast(model)
+    shape = model
     size = FEATURES + 1
 
     def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gram = np.zeros((size, size + 1))
         for batch in batches:
-            z = shape.value.features(_matrix(batch))
+            z = shape.features(_matrix(batch))
             y = batch.column(batch.schema.get_field_index("_good")).to_numpy(zero_copy_only=False)
             gram += z.T @ np.hstack([z, y[:, None]])
         yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array([r.tobytes() for r in gram], pa.binary())], names=["row", "part"])
@@ -158,11 +157,11 @@ def fit(labelled: DataFrame) -> Model:
     ridge = RIDGE * n / size * np.eye(size)
     ridge[-1, -1] = 1e-9 * n
     model.weights = np.linalg.solve(gram[:, :size] + ridge, gram[:, size])
-    fitted = spark.sparkContext.broadcast(model)
+    fitted = model
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(fitted.value.raw(_matrix(batch))), batch.column(batch.schema.get_field_index("_good"))], names=["raw", "good"])
+            yield pa.RecordBatch.from_arrays([pa.array(fitted.raw(_matrix(batch))), batch.column(batch.schema.get_field_index("_good"))], names=["raw", "good"])
 
     bins = labelled.mapInArrow(scored, "raw double, good double").groupBy(F.floor((F.col("raw") + 1) / 3 * BINS).alias("bin")).agg(F.avg("raw").alias("raw"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("n"))
     found = sorted((r["raw"], r["good"], r["n"]) for r in bins.collect())  # BINS rows at most
@@ -186,13 +185,13 @@ def train(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> Model:
 
 def with_scores(stats: DataFrame, model: Model) -> DataFrame:
     """stats with `score` instead of _stats."""
-    shape = stats.sparkSession.sparkContext.broadcast(model)
+    shape = model
     rest = [c for c in stats.columns if c != "_stats"]
     schema = stats.select(*(F.col(f"`{c}`") for c in rest)).schema.add("score", T.DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.array(np.clip(shape.value.score(_matrix(batch)), 0, 1))], names=[*rest, "score"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in rest), pa.array(np.clip(shape.score(_matrix(batch)), 0, 1))], names=[*rest, "score"])
 
     return stats.mapInArrow(run, schema)
 
@@ -203,13 +202,13 @@ def keep_good(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     known = _labels(labels.where(~held_out(id_col)), id_col)
     own = df.select(F.col(id_col), F.col(text_col).alias("text")).join(known, F.col(id_col) == F.col("_label_id")).select("_good", "text")
     model = fit(staged(with_statistics(own), "quality-labelled"))
-    shape, schema, place = df.sparkSession.sparkContext.broadcast(model), df.schema, df.columns.index(text_col)
+    shape, schema, place = model, df.schema, df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 stats = np.array([statistics(t.as_py() or "") for t in batch.column(place)])
-                yield batch.filter(pa.array(shape.value.score(stats) >= least))
+                yield batch.filter(pa.array(shape.score(stats) >= least))
 
     return df.mapInArrow(run, schema)
 
