@@ -3,16 +3,22 @@
 A text becomes its words in lower case, punctuation aside, and its runs of K words, each labelled with how often it
 occurred before. A sketch takes the TAKEN runs with the smallest values of one hash and keeps them in text order; it thus
 depends on what the text holds and in which order, as edit distance does. Texts that share one of SKETCHES sketches are
-candidates, and a banded bit-parallel alignment of their words decides: they link if 1 - edits / words of the longer is
-LEAST or more.
+candidates, and a banded bit-parallel alignment of their words decides: they link if at most a ninth of the longer's words
+is edited, or at most a fifth and their runs have a Jaccard similarity of LEAST or more.
 
 Texts with the same words are one class. Inside a bucket (the classes that share a sketch) two steps look for links: all
 are compared with the bucket's first; then, components found so far given, only pairs of different components are. A crowd
 of near copies thus costs a comparison for each member and not for each pair, and no link that would join two components
-is left out. Buckets of more than CROWD classes that still hold several components, such as texts around one common
-passage, are split by the members' other sketches first: pairs there must share two sketches.
+is left out.
 
-Chance of missing a pair, for the share s of common runs (of the runs of both): (1 - s^TAKEN)^SKETCHES, some 5e-6 at 0.8.
+A bucket of more than CROWD classes that still holds several components is a crowd around a common passage. What its
+members share with its first tells nothing, so what is left of each is looked at: the OWN first runs (by hash) that the
+first lacks. Members that share one of these make a new bucket, and so do members that lie inside the first for the most
+part and have near lengths. New buckets of CROWD or fewer are compared in pairs of different components. Larger ones are
+compared with their first and dealt, twice, into cells of CELL by hash, whose members are compared with each other; what
+then is still apart is compared in pairs of different components, so that nothing is left out.
+
+Chance of missing a pair, for the share s of common runs (of the runs of both): (1 - s^TAKEN)^SKETCHES, some 1e-5 at 0.8.
 
 Defined results for odd input: a null text counts as empty; texts without any word are alike only if they are the same
 text; texts of fewer than K words are one run; rows with a null id take part, and never stay if another row of their group
@@ -34,7 +40,12 @@ from pyspark.sql import functions as F
 from .common import staged
 from .components import connected_components
 
-K, TAKEN, SKETCHES, LEAST, CROWD = 5, 2, 12, 0.8, 64
+K, TAKEN, SKETCHES, LEAST, CROWD = 5, 3, 16, 0.8, 64
+#: For texts of equal length, runs with a similarity of 0.8 mean that at most a ninth of the words is edited.
+CLOSE = 8 / 9
+#: Runs by which a member of a crowd is looked up; the share of runs from which on it is its first's for the most part;
+#: members of a cell, and how often members are dealt into cells.
+OWN, INSIDE, CELL, DEALS = 20, 0.8, 32, 2
 _WORD = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -160,9 +171,17 @@ def _banded(a: list[int], b: list[int], band: int) -> int:
     return score
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
-    """1 - edits / words of the longer >= least, for texts of one word or more."""
+def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST, close: float = CLOSE) -> bool:
+    """Are texts of one word or more near-duplicates: at most 1 - close of the longer's words edited; or at most
+    1 - least of them, and the labelled runs of K words have a Jaccard similarity of `least` or more."""
     longer = max(len(a), len(b))
+    most = int((1 - close) * longer + 1e-9)
+    if abs(len(a) - len(b)) <= most and edits(a, b, most) <= most:
+        return True
+    x, y = labelled_runs(a), labelled_runs(b)
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    if common < least * (len(x) + len(y) - common):
+        return False
     most = int((1 - least) * longer + 1e-9)
     return edits(a, b, most) <= most
 
@@ -183,19 +202,37 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], names=["id", "digest", "node", "n", "sketches", "words"])
 
 
+def own_runs(words: np.ndarray, other: np.ndarray, count: int = OWN) -> tuple[np.ndarray, bool]:
+    """The first runs, by hash, of words that other lacks; and whether words lies inside other for the most part."""
+    runs = labelled_runs(words)
+    own = np.setdiff1d(runs, labelled_runs(other), assume_unique=True)
+    inside = len(own) <= (1 - INSIDE) * len(runs)
+    if len(own) > count:
+        own = own[np.argpartition(_mix(own ^ _SEEDS[-1]), count - 1)[:count]]
+    return own, inside
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b, x, y = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "a_words", "b_words"))
-        ok = [similar(np.frombuffer(p.as_py(), "<u4"), np.frombuffer(q.as_py(), "<u4")) for p, q in zip(x, y)]
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+        for at in range(0, batch.num_rows, 500):
+            part = batch.slice(at, 500)
+            a, b, crowd, x, y = (part.column(part.schema.get_field_index(c)) for c in ("a", "b", "crowd", "a_words", "b_words"))
+            linked, own, inside = [], [], []
+            for p, q, many in zip(x, y, crowd):
+                p, q = np.frombuffer(p.as_py(), "<u4"), np.frombuffer(q.as_py(), "<u4")
+                linked.append(similar(p, q))
+                runs, within = own_runs(q, p) if many.as_py() else (np.empty(0, np.uint64), False)
+                own.append(runs.view(np.int64))
+                inside.append(within)
+            yield pa.RecordBatch.from_arrays([a, b, crowd, pa.array(linked, pa.bool_()), pa.array(own, pa.list_(pa.int64())), pa.array(inside, pa.bool_())], names=["a", "b", "crowd", "linked", "own", "inside"])
 
 
 def _verified(pairs: DataFrame, words: DataFrame, name: str) -> DataFrame:
-    """pairs (a, b) with `linked`; a stored table. The side that repeats most, a, is joined last, where skewed
-    partitions can be split."""
+    """pairs (a, b, crowd) with `linked`, and for crowds b's own runs; a stored table. The side that repeats most, a, is
+    joined last, where skewed partitions can be split."""
     of = lambda s: words.select(F.col("node").alias(s), F.col("words").alias(f"{s}_words"))
     rows = pairs.join(of("b"), "b").join(of("a"), "a")
-    return staged(rows.select("a", "b", "a_words", "b_words").mapInArrow(_aligned, "a binary, b binary, linked boolean"), name)
+    return staged(rows.select("a", "b", "crowd", "a_words", "b_words").mapInArrow(_aligned, "a binary, b binary, crowd boolean, linked boolean, own array<long>, inside boolean"), name)
 
 
 def _near(n: str, m: str):
@@ -203,6 +240,43 @@ def _near(n: str, m: str):
     return F.least(n, m) >= F.greatest(n, m) * LEAST - F.lit(1e-9)
 
 
+def _cross(rows: DataFrame) -> DataFrame:
+    """(a, b) of rows (bucket, node, n, comp) in one bucket, of near lengths and different components."""
+    x, y = (rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp"))) for s in "xy")
+    pairs = x.join(y, "bucket").where((F.col("comp_x") < F.col("comp_y")) & _near("n_x", "n_y"))
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def _buckets(entries: DataFrame, name: str) -> DataFrame:
+    """entries (bucket, node, n) of buckets with two nodes or more, with the bucket's first (node, n) and size."""
+    firsts = entries.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    return staged(entries.join(firsts, "bucket"), name)
+
+
+def _left_over(crowd: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, node, n, comp) of the members of crowds by what they do not share with a first of theirs."""
+    members = crowd.select("node", "n", "comp").distinct().join(found.where("crowd").select(F.col("b").alias("node"), "own", "inside"), "node")
+    length = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(LEAST)))).cast("long")
+    classes = F.when(F.col("inside"), F.array(F.xxhash64(F.lit("length"), length), F.xxhash64(F.lit("length"), length + 1))).otherwise(F.array().cast("array<long>"))
+    return members.select(F.explode(F.concat("own", classes)).alias("bucket"), "node", "n", "comp").distinct()
+
+
+def _cells(big: DataFrame) -> DataFrame:
+    """Large buckets dealt into cells by hash, more than once, so that the cells of all deals hang together."""
+    deal = lambda i: F.xxhash64("bucket", F.lit(i), F.pmod(F.xxhash64("node", F.lit(i)), F.ceil(F.col("size") / CELL)))
+    return big.select(F.explode(F.array(*(deal(i) for i in range(DEALS)))).alias("bucket"), "node", "n", "comp")
+
+
+def _comps(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    return rows.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+
+
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components."""
+    several = rows.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+    return rows.join(several, "bucket", "left_semi")
+
+
 def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, components): id, digest of the text, node of its class; and (node, component) of linked classes."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -211,33 +285,39 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = staged(rows.mapInArrow(_sketched, f"id {kind}, digest string, node binary, n int, sketches array<long>, words binary"), "sketches")
     # Buckets: a row for each class and sketch, of buckets with two classes or more.
     nodes = docs.where("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.first("sketches").alias("sketches"))
-    entries = nodes.select("node", "n", F.posexplode("sketches").alias("i", "s")).select("node", "n", F.xxhash64("i", "s").alias("bucket"))
-    entries = staged(entries, "buckets")
-    firsts = entries.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    entries = staged(entries.join(firsts, "bucket"), "shared-buckets")
-    words = docs.join(entries.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
+    entries = nodes.select("node", "n", F.posexplode("sketches").alias("i", "s")).select(F.xxhash64("i", "s").alias("bucket"), "node", "n")
+    buckets = _buckets(staged(entries, "buckets"), "shared-buckets")
+    words = docs.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
     words = staged(words, "candidate-words")
-    # First step: all with the first of their bucket.
-    stars = entries.where((F.col("node") != F.col("first.node")) & _near("n", "first.n"))
-    stars = stars.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
-    tested = _verified(stars, words, "star-links")
-    linked = tested.where("linked").select("a", "b")
-    # Second step: pairs of a bucket whose components differ.
-    comps = connected_components(linked)
-    left = entries.select("bucket", "node", "n", "size").join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
-    several = left.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
-    left = staged(left.join(several, "bucket", "left_semi"), "open-buckets")
-    small = left.where(F.col("size") <= CROWD).select("bucket", "node", "n", "comp")
-    crowd = left.where(F.col("size") > CROWD).select("bucket", "node", "n", "comp")
-    others = entries.select("node", F.col("bucket").alias("other"))
-    split = crowd.join(others, "node").where("other <> bucket").withColumn("bucket", F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other"))).select("bucket", "node", "n", "comp").distinct()
-    rest = small.union(split)
-    x, y = (rest.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp"))) for s in "xy")
-    cross = x.join(y, "bucket").where((F.col("comp_x") < F.col("comp_y")) & _near("n_x", "n_y"))
-    cross = cross.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verified(cross, words, "cross-links").where("linked").select("a", "b")
-    parts = connected_components(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
-    return docs.select("id", "digest", "node"), parts
+    # All with the first of their bucket; of crowds one first also gives the member's own runs, whatever its length.
+    stars = buckets.where(F.col("node") != F.col("first.node"))
+    asked = stars.where(F.col("size") > CROWD).groupBy("node").agg(F.min("first.node").alias("_asked"))
+    stars = stars.join(asked, "node", "left").withColumn("crowd", F.coalesce(F.col("first.node") == F.col("_asked"), F.lit(False)))
+    stars = stars.where(_near("n", "first.n") | F.col("crowd")).groupBy(F.col("first.node").alias("a"), F.col("node").alias("b")).agg(F.max("crowd").alias("crowd"))
+    found = _verified(stars, words, "star-links")
+    # Pairs of different components in a bucket, or in what is left of a crowd.
+    comps = connected_components(found.where("linked").select("a", "b"))
+    left = staged(_open(_comps(buckets.select("bucket", "node", "n", "size"), comps)), "open-buckets")
+    pairs = _cross(left.where(F.col("size") <= CROWD))
+    crowd = left.where(F.col("size") > CROWD)
+    big = None
+    if not crowd.isEmpty():
+        again = staged(_left_over(crowd, found), "left-over")
+        sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("first")).where("size > 1")
+        again = staged(_open(again.join(sizes, "bucket")), "left-over-buckets")
+        big = again.where(F.col("size") > CROWD)
+        star = big.where((F.col("node") != F.col("first.node")) & _near("n", "first.n")).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
+        pairs = pairs.union(_cross(again.where(F.col("size") <= CROWD))).union(star).union(_cross(_cells(big)))
+    tested = found.select("a", "b")
+    links = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    for last in (False, True):
+        now = _verified(pairs.distinct().join(tested, ["a", "b"], "left_anti").withColumn("crowd", F.lit(False)), words, "cross-links")
+        comps = connected_components(links.union(now.where("linked").select("a", "b")))
+        if last or big is None:
+            break
+        links, tested = comps.select(F.col("node").alias("a"), F.col("component").alias("b")), tested.union(now.select("a", "b"))
+        pairs = _cross(_open(_comps(big.select("bucket", "node", "n"), comps)))
+    return docs.select("id", "digest", "node"), comps
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
