@@ -104,6 +104,8 @@ KINDS: tuple[Kind, ...] = (
     _k("OWLAnnotationPropertyDomainAxiom", "AnnotationPropertyDomain", "axiom", "property domain"),
     _k("OWLAnnotationPropertyRangeAxiom", "AnnotationPropertyRange", "axiom", "property range"),
 )
+#: Kinds whose sets or lists need brackets of their own in a key.
+BRACKETED = ("HasKey", "SubPropertyChainOf")
 KIND = {k.kind: k for k in KINDS}
 BY_KEYWORD = {k.keyword: k for k in KINDS}
 TYPE_INDEX = {k.kind: i for i, k in enumerate(KINDS)}
@@ -217,7 +219,8 @@ class Obj:
             return f"{k.keyword}(<{self.fields[0]}>)"
         parts = [a.key for a in self.annotations] if annotated else []
         for value in self.fields:
-            parts.append(value if isinstance(value, str) else "(" + " ".join(v.key for v in value) + ")" if isinstance(value, tuple) else value.key)
+            many = " ".join(v.key for v in value) if isinstance(value, tuple) else None
+            parts.append(value if isinstance(value, str) else value.key if many is None else f"({many})" if k.keyword in BRACKETED else many)
         return f"{k.keyword}({' '.join(parts)})"
 
     def __eq__(self, other: object) -> bool:

@@ -625,3 +625,73 @@ def rdf_list_members(s: Store) -> DataFrame:
     cells = cells.join(have.select(F.col("cell").alias("rest"), F.lit(True).alias("there")), "rest", "left").select("cell", F.col("turn").cast("string").alias("first"), F.when(F.col("there"), F.col("rest")).alias("rest"))
     heads = turns.groupBy("conv_id").agg(F.min("turn").alias("turn")).select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("cell"))
     return list_members(cells, heads).select(F.split("head", "/")[0].cast("long").alias("conv_id"), "place", F.col("item").cast("long").alias("item"))
+
+
+# K: axioms as text; G: locality; P: positions
+
+from ..operators import comparison, locality, positions  # noqa: E402
+from ..sources.registry import functional_text  # noqa: E402
+
+_TEXT_KINDS = k("SubClassOf", "ClassAssertion", "SubPropertyChainOf", "EquivalentClasses", "DisjointClasses", "ObjectPropertyDomain", "DataPropertyAssertion")
+_WRAP = r"\b(?:Class|Datatype|ObjectProperty|DataProperty|AnnotationProperty|NamedIndividual)\((<[^<>]*>)\)"
+
+
+@query(ctes(axiom=p.axiom_sql(_TEXT_KINDS)) + rf" SELECT axiom_key, regexp_replace(regexp_replace(regexp_replace(axiom_key, '{_WRAP}', '\1', 'g'), '\bFacetRestriction\((<[^<>]*> \x22(?:[^\x22\\]|\\.)*\x22(?:@[\w-]+|\^\^<[^<>]*>))\)', '\1', 'g'), '\bSubPropertyChainOf\(\(([^()]*)\)', 'SubObjectPropertyOf(ObjectPropertyChain(\1)', 'g') AS text FROM axiom")
+def functional_lines(s: Store) -> DataFrame:
+    """Axioms in functional notation, by expressions alone."""
+    return functional_text(s.axioms(_TEXT_KINDS).select("axiom_key"))
+
+
+def _pool(s: Store) -> tuple[DataFrame, DataFrame]:
+    onts = ["schema", "geo"]
+    axioms = functional_text(s.axioms(AXIOM_KINDS, onts).select("axiom_key").distinct())
+    scoped = F.regexp_replace("text", r"(_:[^\s()@]+)@[^\s()]*", "$1")
+    reach = s.reach(AXIOM_KINDS, onts).where(F.col("node_kind").isin(*ENTITY_KINDS))
+    return axioms.withColumn("text", scoped), reach
+
+
+for _mode in (locality.BOTTOM, locality.TOP, locality.STAR):
+    query(None, f"locality_{_mode.lower()}")(lambda s, mode=_mode: locality.module_frame(s.spark, *_pool(s), [f"Class(<{EX}Customer>)"], mode))
+
+
+@query()
+def profile_class_positions(s: Store) -> DataFrame:
+    """profile, axiom_key: axioms with a class expression where QL or RL does not admit it."""
+    some = k("SubClassOf", "EquivalentClasses", "DisjointClasses", "ObjectPropertyDomain", "DataPropertyDomain", "ObjectPropertyRange", "ClassAssertion", "HasKey")
+
+    def run(batches):
+        import pandas as pd
+
+        from ..sources.functional import Reader
+
+        for pdf in batches:
+            rows = [(profile, key) for key, text in zip(pdf["axiom_key"], pdf["text"]) for profile in ("QL", "RL") if any(True for _ in positions.class_positions(Reader(text).axiom(), profile))]
+            yield pd.DataFrame(rows, columns=["profile", "axiom_key"])
+
+    # Axioms between named classes other than Thing and Nothing stand anywhere; only the others are parsed.
+    nested = functional_text(s.axioms(some).select("axiom_key")).where(F.col("axiom_key").rlike(r"(Object|Data)[A-Z]\w+\(|owl#(Thing|Nothing)>"))
+    text = F.regexp_replace("text", r"(_:[^\s()@]+)@[^\s()]*", "$1")
+    return nested.withColumn("text", text).mapInPandas(run, "profile string, axiom_key string").distinct()
+
+
+@query(ctes(a=p.axiom_sql(k("ClassAssertion", "SubClassOf"))) + " SELECT CASE WHEN min(side) = 'l' THEN 'left' ELSE 'right' END AS side, axiom_key FROM (SELECT DISTINCT axiom_key, 'l' AS side FROM a WHERE ont_id IN ('trade', 'geo') UNION ALL SELECT DISTINCT axiom_key, 'r' FROM a WHERE ont_id IN ('trade', 'schema')) WHERE NOT regexp_matches(axiom_key, '_:[^\\s()]+') GROUP BY axiom_key HAVING count(*) = 1")
+def ontology_difference(s: Store) -> DataFrame:
+    """Axioms without anonymous individuals that one of two merged ontologies lacks."""
+    kinds = k("ClassAssertion", "SubClassOf")
+    return comparison.ground_difference(s.axioms(kinds, ["trade", "geo"]), s.axioms(kinds, ["trade", "schema"]))
+
+
+@query(ctes(a=p.axiom_sql()) + " SELECT regexp_replace(axiom_key, '_:[^\\s()]+', '_:', 'g') AS fingerprint, count(DISTINCT axiom_key) AS n FROM a WHERE regexp_matches(axiom_key, '_:[^\\s()]+') AND ont_id = 'schema' GROUP BY 1")
+def anonymous_fingerprints(s: Store) -> DataFrame:
+    return comparison.fingerprints(s.axioms(AXIOM_KINDS, ["schema"]))
+
+
+# Streaming
+
+from ..streaming import changelog  # noqa: E402
+
+
+@query(ORACLES["apply_changes"])
+def streaming_changes(s: Store) -> DataFrame:
+    """The same fold as apply_changes, by a streaming query over the log."""
+    return changelog.replay(s.spark, s.dir)

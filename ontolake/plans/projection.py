@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import BY_KEYWORD, KIND, RDFS, XSD, Obj, height, walk
+from ..model import BRACKETED, BY_KEYWORD, KIND, RDFS, XSD, Obj, height, walk
 from ..sources.functional import parse
 from .schema_text import SCHEMA
 
@@ -53,7 +53,7 @@ class Branch(NamedTuple):
             values.setdefault(f.name, []).append(f.key)
         for spec in BY_KEYWORD[self.keyword].fields:
             many = " || ' ' || ".join(values[spec.strip("{}[]")])
-            parts.append(f"'(' || {many} || ')'" if spec[0] in "{[" else many)
+            parts.append(f"'(' || {many} || ')'" if spec[0] in "{[" and self.keyword in BRACKETED else many)
         return f"'{self.keyword}(' || " + " || ' ' || ".join(parts) + " || ')'"
 
 

@@ -246,9 +246,11 @@ def load_quads(spark: SparkSession, path: str, key: str | None = None) -> DataFr
 
 def functional_text(axiom_keys: DataFrame, column: str = "axiom_key") -> DataFrame:
     """Axiom keys in functional notation, by expressions alone: keys are that notation but for the kind that they put
-    around entities, which a declaration keeps, and for chains and keys."""
+    around entities, which a declaration keeps, around facets, and around chains. A literal whose own text looks like such
+    a wrapper would lose it; functional.render has no such limit."""
     bare = F.regexp_replace(column, r"(?<!Declaration\()\b(?:Class|Datatype|ObjectProperty|DataProperty|AnnotationProperty|NamedIndividual)\((<[^<>]*>)\)", "$1")
-    chain = F.regexp_replace(bare, r"\bSubPropertyChainOf\(\(([^()]*)\)", "SubObjectPropertyOf(ObjectPropertyChain($1)")
+    facet = F.regexp_replace(bare, r"\bFacetRestriction\((<[^<>]*> \x22(?:[^\x22\\]|\\.)*\x22(?:@[\w-]+|\^\^<[^<>]*>))\)", "$1")
+    chain = F.regexp_replace(facet, r"\bSubPropertyChainOf\(\(([^()]*)\)", "SubObjectPropertyOf(ObjectPropertyChain($1)")
     return axiom_keys.withColumn("text", chain)
 
 
