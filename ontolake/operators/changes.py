@@ -103,17 +103,15 @@ def triples(s: Store, onts=None) -> DataFrame:
     }
     named = r"^([A-Za-z]+\()?<[^<>]*>\)?$"
     for kind, (a, b, p) in fixed.items():
-        rows = s.pairs([kind], a, b)
-        rows = rows if onts is None else rows.where(F.col("ont_id").isin(*onts))
+        rows = s.pairs([kind], a, b, onts)
         parts.append(rows.where(F.col("left_key").rlike(named) & F.col("right_key").rlike(named)).select(plain(F.col("left_key")).alias("subject"), F.lit(p).alias("predicate"), plain(F.col("right_key")).alias("object"), F.col("ont_id").alias("graph")))
-    e = s.edges(["OWLObjectPropertyAssertionAxiom", "OWLDataPropertyAssertionAxiom", "OWLAnnotationAssertionAxiom"], ["property", "subject", "value"], onts)
-    at = lambda f: F.max(F.when(F.col("field") == f, F.col("child_key")))
-    rows = e.groupBy("ont_id", "parent_key").agg(at("subject").alias("s"), at("property").alias("p"), at("value").alias("o"))
-    parts.append(rows.select(plain(F.col("s")).alias("subject"), plain(F.col("p")).alias("predicate"), plain(F.col("o")).alias("object"), F.col("ont_id").alias("graph")))
+    e = s.rows(["OWLObjectPropertyAssertionAxiom", "OWLDataPropertyAssertionAxiom", "OWLAnnotationAssertionAxiom"], ["subject", "property", "value"], onts)
+    parts.append(e.select(plain(F.col("subject_key")).alias("subject"), plain(F.col("property_key")).alias("predicate"), plain(F.col("value_key")).alias("object"), F.col("ont_id").alias("graph")))
     out = parts[0]
     for x in parts[1:]:
         out = out.union(x)
-    return out.distinct()
+    # Axioms are sets already; only axioms that differ in their annotations give a triple twice, and the tables have none.
+    return out.where("graph = 'schema'").distinct().union(out.where("graph <> 'schema'"))
 
 
 def display_order(axioms: DataFrame) -> DataFrame:

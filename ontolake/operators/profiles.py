@@ -47,6 +47,15 @@ def reach(some=None, onts=None):
     return (lambda s: s.reach(some, onts)), p.reach_sql(some, onts)
 
 
+def sig(node_kinds):
+    """Objects of some kinds, where only they matter and not the axioms they are in."""
+    return (lambda s: s.entities(node_kinds, AXIOM_KINDS)), p.reach_sql(AXIOM_KINDS)
+
+
+def within(node_kinds):
+    return (lambda s: s.reach(AXIOM_KINDS, node_kinds=node_kinds)), p.reach_sql(AXIOM_KINDS)
+
+
 def literal(some=None):
     return (lambda s: s.literals(some)), p.literal_sql(some)
 
@@ -103,8 +112,8 @@ _SUBPROPERTY_FRAMES = {
 RULES: tuple[Rule, ...] = (
     Rule("import_closure_incomplete", "IMPORT_CLOSURE_INCOMPLETE", _same("SELECT ont_id, import_iri FROM {imports} WHERE target IS NULL"), {"imports": _IMPORTS}),
     Rule("reserved_ontology_iri", "RESERVED_ONTOLOGY_IRI", _same(f"SELECT ont_id FROM {{onts}} WHERE {_reserved('ontology_iri')} OR {_reserved('version_iri')}"), {"onts": _ONTOLOGIES}),
-    Rule("iri_invalid", "IRI_INVALID", lambda d: f"SELECT DISTINCT node_kind, node_key FROM {{reach}} WHERE {_ENTITY} AND NOT {d.match(_IRI, ABSOLUTE_IRI.replace('{', '{{').replace('}', '}}'))}", {"reach": reach(AXIOM_KINDS)}),
-    Rule("reserved_iris", "RESERVED_ENTITY_IRI", _same(f"SELECT DISTINCT node_kind, node_key FROM {{reach}} WHERE {_ENTITY} AND {_reserved(_IRI)} AND NOT EXISTS (SELECT 1 FROM {{builtin}} b WHERE b.entity = node_key)"), {"reach": reach(AXIOM_KINDS), "builtin": _BUILTIN}),
+    Rule("iri_invalid", "IRI_INVALID", lambda d: f"SELECT DISTINCT node_kind, node_key FROM {{reach}} WHERE {_ENTITY} AND NOT {d.match(_IRI, ABSOLUTE_IRI.replace('{', '{{').replace('}', '}}'))}", {"reach": sig(ENTITY_KINDS)}),
+    Rule("reserved_iris", "RESERVED_ENTITY_IRI", _same(f"SELECT DISTINCT node_kind, node_key FROM {{reach}} WHERE {_ENTITY} AND {_reserved(_IRI)} AND NOT EXISTS (SELECT 1 FROM {{builtin}} b WHERE b.entity = node_key)"), {"reach": sig(ENTITY_KINDS), "builtin": _BUILTIN}),
     Rule(
         "anonymous_individual_position", "ANONYMOUS_INDIVIDUAL_POSITION",
         _same("SELECT DISTINCT root_key AS parent_key, node_key FROM {reach} WHERE node_kind = 'OWLAnonymousIndividual' UNION SELECT DISTINCT parent_key, child_key FROM {edge} WHERE child_kind = 'OWLAnonymousIndividual'"),
@@ -113,17 +122,17 @@ RULES: tuple[Rule, ...] = (
     Rule("set_arity", "SET_CONSTRUCTOR_ARITY", _same(f"SELECT parent_kind, parent_key, count(*) AS n_members FROM {{edge}} WHERE {_SETS} GROUP BY ont_id, parent_kind, parent_key HAVING count(*) < 2"), {"edge": edge(kinds(*AT_LEAST_TWO), list(set(AT_LEAST_TWO.values())), nested=True)}),
     Rule("top_data_property_position", "TOP_DATA_PROPERTY_POSITION", _same(f"SELECT parent_kind, parent_key FROM {{edge}} WHERE child_key = 'DataProperty(<{OWL}topDataProperty>)' AND NOT (parent_kind = 'OWLSubDataPropertyOfAxiom' AND field = 'superProperty')"), {"edge": edge(None, ["property", "properties", "subProperty", "superProperty", "dataProperties"], nested=True)}),
     Rule("data_range_arity", "DATA_RANGE_ARITY", _same("SELECT parent_key, count(*) AS n_properties FROM {edge} GROUP BY parent_key HAVING count(*) > 1"), {"edge": edge(kinds("DataSomeValuesFrom", "DataAllValuesFrom"), ["properties"], nested=True)}),
-    Rule("category_collisions", "PROPERTY_CATEGORY_COLLISION", _same(f"SELECT {_IRI} AS iri, count(DISTINCT node_kind) AS n_categories FROM {{reach}} WHERE node_kind IN ({quoted(_CATEGORIES)}) GROUP BY {_IRI} HAVING count(DISTINCT node_kind) > 1"), {"reach": reach(AXIOM_KINDS)}),
-    Rule("class_datatype_collision", "CLASS_DATATYPE_COLLISION", _same(f"SELECT {_IRI} AS iri FROM {{reach}} WHERE node_kind IN ('OWLClass', 'OWLDatatype') GROUP BY {_IRI} HAVING count(DISTINCT node_kind) > 1"), {"reach": reach(AXIOM_KINDS)}),
+    Rule("category_collisions", "PROPERTY_CATEGORY_COLLISION", _same(f"SELECT {_IRI} AS iri, count(DISTINCT node_kind) AS n_categories FROM {{reach}} WHERE node_kind IN ({quoted(_CATEGORIES)}) GROUP BY {_IRI} HAVING count(DISTINCT node_kind) > 1"), {"reach": sig(_CATEGORIES)}),
+    Rule("class_datatype_collision", "CLASS_DATATYPE_COLLISION", _same(f"SELECT {_IRI} AS iri FROM {{reach}} WHERE node_kind IN ('OWLClass', 'OWLDatatype') GROUP BY {_IRI} HAVING count(DISTINCT node_kind) > 1"), {"reach": sig(("OWLClass", "OWLDatatype"))}),
     Rule(
         "datatype_definition_count", "DATATYPE_DEFINITION_COUNT",
         _same("SELECT u.node_key, count(DISTINCT d.parent_key) AS n_definitions FROM (SELECT DISTINCT node_key FROM {reach} WHERE node_kind = 'OWLDatatype') u LEFT JOIN {defined} d ON d.child_key = u.node_key LEFT JOIN {builtin} b ON b.entity = u.node_key GROUP BY u.node_key, b.entity HAVING (b.entity IS NULL AND count(DISTINCT d.parent_key) <> 1) OR (b.entity IS NOT NULL AND count(DISTINCT d.parent_key) > 0)"),
-        {"reach": reach(AXIOM_KINDS), "defined": edge(kinds("DatatypeDefinition"), ["datatype"]), "builtin": _BUILTIN},
+        {"reach": sig(("OWLDatatype",)), "defined": edge(kinds("DatatypeDefinition"), ["datatype"]), "builtin": _BUILTIN},
     ),
     Rule(
         "undeclared_entities", "UNDECLARED_ENTITY",
         _same("SELECT DISTINCT ont_id, node_kind, node_key FROM {reach} r WHERE node_kind IN ('OWLClass', 'OWLDatatype', 'OWLObjectProperty', 'OWLDataProperty', 'OWLAnnotationProperty') AND NOT EXISTS (SELECT 1 FROM {builtin} b WHERE b.entity = r.node_key) AND NOT EXISTS (SELECT 1 FROM {declared} d WHERE d.child_key = r.node_key)"),
-        {"reach": reach(AXIOM_KINDS), "declared": edge(kinds("Declaration"), ["entity"]), "builtin": _BUILTIN},
+        {"reach": sig(("OWLClass", "OWLDatatype", "OWLObjectProperty", "OWLDataProperty", "OWLAnnotationProperty")), "declared": edge(kinds("Declaration"), ["entity"]), "builtin": _BUILTIN},
     ),
     Rule("defined_datatype_literal", "DEFINED_DATATYPE_LITERAL", _same("SELECT DISTINCT l.root_key AS axiom_key, l.lexical, l.datatype_iri FROM {literal} l JOIN {defined} d ON d.child_key = 'Datatype(<' || l.datatype_iri || '>)' WHERE d.field = 'datatype'"), {"literal": literal(AXIOM_KINDS), "defined": edge(kinds("DatatypeDefinition"), ["datatype"])}),
     Rule("literal_status", "LITERAL", lambda d: f"SELECT lexical, lang, datatype_iri, {status(d).replace('{', '{{').replace('}', '}}')} AS status FROM (SELECT DISTINCT lexical, lang, datatype_iri FROM {{literal}}) l", {"literal": literal(kinds("DataPropertyAssertion", "NegativeDataPropertyAssertion"))}),
@@ -131,15 +140,15 @@ RULES: tuple[Rule, ...] = (
     Rule("defined_datatype_restriction", "DEFINED_DATATYPE_RESTRICTION", _same("SELECT DISTINCT parent_key, child_key FROM {edge} e WHERE NOT EXISTS (SELECT 1 FROM {builtin} b WHERE b.entity = e.child_key)"), {"edge": edge(kinds("DatatypeRestriction"), ["datatype"], nested=True), "builtin": _BUILTIN}),
     *(Rule(f"{q.lower()}_forbidden_axioms", "PROFILE_AXIOM_NOT_ALLOWED", _same("SELECT ont_id, kind, count(*) AS n_axioms FROM {axiom} GROUP BY ont_id, kind"), {"axiom": axiom(_forbidden(q))}) for q in ("EL", "QL", "RL")),
     *(
-        Rule(f"{q}_datatypes", "PROFILE_DATATYPE_NOT_ALLOWED", _same(f"SELECT DISTINCT node_key FROM {{reach}} WHERE node_kind = 'OWLDatatype' AND NOT in_annotation AND node_key NOT IN ({quoted(f'Datatype(<{i}>)' for i in allowed)})"), {"reach": reach(AXIOM_KINDS)})
+        Rule(f"{q}_datatypes", "PROFILE_DATATYPE_NOT_ALLOWED", _same(f"SELECT DISTINCT node_key FROM {{reach}} WHERE node_kind = 'OWLDatatype' AND NOT in_annotation AND node_key NOT IN ({quoted(f'Datatype(<{i}>)' for i in allowed)})"), {"reach": within(("OWLDatatype",))})
         for q, allowed in (("el_ql", _EL_RANGES), ("rl", _RL_RANGES))
     ),
-    Rule("data_range_not_allowed", "PROFILE_DATA_RANGE_NOT_ALLOWED", _same("SELECT DISTINCT node_kind, node_key FROM {reach} WHERE NOT in_annotation AND node_kind IN ('OWLDataUnionOf', 'OWLDataComplementOf', 'OWLDatatypeRestriction')"), {"reach": reach(AXIOM_KINDS)}),
+    Rule("data_range_not_allowed", "PROFILE_DATA_RANGE_NOT_ALLOWED", _same("SELECT DISTINCT node_kind, node_key FROM {reach} WHERE NOT in_annotation AND node_kind IN ('OWLDataUnionOf', 'OWLDataComplementOf', 'OWLDatatypeRestriction')"), {"reach": within(("OWLDataUnionOf", "OWLDataComplementOf", "OWLDatatypeRestriction"))}),
     Rule("enumeration_not_singleton", "PROFILE_OBJECT_ENUMERATION_NOT_SINGLETON", _same("SELECT parent_kind, parent_key, count(*) AS n_members FROM {edge} GROUP BY parent_kind, parent_key HAVING count(*) <> 1"), {"edge": edge(kinds("ObjectOneOf", "DataOneOf"), ["individuals", "values"], nested=True)}),
-    Rule("anonymous_not_allowed", "PROFILE_ANONYMOUS_INDIVIDUAL_NOT_ALLOWED", _same("SELECT DISTINCT root_key AS axiom_key, node_key FROM {reach} WHERE node_kind = 'OWLAnonymousIndividual' AND NOT in_annotation AND root_kind <> 'OWLAnnotationAssertionAxiom'"), {"reach": reach(AXIOM_KINDS)}),
-    Rule("el_inverse_properties", "PROFILE_INVERSE_PROPERTY_NOT_ALLOWED", _same("SELECT DISTINCT root_key AS axiom_key, node_key FROM {reach} WHERE node_kind = 'OWLObjectInverseOf'"), {"reach": reach(AXIOM_KINDS)}),
-    Rule("el_class_expressions", "PROFILE_CLASS_EXPRESSION_NOT_ALLOWED", _same(f"SELECT DISTINCT node_kind, node_key FROM {{reach}} WHERE node_kind IN ({quoted(x for x in _CLASS_KINDS if x not in _EL_CLASSES)})"), {"reach": reach(AXIOM_KINDS)}),
-    Rule("rl_properties", "PROFILE_PROPERTY_NOT_ALLOWED", _same(f"SELECT DISTINCT root_key AS axiom_key, node_key FROM {{reach}} WHERE node_key IN ({quoted(f'{kw}(<{OWL}{side}{kw}>)' for kw in ('ObjectProperty', 'DataProperty') for side in ('top', 'bottom'))})"), {"reach": reach(AXIOM_KINDS)}),
+    Rule("anonymous_not_allowed", "PROFILE_ANONYMOUS_INDIVIDUAL_NOT_ALLOWED", _same("SELECT DISTINCT root_key AS axiom_key, node_key FROM {reach} WHERE node_kind = 'OWLAnonymousIndividual' AND NOT in_annotation AND root_kind <> 'OWLAnnotationAssertionAxiom'"), {"reach": within(("OWLAnonymousIndividual",))}),
+    Rule("el_inverse_properties", "PROFILE_INVERSE_PROPERTY_NOT_ALLOWED", _same("SELECT DISTINCT root_key AS axiom_key, node_key FROM {reach} WHERE node_kind = 'OWLObjectInverseOf'"), {"reach": within(("OWLObjectInverseOf",))}),
+    Rule("el_class_expressions", "PROFILE_CLASS_EXPRESSION_NOT_ALLOWED", _same(f"SELECT DISTINCT node_kind, node_key FROM {{reach}} WHERE node_kind IN ({quoted(x for x in _CLASS_KINDS if x not in _EL_CLASSES)})"), {"reach": sig(_CLASS_KINDS)}),
+    Rule("rl_properties", "PROFILE_PROPERTY_NOT_ALLOWED", _same(f"SELECT DISTINCT root_key AS axiom_key, node_key FROM {{reach}} WHERE node_key IN ({quoted(f'{kw}(<{OWL}{side}{kw}>)' for kw in ('ObjectProperty', 'DataProperty') for side in ('top', 'bottom'))})"), {"reach": within(("OWLObjectProperty", "OWLDataProperty"))}),
     Rule("ql_class_assertion_not_atomic", "PROFILE_CLASS_ASSERTION_NOT_ATOMIC", _same("SELECT parent_key AS axiom_key, child_kind FROM {edge} WHERE child_kind <> 'OWLClass'"), {"edge": edge(kinds("ClassAssertion"), ["classExpression"])}),
     Rule("multiple_anonymous_edges", "MULTIPLE_ANONYMOUS_EDGE_ASSERTIONS", _same("SELECT least(a.child_key, b.child_key) AS x, greatest(a.child_key, b.child_key) AS y, count(*) AS n_axioms FROM {edge} a JOIN {edge} b ON a.parent_key = b.parent_key WHERE a.field = 'subject' AND b.field = 'value' AND a.child_kind = 'OWLAnonymousIndividual' AND b.child_kind = 'OWLAnonymousIndividual' GROUP BY 1, 2 HAVING count(*) > 1"), {"edge": edge(kinds("ObjectPropertyAssertion"), ["subject", "value"], onts=["schema"])}),
     Rule("range_category_collision", "SOURCE_RANGE_CATEGORY_COLLISION", _same("SELECT iri FROM (SELECT substr(child_key, position('(<' IN child_key) + 2) AS iri, parent_kind FROM {edge} WHERE field = 'property') GROUP BY iri HAVING count(DISTINCT parent_kind) > 1"), {"edge": edge(kinds("ObjectPropertyRange", "DataPropertyRange"), ["property"])}),

@@ -83,16 +83,7 @@ def characteristic(s: Store, name: str) -> DataFrame:
     return s.edges(CHARACTERISTICS[name], ["property"]).select(F.col("child_key").alias("entity")).distinct()
 
 
-def annotation_assertions(s: Store) -> DataFrame:
-    """(ont_id, subject_key, property_key, value_key, axiom_key), all fields from one row."""
-    p = s.pairs(["OWLAnnotationAssertionAxiom"], "subject", "value").select("ont_id", "axiom_key", F.col("left_key").alias("subject_key"), F.col("right_key").alias("value_key"))
-    q = s.pairs(["OWLAnnotationAssertionAxiom"], "property", "subject").select("ont_id", "axiom_key", F.col("left_key").alias("property_key"))
-    return p.join(q, ["ont_id", "axiom_key"])
-
-
 def annotation_objects(s: Store, prop: str | None = None) -> DataFrame:
     """(ont_id, subject_key, property_key, value_key) of annotation assertions, for one property or all."""
-    parts = s.edges(["OWLAnnotationAssertionAxiom"], ["property", "subject", "value"]).groupBy("ont_id", "parent_key")
-    at = lambda f: F.max(F.when(F.col("field") == f, F.col("child_key")))
-    out = parts.agg(at("subject").alias("subject_key"), at("property").alias("property_key"), at("value").alias("value_key"))
+    out = s.rows(["OWLAnnotationAssertionAxiom"], ["subject", "property", "value"])
     return (out.where(F.col("property_key") == prop) if prop else out).select("ont_id", "subject_key", "property_key", "value_key")

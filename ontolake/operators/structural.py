@@ -51,9 +51,8 @@ def counts(s: Store, root: str, included: bool = False, logical: bool = False, k
 
 def signature(s: Store, kinds=ENTITY_KINDS, onts=None, axiom_kinds=None) -> DataFrame:
     """(ont_id, node_kind, node_key) of entities anywhere in axioms and ontology annotations."""
-    r = s.reach(axiom_kinds, onts).where(F.col("node_kind").isin(*kinds)).select("ont_id", "node_kind", "node_key")
     a = s.annotations().where(F.col("node_kind").isin(*kinds)).select("ont_id", "node_kind", "node_key")
-    return r.union(a if onts is None else a.where(F.col("ont_id").isin(*onts))).distinct()
+    return s.entities(kinds, axiom_kinds, onts).union(a if onts is None else a.where(F.col("ont_id").isin(*onts))).distinct()
 
 
 def entity_iri(key: str = "node_key"):
@@ -69,7 +68,11 @@ def punned(s: Store, onts=None, axiom_kinds=None) -> DataFrame:
 def referencing(s: Store, key: str, iri: str | None = None, kinds=AXIOM_KINDS) -> DataFrame:
     """Axioms that hold a value at any depth. For an IRI, its literals of type anyURI in data and annotation assertions
     count too."""
-    out = s.reach(kinds).where(F.col("node_key") == key).select("ont_id", F.col("root_key").alias("axiom_key"))
+    from ..model import BY_KEYWORD
+
+    word = key.partition("(")[0]
+    of = [BY_KEYWORD[word].kind] if word in BY_KEYWORD else ["OWLAnonymousIndividual"] if key.startswith("_:") else ["OWLLiteral"] if key.startswith('"') else ["IRI"]
+    out = s.reach(kinds, node_kinds=of).where(F.col("node_key") == key).select("ont_id", F.col("root_key").alias("axiom_key"))
     if iri is not None:
         some = [k for k in ("OWLDataPropertyAssertionAxiom", "OWLNegativeDataPropertyAssertionAxiom", "OWLAnnotationAssertionAxiom") if k in kinds]
         lit = s.literals(some).where((F.col("datatype_iri") == XSD + "anyURI") & (F.col("lexical") == iri))

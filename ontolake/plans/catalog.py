@@ -523,7 +523,7 @@ def preferred_label(s: Store) -> DataFrame:
 
 @query(ctes(reach=p.reach_sql(AXIOM_KINDS)) + f" SELECT DISTINCT node_key, {short_form(DUCKDB, profiles._IRI)} AS short_form FROM reach WHERE node_kind IN ('OWLClass', 'OWLObjectProperty', 'OWLDatatype')")
 def short_forms(s: Store) -> DataFrame:
-    r = s.reach(AXIOM_KINDS).where(F.col("node_kind").isin("OWLClass", "OWLObjectProperty", "OWLDatatype")).select("node_key").distinct()
+    r = s.entities(["OWLClass", "OWLObjectProperty", "OWLDatatype"], AXIOM_KINDS).select("node_key").distinct()
     return r.select("node_key", F.expr(short_form(SPARK, profiles._IRI)).alias("short_form"))
 
 

@@ -231,29 +231,60 @@ class Store:
         rows = [r for r in schema_rows()["edge"] if (kinds is None or r[2] in kinds) and (fields is None or r[3] in fields) and (onts is None or "schema" in onts) and (nested or r[7])]
         return self._union(([local(self.spark, rows, EDGE)] if rows else []) + parts, EDGE)
 
-    def pairs(self, kinds: Iterable[str], left: str, right: str) -> DataFrame:
-        """Axioms with two single fields side by side: ont_id, axiom_key, kind, left_key, left_kind, right_key, right_kind.
-        Both fields come from one row, so no join is needed."""
+    def rows(self, kinds: Iterable[str], fields: Iterable[str], onts: Iterable[str] | None = None) -> DataFrame:
+
+        """Axioms with some of their single fields side by side: ont_id, axiom_key, kind, and <field>_key and <field>_kind of
+        each. All come from one row of a table, so no join is needed."""
+        kinds, fields = list(kinds), list(fields)
         parts = []
-        for b in chosen(kinds, None):
+        for b in chosen(kinds, onts):
             f = {x.name: x for x in b.fields}
-            parts.append(self._rows(b, {"ont_id": f"'{b.ont}'", "axiom_key": b.key, "kind": f"'{b.kind}'", "left_key": f[left].key, "left_kind": f"'{f[left].kind}'", "right_key": f[right].key, "right_kind": f"'{f[right].kind}'"}))
-        at: dict[str, dict[str, tuple]] = {}
-        for r in schema_rows()["edge"]:
-            if r[7] and r[2] in kinds and r[3] in (left, right):
+            own = {k: v for n in fields for k, v in ((f"{n}_key", f[n].key), (f"{n}_kind", f"'{f[n].kind}'"))}
+            parts.append(self._rows(b, {"ont_id": f"'{b.ont}'", "axiom_key": b.key, "kind": f"'{b.kind}'"} | own))
+        at: dict[str, dict] = {}
+        for r in schema_rows()["edge"] if onts is None or "schema" in onts else ():
+            if r[7] and r[2] in kinds and r[3] in fields:
                 at.setdefault(r[1], {"kind": r[2]})[r[3]] = (r[5], r[6])
-        rows = [("schema", k, v["kind"], *v[left], *v[right]) for k, v in at.items()]
-        shape = "ont_id string, axiom_key string, kind string, left_key string, left_kind string, right_key string, right_kind string"
-        return self._union(([local(self.spark, rows, shape)] if rows else []) + parts, shape)
-
-    def reach(self, kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None) -> DataFrame:
-        """Every object inside each axiom."""
+        own = [("schema", k, v["kind"], *(x for n in fields for x in v[n])) for k, v in at.items()]
+        shape = "ont_id string, axiom_key string, kind string, " + ", ".join(f"{n}_key string, {n}_kind string" for n in fields)
+        return self._union(([local(self.spark, own, shape)] if own else []) + parts, shape)
+
+    def pairs(self, kinds: Iterable[str], left: str, right: str, onts: Iterable[str] | None = None) -> DataFrame:
+        """rows() of two fields, named left and right."""
+        names = {f"{f}_{x}": f"{side}_{x}" for f, side in ((left, "left"), (right, "right")) for x in ("key", "kind")}
+        return self.rows(kinds, [left, right], onts).withColumnsRenamed(names)
+
+    def entities(self, node_kinds: Iterable[str], kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None) -> DataFrame:
+        """ont_id, node_kind, node_key of objects of some kinds anywhere in axioms, without repeats inside an ontology.
+        Repeats go while they are still the columns of a table; keys are written for what is left, and branches that hold
+        no object of these kinds are not read."""
+        parts, seen = [], set()
+        for b in chosen(kinds, onts):
+            for key, kind, _ in inside(b):
+                used = [c for c in self.table(b.table).columns if re.search(rf"\b{c}\b", key)] if kind in node_kinds else []
+                if kind not in node_kinds or (b.ont, key, kind) in seen:
+                    continue
+                if not used:  # a fixed name: it is there if the branch has a row
+                    seen.add((b.ont, key, kind))
+                df = self.table(b.table)
+                df = df.where(b.where) if b.where else df
+                df = df.select(*used).distinct() if used else df.limit(1)
+                parts.append(df.select(F.lit(b.ont).alias("ont_id"), F.lit(kind).alias("node_kind"), F.expr(key).alias("node_key")))
+        own = sorted({(r[0], r[4], r[3]) for r in schema_rows()["reach"] if r[4] in node_kinds and (kinds is None or r[2] in kinds) and (onts is None or "schema" in onts)})
+        shape = "ont_id string, node_kind string, node_key string"
+        return self._union(([local(self.spark, own, shape)] if own else []) + parts, shape).distinct()
+
+    def reach(self, kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None, node_kinds: Iterable[str] | None = None) -> DataFrame:
+        """Every object inside each axiom, or those of some kinds."""
         parts = []
         for b in chosen(kinds, onts):
-            structs = ", ".join(f"named_struct('node_key', {k}, 'node_kind', '{kind}', 'in_annotation', {str(ann).lower()})" for k, kind, ann in inside(b))
+            own = [x for x in inside(b) if node_kinds is None or x[1] in node_kinds]
+            if not own:
+                continue
+            structs = ", ".join(f"named_struct('node_key', {k}, 'node_kind', '{kind}', 'in_annotation', {str(ann).lower()})" for k, kind, ann in own)
             rows = self._rows(b, {"root_key": b.key, "x": f"explode(array({structs}))"})
             parts.append(rows.select(F.lit(b.ont).alias("ont_id"), "root_key", F.lit(b.kind).alias("root_kind"), "x.node_key", "x.node_kind", "x.in_annotation"))
-        rows = [r for r in schema_rows()["reach"] if (kinds is None or r[2] in kinds) and (onts is None or "schema" in onts)]
+        rows = [r for r in schema_rows()["reach"] if (kinds is None or r[2] in kinds) and (onts is None or "schema" in onts) and (node_kinds is None or r[4] in node_kinds)]
         return self._union(([local(self.spark, rows, REACH)] if rows else []) + parts, REACH)
 
     def literals(self, kinds: Iterable[str] | None = None) -> DataFrame:
