@@ -200,6 +200,8 @@ class Reader:
         self.types: dict[str, set[str]] = {k: set(v) for k, v in (declared or {}).items()}
         self.memo: dict[tuple[Term, str], Obj] = {}
         self.active: set[Term] = set()
+        self.categories: dict[str, str] = {}
+        self._ties: dict[str, set[str]] | None = None
 
     def get(self, s: Term, p: str) -> list[Term]:
         return self.out.get(s, {}).get(p, [])
@@ -435,13 +437,52 @@ class Reader:
                     out.annotations.append(make("OWLAnnotation", entity("AnnotationProperty", p), self.value(x), annotations=self.reified((head, p, x), OWL + "Annotation") + self.reified((head, p, x))))
 
     def kind_of(self, t: Term) -> str:
-        """Category of a property by its declarations; a blank node is an inverse."""
+        """Category of a property: a blank node is an inverse; one declared category; of several, or of none but a bare
+        rdf:Property, what its own range and characteristics say, then what the properties tied to it say, then data before
+        object before annotation."""
         if t.kind == "blank":
             return "Object"
-        for k in ("DataProperty", "ObjectProperty", "AnnotationProperty"):
-            if self.has(t.value, k):
-                return k.removesuffix("Property")
-        return ""
+        if t.value not in self.categories:
+            self.categories[t.value] = self._category(t.value)
+        return self.categories[t.value]
+
+    def _category(self, name: str) -> str:
+        declared = [k for k in ("Data", "Object", "Annotation") if self.has(name, k + "Property")]
+        if len(declared) == 1:
+            return declared[0]
+        if not declared and not self.is_a(iri_term(name), RDF + "Property", False):
+            return ""
+        seen, edge = {name}, [name]
+        for _ in range(32):
+            found = {e for n in edge if (e := self.evidence(n)) and (not declared or e in declared)}
+            if len(found) == 1:
+                return found.pop()
+            if found:
+                break
+            edge = sorted({m for n in edge for m in self.tied(n)} - seen)
+            seen.update(edge)
+            if not edge:
+                break
+        return declared[0] if declared else ""
+
+    def evidence(self, name: str) -> str:
+        """What a property's own statements say: its ranges first, then its characteristics."""
+        s = iri_term(name)
+        kinds = {"Data" if self.is_range(r) else "Object" for r in self.get(s, RDFS + "range") if self.is_range(r) or r.kind == "blank" or self.has(r.value, "Class")}
+        if len(kinds) == 1:
+            return kinds.pop()
+        only = ("SymmetricProperty", "AsymmetricProperty", "TransitiveProperty", "ReflexiveProperty", "IrreflexiveProperty", "InverseFunctionalProperty")
+        return "Object" if not kinds and any(self.is_a(s, OWL + c, False) for c in only) else ""
+
+    def tied(self, name: str) -> set[str]:
+        """Sub-, super- and equivalent properties."""
+        if self._ties is None:
+            self._ties = {}
+            for s, p, o in self.triples:
+                if p in (RDFS + "subPropertyOf", OWL + "equivalentProperty") and s.kind == o.kind == "iri":
+                    self._ties.setdefault(s.value, set()).add(o.value)
+                    self._ties.setdefault(o.value, set()).add(s.value)
+        return self._ties.get(name, set())
 
     def prop(self, t: Term, kind: str) -> Obj:
         return self.object(t) if kind == "Object" else entity(kind + "Property", t.value)
@@ -493,6 +534,9 @@ class Reader:
             add(triple, "SameIndividual", [self.individual(s), self.individual(o)])
         elif p == OWL + "differentFrom":
             add(triple, "DifferentIndividuals", [self.individual(s), self.individual(o)])
+        elif (kind := self.kind_of(iri_term(p))) in ("Object", "Data") and not self.has(p, kind + "Property") and (kind == "Data") == (o.kind == "literal"):
+            value = self.literal(o) if kind == "Data" else self.individual(o)
+            add(triple, f"{kind}PropertyAssertion", entity(kind + "Property", p), self.individual(s), value)
         elif not p.startswith((OWL, RDF)) or self.has(p, "AnnotationProperty") or self.has(p, "ObjectProperty") or self.has(p, "DataProperty"):
             if self.has(p, "ObjectProperty") and o.kind != "literal":
                 add(triple, "ObjectPropertyAssertion", entity("ObjectProperty", p), self.individual(s), self.individual(o))
@@ -533,7 +577,7 @@ class Reader:
             if o.value.startswith(OWL + "Deprecated"):
                 self.used.add(triple)
                 out.axioms.append(make("AnnotationAssertion", entity("AnnotationProperty", OWL + "deprecated"), iri(s.value), literal("true", "", XSD + "boolean")))
-            elif o.value == RDFS + "Class" and s.kind == "iri":
+            elif o.value in (RDFS + "Class", RDF + "Property") and s.kind == "iri":
                 self.used.add(triple)
         elif not (o.value.startswith((OWL, RDF, RDFS)) and o.value not in (THING, NOTHING)) and not (o.kind == "literal"):
             add(triple, "ClassAssertion", self.cls(o), self.individual(s))

@@ -225,6 +225,25 @@ def load_edges(spark: SparkSession, path: str) -> DataFrame:
     return _documents(spark, path).mapInPandas(lambda it: _parsed(it, rows, _names(EDGE), None), EDGE)
 
 
+def load_ontologies(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each document: id, format, authored imports, number of axioms and annotations, statements no rule took."""
+
+    def rows(doc: str, o: Ontology, key: str) -> Iterator[tuple]:
+        yield doc, o.iri, o.version, key, o.imports, len(o.axioms), len(o.annotations), len(getattr(o, "unconsumed", [])), None
+
+    shape = "doc string, ontology_iri string, version_iri string, format string, imports array<string>, n_axioms int, n_annotations int, n_unconsumed int, error string"
+    fail = lambda doc, e: (doc, None, None, None, [], 0, 0, 0, f"{getattr(e, 'code', 'ERROR')}: {e}")
+    return _documents(spark, path).mapInPandas(lambda it: _parsed(it, rows, _names(shape), fail), shape)
+
+
+def detected(df: DataFrame, text: str) -> DataFrame:
+    """df with `formats`: certain formats of a text column by its first characters, most important first; by expressions
+    alone, for whole tables of documents. Rules between dialects and media types are left to candidates()."""
+    head = F.substring(F.col(text), 1, PREFIX_BYTES)
+    found = [F.when(head.rlike(f.match), F.lit(f.key)) for f in sorted(FORMATS, key=lambda f: (f.priority, f.key))]
+    return df.withColumn("formats", F.array_join(F.array_compact(F.array(*found)), ","))
+
+
 def load_quads(spark: SparkSession, path: str, key: str | None = None) -> DataFrame:
     """Quads of RDF documents, terms in N-Triples. N-Quads and N-Triples alone are better read by operators.rdf.scan_lines,
     which splits files."""

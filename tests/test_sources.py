@@ -252,3 +252,73 @@ def test_comparison(schema):
     two = [f"P(_:a{i} _:a{(i // 3) * 3 + (i + 1) % 3})" for i in range(6)]
     assert comparison.same(ring, [k.replace("_:a", "_:z") for k in ring])
     assert comparison.same(ring, two) is None
+
+
+OWL_PREFIXES = "@prefix owl: <http://www.w3.org/2002/07/owl#> . @prefix rdf: <http://www.w3.org/1999/02/22-rdf-syntax-ns#> . @prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . @prefix xsd: <http://www.w3.org/2001/XMLSchema#> . @prefix : <urn:x:> . "
+
+
+def kinds_of(text):
+    return {a.kind for a in mapping.from_rdf(read_turtle(OWL_PREFIXES + text)).axioms}
+
+
+def test_property_categories():
+    both = ":p a owl:ObjectProperty , owl:DatatypeProperty . "
+    assert "OWLDataPropertyRangeAxiom" in kinds_of(both + ":p rdfs:range xsd:string .")
+    assert "OWLObjectPropertyRangeAxiom" in kinds_of(both + ":C a owl:Class . :p rdfs:range :C .")
+    assert "OWLSubObjectPropertyOfAxiom" in kinds_of(both + ":q a owl:ObjectProperty . :p rdfs:subPropertyOf :q . :q a owl:TransitiveProperty .")
+    assert "OWLDataPropertyDomainAxiom" in kinds_of(both + ":C a owl:Class . :p rdfs:domain :C .")
+    assert "OWLDataPropertyAssertionAxiom" in kinds_of(":p a rdf:Property ; rdfs:range xsd:string . :a :p 'v' .")
+
+
+def test_cross_category_subproperty_is_left_out():
+    r = mapping.from_rdf(read_turtle(OWL_PREFIXES + ":p a owl:ObjectProperty . :q a owl:DatatypeProperty . :p rdfs:subPropertyOf :q ."))
+    assert not [a for a in r.axioms if a.kind.startswith("OWLSub")] and r.diagnostics
+
+
+def test_headers_and_imports(spark, tmp_path):
+    from ontolake.operators import revisions
+
+    (tmp_path / "a.ofn").write_text("Ontology(<urn:a> Import(<urn:b>) Import(<urn:none>))")
+    (tmp_path / "b.ofn").write_text("Ontology(<urn:b> <urn:b/1> Declaration(Class(<urn:b#C>)))")
+    onts = registry.load_ontologies(spark, str(tmp_path))
+    got = {(r["import_iri"], r["target"] is not None) for r in revisions.resolve_imports(onts).collect()}
+    assert got == {("urn:b", True), ("urn:none", False)}
+    mapped = revisions.resolve_imports(onts, spark.createDataFrame([("urn:none", "urn:b/1")], "import_iri string, document_iri string"))
+    assert mapped.where("target IS NULL").isEmpty()
+    assert revisions.unique_ids(onts).isEmpty()
+
+
+def test_revisions(spark, tmp_path):
+    from ontolake.errors import OWLOntologyStateError
+    from ontolake.operators.revisions import Revisions
+
+    log = lambda rows: spark.createDataFrame(rows, "axiom_key string, op string, ts int, seq int")
+    r = Revisions(spark, f"file://{tmp_path}/store")
+    assert r.commit("o", log([("a", "add", 1, 1), ("b", "add", 2, 2), ("a", "remove", 3, 3)]), 0) == 1
+    assert [x["axiom_key"] for x in r.read("o").collect()] == ["b"]
+    assert r.commit("o", log([("b", "add", 1, 1)]), 1) == 1
+    with pytest.raises(OWLOntologyStateError):
+        r.commit("o", log([("c", "add", 1, 1)]), 0)
+    assert r.commit("o", log([("c", "add", 1, 1)]), 1) == 2 and r.read("o", 1).count() == 1
+
+
+def test_document_format():
+    from ontolake.sources.formats import DocumentFormat, StringTarget, WriterConfiguration, save
+
+    f = DocumentFormat("functional")
+    f.set_prefix("ex", "urn:ex:")
+    assert f.get_iri("ex:a") == "urn:ex:a" and f.get_prefix_iri("urn:ex:b") == "ex:b"
+    f.unregister_namespace("urn:ex:")
+    assert not f.contains_prefix("ex:")
+    target = StringTarget()
+    save(functional.parse(DL_SAME), f, target)
+    assert plain(functional.parse(target.text)) == plain(functional.parse(DL_SAME))
+    assert WriterConfiguration().with_(indent=2).indent == 2
+    with pytest.raises(ValueError):
+        DocumentFormat("none")
+
+
+def test_detection_of_tables(spark):
+    texts = ["Prefix(:=<urn:x:>) Ontology()", "<rdf:RDF xmlns:rdf='x'/>", "@prefix : <urn:x:> .", "nothing", None]
+    got = registry.detected(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text").orderBy("i").collect()
+    assert [r["formats"] for r in got] == ["functional", "rdfxml", "turtle", "", ""]
