@@ -15,7 +15,7 @@ A bucket of more than CROWD classes that still holds several components is a cro
 members share with its first tells nothing, so what is left of each is looked at: the OWN first runs (by hash) that the
 first lacks. Members that share one of these make a new bucket, and so do members that lie inside the first for the most
 part and have near lengths. New buckets of CROWD or fewer are compared in pairs of different components. Larger ones are
-compared with their first and dealt, twice, into cells of CELL by hash, whose members are compared with each other; what
+compared with their first and dealt, DEALS times, into cells of CELL by hash, whose members are compared with each other; what
 then is still apart is compared in pairs of different components, so that nothing is left out.
 
 Chance of missing a pair, for the share s of common runs (of the runs of both): (1 - s^TAKEN)^SKETCHES, some 1e-5 at 0.8.
@@ -44,8 +44,8 @@ K, TAKEN, SKETCHES, LEAST, CROWD = 5, 3, 16, 0.8, 64
 #: For texts of equal length, runs with a similarity of 0.8 mean that at most a ninth of the words is edited.
 CLOSE = 8 / 9
 #: Runs by which a member of a crowd is looked up; the share of runs from which on it is its first's for the most part;
-#: members of a cell, and how often members are dealt into cells.
-OWN, INSIDE, CELL, DEALS = 20, 0.8, 32, 2
+#: members of a cell, and how often members are dealt into cells; their first ties the cells together.
+OWN, INSIDE, CELL, DEALS = 20, 0.8, 24, 1
 _WORD = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -148,6 +148,7 @@ def _banded(a: list[int], b: list[int], band: int) -> int:
     up = full & ~((1 << band) - 1)  # +1 steps from the row above, for rows 1 and on
     down = 0
     score = band  # D at the lowest row of the band, row band
+    limit = 2 * band + m - n
     for j in range(m):
         # The band moves a row down: bit i is now row j + 1 - band + i (rows from 1).
         eq = (get(b[j], 0) >> j) & full
@@ -159,6 +160,8 @@ def _banded(a: list[int], b: list[int], band: int) -> int:
         # Along the lowest diagonal: a step costs nothing where d0 is set.
         if not d0 >> (width - 1) & 1:
             score += 1
+            if score > limit:  # walking up to row n takes off one a row at most
+                return band + 1
         d0 >>= 1
         up = (hn | (full & ~(d0 | hp))) & full
         down = d0 & hp
@@ -175,15 +178,12 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = LEAST, close: float = C
     """Are texts of one word or more near-duplicates: at most 1 - close of the longer's words edited; or at most
     1 - least of them, and the labelled runs of K words have a Jaccard similarity of `least` or more."""
     longer = max(len(a), len(b))
-    most = int((1 - close) * longer + 1e-9)
-    if abs(len(a) - len(b)) <= most and edits(a, b, most) <= most:
-        return True
     x, y = labelled_runs(a), labelled_runs(b)
     common = len(np.intersect1d(x, y, assume_unique=True))
-    if common < least * (len(x) + len(y) - common):
-        return False
-    most = int((1 - least) * longer + 1e-9)
-    return edits(a, b, most) <= most
+    alike = common >= least * (len(x) + len(y) - common)
+    most = int((1 - (least if alike else close)) * longer + 1e-9)
+    # An edit takes K runs at most, so too few common runs need no alignment.
+    return common >= max(len(x), len(y)) - K * most and edits(a, b, most) <= most
 
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
