@@ -14,7 +14,7 @@ is left out.
 A bucket of more than CROWD classes that still holds several components is a crowd around a common passage. What its
 members share with its first tells nothing, so what is left of each is looked at: the OWN first runs (by hash) that the
 first lacks. Members that share one of these make a new bucket, and so do members that lie inside the first for the most
-part and have near lengths. New buckets of CROWD or fewer are compared in pairs of different components. Larger ones are
+part, in one component, and have near lengths. New buckets of CROWD or fewer are compared in pairs of different components. Larger ones are
 compared with their first and dealt, DEALS times, into cells of CELL by hash, whose members are compared with each other; what
 then is still apart is compared in pairs of different components, so that nothing is left out.
 
@@ -45,7 +45,7 @@ K, TAKEN, SKETCHES, LEAST, CROWD = 5, 3, 16, 0.8, 64
 CLOSE = 8 / 9
 #: Runs by which a member of a crowd is looked up; the share of runs from which on it is its first's for the most part;
 #: members of a cell, and how often members are dealt into cells; their first ties the cells together.
-OWN, INSIDE, CELL, DEALS = 20, 0.8, 24, 1
+OWN, INSIDE, CELL, DEALS = 20, 0.8, 24, 2
 _WORD = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -253,11 +253,14 @@ def _buckets(entries: DataFrame, name: str) -> DataFrame:
     return staged(entries.join(firsts, "bucket"), name)
 
 
-def _left_over(crowd: DataFrame, found: DataFrame) -> DataFrame:
-    """(bucket, node, n, comp) of the members of crowds by what they do not share with a first of theirs."""
-    members = crowd.select("node", "n", "comp").distinct().join(found.where("crowd").select(F.col("b").alias("node"), "own", "inside"), "node")
+def _left_over(crowd: DataFrame, found: DataFrame, comps: DataFrame) -> DataFrame:
+    """(bucket, node, n, comp) of the members of crowds by what they do not share with a first of theirs; those inside their
+    first for the most part also by its component and their length, in two overlapping classes."""
+    asked = found.where("crowd").select("a", F.col("b").alias("node"), "own", "inside")
+    asked = asked.join(comps.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("of", F.coalesce("component", "a")).drop("component")
+    members = crowd.select("node", "n", "comp").distinct().join(asked, "node")
     length = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(LEAST)))).cast("long")
-    classes = F.when(F.col("inside"), F.array(F.xxhash64(F.lit("length"), length), F.xxhash64(F.lit("length"), length + 1))).otherwise(F.array().cast("array<long>"))
+    classes = F.when(F.col("inside"), F.array(F.xxhash64("of", length), F.xxhash64("of", length + 1))).otherwise(F.array().cast("array<long>"))
     return members.select(F.explode(F.concat("own", classes)).alias("bucket"), "node", "n", "comp").distinct()
 
 
@@ -302,7 +305,7 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowd = left.where(F.col("size") > CROWD)
     big = None
     if not crowd.isEmpty():
-        again = staged(_left_over(crowd, found), "left-over")
+        again = staged(_left_over(crowd, found, comps), "left-over")
         sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("first")).where("size > 1")
         again = staged(_open(again.join(sizes, "bucket")), "left-over-buckets")
         big = again.where(F.col("size") > CROWD)
