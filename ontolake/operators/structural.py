@@ -49,10 +49,12 @@ def counts(s: Store, root: str, included: bool = False, logical: bool = False, k
     return (a.where("is_logical") if logical else a).agg(F.count(F.lit(1)).alias("n_axioms"))
 
 
-def signature(s: Store, kinds=ENTITY_KINDS, onts=None, axiom_kinds=None) -> DataFrame:
-    """(ont_id, node_kind, node_key) of entities anywhere in axioms and ontology annotations."""
+def signature(s: Store, kinds=ENTITY_KINDS, onts=None, axiom_kinds=None, columns=("ont_id", "node_kind", "node_key")) -> DataFrame:
+    """Distinct columns of (ont_id, node_kind, node_key) of entities anywhere in axioms and ontology annotations. One
+    exchange, of the columns asked for."""
     a = s.annotations().where(F.col("node_kind").isin(*kinds)).select("ont_id", "node_kind", "node_key")
-    return s.entities(kinds, axiom_kinds, onts).union(a if onts is None else a.where(F.col("ont_id").isin(*onts))).distinct()
+    a = a if onts is None else a.where(F.col("ont_id").isin(*onts))
+    return s.entities(kinds, axiom_kinds, onts, repeats=True).union(a).select(*columns).distinct()
 
 
 def entity_iri(key: str = "node_key"):
@@ -61,7 +63,7 @@ def entity_iri(key: str = "node_key"):
 
 
 def punned(s: Store, onts=None, axiom_kinds=None) -> DataFrame:
-    sig = signature(s, onts=onts, axiom_kinds=axiom_kinds).select(entity_iri().alias("iri"), "node_kind").distinct()
+    sig = signature(s, onts=onts, axiom_kinds=axiom_kinds, columns=("node_kind", entity_iri().alias("iri")))
     return sig.groupBy("iri").agg(F.count(F.lit(1)).alias("n_kinds")).where("n_kinds > 1")
 
 

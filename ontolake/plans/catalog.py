@@ -192,7 +192,7 @@ for _kind, _name in (("OWLClass", "classes"), ("OWLObjectProperty", "object_prop
 
 @query(_signature_sql(AXIOM_KINDS, ENTITY_KINDS) + " SELECT node_kind, count(DISTINCT node_key) AS n_entities FROM sig GROUP BY node_kind")
 def signature_by_kind(s: Store) -> DataFrame:
-    return structural.signature(s).select("node_kind", "node_key").distinct().groupBy("node_kind").agg(F.count(F.lit(1)).alias("n_entities"))
+    return structural.signature(s, columns=("node_kind", "node_key")).groupBy("node_kind").agg(F.count(F.lit(1)).alias("n_entities"))
 
 
 @query(_signature_sql(AXIOM_KINDS, ENTITY_KINDS) + f" SELECT DISTINCT node_kind, node_key FROM sig WHERE node_key LIKE '%(<{EX}source>)'")

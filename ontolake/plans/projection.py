@@ -193,9 +193,12 @@ class Store:
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        if name not in self._tables:  # a reader looks at files to know a schema; once is enough
+            self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        return self._tables[name]
 
     def _rows(self, b: Branch, columns: dict[str, str]) -> DataFrame:
         df = self.table(b.table)
@@ -254,25 +257,32 @@ class Store:
         names = {f"{f}_{x}": f"{side}_{x}" for f, side in ((left, "left"), (right, "right")) for x in ("key", "kind")}
         return self.rows(kinds, [left, right], onts).withColumnsRenamed(names)
 
-    def entities(self, node_kinds: Iterable[str], kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None) -> DataFrame:
-        """ont_id, node_kind, node_key of objects of some kinds anywhere in axioms, without repeats inside an ontology.
-        Repeats go while they are still the columns of a table; keys are written for what is left, and branches that hold
-        no object of these kinds are not read."""
-        parts, seen = [], set()
+    def entities(self, node_kinds: Iterable[str], kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None, repeats: bool = False) -> DataFrame:
+        """ont_id, node_kind, node_key of objects of some kinds anywhere in axioms, without repeats inside an ontology
+        unless asked for.
+        A table is scanned once for all its keys, and not at all if it holds no object of these kinds; keys that no column
+        goes into take one row of it."""
+        wheres: dict[tuple[str, str, str, str], set[str]] = {}
         for b in chosen(kinds, onts):
             for key, kind, _ in inside(b):
-                used = [c for c in self.table(b.table).columns if re.search(rf"\b{c}\b", key)] if kind in node_kinds else []
-                if kind not in node_kinds or (b.ont, key, kind) in seen:
-                    continue
-                if not used:  # a fixed name: it is there if the branch has a row
-                    seen.add((b.ont, key, kind))
-                df = self.table(b.table)
-                df = df.where(b.where) if b.where else df
-                df = df.select(*used).distinct() if used else df.limit(1)
-                parts.append(df.select(F.lit(b.ont).alias("ont_id"), F.lit(kind).alias("node_kind"), F.expr(key).alias("node_key")))
+                if kind in node_kinds:
+                    wheres.setdefault((b.ont, b.table, key, kind), set()).add(b.where)
+        scans: dict[tuple[str, str, str, bool], list[tuple[str, str]]] = {}
+        for (ont, name, key, kind), some in wheres.items():
+            where = "" if "" in some else " OR ".join(f"({w})" for w in sorted(some))
+            fixed = not any(re.search(rf"\b{c}\b", key) for c in self.table(name).columns)
+            scans.setdefault((ont, name, where, fixed), []).append((key, kind))
+        parts = []
+        for (ont, name, where, fixed), found in scans.items():
+            df = self.table(name)
+            df = df.where(where) if where else df
+            df = df.limit(1) if fixed else df
+            structs = ", ".join(f"named_struct('node_kind', '{kind}', 'node_key', {key})" for key, kind in found)
+            parts.append(df.select(F.expr(f"explode(array({structs}))").alias("x")).select(F.lit(ont).alias("ont_id"), "x.node_kind", "x.node_key"))
         own = sorted({(r[0], r[4], r[3]) for r in schema_rows()["reach"] if r[4] in node_kinds and (kinds is None or r[2] in kinds) and (onts is None or "schema" in onts)})
         shape = "ont_id string, node_kind string, node_key string"
-        return self._union(([local(self.spark, own, shape)] if own else []) + parts, shape).distinct()
+        out = self._union(([local(self.spark, own, shape)] if own else []) + parts, shape)
+        return out if repeats else out.distinct()
 
     def reach(self, kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None, node_kinds: Iterable[str] | None = None) -> DataFrame:
         """Every object inside each axiom, or those of some kinds."""
