@@ -695,3 +695,27 @@ from ..streaming import changelog  # noqa: E402
 def streaming_changes(s: Store) -> DataFrame:
     """The same fold as apply_changes, by a streaming query over the log."""
     return changelog.replay(s.spark, s.dir)
+
+
+# S: detection
+
+from ..sources import registry  # noqa: E402
+
+
+def _detect_sql(column: str) -> str:
+    found = [f"CASE WHEN regexp_matches(substr({column}, 1, {registry.PREFIX_BYTES}), '{f.match}') THEN '{f.key}' END" for f in sorted(registry.FORMATS, key=lambda f: (f.priority, f.key))]
+    return f"concat_ws(',', {', '.join(found)})"
+
+
+@query(f"SELECT page_id, {_detect_sql('html')} AS formats FROM pages")
+def page_formats(s: Store) -> DataFrame:
+    """Ontology formats that each page could be, by its first characters."""
+    return registry.detected(s.table("pages"), "html").select("page_id", "formats")
+
+
+_SAMPLES = [(1, "Prefix(:=<urn:x:>) Ontology()"), (2, "Prefix: : <u:x>\nOntology:"), (3, "<?xml version=''1.0''?><Ontology/>".replace("''", "'")), (4, "<rdf:RDF/>"), (5, "A ⊑ B"), (6, "(implies A B)"), (7, "(define-concept A B)"), (8, "<urn:a> <urn:b> <urn:c> ."), (9, "<urn:a> <urn:b> <urn:c> <urn:g> ."), (10, "@prefix : <urn:x:> ."), (11, '{"@id": "x:y"}'), (12, "<urn:g> { }"), (13, "")]
+
+
+@query(ctes(t=p.values_sql(_SAMPLES, "id int, text string")) + f" SELECT id, {_detect_sql('text')} AS formats FROM t")
+def sample_formats(s: Store) -> DataFrame:
+    return registry.detected(p.local(s.spark, _SAMPLES, "id int, text string"), "text").select("id", "formats")

@@ -275,3 +275,9 @@ def functional_text(axiom_keys: DataFrame, column: str = "axiom_key") -> DataFra
 
 def node_count(o: Obj) -> int:
     return sum(1 for _ in walk(o))
+
+
+def save_axioms(axioms: DataFrame, path: str, column: str = "axiom_key") -> None:
+    """Axioms as text files in functional notation, a statement a line, in order of their keys inside each file."""
+    lines = functional_text(axioms.select(F.col(column).alias("axiom_key")).distinct())
+    lines.repartitionByRange("axiom_key").sortWithinPartitions("axiom_key").select("text").write.text(path)
