@@ -64,5 +64,20 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
        CASE WHEN f.first_id IS NULL OR f.first_id = d.page_id THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN f.first_id <> d.page_id THEN f.first_id END AS refers_to
 FROM d LEFT JOIN f ON f.payload_digest = d.payload_digest AND d.payload_bytes >= 100
+""",
+    "op10_vector_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (
+  SELECT vec_id, label, x FROM v WHERE label IS NOT NULL AND x IS NOT NULL
+    AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND list_sum(list_transform(x, lambda c: c * c)) > 0),
+e AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+r(node, other) AS (
+  SELECT vec_id, vec_id FROM v UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a),
+d AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT r.node AS vec_id, coalesce(max(d.n), 0) AS n_links, min(r.other) AS component_id, min(r.other) = r.node AS kept
+FROM r LEFT JOIN d ON d.a = r.node GROUP BY r.node
 """,
 }
