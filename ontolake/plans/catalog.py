@@ -719,3 +719,48 @@ _SAMPLES = [(1, "Prefix(:=<urn:x:>) Ontology()"), (2, "Prefix: : <u:x>\nOntology
 @query(ctes(t=p.values_sql(_SAMPLES, "id int, text string")) + f" SELECT id, {_detect_sql('text')} AS formats FROM t")
 def sample_formats(s: Store) -> DataFrame:
     return registry.detected(p.local(s.spark, _SAMPLES, "id int, text string"), "text").select("id", "formats")
+
+
+# G, P, O: schema rules and orders
+
+_LAST_REACH = p.reach_sql(AXIOM_KINDS, ["schema"])
+
+
+@query(ctes(reach=_LAST_REACH) + f" SELECT root_key AS axiom_key, count(DISTINCT CASE WHEN node_kind IN ({quoted(ENTITY_KINDS)}) THEN node_key END) AS n_entities, count(DISTINCT node_kind || node_key) + 1 AS n_nodes FROM reach WHERE ont_id = 'schema' GROUP BY root_key")
+def locality_vectors(s: Store) -> DataFrame:
+    """Entities and nodes of each axiom, which extraction works with."""
+    r = s.reach(AXIOM_KINDS, ["schema"]).where("ont_id = 'schema'")
+    entity = F.when(F.col("node_kind").isin(*ENTITY_KINDS), F.col("node_key"))
+    return r.groupBy(F.col("root_key").alias("axiom_key")).agg(F.countDistinct(entity).alias("n_entities"), (F.countDistinct(F.concat("node_kind", "node_key")) + 1).alias("n_nodes"))
+
+
+@query("WITH RECURSIVE " + _CLOSURE + f", o AS ({p.ontology_sql()}) SELECT root, member, row_number() OVER (PARTITION BY root ORDER BY root <> member, ontology_iri, coalesce(version_iri, '')) AS place FROM closure JOIN o ON member = o.ont_id")
+def closure_order(s: Store) -> DataFrame:
+    """Members of each closure: the root first, then by ontology and version IRI. A window over an ontology's members, of
+    which there are as many as documents."""
+    from pyspark.sql import Window
+
+    c = structural.imports_closure(s).join(s.ontologies(), F.col("member") == F.col("ont_id"))
+    by = Window.partitionBy("root").orderBy(F.col("root") != F.col("member"), "ontology_iri", F.coalesce("version_iri", F.lit("")))
+    return c.select("root", "member", F.row_number().over(by).alias("place"))
+
+
+@query()
+def facet_statuses(s: Store) -> DataFrame:
+    """datatype, facet, value, status of every facet restriction of the schema."""
+    from ..sources.functional import parse
+    from .schema_text import SCHEMA
+
+    rows = sorted(set(positions.facets_of(parse(SCHEMA, "schema").axioms)))
+    return p.local(s.spark, rows, "datatype string, facet string, value string, status string")
+
+
+@query()
+def irregular_hierarchy(s: Store) -> DataFrame:
+    """lower, upper: the first pair that breaks a strict order of the object properties, and whether there is one. The rule
+    saturates the order of the schema's properties, whatever the data."""
+    from ..sources.functional import parse
+    from .schema_text import SCHEMA
+
+    found = positions.irregular(parse(SCHEMA, "schema").axioms)
+    return p.local(s.spark, [(found is None, *(found or (None, None)))], "regular boolean, lower string, upper string")

@@ -52,6 +52,8 @@ FORMATS: tuple[Format, ...] = (
     Format("rdfxml", 30, ("application/rdf+xml", "application/xml", "text/xml"), (".rdf", ".owl", ".xml"), rf"(?s)^{_XML_HEAD}<(?:[\w.-]+:)?RDF\b", rf"(?s)^{_XML_HEAD}<\w"),
 )
 FORMAT = {f.key: f for f in FORMATS}
+#: The order in which formats are tried where content is not looked at.
+FIXED_ORDER = ("rdfxml", "owlxml", "functional", "turtle", "manchester", "nquads", "trig", "ntriples", "jsonld", "dl", "krss2")
 RDF_FORMATS = {"rdfxml", "turtle", "ntriples", "nquads", "trig", "jsonld"}
 
 
@@ -60,8 +62,12 @@ def utf8_prefix(text: str, size: int = PREFIX_BYTES) -> str:
     return text[:size].encode("utf-8", "surrogatepass")[:size].decode("utf-8", "ignore")
 
 
-def candidates(text: str, content_type: str = "", file_name: str = "", explicit: str | None = None) -> list[str]:
-    """Formats to try, in order: by evidence, media type, static priority, extension, name."""
+def candidates(text: str, content_type: str = "", file_name: str = "", explicit: str | None = None, fixed_order: bool = False) -> list[str]:
+    """Formats to try, in order: by evidence, media type, static priority, extension, name. fixed_order: the fixed list
+    instead, or those of it that have the media type."""
+    if fixed_order and not explicit:
+        media = content_type.split(";")[0].strip().lower()
+        return [k for k in FIXED_ORDER if media in FORMAT[k].media] or list(FIXED_ORDER)
     if explicit:
         if explicit not in FORMAT:
             raise ParserMismatchError(f"no format {explicit}")

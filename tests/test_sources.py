@@ -322,3 +322,40 @@ def test_detection_of_tables(spark):
     texts = ["Prefix(:=<urn:x:>) Ontology()", "<rdf:RDF xmlns:rdf='x'/>", "@prefix : <urn:x:> .", "nothing", None]
     got = registry.detected(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text").orderBy("i").collect()
     assert [r["formats"] for r in got] == ["functional", "rdfxml", "turtle", "", ""]
+
+
+def test_objects(schema):
+    from ontolake.operators import objects
+
+    changes = objects.rename(schema.axioms, {"urn:ex:Customer": "urn:ex:Buyer2"})
+    assert [op for op, _ in changes[:2]] == ["remove", "add"] and not any("urn:ex:Customer>" in a.key for op, a in changes if op == "add")
+    typed = objects.rename(schema.axioms, {"urn:ex:source": "urn:ex:origin"}, "OWLObjectProperty")
+    assert {a.key for op, a in typed if op == "add"} == {"Declaration(ObjectProperty(<urn:ex:origin>))"}
+    note = next(a for a in schema.axioms if a.kind == "OWLAnnotationAssertionAxiom" and a.annotations)
+    assert objects.duplicate(note) == note
+    blanks = next(a for a in schema.axioms if a.kind == "OWLDifferentIndividualsAxiom")
+    assert "_:x@new" in objects.duplicate(blanks, scope="new").key
+    gone = objects.remove(schema.axioms, entity("Class", "urn:ex:Customer"))
+    assert all("urn:ex:Customer" in a.key for a in gone) and len(gone) > len({a.key for a in gone}) - 1
+    other = functional.parse("Ontology(<urn:o> ClassAssertion(<urn:C> _:x))", "other")
+    merged = objects.merge([schema, other], "urn:m", logical_only=True)
+    assert merged.iri == "urn:m" and not merged.imports and all(a.kind != "OWLDeclarationAxiom" for a in merged.axioms)
+    assert "ClassAssertion(Class(<urn:C>) _:x@other)" in {a.key for a in merged.axioms}
+
+
+def test_metadata_graphs_and_limits(schema):
+    from ontolake.errors import ResourceLimitError
+    from ontolake.operators import objects
+
+    quads = mapping.to_rdf(functional.parse(DL_SAME))
+    again = read_turtle(write_turtle(quads, {}))
+    assert objects.same_graph(quads, again)
+    assert not objects.same_graph(quads, again[1:])
+    meta = objects.parser_metadata([*quads, quads[0]], mapping.from_rdf(quads))
+    assert meta.statements == meta.triples + 1 and meta.header == "missing" and ("urn:x:A", "OWLClass") in meta.guessed
+    with pytest.raises(ResourceLimitError):
+        objects.Limits(axioms=3).check_ontology(schema)
+    with pytest.raises(ResourceLimitError):
+        objects.Limits(depth=1).check_ontology(schema)
+    objects.Limits().with_(axioms=1000).check_ontology(schema)
+    assert registry.candidates("x", fixed_order=True)[0] == "rdfxml" and registry.candidates("x", "text/turtle", fixed_order=True) == ["turtle"]
