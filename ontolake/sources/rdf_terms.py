@@ -8,7 +8,7 @@ from typing import NamedTuple
 from urllib.parse import urljoin
 
 from ..errors import OWLSyntaxError
-from ..model import RDF, XSD
+from ..model import OWL, RDF, RDFS, XSD
 
 
 class Term(NamedTuple):
@@ -303,9 +303,13 @@ def read_lines(text: str, quads: bool = True) -> Iterator[Quad]:
         yield Quad(of(m["s"]), of(m["p"]), o, of(m["g"]) if m["g"] else None)
 
 
-def write_turtle(quads: Iterable[Quad], prefixes: dict[str, str]) -> str:
+#: Sections of a document with banners, by the type of their subjects.
+SECTIONS = (("Annotation properties", OWL + "AnnotationProperty"), ("Datatypes", RDFS + "Datatype"), ("Object Properties", OWL + "ObjectProperty"), ("Data properties", OWL + "DatatypeProperty"), ("Classes", OWL + "Class"), ("Individuals", OWL + "NamedIndividual"))
+
+
+def write_turtle(quads: Iterable[Quad], prefixes: dict[str, str], banners: bool = False) -> str:
     """Turtle, a block for each subject; blank nodes used once stand inline, lists as parentheses where they are well
-    formed."""
+    formed. banners: subjects in sections by their types, a banner before each, the ontology's header first."""
     quads = sorted({Quad(q.s, q.p, q.o) for q in quads}, key=lambda q: tuple(map(nt, q[:3])))
     by: dict[Term, list[Quad]] = {}
     uses: dict[Term, int] = {}
@@ -355,8 +359,16 @@ def write_turtle(quads: Iterable[Quad], prefixes: dict[str, str]) -> str:
 
     out = [f"@prefix {p} <{ns}> ." for p, ns in sorted(prefixes.items())] + [""]
     subjects = [s for s in by if s.kind == "iri"] + [s for s in by if s.kind == "blank" and uses.get(s) != 1] + [s for s in by if s.kind == "blank" and uses.get(s) == 1]
+    if banners:
+        types = {s: {q.o.value for q in by[s] if q.p.value == RDF + "type"} for s in subjects}
+        place = lambda s: -1 if OWL + "Ontology" in types[s] else next((i for i, (_, t) in enumerate(SECTIONS) if t in types[s]), len(SECTIONS)) if s.kind == "iri" else len(SECTIONS)
+        subjects.sort(key=place)  # stable: the order inside a section stays
+    last = -1
     for s in subjects:
         if s not in done:
             done.add(s)
+            if banners and place(s) != last:
+                last = place(s)
+                out.append(f"#################################################################\n#    {(*(n for n, _ in SECTIONS), 'General axioms')[last]}\n#################################################################\n")
             out.append(f"{show(s)} {body(s, 0, ' ;' + chr(10) + '    ')} .\n")
     return "\n".join(out)

@@ -359,3 +359,11 @@ def test_metadata_graphs_and_limits(schema):
         objects.Limits(depth=1).check_ontology(schema)
     objects.Limits().with_(axioms=1000).check_ontology(schema)
     assert registry.candidates("x", fixed_order=True)[0] == "rdfxml" and registry.candidates("x", "text/turtle", fixed_order=True) == ["turtle"]
+
+
+def test_banners(schema):
+    quads = mapping.to_rdf(schema)
+    text = write_turtle(quads, {}, banners=True)
+    names = re.findall(r"#    (.*)\n", text)
+    assert names == sorted(names, key=["Annotation properties", "Datatypes", "Object Properties", "Data properties", "Classes", "Individuals", "General axioms"].index) and len(names) == len(set(names))
+    assert plain(mapping.from_rdf(read_turtle(text))) == plain(mapping.from_rdf(quads))
