@@ -292,3 +292,42 @@ def test_hashes_of_encodings(spark):
     ids = b.encode("Hello world")
     assert row["ids"] == ids.tolist() and row["decoded"] == b.decode(ids)
     assert row["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest()
+
+
+# generated texts
+
+from hypothesis import given, settings  # noqa: E402
+from hypothesis import strategies as st  # noqa: E402
+
+_WORDS, _LIBRARY, _BYTES, _BYTE_LIBRARY = bpe.WordBPE(bpe.vocabulary(bpe.default_path())), tokenizer("word_bpe_49k.json"), tokenfiles.byte_encoder(bpe.vocabulary(tokenfiles.default_path())), tokenizer("byte_bpe_50k.json")
+_ANY = st.text(st.characters(codec="utf-8", categories=("L", "N", "P", "S", "Zs", "Cc"), max_codepoint=0x2FFF), max_size=60)
+
+
+@settings(max_examples=200, deadline=None)
+@given(_ANY)
+def test_encodings_of_any_text(text):
+    ids = _LIBRARY.encode(text, add_special_tokens=False).ids
+    assert _WORDS.encode(text).tolist() == ids
+    assert _WORDS.decode(_WORDS.encode(text)) == _LIBRARY.decode(ids, skip_special_tokens=False)
+    assert _BYTES(text).tolist() == _BYTE_LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["token", "secret", "password", "api_key", "AKIA", "=", ":", " ", '"', "abcd1234", "ABCDEFGH12345", "0af1" * 9, "é", "x"]), max_size=14))
+def test_base_spans_of_any_text(parts):
+    text = "".join(parts)
+    assert [s for s in secrets.Scanner()(text) if s[0] in ("assign", "access", "hex")] == base_spans(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["GNU", "general", "public", "License", "apache", "mit", "cc", "by", "-", "é", ",", "x1", "\n"]), max_size=16), st.sampled_from([" ", "-", ""]))
+def test_license_places_of_any_text(parts, gap):
+    text = gap.join(parts)
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+    at = sorted(i for p in licenses.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+    n, places, _ = _LICENSES.base(text.encode().lower())
+    assert (n, places) == (len(words), at)
+
+
+_LICENSES = licenses.Scanner()
