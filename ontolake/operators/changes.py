@@ -49,8 +49,8 @@ def rename(axioms: DataFrame, old: str, new: str, keyword: str | None = None) ->
 def removal(s: Store, key: str, iri: str, kinds) -> DataFrame:
     """ont_id, axiom_key of everything that goes with an entity: axioms that refer to it, and annotations of its IRI. One
     that is both comes twice."""
-    subject = s.pairs(["OWLAnnotationAssertionAxiom"], "subject", "value").where(F.col("left_key") == f"<{iri}>")
-    return referencing(s, key, kinds=kinds).unionAll(subject.select("ont_id", "axiom_key"))
+    subject = s.edges(["OWLAnnotationAssertionAxiom"], ["subject"], key=f"<{iri}>")
+    return referencing(s, key, kinds=kinds).unionAll(subject.select("ont_id", F.col("parent_key").alias("axiom_key")))
 
 
 def duplicate(axioms: DataFrame, iris: dict[str, str], scope: str, fresh: str) -> DataFrame:

@@ -32,8 +32,7 @@ def axioms_of(s: Store, root: str, included: bool = False, kinds=None) -> DataFr
 
 def by_position(s: Store, kind: str, fields: tuple[str, ...], key: str | None = None) -> DataFrame:
     """Axioms of a kind with, for each value in one of the fields, that value; nested occurrences do not count."""
-    out = s.edges([kind], fields).select("ont_id", "child_key", F.col("parent_key").alias("axiom_key"))
-    return out.where(F.col("child_key") == key) if key else out
+    return s.edges([kind], fields, key=key).select("ont_id", "child_key", F.col("parent_key").alias("axiom_key"))
 
 
 def contains(s: Store, wanted: DataFrame, ignoring_annotations: bool = False, kinds=None) -> DataFrame:
@@ -74,7 +73,7 @@ def referencing(s: Store, key: str, iri: str | None = None, kinds=AXIOM_KINDS) -
 
     word = key.partition("(")[0]
     of = [BY_KEYWORD[word].kind] if word in BY_KEYWORD else ["OWLAnonymousIndividual"] if key.startswith("_:") else ["OWLLiteral"] if key.startswith('"') else ["IRI"]
-    out = s.reach(kinds, node_kinds=of).where(F.col("node_key") == key).select("ont_id", F.col("root_key").alias("axiom_key"))
+    out = s.reach(kinds, node_kinds=of, key=key).select("ont_id", F.col("root_key").alias("axiom_key"))
     if iri is not None:
         some = [k for k in ("OWLDataPropertyAssertionAxiom", "OWLNegativeDataPropertyAssertionAxiom", "OWLAnnotationAssertionAxiom") if k in kinds]
         lit = s.literals(some).where((F.col("datatype_iri") == XSD + "anyURI") & (F.col("lexical") == iri))

@@ -188,6 +188,28 @@ def local(spark: SparkSession, rows: Iterable[tuple], columns: str) -> DataFrame
     return spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], kinds[t]) for i, (n, t) in enumerate(names)}))
 
 
+def inverted(expression: str, key: str) -> str | None:
+    """What a table's columns must be for a key expression to give a key: a condition that reaches the scan, 'TRUE' or
+    'FALSE' where no column decides, None where the expression can't be turned round."""
+    parts = expression.split(" || ")
+    columns = [re.fullmatch(r"CAST\((\w+) AS VARCHAR\(20\)\)", x) for x in parts]
+    if any(not m and not re.fullmatch(r"'[^']*'", x) for m, x in zip(columns, parts)) or sum(map(bool, columns)) > 1:
+        return None
+    at = next((i for i, m in enumerate(columns) if m), len(parts))
+    before, after = ("".join(x[1:-1] for x in some) for some in (parts[:at], parts[at + 1 :]))
+    if at == len(parts):
+        return "TRUE" if before == key else "FALSE"
+    value = key[len(before) : len(key) - len(after)]
+    fits = key.startswith(before) and key.endswith(after) and re.fullmatch(r"0|-?[1-9][0-9]{0,17}", value)
+    return f"{columns[at][1]} = {value}" if fits else "FALSE"
+
+
+def conditions(only: list[str | None]) -> str:
+    """One of the conditions that inverted() gave; no condition if one of them is unknown or always holds."""
+    some = [c for c in only if c != "FALSE"]
+    return "" if not some or None in some or "TRUE" in some else " OR ".join(dict.fromkeys(some))
+
+
 class Store:
     """The projected ontologies as frames."""
 
@@ -200,10 +222,10 @@ class Store:
             self._tables[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")
         return self._tables[name]
 
-    def _rows(self, b: Branch, columns: dict[str, str]) -> DataFrame:
+    def _rows(self, b: Branch, columns: dict[str, str], only: str = "") -> DataFrame:
         df = self.table(b.table)
-        if b.where:
-            df = df.where(b.where)
+        for where in (b.where, only):
+            df = df.where(where) if where else df
         if b.distinct:  # on the columns in use, before any text is built
             used = [c for c in df.columns if any(re.search(rf"\b{c}\b", f.key) for f in b.fields)]
             df = df.select(*used).distinct()
@@ -222,17 +244,21 @@ class Store:
         rows = [r for r in schema_rows()["axiom"] if (kinds is None or r[3] in kinds) and (onts is None or "schema" in onts)]
         return self._union(([local(self.spark, rows, AXIOM)] if rows else []) + parts, AXIOM)
 
-    def edges(self, kinds: Iterable[str] | None = None, fields: Iterable[str] | None = None, onts: Iterable[str] | None = None, nested: bool = False) -> DataFrame:
-        """Direct fields of axioms (and, with nested, of the expressions inside)."""
+    def edges(self, kinds: Iterable[str] | None = None, fields: Iterable[str] | None = None, onts: Iterable[str] | None = None, nested: bool = False, key: str | None = None) -> DataFrame:
+        """Direct fields of axioms (and, with nested, of the expressions inside); with key, those whose value it is: the key
+        becomes a condition on the tables' columns, and tables that cannot have it are not read."""
         parts = []
         for b in chosen(kinds, onts):
             own = [f for f in b.fields if fields is None or f.name in fields]
+            only = [inverted(f.key, key) for f in own] if key else []
+            own = [f for f, c in zip(own, only) if c != "FALSE"] if key else own
             if own:
                 structs = ", ".join(f"named_struct('field', '{f.name}', 'ord', {f.ord}, 'child_key', {f.key}, 'child_kind', '{f.kind}')" for f in own)
-                rows = self._rows(b, {"parent_key": b.key, "x": f"explode(array({structs}))"})
+                rows = self._rows(b, {"parent_key": b.key, "x": f"explode(array({structs}))"}, conditions(only))
                 parts.append(rows.select(F.lit(b.ont).alias("ont_id"), "parent_key", F.lit(b.kind).alias("parent_kind"), "x.field", "x.ord", "x.child_key", "x.child_kind", F.lit(True).alias("in_axiom")))
         rows = [r for r in schema_rows()["edge"] if (kinds is None or r[2] in kinds) and (fields is None or r[3] in fields) and (onts is None or "schema" in onts) and (nested or r[7])]
-        return self._union(([local(self.spark, rows, EDGE)] if rows else []) + parts, EDGE)
+        out = self._union(([local(self.spark, rows, EDGE)] if rows else []) + parts, EDGE)
+        return out.where(F.col("child_key") == key) if key else out
 
     def rows(self, kinds: Iterable[str], fields: Iterable[str], onts: Iterable[str] | None = None) -> DataFrame:
 
@@ -284,18 +310,21 @@ class Store:
         out = self._union(([local(self.spark, own, shape)] if own else []) + parts, shape)
         return out if repeats else out.distinct()
 
-    def reach(self, kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None, node_kinds: Iterable[str] | None = None) -> DataFrame:
-        """Every object inside each axiom, or those of some kinds."""
+    def reach(self, kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None, node_kinds: Iterable[str] | None = None, key: str | None = None) -> DataFrame:
+        """Every object inside each axiom, or those of some kinds, or those with a key, as in edges()."""
         parts = []
         for b in chosen(kinds, onts):
             own = [x for x in inside(b) if node_kinds is None or x[1] in node_kinds]
+            only = [inverted(x[0], key) for x in own] if key else []
+            own = [x for x, c in zip(own, only) if c != "FALSE"] if key else own
             if not own:
                 continue
             structs = ", ".join(f"named_struct('node_key', {k}, 'node_kind', '{kind}', 'in_annotation', {str(ann).lower()})" for k, kind, ann in own)
-            rows = self._rows(b, {"root_key": b.key, "x": f"explode(array({structs}))"})
+            rows = self._rows(b, {"root_key": b.key, "x": f"explode(array({structs}))"}, conditions(only))
             parts.append(rows.select(F.lit(b.ont).alias("ont_id"), "root_key", F.lit(b.kind).alias("root_kind"), "x.node_key", "x.node_kind", "x.in_annotation"))
         rows = [r for r in schema_rows()["reach"] if (kinds is None or r[2] in kinds) and (onts is None or "schema" in onts) and (node_kinds is None or r[4] in node_kinds)]
-        return self._union(([local(self.spark, rows, REACH)] if rows else []) + parts, REACH)
+        out = self._union(([local(self.spark, rows, REACH)] if rows else []) + parts, REACH)
+        return out.where(F.col("node_key") == key) if key else out
 
     def literals(self, kinds: Iterable[str] | None = None) -> DataFrame:
         """ont_id, root_key, lexical, lang, datatype_iri of the literals in axioms."""
