@@ -241,9 +241,11 @@ def _near(n: str, m: str):
 
 
 def _cross(rows: DataFrame) -> DataFrame:
-    """(a, b) of rows (bucket, node, n, comp) in one bucket, of near lengths and different components."""
-    x, y = (rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp"))) for s in "xy")
-    pairs = x.join(y, "bucket").where((F.col("comp_x") < F.col("comp_y")) & _near("n_x", "n_y"))
+    """(a, b) of rows (bucket, node, n, comp) in one bucket, of near lengths and different components. Two rows that are
+    both in the upper one of their two length classes (above) meet in the lower one too, and are left to it."""
+    rows = rows if "above" in rows.columns else rows.withColumn("above", F.lit(False))
+    x, y = (rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "above"))) for s in "xy")
+    pairs = x.join(y, "bucket").where((F.col("comp_x") < F.col("comp_y")) & _near("n_x", "n_y") & ~(F.col("above_x") & F.col("above_y")))
     return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
@@ -254,20 +256,23 @@ def _buckets(entries: DataFrame, name: str) -> DataFrame:
 
 
 def _left_over(crowd: DataFrame, found: DataFrame, comps: DataFrame) -> DataFrame:
-    """(bucket, node, n, comp) of the members of crowds by what they do not share with a first of theirs; those inside their
+    """(bucket, node, n, comp, above) of the members of crowds by what they do not share with a first of theirs; those inside their
     first for the most part also by its component and their length, in two overlapping classes."""
     asked = found.where("crowd").select("a", F.col("b").alias("node"), "own", "inside")
     asked = asked.join(comps.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("of", F.coalesce("component", "a")).drop("component")
     members = crowd.select("node", "n", "comp").distinct().join(asked, "node")
     length = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(LEAST)))).cast("long")
-    classes = F.when(F.col("inside"), F.array(F.xxhash64("of", length), F.xxhash64("of", length + 1))).otherwise(F.array().cast("array<long>"))
-    return members.select(F.explode(F.concat("own", classes)).alias("bucket"), "node", "n", "comp").distinct()
+    entry = lambda bucket, above: F.struct(bucket.alias("bucket"), F.lit(above).alias("above"))
+    own = F.transform("own", lambda r: entry(r, False))
+    classes = F.array(entry(F.xxhash64("of", length), False), entry(F.xxhash64("of", length + 1), True))
+    entries = members.select(F.explode(F.when(F.col("inside"), F.concat(own, classes)).otherwise(own)).alias("e"), "node", "n", "comp")
+    return entries.select("e.bucket", "e.above", "node", "n", "comp").distinct()
 
 
 def _cells(big: DataFrame) -> DataFrame:
     """Large buckets dealt into cells by hash, more than once, so that the cells of all deals hang together."""
     deal = lambda i: F.xxhash64("bucket", F.lit(i), F.pmod(F.xxhash64("node", F.lit(i)), F.ceil(F.col("size") / CELL)))
-    return big.select(F.explode(F.array(*(deal(i) for i in range(DEALS)))).alias("bucket"), "node", "n", "comp")
+    return big.select(F.explode(F.array(*(deal(i) for i in range(DEALS)))).alias("bucket"), "node", "n", "comp", "above")
 
 
 def _comps(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -319,7 +324,7 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if last or big is None:
             break
         links, tested = comps.select(F.col("node").alias("a"), F.col("component").alias("b")), tested.union(now.select("a", "b"))
-        pairs = _cross(_open(_comps(big.select("bucket", "node", "n"), comps)))
+        pairs = _cross(_open(_comps(big.select("bucket", "node", "n", "above"), comps)))
     return docs.select("id", "digest", "node"), comps
 
 
