@@ -367,3 +367,49 @@ def test_banners(schema):
     names = re.findall(r"#    (.*)\n", text)
     assert names == sorted(names, key=["Annotation properties", "Datatypes", "Object Properties", "Data properties", "Classes", "Individuals", "General axioms"].index) and len(names) == len(set(names))
     assert plain(mapping.from_rdf(read_turtle(text))) == plain(mapping.from_rdf(quads))
+
+
+@pytest.fixture(scope="module")
+def stores(spark, tmp_path_factory):
+    from ontolake.plans.projection import Store
+    from ontolake.sources.documents import DocumentStore
+
+    folder = tmp_path_factory.mktemp("onts")
+    (folder / "schema.ofn").write_text(SCHEMA)
+    (folder / "geo.omn").write_text("Ontology: <urn:ex:geo>\nClass: <urn:ex:nation/1>\n  SubClassOf: <urn:ex:region/1>\n")
+    (folder / "bad.ofn").write_text("Ontology(")
+    return Store(spark, "/root/testdata/sf0.001"), DocumentStore(spark, str(folder))
+
+
+def same_rows(a, b):
+    """Rows about the schema ontology, scopes and ontology names aside."""
+    clean = lambda df: sorted(tuple(re.sub(r"_:([^\s()@]+)@[^\s()]*", r"_:\1", str(v)) for v in r) for r in df.collect())
+    return clean(a) == clean(b)
+
+
+def test_document_store_answers_as_the_table_store(stores):
+    from ontolake.model import AXIOM_KINDS
+    from ontolake.operators import graph, profiles, search, structural
+
+    tables, documents = stores
+    mine = lambda df: df.where("ont_id = 'schema'").drop("ont_id")
+    theirs = lambda df: df.where("ont_id LIKE '%schema.ofn'").drop("ont_id")
+    for f in (search.super_classes, search.sub_classes, search.equivalent_classes, search.disjoint_classes, search.sub_properties, search.super_properties, search.domains, search.ranges, search.inverses, search.annotation_objects):
+        assert same_rows(mine(f(tables)), theirs(f(documents))), f.__name__
+    assert same_rows(mine(tables.axioms(AXIOM_KINDS, ["schema"])), theirs(documents.axioms()))
+    assert same_rows(mine(tables.reach(None, ["schema"])), theirs(documents.reach()))
+    assert same_rows(mine(tables.edges(None, None, ["schema"], nested=True)), theirs(documents.edges(nested=True)))
+    assert same_rows(mine(structural.signature(tables)), theirs(structural.signature(documents)))
+    assert same_rows(mine(structural.by_position(tables, "OWLDisjointClassesAxiom", ("classExpressions",))), theirs(structural.by_position(documents, "OWLDisjointClassesAxiom", ("classExpressions",))))
+    assert same_rows(profiles.nonsimple_properties(tables), profiles.nonsimple_properties(documents))
+    assert same_rows(profiles.cyclic_datatypes(tables), profiles.cyclic_datatypes(documents))
+    for rule in profiles.RULES:
+        if rule.name in ("set_arity", "top_data_property_position", "data_range_arity", "el_class_expressions", "data_range_not_allowed", "enumeration_not_singleton", "defined_datatype_literal"):
+            assert same_rows(rule.spark(tables), rule.spark(documents)), rule.name
+        else:
+            rule.spark(documents).count()
+    assert graph.reachable(search.super_classes(documents).selectExpr("entity AS src", "result AS dst")).count() > 0
+    assert structural.imports_closure(documents).count() == 2
+    assert documents.failures().count() == 1
+    assert documents.imports().where("target IS NULL").count() == 2
+    assert documents.nodes().count() >= tables.nodes().count()
