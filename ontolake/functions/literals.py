@@ -130,3 +130,25 @@ def normal_cardinality(d: Dialect, x: str) -> str:
 def escaped(x: str) -> str:
     """A literal's text with quotes and backslashes escaped."""
     return f"replace(replace({x}, chr(92), chr(92) || chr(92)), chr(34), chr(92) || chr(34))"
+
+
+def xml_literal_valid(text: str) -> bool:
+    """Is a text well-formed XML content in its canonical form: it equals what canonicalisation makes of it."""
+    import xml.etree.ElementTree as ET
+
+    try:
+        canonical = ET.canonicalize(f"<x>{text}</x>", with_comments=True)
+    except (ET.ParseError, ValueError):
+        return False
+    return canonical == f"<x>{text}</x>"
+
+
+def xml_literals(df, lexical: str = "lexical"):
+    """df with `valid` of each XML literal, in Arrow batches; for the few rows of that datatype."""
+    from pyspark.sql import functions as F
+
+    @F.pandas_udf("boolean")
+    def valid(texts):
+        return texts.map(lambda t: None if t is None else xml_literal_valid(t))
+
+    return df.withColumn("valid", valid(lexical))

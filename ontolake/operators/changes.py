@@ -122,3 +122,11 @@ def display_order(axioms: DataFrame) -> DataFrame:
 
 
 RENAMED = {f"{EX}Customer": f"{EX}Buyer2", f"{EX}Party": f"{EX}Agent"}
+
+
+def ontology_state(log: DataFrame) -> DataFrame:
+    """ont_id, part, key after a log of all kinds of changes (ont_id, part, key, op, ts, seq). part is axiom, import or
+    annotation, whose last change of a key counts, or id, whose last change of the ontology counts."""
+    last = lambda df, *by: df.groupBy(*by).agg(F.max_by(F.struct("op", "key"), F.struct("ts", "seq")).alias("x")).select(*by, "x.op", *([] if "key" in by else ["x.key"]))
+    members = last(log.where("part <> 'id'"), "ont_id", "part", "key").where("op = 'add'").select("ont_id", "part", "key")
+    return members.union(last(log.where("part = 'id'"), "ont_id", "part").select("ont_id", "part", "key"))

@@ -764,3 +764,12 @@ def irregular_hierarchy(s: Store) -> DataFrame:
 
     found = positions.irregular(parse(SCHEMA, "schema").axioms)
     return p.local(s.spark, [(found is None, *(found or (None, None)))], "regular boolean, lower string, upper string")
+
+
+_PARTS = f"SELECT 'user/' || CAST(user_id AS VARCHAR(20)) AS ont_id, CASE event_id % 4 WHEN 0 THEN 'axiom' WHEN 1 THEN 'import' WHEN 2 THEN 'annotation' ELSE 'id' END AS part, '{EX}event/' || event_type AS key, CASE WHEN event_id % 3 = 0 AND event_id % 4 <> 3 THEN 'remove' ELSE 'add' END AS op, ts, event_id AS seq"
+
+
+@query(f"WITH log AS ({_PARTS} FROM events), m AS (SELECT *, row_number() OVER (PARTITION BY ont_id, part, key ORDER BY ts DESC, seq DESC) AS nth FROM log WHERE part <> 'id'), i AS (SELECT *, row_number() OVER (PARTITION BY ont_id ORDER BY ts DESC, seq DESC) AS nth FROM log WHERE part = 'id') SELECT ont_id, part, key FROM m WHERE nth = 1 AND op = 'add' UNION ALL SELECT ont_id, part, key FROM i WHERE nth = 1")
+def ontology_changes(s: Store) -> DataFrame:
+    """Axioms, imports, annotations and ids of many ontologies after one log of all their changes."""
+    return changes.ontology_state(s.spark.sql(_PARTS + " FROM {events}", events=s.table("events")))

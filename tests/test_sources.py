@@ -413,3 +413,11 @@ def test_document_store_answers_as_the_table_store(stores):
     assert documents.failures().count() == 1
     assert documents.imports().where("target IS NULL").count() == 2
     assert documents.nodes().count() >= tables.nodes().count()
+
+
+def test_xml_literals(spark):
+    from ontolake.functions.literals import xml_literals
+
+    rows = [("a<b>c</b>", True), ("a<b", False), ("<b></b>", True), ("<b/>", False), ("<b z=\"1\" a=\"2\"></b>", False), ("", True), ("&amp;", True), ("&", False)]
+    got = xml_literals(spark.createDataFrame([(t,) for t, _ in rows], "lexical string")).collect()
+    assert [(r["lexical"], r["valid"]) for r in got] == rows
