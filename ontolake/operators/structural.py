@@ -19,8 +19,13 @@ def imports_closure(s: Store, root: str | None = None) -> DataFrame:
 
 
 def members(s: Store, root: str) -> list[str]:
-    """The closure of one ontology as a list; ontologies are few (they are documents, not rows)."""
-    return sorted(r["member"] for r in imports_closure(s, root).collect())
+    """The closure of one ontology as a list, by steps along its imports; each asks only for the imports of what is new."""
+    edges = s.imports().where("target IS NOT NULL")
+    found, new = {root}, [root]
+    while new:
+        new = sorted({r["target"] for r in edges.where(F.col("ont_id").isin(new)).select("target").distinct().collect()} - found)
+        found.update(new)
+    return sorted(found)
 
 
 def axioms_of(s: Store, root: str, included: bool = False, kinds=None) -> DataFrame:
