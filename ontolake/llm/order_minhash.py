@@ -11,10 +11,11 @@ are compared with the bucket's first; then, components found so far given, only
 of near copies thus costs a comparison for each member and not for each pair, and no link that would join two components
 is left out.
 
-A bucket of more than CROWD classes that still holds several components is a crowd around a common passage. What its
-members share with its first tells nothing, so what is left of each is looked at: the OWN first runs (by hash) that the
-first lacks. Members that share one of these make a new bucket, and so do members that lie inside the first for the most
-part, in one component, and have near lengths. New buckets of CROWD or fewer are compared in pairs of different components. Larger ones are
+A bucket of more than CROWD classes that still holds several components is a crowd around a common passage. Its members are
+looked up by a prefix of their labelled runs of GRAM words, in the order of how many members of crowds hold them, rarest
+first. Links of a member have at least `least_common` of these runs in common, so two that link share one of the prefixes that
+leave out all but that many less one; what a passage holds comes last. Members that share a run of their prefixes make a new
+bucket. New buckets of CROWD or fewer are compared in pairs of different components. Larger ones are
 compared with their first and dealt, DEALS times, into cells of CELL by hash, whose members are compared with each other; what
 then is still apart is compared in pairs of different components, so that nothing is left out.
 
@@ -43,9 +44,9 @@ from .components import connected_components
 K, TAKEN, SKETCHES, LEAST, CROWD = 5, 3, 16, 0.8, 64
 #: For texts of equal length, runs with a similarity of 0.8 mean that at most a ninth of the words is edited.
 CLOSE = 8 / 9
-#: Runs by which a member of a crowd is looked up; the share of runs from which on it is its first's for the most part;
-#: members of a cell, and how often members are dealt into cells; their first ties the cells together.
-OWN, INSIDE, CELL, DEALS = 20, 0.8, 24, 2
+#: Words of the runs by which members of a crowd are looked up; members of a cell, and how often members are dealt into
+#: cells; their first ties the cells together.
+GRAM, CELL, DEALS = 2, 24, 2
 _WORD = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -202,37 +203,35 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], names=["id", "digest", "node", "n", "sketches", "words"])
 
 
-def own_runs(words: np.ndarray, other: np.ndarray, count: int = OWN) -> tuple[np.ndarray, bool]:
-    """The first runs, by hash, of words that other lacks; and whether words lies inside other for the most part."""
-    runs = labelled_runs(words)
-    own = np.setdiff1d(runs, labelled_runs(other), assume_unique=True)
-    inside = len(own) <= (1 - INSIDE) * len(runs)
-    if len(own) > count:
-        own = own[np.argpartition(_mix(own ^ _SEEDS[-1]), count - 1)[:count]]
-    return own, inside
+def least_common(n):
+    """How many labelled runs of GRAM words a text of n words has at least in common with any text it links to, as a Spark
+    column. An edit takes GRAM runs at most, and a ninth of the longer's words may be edited; or the runs of K words have a
+    Jaccard similarity of LEAST, and each that is common begins with a run of GRAM words that is."""
+    edited = n * (1 - GRAM * (1 - CLOSE)) - (GRAM - 1)
+    return F.greatest(F.lit(1), F.ceil(F.least(edited, (n - (K - 1)) * LEAST) - F.lit(1e-6)))
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grams = [labelled_runs(np.frombuffer(w.as_py(), "<u4"), GRAM).view(np.int64) for w in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.list_(pa.int64()))], names=["node", "n", "comp", "grams"])
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            a, b, crowd, x, y = (part.column(part.schema.get_field_index(c)) for c in ("a", "b", "crowd", "a_words", "b_words"))
-            linked, own, inside = [], [], []
-            for p, q, many in zip(x, y, crowd):
-                p, q = np.frombuffer(p.as_py(), "<u4"), np.frombuffer(q.as_py(), "<u4")
-                linked.append(similar(p, q))
-                runs, within = own_runs(q, p) if many.as_py() else (np.empty(0, np.uint64), False)
-                own.append(runs.view(np.int64))
-                inside.append(within)
-            yield pa.RecordBatch.from_arrays([a, b, crowd, pa.array(linked, pa.bool_()), pa.array(own, pa.list_(pa.int64())), pa.array(inside, pa.bool_())], names=["a", "b", "crowd", "linked", "own", "inside"])
+            a, b, x, y = (part.column(part.schema.get_field_index(c)) for c in ("a", "b", "a_words", "b_words"))
+            linked = [similar(np.frombuffer(p.as_py(), "<u4"), np.frombuffer(q.as_py(), "<u4")) for p, q in zip(x, y)]
+            yield pa.RecordBatch.from_arrays([a, b, pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
 def _verified(pairs: DataFrame, words: DataFrame, name: str) -> DataFrame:
-    """pairs (a, b, crowd) with `linked`, and for crowds b's own runs; a stored table. The side that repeats most, a, is
-    joined last, where skewed partitions can be split."""
+    """pairs (a, b) with `linked`; a stored table. The side that repeats most, a, is joined last, where skewed partitions
+    can be split."""
     of = lambda s: words.select(F.col("node").alias(s), F.col("words").alias(f"{s}_words"))
     rows = pairs.join(of("b"), "b").join(of("a"), "a")
-    return staged(rows.select("a", "b", "crowd", "a_words", "b_words").mapInArrow(_aligned, "a binary, b binary, crowd boolean, linked boolean, own array<long>, inside boolean"), name)
+    return staged(rows.select("a", "b", "a_words", "b_words").mapInArrow(_aligned, "a binary, b binary, linked boolean"), name)
 
 
 def _near(n: str, m: str):
@@ -241,11 +240,9 @@ def _near(n: str, m: str):
 
 
 def _cross(rows: DataFrame) -> DataFrame:
-    """(a, b) of rows (bucket, node, n, comp) in one bucket, of near lengths and different components. Two rows that are
-    both in the upper one of their two length classes (above) meet in the lower one too, and are left to it."""
-    rows = rows if "above" in rows.columns else rows.withColumn("above", F.lit(False))
-    x, y = (rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp", "above"))) for s in "xy")
-    pairs = x.join(y, "bucket").where((F.col("comp_x") < F.col("comp_y")) & _near("n_x", "n_y") & ~(F.col("above_x") & F.col("above_y")))
+    """(a, b) of rows (bucket, node, n, comp) in one bucket, of near lengths and different components."""
+    x, y = (rows.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "comp"))) for s in "xy")
+    pairs = x.join(y, "bucket").where((F.col("comp_x") < F.col("comp_y")) & _near("n_x", "n_y"))
     return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
@@ -255,24 +252,25 @@ def _buckets(entries: DataFrame, name: str) -> DataFrame:
     return staged(entries.join(firsts, "bucket"), name)
 
 
-def _left_over(crowd: DataFrame, found: DataFrame, comps: DataFrame) -> DataFrame:
-    """(bucket, node, n, comp, above) of the members of crowds by what they do not share with a first of theirs; those inside their
-    first for the most part also by its component and their length, in two overlapping classes."""
-    asked = found.where("crowd").select("a", F.col("b").alias("node"), "own", "inside")
-    asked = asked.join(comps.select(F.col("node").alias("a"), "component"), "a", "left").withColumn("of", F.coalesce("component", "a")).drop("component")
-    members = crowd.select("node", "n", "comp").distinct().join(asked, "node")
-    length = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(LEAST)))).cast("long")
-    entry = lambda bucket, above: F.struct(bucket.alias("bucket"), F.lit(above).alias("above"))
-    own = F.transform("own", lambda r: entry(r, False))
-    classes = F.array(entry(F.xxhash64("of", length), False), entry(F.xxhash64("of", length + 1), True))
-    entries = members.select(F.explode(F.when(F.col("inside"), F.concat(own, classes)).otherwise(own)).alias("e"), "node", "n", "comp")
-    return entries.select("e.bucket", "e.above", "node", "n", "comp").distinct()
+def _prefixes(crowd: DataFrame, words: DataFrame) -> DataFrame:
+    """(bucket, node, n, comp) of the members of crowds by the runs of their prefixes that another member holds too. Runs
+    of one member alone come first in the order, and need no row."""
+    members = crowd.select("node", "n", "comp").distinct().join(words, "node").select("node", "n", "comp", "words")
+    members = staged(members.mapInArrow(_grams, "node binary, n int, comp binary, grams array<long>"), "crowd-grams")
+    rows = members.select("node", F.explode("grams").alias("bucket"))
+    held = staged(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "crowd-runs")
+    rows = rows.join(held, "bucket")
+    of = Window.partitionBy("node")
+    rows = rows.withColumn("nth", F.row_number().over(of.orderBy("holders", "bucket"))).withColumn("shared", F.count(F.lit(1)).over(of))
+    # Of all runs but least_common - 1, those that others hold come after the member's own.
+    rows = rows.join(members.select("node", "n", "comp"), "node").where(F.col("nth") <= F.col("shared") - least_common(F.col("n")) + 1)
+    return rows.select("bucket", "node", "n", "comp")
 
 
 def _cells(big: DataFrame) -> DataFrame:
     """Large buckets dealt into cells by hash, more than once, so that the cells of all deals hang together."""
     deal = lambda i: F.xxhash64("bucket", F.lit(i), F.pmod(F.xxhash64("node", F.lit(i)), F.ceil(F.col("size") / CELL)))
-    return big.select(F.explode(F.array(*(deal(i) for i in range(DEALS)))).alias("bucket"), "node", "n", "comp", "above")
+    return big.select(F.explode(F.array(*(deal(i) for i in range(DEALS)))).alias("bucket"), "node", "n", "comp")
 
 
 def _comps(rows: DataFrame, comps: DataFrame) -> DataFrame:
@@ -297,34 +295,32 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = _buckets(staged(entries, "buckets"), "shared-buckets")
     words = docs.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("words").alias("words"))
     words = staged(words, "candidate-words")
-    # All with the first of their bucket; of crowds one first also gives the member's own runs, whatever its length.
-    stars = buckets.where(F.col("node") != F.col("first.node"))
-    asked = stars.where(F.col("size") > CROWD).groupBy("node").agg(F.min("first.node").alias("_asked"))
-    stars = stars.join(asked, "node", "left").withColumn("crowd", F.coalesce(F.col("first.node") == F.col("_asked"), F.lit(False)))
-    stars = stars.where(_near("n", "first.n") | F.col("crowd")).groupBy(F.col("first.node").alias("a"), F.col("node").alias("b")).agg(F.max("crowd").alias("crowd"))
+    # All with the first of their bucket.
+    stars = buckets.where((F.col("node") != F.col("first.node")) & _near("n", "first.n"))
+    stars = stars.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
     found = _verified(stars, words, "star-links")
-    # Pairs of different components in a bucket, or in what is left of a crowd.
+    # Pairs of different components in a bucket, or of a crowd that share a run of their prefixes.
     comps = connected_components(found.where("linked").select("a", "b"))
     left = staged(_open(_comps(buckets.select("bucket", "node", "n", "size"), comps)), "open-buckets")
     pairs = _cross(left.where(F.col("size") <= CROWD))
     crowd = left.where(F.col("size") > CROWD)
     big = None
     if not crowd.isEmpty():
-        again = staged(_left_over(crowd, found, comps), "left-over")
+        again = staged(_prefixes(crowd, words), "prefixes")
         sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("first")).where("size > 1")
-        again = staged(_open(again.join(sizes, "bucket")), "left-over-buckets")
+        again = staged(_open(again.join(sizes, "bucket")), "prefix-buckets")
         big = again.where(F.col("size") > CROWD)
         star = big.where((F.col("node") != F.col("first.node")) & _near("n", "first.n")).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
         pairs = pairs.union(_cross(again.where(F.col("size") <= CROWD))).union(star).union(_cross(_cells(big)))
     tested = found.select("a", "b")
     links = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
     for last in (False, True):
-        now = _verified(pairs.distinct().join(tested, ["a", "b"], "left_anti").withColumn("crowd", F.lit(False)), words, "cross-links")
+        now = _verified(pairs.distinct().join(tested, ["a", "b"], "left_anti"), words, "cross-links")
         comps = connected_components(links.union(now.where("linked").select("a", "b")))
         if last or big is None:
             break
         links, tested = comps.select(F.col("node").alias("a"), F.col("component").alias("b")), tested.union(now.select("a", "b"))
-        pairs = _cross(_open(_comps(big.select("bucket", "node", "n", "above"), comps)))
+        pairs = _cross(_open(_comps(big.select("bucket", "node", "n"), comps)))
     return docs.select("id", "digest", "node"), comps
 
 

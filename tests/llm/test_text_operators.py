@@ -251,6 +251,43 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == {root(i) for i in range(len(texts))}
 
 
+def test_pairs_inside_a_crowd_are_found(spark):
+    """Texts around one passage; some have a copy that goes on far beyond them, and meet it in crowded buckets only."""
+    rng = np.random.default_rng(23)
+    new = iter(f"u{i}" for i in range(10**6))
+    own = lambda n: [next(new) for _ in range(n)]
+    passage = own(499)
+    rows = [passage + own(int(rng.integers(150, 200))) for _ in range(200)]
+    alone = len(rows)
+    for _ in range(16):
+        short = passage + own(5)
+        rows += [short, short + own(124)]
+    arrays = [order_minhash.words_of(" ".join(w)) for w in rows]
+    assert all(order_minhash.similar(arrays[alone], arrays[i]) and order_minhash.similar(arrays[i], arrays[i + 1]) for i in range(alone, len(rows), 2))
+    assert not any(order_minhash.similar(arrays[i], arrays[j]) for i in (0, 1, alone - 1) for j in range(2, len(rows)) if i != j)
+    got = {r["doc_id"]: r["component_id"] for r in order_minhash.op2_near_duplicates(docs(spark, [(i, " ".join(w)) for i, w in enumerate(rows)])).collect()}
+    assert got == {i: min(i, alone) for i in range(len(rows))}
+
+
+def test_linked_texts_have_enough_runs_in_common(spark):
+    rng = np.random.default_rng(29)
+    least = {r["n"]: r["least"] for r in spark.range(1, 400).select("id", order_minhash.least_common(order_minhash.F.col("id")).alias("least")).selectExpr("id AS n", "least").collect()}
+    linked = 0
+    for _ in range(1500):
+        a = rng.integers(0, 50 if rng.random() < 0.5 else 10**6, rng.integers(9, 200)).astype(np.uint32)
+        b = a.copy()
+        at = np.sort(rng.choice(len(b), max(1, len(b) // 9), replace=False))
+        if rng.random() < 0.5:
+            b[at] = rng.integers(0, 10**6, len(at))
+        else:
+            b = np.r_[b, rng.integers(0, 10**6, len(b) // 5)].astype(np.uint32)
+        if order_minhash.similar(a, b):
+            linked += 1
+            common = len(np.intersect1d(order_minhash.labelled_runs(a, order_minhash.GRAM), order_minhash.labelled_runs(b, order_minhash.GRAM)))
+            assert common >= max(least[len(a)], least[len(b)])
+    assert linked > 300
+
+
 # quality
 
 
