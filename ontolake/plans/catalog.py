@@ -186,8 +186,9 @@ def _signature_sql(kinds, node_kinds) -> str:
 
 
 for _kind, _name in (("OWLClass", "classes"), ("OWLObjectProperty", "object_properties"), ("OWLDataProperty", "data_properties"), ("OWLAnnotationProperty", "annotation_properties"), ("OWLNamedIndividual", "individuals"), ("OWLDatatype", "datatypes")):
+    # The SQL of individuals knows six kinds of axioms only; the query reads all.
     _some = AXIOM_KINDS if _kind != "OWLNamedIndividual" else _SIG_KINDS
-    query(_signature_sql(_some, [_kind]) + " SELECT ont_id, node_key FROM sig", f"{_name}_in_signature")(lambda s, kind=_kind, some=_some: structural.signature(s, [kind], axiom_kinds=some).select("ont_id", "node_key"))
+    query(_signature_sql(_some, [_kind]) + " SELECT ont_id, node_key FROM sig", f"{_name}_in_signature")(lambda s, kind=_kind: structural.signature(s, [kind], axiom_kinds=AXIOM_KINDS).select("ont_id", "node_key"))
 
 
 @query(_signature_sql(AXIOM_KINDS, ENTITY_KINDS) + " SELECT node_kind, count(DISTINCT node_key) AS n_entities FROM sig GROUP BY node_kind")

@@ -43,6 +43,15 @@ def test_query_without_sql_runs(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
 
 
+def test_individuals_of_all_kinds_of_axioms(spark):
+    from ontolake.plans.projection import Store
+
+    have = {(r["ont_id"], r["node_key"]) for r in catalog.QUERIES["individuals_in_signature"](spark, SF).collect()}
+    assert ("schema", "NamedIndividual(<urn:ex:ally>)") in have  # only in SameIndividual
+    want = Store(spark, SF).reach(catalog.AXIOM_KINDS).where("node_kind = 'OWLNamedIndividual'").select("ont_id", "node_key").distinct()
+    assert have == {(r["ont_id"], r["node_key"]) for r in want.collect()}
+
+
 def test_entry_points():
     import __spark_entry__ as e
 
