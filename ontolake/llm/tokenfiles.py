@@ -1,21 +1,29 @@
 """Token ids as ORC files: integer run-length encoding, row indexes, and Bloom filters on document ids.
 
 Documents are dealt by ranges of their id, sorted inside each range, encoded and written in that order, so that a range
-is one file, its stripes are read in parallel, and a lookup by id skips stripes by their statistics and Bloom filters.
-Each row also holds where its ids start inside its range; the sums of the ranges before it (a table of as many rows as
-there are ranges) turn that into the place among all ids.
-
-The ids are those of the tokenizers library for the same file. They come from the tiktoken engine, loaded with the
-vocabulary of that file, which is four times as fast; the tests hold one against the other.
+is one file of about FILE_BYTES of text, its stripes are read in parallel, and a lookup by id skips stripes by their
+statistics and Bloom filters. Each row also holds where its ids start inside its range; the sums of the ranges before it
+(a table of a row for each file, FILES_AT_MOST rows at most, which is why it may be broadcast) turn that into the place
+among all ids.
+
+The tokenizers library encodes. Words repeat, so a text is handed to it in pieces, and what a short piece became is
+remembered, up to a fixed number of pieces. Texts are cut only before a single blank or around a single line break between
+two characters that are no white space, and between a letter and a mark: there the splitter of byte-level vocabularies ends
+a word whatever stands around it, so the pieces' ids are the text's. A piece that is one word by itself goes to the
+library's model, any other through its whole pipeline. Vocabularies with another splitter, or with added tokens that hold
+white space, get whole texts.
 
 Defined results for odd input: a null text counts as empty and still gets the end id; rows with a null id come first, as
-Spark sorts them; rows with the same id are ordered by text, repeated rows after one another; an empty table gives no
-rows; other columns are ignored; texts of any length are encoded whole.
+Spark sorts them; rows with the same id are ordered by a hash of their text and then by the text, so that many rows of
+one id (or none) spread over ranges; repeated rows stand after one another; an empty table gives no rows; other columns
+are ignored; texts of any length are encoded whole, long runs of blanks included.
 """
 
 from __future__ import annotations
 
 import json
+import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,9 +35,14 @@ from pyspark.sql import functions as F
 from .bpe import byte_symbols, vocabulary
 from .common import partitions, shared_path
 
-#: Fixed value: the split pattern of byte-level vocabularies.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.create.index": "true"}
+#: Bytes of text to a file, until there are FILES_AT_MOST; then files grow.
+FILE_BYTES, FILES_AT_MOST = 256 << 20, 1_000_000
+#: Pieces that a worker remembers between texts, about, and the longest that it remembers.
+KEPT_PIECES, KEPT_CHARS = 300_000, 64
+#: White space but the blank and the line break, and the mark that `pieces` uses.
+_SELDOM = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + "\0"
+_MARKS = frozenset(".,;:!?")
 
 
 def default_path() -> str:
@@ -38,21 +51,79 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def byte_encoder(spec: str):
-    """text -> list of ids, as the tokenizers library gives them for this file without special tokens added."""
-    import tiktoken
-
-    j = json.loads(spec)
-    of = {s: b for b, s in enumerate(byte_symbols())}
-    ranks = {bytes(of[c] for c in t): i for t, i in j["model"]["vocab"].items()}
-    added = {x["content"]: x["id"] for x in j["added_tokens"]}
-    engine = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks={t: i for t, i in ranks.items() if i not in added.values()}, special_tokens=added)
-    names = set(added)
-
-    def encode(text: str) -> np.ndarray:
-        return np.asarray(engine.encode(text, allowed_special=names, disallowed_special=()), "<i4")
-
-    return encode
+def pieces(text: str) -> list[str]:
+    """The text cut before every single blank, and around every single line break, between two characters that are no white
+    space."""
+    if not any(c in text for c in _SELDOM):
+        out = text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+        if "" not in out and " " not in out:  # no two white spaces in a row, none at an end
+            return out
+    out, first, end = [], 0, -1
+    for w in text.split(" "):
+        start, end = end, end + 1 + len(w)  # the blank before w, and the one after it
+        if start > first and w and not text[start - 1].isspace() and not w[0].isspace():
+            out.append(text[first:start])
+            first = start
+    out.append(text[first:])
+    return out
+
+
+class Encoder:
+    """Texts -> ids as little-endian 32-bit integers, by the tokenizers library, without special tokens added."""
+
+    def __init__(self, spec: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.engine = Tokenizer.from_str(spec)
+        self.engine.no_truncation()
+        self.engine.no_padding()
+        j = json.loads(spec)
+        split = j["pre_tokenizer"] or {}
+        self.cuts = j["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and not any(c.isspace() for x in j["added_tokens"] for c in x["content"])
+        # Any letter alone is a word of the splitter, so that the model can be asked at once; not so if added tokens are letters.
+        self.words = self.cuts and not any(x["content"].isalpha() for x in j["added_tokens"])
+        self.symbols = dict(enumerate(byte_symbols()))
+        self.kept: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        return (struct.pack(f"<{len(e)}i", *e.ids) for e in self.engine.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _word(self, word: str) -> bytes:
+        tokens = self.engine.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))
+        return struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return list(self._ids(texts))
+        parts, kept = [pieces(t) for t in texts], self.kept
+        new = list(set().union(*parts) - kept.keys())
+        rest = []
+        for p in new:
+            # A blank or none, then letters of scripts that no version of Unicode moved, then at most one mark after them.
+            word = p[:-1] if p[-1:] in _MARKS else p
+            if self.words and word and word[-1] <= "\u024f" and word[word[0] == " " :].isalpha() and max(word) <= "\u024f":
+                found = kept.get(word) or self._word(word)
+                if word is not p:
+                    mark = kept.get(p[-1]) or next(self._ids([p[-1]]))
+                    kept[p[-1]], kept[word] = mark, found
+                    found += mark
+                kept[p] = found
+            else:
+                rest.append(p)
+        kept.update(zip(rest, self._ids(rest)))
+        out = [b"".join(map(kept.__getitem__, p)) for p in parts]
+        for p in rest:
+            if len(p) > KEPT_CHARS:
+                del kept[p]
+        if len(kept) > KEPT_PIECES:
+            kept.clear()
+        return out
+
+
+def n_files(rows: DataFrame) -> int:
+    """Ranges for rows (doc_id, text): by bytes of text, no fewer than the session's shuffle partitions."""
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(1, min(FILES_AT_MOST, max(partitions(rows.sparkSession), -(-size // FILE_BYTES))))
 
 
 def write_token_files(df: DataFrame, path: str, end_id: int = 2, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
@@ -61,30 +132,33 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 2, vocab_path: str
     spec = spark.sparkContext.broadcast(vocabulary(vocab_path or default_path()))
     kind = df.schema[id_col].dataType
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(files or partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    rows = rows.repartitionByRange(files or n_files(rows), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, at = byte_encoder(spec.value), TaskContext.get().partitionId(), 0
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
+        encode, part, at, end = Encoder(spec.value), TaskContext.get().partitionId(), 0, np.int32(end_id).tobytes()
         for batch in batches:
             n, done = batch.num_rows, 0
             while done < n:  # some rows at a time: ids take several times the room of texts
-                ids, starts, size, first = [], [], 0, done
+                texts, starts, size, first = [], [], 0, done
                 while done < n and size < 2_000_000:
-                    one = np.append(encode(batch.column(1)[done].as_py()), np.int32(end_id))
-                    ids.append(one)
-                    starts.append(at)
-                    at += len(one)
-                    size += len(one)
+                    texts.append(batch.column(1)[done].as_py())
+                    size += len(texts[-1])
                     done += 1
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("<i4")
+                ids = [x + end for x in encode(texts)]
+                for x in ids:
+                    starts.append(at)
+                    at += len(x) // 4
+                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype("<i4")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, done - first), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))],
+                    [batch.column(0).slice(first, done - first), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))],
                     names=["doc_id", "part", "local_start", "ids"],
                 )
 
-    rows.mapInArrow(run, f"doc_id {kind.simpleString()}, part int, local_start long, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
+    rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, part int, local_start long, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:

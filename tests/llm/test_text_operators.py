@@ -125,9 +125,35 @@ def test_short_and_long_words_merge_alike():
 
 
 def test_byte_encoding_equals_the_library():
-    encode, theirs = tokenfiles.byte_encoder(bpe.vocabulary(tokenfiles.default_path())), tokenizer("byte_bpe_50k.json")
-    for t in TEXTS:
-        assert encode(t).tolist() == theirs.encode(t, add_special_tokens=False).ids, t
+    encode, theirs = tokenfiles.Encoder(bpe.vocabulary(tokenfiles.default_path())), tokenizer("byte_bpe_50k.json")
+    assert encode.cuts and encode.words
+    for t, ids in zip(TEXTS, encode(TEXTS)):
+        assert np.frombuffer(ids, "<i4").tolist() == theirs.encode(t, add_special_tokens=False).ids, t
+
+
+@pytest.mark.parametrize("text", [" " * 2_000_000, "\n" * 2_000_000, "a" * 2_000_000, "one phrase, " * 200_000, "x" + "\t " * 300_000 + "y"], ids=["blanks", "breaks", "letter", "phrase", "tabs"])
+def test_byte_encoding_of_long_texts(text):
+    encode, theirs = tokenfiles.Encoder(bpe.vocabulary(tokenfiles.default_path())), tokenizer("byte_bpe_50k.json")
+    assert np.frombuffer(encode([text])[0], "<i4").tolist() == theirs.encode(text, add_special_tokens=False).ids
+    assert "".join(tokenfiles.pieces(text)) == text
+
+
+def test_other_vocabularies_get_whole_texts():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    t = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, "?"))
+    t.pre_tokenizer = pre_tokenizers.Whitespace()
+    encode = tokenfiles.Encoder(t.to_str())
+    assert not encode.cuts and np.frombuffer(encode(["a b c"])[0], "<i4").tolist() == [0, 1, 2]
+
+
+def test_many_rows_of_one_id_spread_over_files(spark):
+    rows = [(None if i % 2 else 7, f"text {i}") for i in range(400)]
+    path = tokenfiles.shared_path(spark, "test-token-files")
+    tokenfiles.write_token_files(docs(spark, rows), path, files=8)
+    sizes = [r["count"] for r in spark.read.orc(path).groupBy("part").count().collect()]
+    assert sum(sizes) == 400 and len(sizes) > 4 and max(sizes) < 200
+    assert sorted(r["start"] for r in tokenfiles.read_token_files(spark, path).collect())[0] == 0
 
 
 def test_token_files(spark):
@@ -336,7 +362,7 @@ def test_hashes_of_encodings(spark):
 from hypothesis import given, settings  # noqa: E402
 from hypothesis import strategies as st  # noqa: E402
 
-_WORDS, _LIBRARY, _BYTES, _BYTE_LIBRARY = bpe.WordBPE(bpe.vocabulary(bpe.default_path())), tokenizer("word_bpe_49k.json"), tokenfiles.byte_encoder(bpe.vocabulary(tokenfiles.default_path())), tokenizer("byte_bpe_50k.json")
+_WORDS, _LIBRARY, _BYTES, _BYTE_LIBRARY = bpe.WordBPE(bpe.vocabulary(bpe.default_path())), tokenizer("word_bpe_49k.json"), tokenfiles.Encoder(bpe.vocabulary(tokenfiles.default_path())), tokenizer("byte_bpe_50k.json")
 _ANY = st.text(st.characters(codec="utf-8", categories=("L", "N", "P", "S", "Zs", "Cc"), max_codepoint=0x2FFF), max_size=60)
 
 
@@ -346,7 +372,7 @@ def test_encodings_of_any_text(text):
     ids = _LIBRARY.encode(text, add_special_tokens=False).ids
     assert _WORDS.encode(text).tolist() == ids
     assert _WORDS.decode(_WORDS.encode(text)) == _LIBRARY.decode(ids, skip_special_tokens=False)
-    assert _BYTES(text).tolist() == _BYTE_LIBRARY.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(_BYTES([text])[0], "<i4").tolist() == _BYTE_LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 @settings(max_examples=200, deadline=None)
