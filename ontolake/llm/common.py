@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
+import types
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,14 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def per_worker(name: str, spec: str, make):
+    """make(spec), once in each Python worker and not again for every task; another spec of the name takes its place."""
+    kept = sys.modules.setdefault("ontolake_worker", types.ModuleType("ontolake_worker")).__dict__
+    if kept.get(name, ("",))[0] != spec:
+        kept[name] = spec, make(spec)
+    return kept[name][1]
+
+
 def code_points(raw: bytes, places) -> dict[int, int]:
     """Code-point offset of each byte offset in UTF-8 text."""
     out, seen, chars = {}, 0, 0

@@ -1,14 +1,14 @@
 """Token ids as ORC files: integer run-length encoding, row indexes, and Bloom filters on document ids.
 
 Documents are dealt by ranges of their id, sorted inside each range, encoded and written in that order, so that a range
-is one file of about FILE_BYTES of text, its stripes are read in parallel, and a lookup by id skips stripes by their
+is one file of about FILE_BYTES of the table, its stripes are read in parallel, and a lookup by id skips stripes by their
 statistics and Bloom filters. Each row also holds where its ids start inside its range; the sums of the ranges before it
 (a table of a row for each file, FILES_AT_MOST rows at most, which is why it may be broadcast) turn that into the place
 among all ids.
 
 The tokenizers library encodes. Words repeat, so a text is handed to it in pieces, and what a short piece became is
 remembered, up to a fixed number of pieces. Texts are cut only before a single blank or around a single line break between
-two characters that are no white space, and between a letter and a mark: there the splitter of byte-level vocabularies ends
+two characters that are no white space, and between letters and the marks at a piece's end: there the splitter of byte-level vocabularies ends
 a word whatever stands around it, so the pieces' ids are the text's. A piece that is one word by itself goes to the
 library's model, any other through its whole pipeline. Vocabularies with another splitter, or with added tokens that hold
 white space, get whole texts.
@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import json
 import os
+import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -33,16 +35,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import byte_symbols, vocabulary
-from .common import partitions, shared_path
+from .common import partitions, per_worker, shared_path
 
 ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.create.index": "true"}
-#: Bytes of text to a file, until there are FILES_AT_MOST; then files grow.
+#: Bytes of the table to a file, until there are FILES_AT_MOST; then files grow.
 FILE_BYTES, FILES_AT_MOST = 256 << 20, 1_000_000
 #: Pieces that a worker remembers between texts, about, and the longest that it remembers.
 KEPT_PIECES, KEPT_CHARS = 300_000, 64
 #: White space but the blank and the line break, and the mark that `pieces` uses.
 _SELDOM = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + "\0"
-_MARKS = frozenset(".,;:!?")
+_MARKS = string.punctuation
+#: A blank or none, then letters of blocks that no version of Unicode changed.
+_WORD = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+").fullmatch
+
+
+_PACK = [struct.Struct(f"<{n}i").pack for n in range(24)]
 
 
 def default_path() -> str:
@@ -68,8 +75,9 @@ def pieces(text: str) -> list[str]:
     return out
 
 
-class Encoder:
-    """Texts -> ids as little-endian 32-bit integers, by the tokenizers library, without special tokens added."""
+class Encoder(dict):
+    """Texts -> ids as little-endian 32-bit integers, by the tokenizers library, without special tokens added. As a dict: what
+    pieces became."""
 
     def __init__(self, spec: str) -> None:
         from tokenizers import Tokenizer
@@ -79,50 +87,50 @@ class Encoder:
         self.engine.no_padding()
         j = json.loads(spec)
         split = j["pre_tokenizer"] or {}
-        self.cuts = j["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and not any(c.isspace() for x in j["added_tokens"] for c in x["content"])
-        # Any letter alone is a word of the splitter, so that the model can be asked at once; not so if added tokens are letters.
-        self.words = self.cuts and not any(x["content"].isalpha() for x in j["added_tokens"])
+        added = [x["content"] for x in j["added_tokens"]]
+        self.cuts = j["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split["add_prefix_space"] and not any(c.isspace() for x in added for c in x)
+        # Letters alone are one word of the splitter, and the marks after them another; not so if an added token is found there.
+        self.words = self.cuts and all(any(c.isalpha() for c in x) and any(c in _MARKS for c in x) for x in added)
         self.symbols = dict(enumerate(byte_symbols()))
-        self.kept: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> Iterator[bytes]:
-        return (struct.pack(f"<{len(e)}i", *e.ids) for e in self.engine.encode_batch_fast(texts, add_special_tokens=False))
-
-    def _word(self, word: str) -> bytes:
-        tokens = self.engine.model.tokenize(word.encode().decode("latin-1").translate(self.symbols))
-        return struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
+        self.tokenize = self.engine.model.tokenize
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(e)}i", *e.ids) for e in self.engine.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def __missing__(self, piece: str) -> bytes:
+        if not self.words:
+            out = self._ids([piece])[0]
+        elif _WORD(piece):
+            # The stand-ins of a blank and of plain letters are fixed; other letters go by their bytes.
+            symbols = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
+            tokens = self.tokenize(symbols)
+            out = _PACK[len(tokens)](*[t.id for t in tokens]) if len(tokens) < len(_PACK) else struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
+        elif (word := piece.rstrip(_MARKS)) and len(word) < len(piece) and _WORD(word):
+            out = self.get(word)
+            if out is None:  # seen once: the word is worth keeping, not yet the word with its marks
+                return self[word] + self[piece[len(word) :]]
+            out += self[piece[len(word) :]]
+        else:
+            out = self._ids([piece])[0]
+        if len(piece) <= KEPT_CHARS:
+            self[piece] = out
+        return out
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
-            return list(self._ids(texts))
-        parts, kept = [pieces(t) for t in texts], self.kept
-        new = list(set().union(*parts) - kept.keys())
-        rest = []
-        for p in new:
-            # A blank or none, then letters of scripts that no version of Unicode moved, then at most one mark after them.
-            word = p[:-1] if p[-1:] in _MARKS else p
-            if self.words and word and word[-1] <= "\u024f" and word[word[0] == " " :].isalpha() and max(word) <= "\u024f":
-                found = kept.get(word) or self._word(word)
-                if word is not p:
-                    mark = kept.get(p[-1]) or next(self._ids([p[-1]]))
-                    kept[p[-1]], kept[word] = mark, found
-                    found += mark
-                kept[p] = found
-            else:
-                rest.append(p)
-        kept.update(zip(rest, self._ids(rest)))
-        out = [b"".join(map(kept.__getitem__, p)) for p in parts]
-        for p in rest:
-            if len(p) > KEPT_CHARS:
-                del kept[p]
-        if len(kept) > KEPT_PIECES:
-            kept.clear()
+            return self._ids(texts)
+        out = [b"".join(map(self.__getitem__, pieces(t))) for t in texts]
+        if len(self) > KEPT_PIECES:
+            self.clear()
         return out
 
 
 def n_files(rows: DataFrame) -> int:
-    """Ranges for rows (doc_id, text): by bytes of text, no fewer than the session's shuffle partitions."""
-    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    """Ranges for rows (doc_id, text): by the table's bytes as the planner knows them, or else by bytes of text; no fewer than
+    the session's shuffle partitions."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:  # unknown
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     return max(1, min(FILES_AT_MOST, max(partitions(rows.sparkSession), -(-size // FILE_BYTES))))
 
 
@@ -132,14 +140,16 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 2, vocab_path: str
     spec = spark.sparkContext.broadcast(vocabulary(vocab_path or default_path()))
     kind = df.schema[id_col].dataType
     rows = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    files = files or n_files(rows)
     rows = rows.withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange(files or n_files(rows), "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    rows = rows.repartitionByRange(files, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-        encode, part, at, end = Encoder(spec.value), TaskContext.get().partitionId(), 0, np.int32(end_id).tobytes()
+        encode = per_worker("token-files", spec.value, Encoder)
+        part, at, end = TaskContext.get().partitionId(), 0, np.int32(end_id).tobytes()
         for batch in batches:
             n, done = batch.num_rows, 0
             while done < n:  # some rows at a time: ids take several times the room of texts
