@@ -46,10 +46,7 @@ KEPT_PIECES, KEPT_CHARS = 300_000, 64
 _SELDOM = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + "\0"
 _MARKS = string.punctuation
 #: A blank or none, then letters of blocks that no version of Unicode changed.
-_WORD = re.compile(r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+").fullmatch
-
-
-_PACK = [struct.Struct(f"<{n}i").pack for n in range(24)]
+_WORD = r" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u024f]+"
 
 
 def default_path() -> str:
@@ -92,7 +89,8 @@ class Encoder(dict):
         # Letters alone are one word of the splitter, and the marks after them another; not so if an added token is found there.
         self.words = self.cuts and all(any(c.isalpha() for c in x) and any(c in _MARKS for c in x) for x in added)
         self.symbols = dict(enumerate(byte_symbols()))
-        self.tokenize = self.engine.model.tokenize
+        self.tokenize, self.is_word = self.engine.model.tokenize, re.compile(_WORD).fullmatch
+        self.packs = [struct.Struct(f"<{n}i").pack for n in range(24)]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e)}i", *e.ids) for e in self.engine.encode_batch_fast(texts, add_special_tokens=False)]
@@ -100,12 +98,13 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         if not self.words:
             out = self._ids([piece])[0]
-        elif _WORD(piece):
+        elif self.is_word(piece):
             # The stand-ins of a blank and of plain letters are fixed; other letters go by their bytes.
             symbols = piece.replace(" ", "\u0120") if piece.isascii() else piece.encode().decode("latin-1").translate(self.symbols)
             tokens = self.tokenize(symbols)
-            out = _PACK[len(tokens)](*[t.id for t in tokens]) if len(tokens) < len(_PACK) else struct.pack(f"<{len(tokens)}i", *[t.id for t in tokens])
-        elif (word := piece.rstrip(_MARKS)) and len(word) < len(piece) and _WORD(word):
+            n = len(tokens)
+            out = self.packs[n](*[t.id for t in tokens]) if n < len(self.packs) else struct.pack(f"<{n}i", *[t.id for t in tokens])
+        elif (word := piece.rstrip(_MARKS)) and len(word) < len(piece) and self.is_word(word):
             out = self.get(word)
             if out is None:  # seen once: the word is worth keeping, not yet the word with its marks
                 return self[word] + self[piece[len(word) :]]
