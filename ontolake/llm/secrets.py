@@ -6,11 +6,16 @@ characters), `access` (an access key id) and `hex` (32 or more hex digits). The
 
 Defined results for odd input: a null text counts as empty; a row without an id keeps its null id; repeated rows are
 scanned each by itself; other columns, whatever their names, are carried by `redact` and ignored by `scan`; an empty
-table gives an empty result. Cost is linear in the text, of any length.
+table gives an empty result. Cost is linear in the text, of any length; no kind has an upper end to its length. A private key
+goes to the end mark that follows it, whatever its body holds; one without an end mark before the next key takes the lines of
+header fields and base-64 that follow it.
 """
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import code_points
 
 #: Order among spans that start at the same place.
-KINDS = ("assign", "access", "hex", "forge", "registry", "payment", "chat", "cloudkey", "jwt", "pem", "urlauth")
+KINDS = ("assign", "access", "hex", "forge", "registry", "payment", "chat", "cloudkey", "jwt", "pem", "urlauth", "wallet", "agekey", "notekey")
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 
 _ASSIGN = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
@@ -47,35 +52,87 @@ def _crc_ok(m: re.Match) -> bool:
     return base62_crc(m[1]) == m[2]
 
 
-def _jwt_ok(m: re.Match) -> bool:
-    """The header of a web token is base64 of a JSON object that names its algorithm."""
-    import base64
-    import json
-
-    head = m[0].split(b".")[0]
-    try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(head + b"=" * (-len(head) % 4)))
-    except (ValueError, TypeError):
-        return False
+def jwt_header(raw: bytes, at: int, end: int) -> bool:
+    """Is raw[at:end] base64 of a JSON object that names its algorithm. What is none shows in its first bytes, as a rule, so
+    that the whole is read only if these could be the beginning of one."""
+    for stop in (min(end, at + 1024), end):
+        part = raw[at:stop]
+        try:
+            text = base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4)).decode()
+            found = json.JSONDecoder().raw_decode(text)
+        except json.JSONDecodeError as e:
+            if stop == end or e.pos < len(text) - 8 and "Unterminated" not in e.msg:
+                return False
+        except ValueError:
+            return False
+        else:
+            return stop == end and found[1] == len(text) and "alg" in found[0]
+    return False
 
 
 def _any(_: re.Match) -> bool:
     return True
 
 
-#: kind, keyword as lower-case text, expression anchored at the keyword, check of the match.
+#: The alphabets of base-58 and bech32 texts, and the generator of bech32's checksum.
+_BASE58 = b"123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"
+_BECH32 = b"qpzry9x8gf2tvdw0s3jn54khce6mua7l"
+_GENERATOR = (0x3B6A57B2, 0x26508E6D, 0x1EA119FA, 0x3D4233DD, 0x2A1462B3)
+
+
+def _base58_ok(m: re.Match) -> bool:
+    """The last four bytes are the first of the rest's double SHA-256. A key has 111 digits."""
+    n = 0
+    for c in m[0]:
+        n = n * 58 + _BASE58.index(c)
+    raw = n.to_bytes(-(-n.bit_length() // 8), "big")
+    return hashlib.sha256(hashlib.sha256(raw[:-4]).digest()).digest()[:4] == raw[-4:]
+
+
+def _bech32_ok(m: re.Match) -> bool:
+    """The polynomial checksum over the part before the last 1 and the data after it."""
+    human, _, data = m[0].lower().rpartition(b"1")
+    if m[0] not in (m[0].lower(), m[0].upper()):
+        return False
+    chk = 1
+    for v in [*(c >> 5 for c in human), 0, *(c & 31 for c in human), *(_BECH32.index(c) for c in data)]:
+        top, chk = chk >> 25, (chk & 0x1FFFFFF) << 5 ^ v
+        for i, g in enumerate(_GENERATOR):
+            chk ^= g if top >> i & 1 else 0
+    return chk == 1
+
+
+_BECH32_CLASS = "[%s]" % _BECH32.decode()
+
+#: kind, keyword as lower-case text, expression anchored at the keyword, check of the match. No upper ends: a run that goes on
+#: is one secret. Runs are possessive, so that each is read once.
 RULES = (
     *(("forge", f"{p}_", re.compile(rb"%s_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])" % p.encode()), _crc_ok) for p in ("ghp", "gho", "ghu", "ghs", "ghr")),
     ("registry", "npm_", re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"), _crc_ok),
-    ("payment", "sk_live_", re.compile(rb"sk_live_[0-9A-Za-z]{24,247}(?![0-9A-Za-z])"), _any),
-    ("payment", "rk_live_", re.compile(rb"rk_live_[0-9A-Za-z]{24,247}(?![0-9A-Za-z])"), _any),
-    *(("chat", f"xox{c}-", re.compile(rb"xox%s-[0-9]{10,13}-[0-9A-Za-z-]{10,80}" % c.encode()), _any) for c in "abprs"),
+    ("payment", "sk_live_", re.compile(rb"sk_live_[0-9A-Za-z]{24,}+"), _any),
+    ("payment", "rk_live_", re.compile(rb"rk_live_[0-9A-Za-z]{24,}+"), _any),
+    *(("chat", f"xox{c}-", re.compile(rb"xox%s-[0-9]{10,}+-[0-9A-Za-z-]{10,}+" % c.encode()), _any) for c in "abprs"),
     ("cloudkey", "aiza", re.compile(rb"AIza[0-9A-Za-z_-]{35}(?![0-9A-Za-z_-])"), _any),
-    ("jwt", "eyj", re.compile(rb"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{16,}"), _jwt_ok),
-    ("pem", "-----begin ", re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----(?:[^-]{0,16384}-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----)?"), _any),
-    ("urlauth", "://", re.compile(rb"://[A-Za-z0-9._~%+-]{1,64}:[^\s:@/]{3,128}@[A-Za-z0-9.-]{1,253}"), _any),
+    ("jwt", "eyj", re.compile(rb"(eyJ[A-Za-z0-9_-]{10,}+)(\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{16,}+)?"), _any),
+    ("pem", "-----begin ", re.compile(rb"-----BEGIN (?:[A-Z0-9]++ )*?PRIVATE KEY(?: BLOCK)?-----"), _any),
+    ("urlauth", "://", re.compile(rb"://[A-Za-z0-9._~%+-]++:[^\s:@/]{3,}+@[A-Za-z0-9.-]++"), _any),
+    *(("wallet", f"{p}prv", re.compile(rb"[%s]prv[%s]{107}(?![%s])" % (p.encode(), _BASE58, _BASE58)), _base58_ok) for p in "xyzt"),
+    ("agekey", "age-secret-key-1", re.compile(rb"(?i:age-secret-key-1%s{58})(?![0-9A-Za-z])" % _BECH32_CLASS.encode()), _bech32_ok),
+    ("notekey", "nsec1", re.compile(rb"(?i:nsec1%s{58})(?![0-9A-Za-z])" % _BECH32_CLASS.encode()), _bech32_ok),
 )
 
+#: The mark that ends a private key, and what a key without one is taken to be: its lines of header fields and base-64.
+_PEM_MARK = re.compile(rb"-----(BEGIN|END) (?:[A-Z0-9]++ )*?PRIVATE KEY(?: BLOCK)?-----")
+_PEM_LINES = re.compile(rb"(?:[\s\\]++(?:[A-Za-z-]++:\x20[^\r\n]*+|[A-Za-z0-9+/=]{16,}+))*+")
+
+
+class KeyEnds:
+    """Where the private keys of one text end, each found by one pass over all marks."""
+
+    def __init__(self, raw: bytes) -> None:
+        marks = [(m.start(), m.end(), m[1]) for m in _PEM_MARK.finditer(raw)]
+        self.ends = {a: (n[1] if n and n[2] == b"END" else _PEM_LINES.match(raw, b).end()) for (a, b, kind), n in zip(marks, [*marks[1:], None]) if kind == b"BEGIN"}
+
 
 def _automaton():
     import ahocorasick
@@ -104,17 +161,30 @@ class Scanner:
         raw = text.encode("utf-8", "surrogatepass")
         found: list[tuple[int, int, int, str]] = []
         ends: dict[str, int] = {}
+        keys, head, tail = None, 0, 0
         for last, (back, rules) in self.hits.iter(raw.lower().decode("latin-1")):
             at = last - back
             for kind, rx, check in rules:
                 if at < ends.get(kind, 0):  # inside the kind's match before it: matches are leftmost and do not overlap
                     continue
-                m = rx.match(raw, at)
-                if m and kind in ("assign", "access"):  # a base match that fails its length is spent all the same
-                    ends[kind] = m.end()
-                if m and check(m):
-                    ends[kind] = m.end()
-                    found.append((at, self.order[kind], m.end(), kind))
+                if kind == "jwt" and at < head:  # inside a run that was read before
+                    end = tail if tail > head and head - at > 12 and jwt_header(raw, at, head) else 0
+                else:
+                    m = rx.match(raw, at)
+                    if not m:
+                        continue
+                    if kind in ("assign", "access"):  # a base match that fails its length is spent all the same
+                        ends[kind] = m.end()
+                    end = m.end() if check(m) else 0
+                    if kind == "jwt":
+                        head, tail = m.end(1), m.end()
+                        end = end if tail > head and jwt_header(raw, at, head) else 0
+                    elif kind == "pem":
+                        keys = keys or KeyEnds(raw)
+                        end = keys.ends.get(at, end)
+                if end:
+                    ends[kind] = end
+                    found.append((at, self.order[kind], end, kind))
         if _HEX_RUN in raw.translate(_HEX_CLASS):
             found += [(m.start(), self.order["hex"], m.end(), "hex") for m in _HEX.finditer(raw)]
         found.sort()
