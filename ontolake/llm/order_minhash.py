@@ -12,12 +12,14 @@ of near copies thus costs a comparison for each member and not for each pair, an
 is left out.
 
 A bucket of more than CROWD classes that still holds several components is a crowd around a common passage. Its members are
-looked up by a prefix of their labelled runs of GRAM words, in the order of how many members of crowds hold them, rarest
-first. Links of a member have at least `least_common` of these runs in common, so two that link share one of the prefixes that
-leave out all but that many less one; what a passage holds comes last. Members that share a run of their prefixes make a new
-bucket. New buckets of CROWD or fewer are compared in pairs of different components. Larger ones are
-compared with their first and dealt, DEALS times, into cells of CELL by hash, whose members are compared with each other; what
-then is still apart is compared in pairs of different components, so that nothing is left out.
+looked up by prefixes of their labelled runs of GRAM words: links of a member have at least `least_common` of these runs in
+common, so under any order of the runs, two that link share one of those that come before the last `least_common` - 1. The
+order is the bucket's own: rare runs first, by how many of about REFERENCES members drawn by hash hold a run; what the passage
+holds comes last. The order decides how many meet, never which links exist. Prefixes are dealt by run into shards, as many as
+the bucket's size asks for, so that a member is a row for each shard it has runs in, and a shard is a task of bounded size
+whatever the size of the bucket. Members that share a run there are compared in pairs of different components if they are
+CROWD or fewer. Larger sets are compared with their first and dealt, DEALS times, into cells of CELL by hash, whose members are
+compared with each other; what then is still apart is compared in pairs of different components, so that nothing is left out.
 
 Chance of missing a pair, for the share s of common runs (of the runs of both): (1 - s^TAKEN)^SKETCHES, some 1e-5 at 0.8.
 
@@ -30,6 +32,7 @@ read whole; other columns are ignored, an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -47,6 +50,8 @@ CLOSE = 8 / 9
 #: Words of the runs by which members of a crowd are looked up; members of a cell, and how often members are dealt into
 #: cells; their first ties the cells together.
 GRAM, CELL, DEALS = 2, 24, 2
+#: Members of a crowd, about, whose runs tell which are common in it; members to a shard of its prefixes.
+REFERENCES, SHARD = 64, 4000
 _WORD = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -203,18 +208,83 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], names=["id", "digest", "node", "n", "sketches", "words"])
 
 
-def least_common(n):
-    """How many labelled runs of GRAM words a text of n words has at least in common with any text it links to, as a Spark
-    column. An edit takes GRAM runs at most, and a ninth of the longer's words may be edited; or the runs of K words have a
-    Jaccard similarity of LEAST, and each that is common begins with a run of GRAM words that is."""
+def least_common(n: int) -> int:
+    """How many labelled runs of GRAM words a text of n words has at least in common with any text it links to. An edit takes
+    GRAM runs at most, and 1 - CLOSE of the longer's words may be edited; or the runs of K words have a Jaccard similarity of
+    LEAST, and each that is common begins with a run of GRAM words that is."""
     edited = n * (1 - GRAM * (1 - CLOSE)) - (GRAM - 1)
-    return F.greatest(F.lit(1), F.ceil(F.least(edited, (n - (K - 1)) * LEAST) - F.lit(1e-6)))
+    return max(1, math.ceil(min(edited, (n - (K - 1)) * LEAST) - 1e-6))
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, refs) to the runs that two references or more hold, sorted, and by how many."""
     for batch in batches:
-        grams = [labelled_runs(np.frombuffer(w.as_py(), "<u4"), GRAM).view(np.int64) for w in batch.column(3)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(grams, pa.list_(pa.int64()))], names=["node", "n", "comp", "grams"])
+        runs, held = [], []
+        for refs in batch.column(1):
+            found, count = np.unique(np.concatenate([labelled_runs(np.frombuffer(w, "<u4"), GRAM) for w in refs.as_py()]), return_counts=True)
+            runs.append(found[count > 1].tobytes())
+            held.append(count[count > 1].astype("<u2").tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary()), pa.array(held, pa.binary())], names=["bucket", "runs", "held"])
+
+
+def prefix(words: np.ndarray, runs: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """The labelled runs of GRAM words of a text that come before its last `least_common` - 1; runs that are held come after
+    those that are not, by how often."""
+    own = labelled_runs(words, GRAM)
+    often = np.zeros(len(own), "<u2")
+    if len(runs):
+        at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
+        often = np.where(runs[at] == own, held[at], 0)
+    return own[np.lexsort((own, often))[: max(1, len(own) - least_common(len(words)) + 1)]]
+
+
+def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["bucket", "shard", "node", "n", "comp", "grams"]
+    types = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+    for batch in batches:
+        rows: list[tuple] = []
+        for bucket, node, n, comp, size, words, runs, held in zip(*(c.to_pylist() for c in batch.columns)):
+            grams = prefix(np.frombuffer(words, "<u4"), np.frombuffer(runs or b"", "<u8"), np.frombuffer(held or b"", "<u2"))
+            shard = (_mix(grams) % np.uint64(-(-size // SHARD))).astype(int)
+            rows += [(bucket, int(x), node, n, comp, grams[shard == x].tobytes()) for x in np.unique(shard)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
+
+
+_MET = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("bucket", pa.int64()), ("n", pa.int32()), ("comp", pa.binary())])
+
+
+def _met(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """One shard: pairs (a, b) that share a run, of near lengths and different components; and where a run is held by more
+    than CROWD, its holders (a, bucket, n, comp)."""
+    nodes, comps = table["node"].to_pylist(), table["comp"].to_pylist()
+    n = table["n"].to_numpy()
+    number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    comp = np.array([number[c] for c in comps])
+    grams = [np.frombuffer(g, "<u8") for g in table["grams"].to_pylist()]
+    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+    flat = np.concatenate(grams)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    pairs: set[tuple[int, int]] = set()
+    big: list[tuple[int, int]] = []
+    for s, e in zip(start, np.r_[start[1:], len(flat)]):
+        if e - s < 2:
+            continue
+        who = owner[s:e]
+        c = comp[who]
+        if (c == c[0]).all():
+            continue
+        if e - s > CROWD:
+            name = int(_mix(flat[s : s + 1] ^ np.uint64(key[0].as_py() & (1 << 64) - 1)).view(np.int64)[0])
+            big += [(int(i), name) for i in who]
+            continue
+        i, j = np.triu_indices(len(who), 1)
+        near = np.minimum(n[who[i]], n[who[j]]) >= np.maximum(n[who[i]], n[who[j]]) * LEAST - 1e-9
+        keep = near & (c[i] != c[j])
+        pairs.update(zip(who[i[keep]].tolist(), who[j[keep]].tolist()))
+    rows = [(*sorted((nodes[i], nodes[j])), None, None, None) for i, j in pairs] + [(nodes[i], None, name, int(n[i]), comps[i]) for i, name in big]
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _MET)], schema=_MET) if rows else _MET.empty_table()
 
 
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,19 +322,15 @@ def _buckets(entries: DataFrame, name: str) -> DataFrame:
     return staged(entries.join(firsts, "bucket"), name)
 
 
-def _prefixes(crowd: DataFrame, words: DataFrame) -> DataFrame:
-    """(bucket, node, n, comp) of the members of crowds by the runs of their prefixes that another member holds too. Runs
-    of one member alone come first in the order, and need no row."""
-    members = crowd.select("node", "n", "comp").distinct().join(words, "node").select("node", "n", "comp", "words")
-    members = staged(members.mapInArrow(_grams, "node binary, n int, comp binary, grams array<long>"), "crowd-grams")
-    rows = members.select("node", F.explode("grams").alias("bucket"))
-    held = staged(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("holders")).where("holders > 1"), "crowd-runs")
-    rows = rows.join(held, "bucket")
-    of = Window.partitionBy("node")
-    rows = rows.withColumn("nth", F.row_number().over(of.orderBy("holders", "bucket"))).withColumn("shared", F.count(F.lit(1)).over(of))
-    # Of all runs but least_common - 1, those that others hold come after the member's own.
-    rows = rows.join(members.select("node", "n", "comp"), "node").where(F.col("nth") <= F.col("shared") - least_common(F.col("n")) + 1)
-    return rows.select("bucket", "node", "n", "comp")
+def _meetings(crowd: DataFrame, words: DataFrame) -> DataFrame:
+    """crowd: (bucket, node, n, comp, size). What `_met` finds in all shards of its buckets; a stored table."""
+    drawn = crowd.where(F.pmod(F.xxhash64("node", "bucket"), "size") < REFERENCES).select("bucket", "node")
+    refs = drawn.join(words, "node").groupBy("bucket").agg(F.collect_list("words").alias("refs"))
+    common = staged(refs.mapInArrow(_common_runs, "bucket long, runs binary, held binary"), "crowd-runs")
+    rows = crowd.select("bucket", "node", "n", "comp", "size").join(words.select("node", "words"), "node").join(common, "bucket", "left")
+    rows = rows.select("bucket", "node", "n", "comp", "size", "words", "runs", "held")
+    rows = rows.mapInArrow(_sharded, "bucket long, shard int, node binary, n int, comp binary, grams binary")
+    return staged(rows.groupBy("bucket", "shard").applyInArrow(_met, "a binary, b binary, bucket long, n int, comp binary"), "crowd-pairs")
 
 
 def _cells(big: DataFrame) -> DataFrame:
@@ -306,12 +372,12 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowd = left.where(F.col("size") > CROWD)
     big = None
     if not crowd.isEmpty():
-        again = staged(_prefixes(crowd, words), "prefixes")
-        sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("first")).where("size > 1")
-        again = staged(_open(again.join(sizes, "bucket")), "prefix-buckets")
-        big = again.where(F.col("size") > CROWD)
+        met = _meetings(crowd, words)
+        again = met.where("b is null").select("bucket", F.col("a").alias("node"), "n", "comp").distinct()
+        sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("first"))
+        big = staged(again.join(sizes, "bucket"), "prefix-buckets")
         star = big.where((F.col("node") != F.col("first.node")) & _near("n", "first.n")).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-        pairs = pairs.union(_cross(again.where(F.col("size") <= CROWD))).union(star).union(_cross(_cells(big)))
+        pairs = pairs.union(met.where("b is not null").select("a", "b")).union(star).union(_cross(_cells(big)))
     tested = found.select("a", "b")
     links = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
     for last in (False, True):
