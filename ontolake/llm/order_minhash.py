@@ -12,14 +12,15 @@ of near copies thus costs a comparison for each member and not for each pair, an
 is left out.
 
 A bucket of more than CROWD classes that still holds several components is a crowd around a common passage. Its members are
-looked up by prefixes of their labelled runs of GRAM words: links of a member have at least `least_common` of these runs in
-common, so under any order of the runs, two that link share one of those that come before the last `least_common` - 1. The
-order is the bucket's own: rare runs first, by how many of about REFERENCES members drawn by hash hold a run; what the passage
-holds comes last. The order decides how many meet, never which links exist. Prefixes are dealt by run into shards, as many as
-the bucket's size asks for, so that a member is a row for each shard it has runs in, and a shard is a task of bounded size
-whatever the size of the bucket. Members that share a run there are compared in pairs of different components if they are
-CROWD or fewer. Larger sets are compared with their first and dealt, DEALS times, into cells of CELL by hash, whose members are
-compared with each other; what then is still apart is compared in pairs of different components, so that nothing is left out.
+looked up twice, once for each half of the rule: by labelled runs of K words, of which LEAST must be common, and by labelled
+words, of which CLOSE must be. Under any order of a text's runs, two that link share `shared_least` of those that come before
+the last `least_common` less as many. The order is the bucket's own: rare runs first, by how many of about REFERENCES members
+drawn by hash hold a run; what the passage holds comes last. The order decides how many meet, never which links exist.
+Prefixes are dealt by run into shards of about SHARD runs, so that a member is a row for each shard it has runs in, and a
+shard is a task of bounded size whatever the size of the bucket. A shard counts how many runs members of different components
+share, in the prefixes first and then in all; those that share enough in one shard are compared there. Holders of a run that more than HOT members hold are
+compared with their first and dealt, DEALS times, into cells of CELL by hash, whose members are compared with each other; what
+then is still apart is compared in pairs of different components, so that nothing is left out.
 
 Chance of missing a pair, for the share s of common runs (of the runs of both): (1 - s^TAKEN)^SKETCHES, some 1e-5 at 0.8.
 
@@ -47,11 +48,11 @@ from .components import connected_components
 K, TAKEN, SKETCHES, LEAST, CROWD = 5, 3, 16, 0.8, 64
 #: For texts of equal length, runs with a similarity of 0.8 mean that at most a ninth of the words is edited.
 CLOSE = 8 / 9
-#: Words of the runs by which members of a crowd are looked up; members of a cell, and how often members are dealt into
-#: cells; their first ties the cells together.
-GRAM, CELL, DEALS = 2, 24, 2
-#: Members of a crowd, about, whose runs tell which are common in it; members to a shard of its prefixes.
-REFERENCES, SHARD = 64, 4000
+#: Members of a cell, and how often members are dealt into cells; their first ties the cells together.
+CELL, DEALS = 24, 2
+#: Members of a crowd, about, whose runs tell which are common in it; runs to a shard of its prefixes; holders of a run whose
+#: pairs are counted in a shard.
+REFERENCES, SHARD, HOT = 64, 4_000_000, 4000
 _WORD = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -208,82 +209,104 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out[0], pa.binary()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())], names=["id", "digest", "node", "n", "sketches", "words"])
 
 
-def least_common(n: int) -> int:
-    """How many labelled runs of GRAM words a text of n words has at least in common with any text it links to. An edit takes
-    GRAM runs at most, and 1 - CLOSE of the longer's words may be edited; or the runs of K words have a Jaccard similarity of
-    LEAST, and each that is common begins with a run of GRAM words that is."""
-    edited = n * (1 - GRAM * (1 - CLOSE)) - (GRAM - 1)
-    return max(1, math.ceil(min(edited, (n - (K - 1)) * LEAST) - 1e-6))
+def least_common(n: int, k: int) -> int:
+    """How many labelled runs of k words (K or 1) a text of n words has at least in common with any text it links to by that
+    half of the rule: K by the similarity of runs, 1 by edits, each of which takes one word."""
+    return max(1, math.ceil((max(1, n - K + 1) * LEAST if k == K else n * CLOSE) - 1e-6))
 
 
-def _common_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def shared_least(n: int, k: int) -> int:
+    """How many runs of their prefixes two texts share that link; for each of the two, and the smaller number holds."""
+    return max(1, least_common(n, k) // 4)
+
+
+def ordered(words: np.ndarray, k: int, runs: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, int]:
+    """The labelled runs of k words of a text, those that are held after those that are not, by how often; and the number of
+    those that come before the last `least_common` - `shared_least`."""
+    own, n = labelled_runs(words, k), len(words)
+    often = np.zeros(len(own), "<u2")
+    if len(runs):
+        at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
+        often = np.where(runs[at] == own, held[at], 0)
+    return own[np.lexsort((own, often))], max(1, len(own) - least_common(n, k) + shared_least(n, k))
+
+
+def _common_runs(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     """(bucket, refs) to the runs that two references or more hold, sorted, and by how many."""
     for batch in batches:
         runs, held = [], []
         for refs in batch.column(1):
-            found, count = np.unique(np.concatenate([labelled_runs(np.frombuffer(w, "<u4"), GRAM) for w in refs.as_py()]), return_counts=True)
+            found, count = np.unique(np.concatenate([labelled_runs(np.frombuffer(w, "<u4"), k) for w in refs.as_py()]), return_counts=True)
             runs.append(found[count > 1].tobytes())
             held.append(count[count > 1].astype("<u2").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary()), pa.array(held, pa.binary())], names=["bucket", "runs", "held"])
 
 
-def prefix(words: np.ndarray, runs: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """The labelled runs of GRAM words of a text that come before its last `least_common` - 1; runs that are held come after
-    those that are not, by how often."""
-    own = labelled_runs(words, GRAM)
-    often = np.zeros(len(own), "<u2")
-    if len(runs):
-        at = np.minimum(np.searchsorted(runs, own), len(runs) - 1)
-        often = np.where(runs[at] == own, held[at], 0)
-    return own[np.lexsort((own, often))[: max(1, len(own) - least_common(len(words)) + 1)]]
+_SHARDED = "bucket long, shard int, shards int, node binary, n int, comp binary, words binary, first int, grams binary"
 
 
-def _sharded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["bucket", "shard", "node", "n", "comp", "grams"]
-    types = [pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
+def _sharded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """A row for each shard in which a member has runs: these, in order, and how many are of its prefix."""
+    names = [x.split()[0] for x in _SHARDED.split(", ")]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary()]
     for batch in batches:
         rows: list[tuple] = []
-        for bucket, node, n, comp, size, words, runs, held in zip(*(c.to_pylist() for c in batch.columns)):
-            grams = prefix(np.frombuffer(words, "<u4"), np.frombuffer(runs or b"", "<u8"), np.frombuffer(held or b"", "<u2"))
-            shard = (_mix(grams) % np.uint64(-(-size // SHARD))).astype(int)
-            rows += [(bucket, int(x), node, n, comp, grams[shard == x].tobytes()) for x in np.unique(shard)]
+        for bucket, node, n, comp, total, words, runs, held in zip(*(c.to_pylist() for c in batch.columns)):
+            grams, first = ordered(np.frombuffer(words, "<u4"), k, np.frombuffer(runs or b"", "<u8"), np.frombuffer(held or b"", "<u2"))
+            shards = total // SHARD + 1
+            shard = (_mix(grams) % np.uint64(shards)).astype(int)
+            rows += [(bucket, int(x), shards, node, n, comp, words, int((shard[:first] == x).sum()), grams[shard == x].tobytes()) for x in np.unique(shard)]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names=names)
 
 
-_MET = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("bucket", pa.int64()), ("n", pa.int32()), ("comp", pa.binary())])
+_MET = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("name", pa.int64()), ("n", pa.int32()), ("comp", pa.binary())])
 
 
-def _met(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """One shard: pairs (a, b) that share a run, of near lengths and different components; and where a run is held by more
-    than CROWD, its holders (a, bucket, n, comp)."""
-    nodes, comps = table["node"].to_pylist(), table["comp"].to_pylist()
-    n = table["n"].to_numpy()
-    number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
-    comp = np.array([number[c] for c in comps])
+def _met(key: tuple[pa.Scalar, ...], table: pa.Table, k: int) -> pa.Table:
+    """One shard: links (a, b) that join components. Those are compared that share in their prefixes, and then in all, as many
+    runs as the rule asks for, on average of the bucket's shards (one of them has that many at least). Besides, the holders (a,
+    name of the run, n, comp) of runs that more than HOT hold in their prefixes."""
+    bucket, nodes, comps, n = key[0].as_py(), table["node"].to_pylist(), table["comp"].to_pylist(), table["n"].to_numpy()
+    _, comp, sizes = np.unique(np.array(comps, object), return_inverse=True, return_counts=True)
+    if len(sizes) == 1:
+        return _MET.empty_table()
+    shards, first = table["shards"][0].as_py(), table["first"].to_numpy()
     grams = [np.frombuffer(g, "<u8") for g in table["grams"].to_pylist()]
-    owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-    flat = np.concatenate(grams)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-    pairs: set[tuple[int, int]] = set()
-    big: list[tuple[int, int]] = []
-    for s, e in zip(start, np.r_[start[1:], len(flat)]):
-        if e - s < 2:
-            continue
-        who = owner[s:e]
-        c = comp[who]
-        if (c == c[0]).all():
+    found, gram = np.unique(np.concatenate(grams), return_inverse=True)
+    own = np.split(gram, np.cumsum([len(g) for g in grams])[:-1])
+    owner = np.repeat(np.arange(len(grams)), first)
+    lead = np.concatenate([g[:m] for g, m in zip(own, first)])
+    holders = np.bincount(lead, minlength=len(found))
+    posts = np.split(owner[np.argsort(lead, kind="stable")], np.cumsum(holders)[:-1])
+    least = np.array([shared_least(int(x), k) for x in n])
+    runs = np.maximum(1, n - k + 1)
+    words = table["words"].to_pylist()
+    mark = np.zeros(len(found), bool)
+    rows: list[tuple] = []
+    # The largest component's members are met by all others, so only these look around.
+    largest = comp == sizes.argmax()
+    done = largest.copy()
+    for i in np.flatnonzero(~largest):
+        near = [posts[g] for g in own[i][: first[i]] if 1 < holders[g] <= HOT]
+        done[i] = True
+        if not near:
             continue
-        if e - s > CROWD:
-            name = int(_mix(flat[s : s + 1] ^ np.uint64(key[0].as_py() & (1 << 64) - 1)).view(np.int64)[0])
-            big += [(int(i), name) for i in who]
+        count = np.bincount(np.concatenate(near), minlength=len(nodes))
+        other = np.flatnonzero((count * shards >= np.minimum(least, least[i])) & (count > 0) & (comp != comp[i]) & (~done | largest))
+        if not len(other):
             continue
-        i, j = np.triu_indices(len(who), 1)
-        near = np.minimum(n[who[i]], n[who[j]]) >= np.maximum(n[who[i]], n[who[j]]) * LEAST - 1e-9
-        keep = near & (c[i] != c[j])
-        pairs.update(zip(who[i[keep]].tolist(), who[j[keep]].tolist()))
-    rows = [(*sorted((nodes[i], nodes[j])), None, None, None) for i, j in pairs] + [(nodes[i], None, name, int(n[i]), comps[i]) for i, name in big]
+        mark[own[i]] = True
+        common = np.add.reduceat(mark[np.concatenate([own[j] for j in other])], np.r_[0, np.cumsum([len(own[j]) for j in other])[:-1]], dtype=int)
+        mark[own[i]] = False
+        wanted = (runs[other] + runs[i]) * LEAST / (1 + LEAST) if k == K else np.maximum(n[other], n[i]) * CLOSE
+        text = np.frombuffer(words[i], "<u4")
+        for j in other[common * shards >= wanted - 1e-6]:
+            if comp[i] != comp[j] and similar(text, np.frombuffer(words[j], "<u4")):
+                comp[comp == comp[j]] = comp[i]
+                rows.append((*sorted((nodes[i], nodes[j])), None, None, None))
+    for g in np.flatnonzero(holders > HOT):
+        name = int(_mix(found[g : g + 1] ^ np.uint64(bucket & (1 << 64) - 1)).view(np.int64)[0])
+        rows += [(nodes[i], None, name, int(n[i]), comps[i]) for i in posts[g]]
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _MET)], schema=_MET) if rows else _MET.empty_table()
 
 
@@ -322,15 +345,17 @@ def _buckets(entries: DataFrame, name: str) -> DataFrame:
     return staged(entries.join(firsts, "bucket"), name)
 
 
-def _meetings(crowd: DataFrame, words: DataFrame) -> DataFrame:
+def _meetings(crowd: DataFrame, words: DataFrame, k: int) -> DataFrame:
     """crowd: (bucket, node, n, comp, size). What `_met` finds in all shards of its buckets; a stored table."""
     drawn = crowd.where(F.pmod(F.xxhash64("node", "bucket"), "size") < REFERENCES).select("bucket", "node")
     refs = drawn.join(words, "node").groupBy("bucket").agg(F.collect_list("words").alias("refs"))
-    common = staged(refs.mapInArrow(_common_runs, "bucket long, runs binary, held binary"), "crowd-runs")
-    rows = crowd.select("bucket", "node", "n", "comp", "size").join(words.select("node", "words"), "node").join(common, "bucket", "left")
-    rows = rows.select("bucket", "node", "n", "comp", "size", "words", "runs", "held")
-    rows = rows.mapInArrow(_sharded, "bucket long, shard int, node binary, n int, comp binary, grams binary")
-    return staged(rows.groupBy("bucket", "shard").applyInArrow(_met, "a binary, b binary, bucket long, n int, comp binary"), "crowd-pairs")
+    common = staged(refs.mapInArrow(lambda batches: _common_runs(batches, k), "bucket long, runs binary, held binary"), "crowd-runs")
+    totals = crowd.groupBy("bucket").agg(F.sum("n").alias("total")).join(common, "bucket", "left")
+    rows = crowd.select("bucket", "node", "n", "comp").join(words.select("node", "words"), "node").join(totals, "bucket")
+    rows = rows.select("bucket", "node", "n", "comp", "total", "words", "runs", "held")
+    rows = rows.mapInArrow(lambda batches: _sharded(batches, k), _SHARDED)
+    met = rows.groupBy("bucket", "shard").applyInArrow(lambda key, table: _met(key, table, k), "a binary, b binary, name long, n int, comp binary")
+    return staged(met, "crowd-pairs")
 
 
 def _cells(big: DataFrame) -> DataFrame:
@@ -372,14 +397,16 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowd = left.where(F.col("size") > CROWD)
     big = None
     if not crowd.isEmpty():
-        met = _meetings(crowd, words)
-        again = met.where("b is null").select("bucket", F.col("a").alias("node"), "n", "comp").distinct()
+        met = [_meetings(crowd, words, k) for k in (K, 1)]
+        again = met[0].union(met[1]).where("b is null").select(F.col("name").alias("bucket"), F.col("a").alias("node"), "n", "comp").distinct()
         sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("first"))
         big = staged(again.join(sizes, "bucket"), "prefix-buckets")
         star = big.where((F.col("node") != F.col("first.node")) & _near("n", "first.n")).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
-        pairs = pairs.union(met.where("b is not null").select("a", "b")).union(star).union(_cross(_cells(big)))
+        pairs = pairs.union(star).union(_cross(_cells(big)))
+        met_links = met[0].union(met[1]).where("b is not null").select("a", "b")
     tested = found.select("a", "b")
     links = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    links = links.union(met_links) if big is not None else links
     for last in (False, True):
         now = _verified(pairs.distinct().join(tested, ["a", "b"], "left_anti"), words, "cross-links")
         comps = connected_components(links.union(now.where("linked").select("a", "b")))

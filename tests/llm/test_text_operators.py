@@ -351,11 +351,17 @@ def test_linked_texts_have_enough_runs_in_common():
             b = np.r_[b, rng.integers(0, 10**6, len(b) // 5)].astype(np.uint32)
         if order_minhash.similar(a, b):
             linked += 1
-            common = len(np.intersect1d(order_minhash.labelled_runs(a, order_minhash.GRAM), order_minhash.labelled_runs(b, order_minhash.GRAM)))
-            assert common >= max(order_minhash.least_common(len(a)), order_minhash.least_common(len(b)))
-            runs = np.unique(rng.choice(order_minhash.labelled_runs(a, order_minhash.GRAM), 20))  # whatever the order says
-            held = rng.integers(2, 9, len(runs)).astype("<u2")
-            assert len(np.intersect1d(order_minhash.prefix(a, runs, held), order_minhash.prefix(b, runs, held)))
+            alike = []
+            for k in (order_minhash.K, 1):  # one half of the rule or the other
+                x, y = order_minhash.labelled_runs(a, k), order_minhash.labelled_runs(b, k)
+                runs = np.unique(rng.choice(x, 20))  # whatever the order says
+                held = rng.integers(2, 9, len(runs)).astype("<u2")
+                (x, i), (y, j) = (order_minhash.ordered(w, k, runs, held) for w in (a, b))
+                shared = np.intersect1d(x[:i], y[:j])
+                enough = len(np.intersect1d(x, y)) >= max(order_minhash.least_common(len(a), k), order_minhash.least_common(len(b), k))
+                assert not enough or len(shared) >= min(order_minhash.shared_least(len(a), k), order_minhash.shared_least(len(b), k))
+                alike.append(enough)
+            assert any(alike)
     assert linked > 300
 
 
