@@ -1,7 +1,7 @@
 """License scans by ordered signature rules.
 
-Several hundred expressions stand in license_rules. An Aho-Corasick pass over the lower-case text finds which keywords
-occur; only the rules whose keyword occurs are run. Detections are then resolved in order of priority, then length, then
+Several hundred expressions stand in license_rules. An Aho-Corasick pass over the lower-case words, whatever parts them, finds which
+keywords occur; only the rules whose keyword occurs are run. Detections are then resolved in order of priority, then length, then
 place: one that lies inside a kept detection is suppressed.
 
 Besides, a small set of base phrases is counted over words, a contract of its own: all places count, and their labels
@@ -30,14 +30,19 @@ _WORD = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x60 or 0x7B <= c <= 0x7F else c f
 _PHRASES = tuple((b" " + p.encode() + b" ", label) for p, label in BASE.items())
 
 
+def _line(low: bytes) -> bytes:
+    """The words of lower-case text, a blank around each."""
+    return b" " + b" ".join(low.translate(_WORD).split()) + b" "
+
+
 class Scanner:
     def __init__(self, rules: tuple[Rule, ...] | None = None) -> None:
         import ahocorasick
 
         self.rules = build() if rules is None else rules
         self.by_word: dict[str, list[int]] = {}
-        for i, r in enumerate(self.rules):
-            self.by_word.setdefault(r.keyword, []).append(i)
+        for i, r in enumerate(self.rules):  # keywords are looked for in the words alone, however these are parted
+            self.by_word.setdefault(_line(r.keyword.encode()).decode().strip(), []).append(i)
 
         self.automaton = ahocorasick.Automaton()
         for word in self.by_word:
@@ -46,21 +51,22 @@ class Scanner:
 
     def base(self, low: bytes) -> tuple[int, list[int], set[str]]:
         """Number of words; where each base phrase starts, in words; labels."""
-        words = low.translate(_WORD).split()
+        line = _line(low)
         starts, labels = [], set()
         if b"license" in low or b"cc" in low:
-            line = b" " + b" ".join(words) + b" "
             for phrase, label in _PHRASES:
-                at = line.find(phrase)
+                at, seen, before = line.find(phrase), 0, 0
                 while at >= 0:
-                    starts.append(line.count(b" ", 0, at))
+                    before += line.count(b" ", seen, at)  # words before the place, counted on from the one before it
+                    seen = at
+                    starts.append(before)
                     labels.add(label)
                     at = line.find(phrase, at + 1)
-        return len(words), sorted(starts), labels
+        return line.count(b" ") - 1 if len(line) > 2 else 0, sorted(starts), labels
 
     def detections(self, low: bytes) -> list[tuple[int, int, Rule]]:
         """(start, end, rule) that remain, in bytes, by place."""
-        words = {w for _, w in self.automaton.iter(low.decode("latin-1"))}
+        words = {w for _, w in self.automaton.iter(_line(low).decode("latin-1"))}
         found = []
         for i in sorted(i for w in words for i in self.by_word[w]):
             r = self.rules[i]
@@ -69,25 +75,25 @@ class Scanner:
 
 
 def resolve(found: list[tuple[int, int, int, int, int]], rules) -> list[tuple[int, int, Rule]]:
-    """Containment suppression over (-priority, -length, start, end, rule number). A tree of kept intervals is not
-    needed: an interval is inside a kept one if the farthest end of kept starts up to its own reaches its end."""
-    import bisect
-
+    """Containment suppression over (-priority, -length, start, end, rule number): an interval is inside a kept one if the
+    farthest end of the kept ones that start at its own start or before reaches its end. These ends stand in a binary tree
+    of maxima over the ranks of all starts."""
     found.sort()
-    starts: list[int] = []
-    ends: list[int] = []  # farthest end of kept intervals that start there or before
+    rank = {a: i + 1 for i, a in enumerate(sorted({f[2] for f in found}))}
+    ends = [-1] * (len(rank) + 1)
     kept = []
     for _, _, a, b, i in found:
-        at = bisect.bisect_right(starts, a)
-        if at and ends[at - 1] >= b:
+        at, far = rank[a], -1
+        while at:
+            far = max(far, ends[at])
+            at &= at - 1
+        if far >= b:
             continue
         kept.append((a, b, rules[i]))
-        starts.insert(at, a)
-        ends.insert(at, b)
-        for k in range(at, len(ends)):
-            if k > at and ends[k] >= b:
-                break
-            ends[k] = max(ends[k], b)
+        at = rank[a]
+        while at < len(ends):
+            ends[at] = max(ends[at], b)
+            at += at & -at
     return sorted(kept, key=lambda d: (d[0], d[1], d[2].name))
 
 

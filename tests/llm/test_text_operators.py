@@ -130,6 +130,43 @@ def test_license_base_and_rules():
     assert labels("nothing of the kind") == set()
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""
+GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."""
+BSD2 = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."""
+BSD3 = BSD2 + """ 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS."""
+ASF = """Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."""
+ZLIB = """This software is provided 'as-is', without any express or implied warranty."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""
+UNLICENSE = """This is free and unencumbered software released into the public domain."""
+
+
+@pytest.mark.parametrize("before", ["", " * ", "# ", "// ", ";; ", "-- ", "> "])
+@pytest.mark.parametrize("width", [10_000, 76, 40, 20])
+@pytest.mark.parametrize(("text", "label"), [(MIT, "mit"), (GPL, "gpl"), (BSD2, "bsd-2-clause"), (BSD3, "bsd-3-clause"), (APACHE, "apache-2.0"), (ASF, "apache"), (ISC, "isc"), (ZLIB, "zlib"), (MPL, "mpl-2.0"), (UNLICENSE, "unlicense")], ids=lambda x: x if len(x) < 20 else "")
+def test_notices_are_found_wrapped_and_commented(text, label, width, before):
+    import textwrap
+
+    lines = textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False)
+    low = "\n".join(before + line for line in lines).lower().encode()
+    assert label in {r.label for _, _, r in _LICENSES.detections(low)}
+
+
+def test_scans_of_long_texts_are_linear():
+    import time
+
+    took = []
+    for n in (20_000, 160_000):
+        low = b"mit license and apache license; " * n
+        began = time.process_time()
+        _, places, labels = _LICENSES.base(low)
+        found = _LICENSES.detections(low)
+        took.append(time.process_time() - began)
+        assert len(places) == 2 * n and labels == {"mit", "apache"} and {r.label for _, _, r in found} == {"mit", "apache"}
+    assert took[1] < 30 * took[0]  # eight times the text
+
+
 def test_containment_keeps_the_stronger():
     rules = build()
     at = {r.name: i for i, r in enumerate(rules)}
@@ -338,6 +375,21 @@ def test_pairs_inside_a_crowd_are_found(spark):
     assert got == {i: min(i, alone) for i in range(len(rows))}
 
 
+@pytest.mark.parametrize("share", [0.02, 0.06, 0.08, 0.1, 0.11])
+def test_spread_edits_are_met(share):
+    rng = np.random.default_rng(31)
+    sketch = lambda w: order_minhash.sketches(order_minhash.labelled_runs(w))
+    linked = met = 0
+    for _ in range(400):
+        a = rng.integers(0, 2**32, 400, dtype=np.uint32)
+        b = a.copy()
+        b[rng.choice(400, int(share * 400), replace=False)] = rng.integers(0, 2**32, int(share * 400), dtype=np.uint32)
+        if order_minhash.similar(a, b):
+            linked += 1
+            met += bool((sketch(a) == sketch(b)).any())
+    assert linked == 400 and met >= 0.9 * linked
+
+
 def test_linked_texts_have_enough_runs_in_common():
     rng = np.random.default_rng(29)
     linked = 0
