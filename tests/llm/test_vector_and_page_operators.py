@@ -161,6 +161,34 @@ def test_captures_are_nested(spark):
     assert row["metadata"]["concurrent_to"] == row["response"]["record_id"]
 
 
+def test_archives_hold_a_member_for_each_record(spark):
+    import gzip
+    import zlib
+
+    path = warc.shared_path(spark, "test-warc")
+    big = "".join(chr(32 + i % 90) for i in range(20_000_000))  # more than one member holds
+    html = [None, "", "x" * 99, "é" * 50, "\r\n\r\nWARC/1.1\r\n" * 20, big, "\0" * 300, "y" * 200, "y" * 200]
+    warc.write_warc(spark.createDataFrame([(i, f"http://a/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string").coalesce(1), path)
+    data = b"".join(r["content"] for r in spark.read.format("binaryFile").load(path).collect())
+    assert gzip.decompress(data).count(b"WARC-Record-ID: ") == 3 * len(html)  # what any gzip reader sees
+    members, whole, rest = 0, 0, data
+    while rest:
+        one = zlib.decompressobj(31)
+        head = one.decompress(rest)
+        members, rest, whole = members + 1, one.unused_data, whole + (head.startswith(b"WARC/1.1\r\n") and head.endswith(b"\r\n\r\n"))
+    assert members == 3 * len(html) + 2 and whole == 3 * len(html) - 1
+    rows = warc.assemble(warc.read_warc(spark, path)).collect()
+    got = {int(r["metadata"]["page_id"]): r["response"]["payload"] for r in rows}
+    assert got == {i: (None if i == 8 else h or "") for i, h in enumerate(html)}
+
+
+def test_pages_that_repeat_without_end_are_spread(spark):
+    rows = [(7, "u", "z" * 150)] * 300 + [(None, None, "z" * 150)] * 50 + [(9, "v", "w" * 150)] * 40 + [(9, None, "w" * 150)]
+    got = warc.op7_warc_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).toPandas()
+    assert len(got) == len(rows) and (got.record_type == "response").sum() == 2
+    assert sorted(got[got.record_type == "response"].page_id) == [7, 9] and set(got[got.record_type == "revisit"].refers_to) == {7, 9}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
