@@ -14,13 +14,16 @@ is left out.
 A bucket of more than CROWD classes that still holds several components is a crowd around a common passage. Its members are
 looked up twice, once for each half of the rule: by labelled runs of K words, of which LEAST must be common, and by labelled
 words, of which CLOSE must be. Under any order of a text's runs, two that link share `shared_least` of those that come before
-the last `least_common` less as many. The order is the bucket's own: rare runs first, by how many of about REFERENCES members
-drawn by hash hold a run; what the passage holds comes last. The order decides how many meet, never which links exist.
-Prefixes are dealt by run into shards of about SHARD runs, so that a member is a row for each shard it has runs in, and a
-shard is a task of bounded size whatever the size of the bucket. A shard counts how many runs members of different components
-share, in the prefixes first and then in all; those that share enough in one shard are compared there. Holders of a run that more than HOT members hold are
-compared with their first and dealt, DEALS times, into cells of CELL by hash, whose members are compared with each other; what
-then is still apart is compared in pairs of different components, so that nothing is left out.
+the last `least_common` less as many. The order is the bucket's own, rare runs first; what the passage holds comes last. The
+order decides how many meet, never which links exist. Members of different components that share enough, in their prefixes
+first and then in all, are compared there.
+
+A bucket of SHARD words at most is one task. Of a larger one, about REFERENCES members drawn by hash tell which runs are held
+by several, and its members are dealt by run into shards of about SHARD runs, a row for each shard that a member has runs in:
+a task is of bounded size whatever the size of the bucket. Links share enough in one shard at least. Holders of a run that
+more than HOT members hold in their prefixes are compared with their first and dealt, DEALS times, into cells of CELL by hash,
+whose members are compared with each other; what then is still apart is compared in pairs of different components, so that
+nothing is left out.
 
 Chance that two texts share no sketch, for the share s of common runs (of the runs of both): (1 - s^TAKEN)^SKETCHES, that is
 8e-8 at 0.8. Where edits are spread so that a ninth of the words takes out five ninths of the runs, at the rule's edge, it is
@@ -265,29 +268,22 @@ def _sharded(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBat
 _MET = pa.schema([("a", pa.binary()), ("b", pa.binary()), ("name", pa.int64()), ("n", pa.int32()), ("comp", pa.binary())])
 
 
-def _met(key: tuple[pa.Scalar, ...], table: pa.Table, k: int) -> pa.Table:
-    """One shard: links (a, b) that join components. Those are compared that share in their prefixes, and then in all, as many
-    runs as the rule asks for, on average of the bucket's shards (one of them has that many at least). Besides, the holders (a,
-    name of the run, n, comp) of runs that more than HOT hold in their prefixes."""
-    bucket, nodes, comps, n = key[0].as_py(), table["node"].to_pylist(), table["comp"].to_pylist(), table["n"].to_numpy()
-    _, comp, sizes = np.unique(np.array(comps, object), return_inverse=True, return_counts=True)
-    if len(sizes) == 1:
-        return _MET.empty_table()
-    shards, first = table["shards"][0].as_py(), table["first"].to_numpy()
-    grams = [np.frombuffer(g, "<u8") for g in table["grams"].to_pylist()]
+def _compared(bucket: int, nodes: list, comps: list, comp: np.ndarray, n: np.ndarray, words: list, grams: list[np.ndarray], first: np.ndarray, shards: int, k: int) -> list[tuple]:
+    """Links (a, b) that join components. Members are compared that share in their prefixes (the `first` of their runs), and
+    then in all, as many runs as the rule asks for, on average of the bucket's shards (one of them has that many at least).
+    comp follows the links. Besides, the holders (a, name of the run, n, comp) of runs that more than HOT hold in their
+    prefixes."""
     found, gram = np.unique(np.concatenate(grams), return_inverse=True)
     own = np.split(gram, np.cumsum([len(g) for g in grams])[:-1])
-    owner = np.repeat(np.arange(len(grams)), first)
     lead = np.concatenate([g[:m] for g, m in zip(own, first)])
     holders = np.bincount(lead, minlength=len(found))
-    posts = np.split(owner[np.argsort(lead, kind="stable")], np.cumsum(holders)[:-1])
+    posts = np.split(np.repeat(np.arange(len(grams)), first)[np.argsort(lead, kind="stable")], np.cumsum(holders)[:-1])
     least = np.array([shared_least(int(x), k) for x in n])
     runs = np.maximum(1, n - k + 1)
-    words = table["words"].to_pylist()
     mark = np.zeros(len(found), bool)
     rows: list[tuple] = []
     # The largest component's members are met by all others, so only these look around.
-    largest = comp == sizes.argmax()
+    largest = comp == np.bincount(comp).argmax()
     done = largest.copy()
     for i in np.flatnonzero(~largest):
         near = [posts[g] for g in own[i][: first[i]] if 1 < holders[g] <= HOT]
@@ -310,9 +306,48 @@ def _met(key: tuple[pa.Scalar, ...], table: pa.Table, k: int) -> pa.Table:
     for g in np.flatnonzero(holders > HOT):
         name = int(_mix(found[g : g + 1] ^ np.uint64(bucket & (1 << 64) - 1)).view(np.int64)[0])
         rows += [(nodes[i], None, name, int(n[i]), comps[i]) for i in posts[g]]
+    return rows
+
+
+def _met_table(rows: list[tuple]) -> pa.Table:
     return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), _MET)], schema=_MET) if rows else _MET.empty_table()
 
 
+def _members(table: pa.Table) -> tuple[list, list, np.ndarray, np.ndarray, list]:
+    comps = table["comp"].to_pylist()
+    _, comp = np.unique(np.array(comps, object), return_inverse=True)
+    return table["node"].to_pylist(), comps, comp, table["n"].to_numpy(), table["words"].to_pylist()
+
+
+def _met(key: tuple[pa.Scalar, ...], table: pa.Table, k: int) -> pa.Table:
+    """What `_compared` finds in one shard of a bucket."""
+    nodes, comps, comp, n, words = _members(table)
+    if (comp == comp[0]).all():
+        return _MET.empty_table()
+    grams = [np.frombuffer(g, "<u8") for g in table["grams"].to_pylist()]
+    return _met_table(_compared(key[0].as_py(), nodes, comps, comp, n, words, grams, table["first"].to_numpy(), table["shards"][0].as_py(), k))
+
+
+def _met_of(k: int):
+    return lambda key, table: _met(key, table, k)
+
+
+def _met_whole(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """What `_compared` finds in a whole bucket, whose holders of each run are known."""
+    nodes, comps, comp, n, words = _members(table)
+    rows: list[tuple] = []
+    for k in (K, 1):
+        if (comp == comp[0]).all():
+            break
+        grams = [labelled_runs(np.frombuffer(w, "<u4"), k) for w in words]
+        _, at, held = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+        often = np.split(held[at], np.cumsum([len(g) for g in grams])[:-1])
+        grams = [g[np.lexsort((g, h))] for g, h in zip(grams, often)]
+        first = np.array([max(1, len(g) - least_common(int(m), k) + shared_least(int(m), k)) for g, m in zip(grams, n)])
+        rows += _compared(key[0].as_py(), nodes, comps, comp, n, words, grams, first, 1, k)
+    return _met_table(rows)
+
+
 def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
@@ -348,17 +383,27 @@ def _buckets(entries: DataFrame, name: str) -> DataFrame:
     return staged(entries.join(firsts, "bucket"), name)
 
 
-def _meetings(crowd: DataFrame, words: DataFrame, k: int) -> DataFrame:
-    """crowd: (bucket, node, n, comp, size). What `_met` finds in all shards of its buckets; a stored table."""
-    drawn = crowd.where(F.pmod(F.xxhash64("node", "bucket"), "size") < REFERENCES).select("bucket", "node")
-    refs = drawn.join(words, "node").groupBy("bucket").agg(F.collect_list("words").alias("refs"))
-    common = staged(refs.mapInArrow(lambda batches: _common_runs(batches, k), "bucket long, runs binary, held binary"), "crowd-runs")
-    totals = crowd.groupBy("bucket").agg(F.sum("n").alias("total")).join(common, "bucket", "left")
-    rows = crowd.select("bucket", "node", "n", "comp").join(words.select("node", "words"), "node").join(totals, "bucket")
-    rows = rows.select("bucket", "node", "n", "comp", "total", "words", "runs", "held")
-    rows = rows.mapInArrow(lambda batches: _sharded(batches, k), _SHARDED)
-    met = rows.groupBy("bucket", "shard").applyInArrow(lambda key, table: _met(key, table, k), "a binary, b binary, name long, n int, comp binary")
-    return staged(met, "crowd-pairs")
+_MET_SCHEMA = "a binary, b binary, name long, n int, comp binary"
+
+
+def _meetings(crowd: DataFrame, words: DataFrame) -> DataFrame:
+    """crowd: (bucket, node, n, comp, size). What `_compared` finds in its buckets; a stored table. A bucket of SHARD words at
+    most is one group; a larger one is dealt by run."""
+    words = words.select("node", "words")
+    totals = crowd.groupBy("bucket").agg(F.sum("n").alias("total"))
+    crowd = staged(crowd.select("bucket", "node", "n", "comp", "size").join(totals, "bucket"), "crowds")
+    whole = crowd.where(F.col("total") <= SHARD).select("bucket", "node", "n", "comp").join(words, "node")
+    met = whole.groupBy("bucket").applyInArrow(_met_whole, _MET_SCHEMA)
+    large = crowd.where(F.col("total") > SHARD)
+    if not large.isEmpty():
+        drawn = large.where(F.pmod(F.xxhash64("node", "bucket"), "size") < REFERENCES).select("bucket", "node")
+        refs = staged(drawn.join(words, "node").groupBy("bucket").agg(F.collect_list("words").alias("refs")), "crowd-references")
+        for k in (K, 1):
+            common = refs.mapInArrow(lambda batches, k=k: _common_runs(batches, k), "bucket long, runs binary, held binary")
+            rows = large.select("bucket", "node", "n", "comp", "total").join(words, "node").join(common, "bucket", "left")
+            rows = rows.select("bucket", "node", "n", "comp", "total", "words", "runs", "held").mapInArrow(lambda batches, k=k: _sharded(batches, k), _SHARDED)
+            met = met.union(rows.groupBy("bucket", "shard").applyInArrow(_met_of(k), _MET_SCHEMA))
+    return staged(met, "crowd-links")
 
 
 def _cells(big: DataFrame) -> DataFrame:
@@ -400,16 +445,16 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     crowd = left.where(F.col("size") > CROWD)
     big = None
     if not crowd.isEmpty():
-        met = [_meetings(crowd, words, k) for k in (K, 1)]
-        again = met[0].union(met[1]).where("b is null").select(F.col("name").alias("bucket"), F.col("a").alias("node"), "n", "comp").distinct()
+        met = _meetings(crowd, words)
+        again = met.where("b is null").select(F.col("name").alias("bucket"), F.col("a").alias("node"), "n", "comp").distinct()
         sizes = again.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("node", "n")).alias("first"))
         big = staged(again.join(sizes, "bucket"), "prefix-buckets")
         star = big.where((F.col("node") != F.col("first.node")) & _near("n", "first.n")).select(F.col("first.node").alias("a"), F.col("node").alias("b"))
         pairs = pairs.union(star).union(_cross(_cells(big)))
-        met_links = met[0].union(met[1]).where("b is not null").select("a", "b")
+        crowd_links = met.where("b is not null").select("a", "b")
     tested = found.select("a", "b")
     links = comps.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    links = links.union(met_links) if big is not None else links
+    links = links.union(crowd_links) if big is not None else links
     for last in (False, True):
         now = _verified(pairs.distinct().join(tested, ["a", "b"], "left_anti"), words, "cross-links")
         comps = connected_components(links.union(now.where("linked").select("a", "b")))

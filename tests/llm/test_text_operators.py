@@ -357,8 +357,11 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == {root(i) for i in range(len(texts))}
 
 
-def test_pairs_inside_a_crowd_are_found(spark):
+@pytest.mark.parametrize(("shard", "hot"), [(order_minhash.SHARD, order_minhash.HOT), (20_000, order_minhash.HOT), (20_000, 20), (10**9, 20)], ids=["whole", "dealt", "dealt-hot", "hot"])
+def test_pairs_inside_a_crowd_are_found(spark, monkeypatch, shard, hot):
     """Texts around one passage; some have a copy that goes on far beyond them, and meet it in crowded buckets only."""
+    monkeypatch.setattr(order_minhash, "SHARD", shard)
+    monkeypatch.setattr(order_minhash, "HOT", hot)
     rng = np.random.default_rng(23)
     new = iter(f"u{i}" for i in range(10**6))
     own = lambda n: [next(new) for _ in range(n)]
