@@ -152,14 +152,14 @@ class Graph:
 
     def within(self, queries: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, node) pairs found with similarity of `least` or more. A query whose whole beam lies within is asked
-        again with a beam four times as wide; a beam of half the shard or more looks at every node."""
+        again with a beam four times as wide; a beam as wide as the shard looks at every node."""
         out_q, out_n = [], []
         todo = np.arange(len(queries))
         while len(todo):
             again = []
             for i in range(0, len(todo), BATCH):
                 part = todo[i : i + BATCH]
-                if 2 * beam >= len(self.vecs):
+                if beam >= len(self.vecs):
                     q, node = np.nonzero(queries[part] @ self.vecs.T >= least)
                     out_q.append(part[q])
                     out_n.append(node)
@@ -189,28 +189,60 @@ class Graph:
         return out
 
 
-def links(a: Graph, b: Graph | None, least: float, wanted: float = 0.9995, sample: int = 64) -> tuple[np.ndarray, int]:
-    """Which nodes of a and b (None: a itself) have a similarity of `least` or more, as a Boolean matrix, and the beam.
-    Each graph is asked by every node of the other, and a pair counts if either finds it. The beam widens until a sample
-    of nodes, compared with all others, has found the wanted share of its pairs."""
+def links(a: Graph, b: Graph | None, least: float, wanted: float = 0.999, sample: int = 64) -> tuple[np.ndarray, dict[str, int]]:
+    """Which nodes of a and b (None: a itself) have a similarity of `least` or more, as a Boolean matrix, and the audit.
+    Each graph is asked by every node of the other, and a pair counts if either finds it. Beams start at an eighth of the
+    shard, BEAM at most, and widen until the audit finds the wanted share of its pairs, or every node has been looked at.
+
+    The audit compares some nodes of both sides with all of the other: `sample` evenly spaced ones; as many of those with a
+    link found, to anything but themselves; and as many of those whose best neighbour found is nearest to the threshold. It
+    gives the beam, and how many pairs there are (true), how many were found (hit), and whether every node was looked at."""
     rows, cols = a.vecs, a.vecs if b is None else b.vecs
-    some = np.unique(np.linspace(0, len(rows) - 1, min(sample, len(rows))).astype(int))
-    true = rows[some] @ cols.T >= least
-    beam = BEAM
+    widest = max(len(rows), len(cols))
+    beam = max(4, min(BEAM, widest // 8))
+    edge = None
     while True:
         found = np.zeros((len(rows), len(cols)), bool)
         q, n = a.within(cols, least, beam)
         found[n, q] = True
         if b is None:
             found |= found.T
+            np.fill_diagonal(found, False)
         else:
             q, n = b.within(rows, least, beam)
             found[q, n] = True
-        if 2 * beam >= max(len(rows), len(cols)) or (found[some] & true).sum() >= wanted * true.sum():
-            return found, beam
+        if edge is None:
+            edge = (_nearest_to(a if b is None else b, rows, least, sample, b is None), _nearest_to(a, cols, least, sample, b is None))
+        true = hit = 0
+        for x, y, matrix, near in ((rows, cols, found, edge[0]), (cols, rows, found.T, edge[1])):
+            linked = np.flatnonzero(matrix.any(1))
+            some = np.unique(np.r_[_spaced(len(x), sample), linked[_spaced(len(linked), sample)], near])
+            real = x[some] @ y.T >= least
+            if b is None:
+                real[np.arange(len(some)), some] = False
+            true += int(real.sum())
+            hit += int((real & matrix[some]).sum())
+            if b is None:
+                break
+        if beam >= widest or hit >= wanted * true:
+            return found, {"beam": beam, "true": true, "hit": hit, "every": int(beam >= widest)}
         beam *= 4
 
 
+def _spaced(n: int, sample: int) -> np.ndarray:
+    return np.unique(np.linspace(0, n - 1, min(sample, n)).astype(int)) if n else np.empty(0, int)
+
+
+def _nearest_to(g: Graph, queries: np.ndarray, least: float, sample: int, own: bool) -> np.ndarray:
+    """Queries whose best neighbour found, themselves aside, has a similarity next to `least`."""
+    some = _spaced(len(queries), 8 * sample)
+    if not len(some):
+        return some
+    _, sims = g.layers[-1].search(g.vecs, queries[some], g.entries(queries[some]), 4)
+    best = sims[:, 1 if own else 0]
+    return some[np.argsort(np.abs(best - least), kind="stable")[:sample]]
+
+
 def levels_of(ids: np.ndarray, links: int = LINKS) -> np.ndarray:
     """Geometric levels from a mix of the ids' bits."""
     x = ids.astype(np.uint64)

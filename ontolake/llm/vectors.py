@@ -13,13 +13,11 @@ def takes_part(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(vector, lambda x: x != 0)
 
 
-def usable(df: DataFrame, id_col: str, vector_col: str, *more: str) -> tuple[DataFrame, int]:
-    """(vec_id, vec, more) of the vectors that take part, and their dimension: the commonest, the smaller on a tie.
-    Vectors of another dimension have no cosine with these and take no part either. Rows with a null id take none."""
+def usable(df: DataFrame, id_col: str, vector_col: str, *more: str) -> DataFrame:
+    """(vec_id, vec, d, more) of the vectors that take part; d is their dimension. Vectors of different dimensions have no
+    cosine. Rows with a null id take no part."""
     rows = df.where(takes_part(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vec"), *more)
-    found = rows.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    d = int(found["d"]) if found else 0
-    return rows.where(F.size("vec") == d), d
+    return rows.withColumn("d", F.size("vec"))
 
 
 def matrix(raw: bytes, d: int) -> np.ndarray:
