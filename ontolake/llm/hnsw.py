@@ -189,14 +189,16 @@ class Graph:
         return out
 
 
-def links(a: Graph, b: Graph | None, least: float, wanted: float = 0.999, sample: int = 64) -> tuple[np.ndarray, dict[str, int]]:
+def links(a: Graph, b: Graph | None, least: float, wanted: float = 0.999, nearest: float = 0.9, sample: int = 64) -> tuple[np.ndarray, dict[str, int]]:
     """Which nodes of a and b (None: a itself) have a similarity of `least` or more, as a Boolean matrix, and the audit.
     Each graph is asked by every node of the other, and a pair counts if either finds it. Beams start at an eighth of the
     shard, BEAM at most, and widen until the audit finds the wanted share of its pairs, or every node has been looked at.
 
     The audit compares some nodes of both sides with all of the other: `sample` evenly spaced ones; as many of those with a
-    link found, to anything but themselves; and as many of those whose best neighbour found is nearest to the threshold. It
-    gives the beam, and how many pairs there are (true), how many were found (hit), and whether every node was looked at."""
+    link found, to anything but themselves; and as many of those whose best neighbour found is nearest to the threshold. Where
+    no two vectors are that near, links tell nothing, so of all these nodes the nearest neighbour must be found too, for a
+    share of `nearest`. It gives the beam, how many pairs there are (true) and were found (hit), how many nodes were audited
+    (asked) and found their nearest (met), and whether every node was looked at."""
     rows, cols = a.vecs, a.vecs if b is None else b.vecs
     widest = max(len(rows), len(cols))
     beam = max(4, min(BEAM, widest // 8))
@@ -213,19 +215,26 @@ def links(a: Graph, b: Graph | None, least: float, wanted: float = 0.999, sample
             found[q, n] = True
         if edge is None:
             edge = (_nearest_to(a if b is None else b, rows, least, sample, b is None), _nearest_to(a, cols, least, sample, b is None))
-        true = hit = 0
-        for x, y, matrix, near in ((rows, cols, found, edge[0]), (cols, rows, found.T, edge[1])):
+        true = hit = asked = met = 0
+        for x, g, matrix, near in ((rows, a if b is None else b, found, edge[0]), (cols, a, found.T, edge[1])):
             linked = np.flatnonzero(matrix.any(1))
             some = np.unique(np.r_[_spaced(len(x), sample), linked[_spaced(len(linked), sample)], near])
-            real = x[some] @ y.T >= least
+            sims = x[some] @ g.vecs.T
             if b is None:
-                real[np.arange(len(some)), some] = False
+                sims[np.arange(len(some)), some] = -np.inf
+            real = sims >= least
+            asked += len(some)
+            met += len(some)
+            if beam < len(g.vecs) and len(some):
+                ids, best = g.layers[-1].search(g.vecs, x[some], g.entries(x[some]), beam)
+                best = np.where(ids == some[:, None], -np.inf, best) if b is None else best
+                met -= int((best.max(1) < sims.max(1) - 1e-5).sum())
             true += int(real.sum())
             hit += int((real & matrix[some]).sum())
             if b is None:
                 break
-        if beam >= widest or hit >= wanted * true:
-            return found, {"beam": beam, "true": true, "hit": hit, "every": int(beam >= widest)}
+        if beam >= widest or hit >= wanted * true and met >= nearest * asked:
+            return found, {"beam": beam, "true": true, "hit": hit, "asked": asked, "met": met, "every": int(beam >= widest)}
         beam *= 4
 
 

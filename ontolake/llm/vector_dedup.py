@@ -34,7 +34,7 @@ from .vectors import cosines, matrix, takes_part, usable
 LEAST, SHARD, SALTS, TILE = 0.98, 4096, 8, 16
 #: What single precision may take from a cosine.
 SLACK = 1e-5
-_AUDIT = ("beam", "true", "hit", "every")
+_AUDIT = ("beam", "true", "hit", "asked", "met", "every")
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -88,7 +88,7 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _audits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [np.frombuffer(x.as_py(), "<i8") for x in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(4))], names=["nodes", *_AUDIT])
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([int(r[i]) for r in rows], pa.int64()) for i in range(len(_AUDIT)))], names=["nodes", *_AUDIT])
 
 
 _MET = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64()), ("audit", pa.binary())])
@@ -129,7 +129,8 @@ def link_vectors(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def link_vectors_audited(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> tuple[DataFrame, DataFrame]:
     """link_vectors, and its audits: a row for each shard and pair of shards with the beam that it ended with, the pairs that
-    the audit knows (true), those of them that were found (hit), and whether every node was looked at (every)."""
+    the audit knows (true), those of them that were found (hit), the nodes audited (asked), those of them that found their nearest
+    neighbour (met), and whether every node was looked at (every)."""
     rows = usable(embeddings, id_col, vector_col, F.col(label_col).alias("label"))
     digest = F.md5(F.col("vec").cast("string"))
     classes = rows.where(F.col("label").isNotNull()).withColumn("key", digest).groupBy("label", "key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("vec").alias("vec"), F.first("d").alias("d"))
@@ -148,7 +149,7 @@ def link_vectors_audited(embeddings: DataFrame, id_col: str = "vec_id", vector_c
     rows = rows.drop("other").repartition("label", "d", "one", "two")
     met = rows.select("label", "d", "one", "two", "sets", "shard", "ids", "weights", "vecs", "graph", "comps").groupBy("label", "d", "one", "two").applyInArrow(_tile, "a long, b long, links long, audit binary")
     found = staged(met, "vector-pairs")
-    audits = shards.select("count", "audit").union(found.where("audit is not null").select(F.lit(None).cast("int"), "audit")).mapInArrow(_audits, "nodes int, beam long, true long, hit long, every long")
+    audits = shards.select("count", "audit").union(found.where("audit is not null").select(F.lit(None).cast("int"), "audit")).mapInArrow(_audits, "nodes int, " + ", ".join(f"{c} long" for c in _AUDIT))
     found = found.where("audit is null")
     parts = connected_components(found.where("links is null").select("a", "b"))
     sums = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("more"))
