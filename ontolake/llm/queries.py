@@ -53,6 +53,19 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_nearest_neighbours, op2_near_duplicates, op3_license_scan, op4_secret_scan, op5_source_mix, op6_bpe_round_trip, op7_warc_round_trip, op8_quality_scores, op9_token_files, op10_vector_dedup)}
 
 ORACLES: dict[str, str] = {
+    "op1_nearest_neighbours": """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+u AS (
+  SELECT vec_id, x FROM v WHERE vec_id IS NOT NULL AND x IS NOT NULL
+    AND len(list_filter(x, lambda c: c IS NULL OR isnan(c) OR isinf(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+p AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.x, b.x) AS score
+  FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) WHERE a.vec_id % 50 = 0),
+r AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
+""",
     "op7_warc_round_trip": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS html FROM pages),

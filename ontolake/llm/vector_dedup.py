@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import staged
 from .components import connected_components
 from .hnsw import Graph, levels_of, links
-from .vectors import cosines, matrix, takes_part, usable
+from .vectors import cosines, matrix, products, takes_part, usable
 
 LEAST, SHARD, SALTS, TILE = 0.98, 4096, 8, 16
 #: What single precision may take from a cosine.
@@ -43,11 +43,13 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 def verified(found: np.ndarray, a: np.ndarray, b: np.ndarray, least: float, chunk: int = 50_000) -> np.ndarray:
     """found, without pairs whose cosine in double precision is less than `least`."""
+    aa = products(a, a)
+    bb = aa if b is a else products(b, b)
     for i in range(0, len(a), 256):
         r, c = np.nonzero(found[i : i + 256])
         for j in range(0, len(r), chunk):  # vectors are copied for some pairs at a time
             x, y = r[j : j + chunk] + i, c[j : j + chunk]
-            bad = cosines(a[x], b[y]) < least
+            bad = cosines(a[x], b[y], aa[x], bb[y]) < least
             found[x[bad], y[bad]] = False
     return found
 

@@ -24,10 +24,23 @@ def matrix(raw: bytes, d: int) -> np.ndarray:
     return np.frombuffer(raw, "<f8").reshape(-1, d)
 
 
-def cosines(a: np.ndarray, b: np.ndarray, chunk: int = 100_000):
-    """Cosine of each row of a with the same row of b, in double precision; the same for equal rows wherever they stand."""
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner product of each row of a with the same row of b, added up from the first component to the last: the same for
+    equal rows wherever they stand, and as SQL engines have it."""
+    out = np.zeros(len(a))
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)):
+        out += x * y
+    return out
+
+
+def cosines(a: np.ndarray, b: np.ndarray, aa: np.ndarray | None = None, bb: np.ndarray | None = None, chunk: int = 20_000) -> np.ndarray:
+    """Cosine of each row of a with the same row of b, in double precision; aa and bb: products of the rows with themselves."""
     out = np.empty(len(a))
     for i in range(0, len(a), chunk):
-        x, y = a[i : i + chunk], b[i : i + chunk]
-        out[i : i + chunk] = np.einsum("ij,ij->i", x, y) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", y, y)))
+        j = slice(i, i + chunk)
+        x, y = (products(v[j], v[j]) if vv is None else vv[j] for v, vv in ((a, aa), (b, bb)))
+        with np.errstate(over="ignore", under="ignore"):
+            both = x * y
+        fine = np.isfinite(both) & (both > 1e-290)
+        out[j] = products(a[j], b[j]) / np.where(fine, np.sqrt(np.where(fine, both, 1.0)), np.sqrt(x) * np.sqrt(y))
     return out

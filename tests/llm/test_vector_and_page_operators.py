@@ -235,6 +235,24 @@ def test_pipeline(spark):
     assert final.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and final.count() > 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for table in ("embeddings", "pages", "documents"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
+    want = con.execute(ORACLES[name])
+    columns = sorted(d[0] for d in want.description)
+    rows = sorted((tuple(r[[d[0] for d in want.description].index(c)] for c in columns) for r in want.fetchall()), key=str)
+    got = QUERIES[name](spark, sf)
+    assert sorted(got.columns) == columns
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=str) == rows
+
+
 def test_queries_are_registered():
     import __spark_entry__ as e
 
