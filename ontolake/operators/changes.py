@@ -115,10 +115,19 @@ def triples(s: Store, onts=None) -> DataFrame:
 
 
 def display_order(axioms: DataFrame) -> DataFrame:
-    """axiom_key, place: axioms of each ontology by the index of their kind, then by key in UTF-16 code units."""
+    """ont_id, axiom_key, place: axioms of each ontology by the index of their kind, then by key in UTF-16 code units. Axioms
+    are dealt by ranges of that order and numbered inside each; an ontology's axioms in the ranges before (a row for each range
+    and ontology) make the place, so that no ontology is sorted in one task."""
+    from ..staging import stored
+
     index = F.element_at(F.create_map(*(x for k, i in TYPE_INDEX.items() for x in (F.lit(k), F.lit(i)))), F.col("kind"))
-    by = Window.partitionBy("ont_id").orderBy(index, F.hex(F.encode("axiom_key", "UTF-16BE")))
-    return axioms.select("ont_id", "axiom_key", F.row_number().over(by).alias("place"))
+    rows = axioms.select("ont_id", index.alias("index"), F.encode("axiom_key", "UTF-16BE").alias("units"), "axiom_key")
+    rows = rows.repartitionByRange("ont_id", "index", "units").withColumn("part", F.spark_partition_id())
+    rows = stored(rows, "display-order")
+    before = rows.groupBy("ont_id", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = before.select("ont_id", "part", (F.sum("n").over(Window.partitionBy("ont_id").orderBy("part")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("part", "ont_id").orderBy("index", "units"))
+    return rows.withColumn("nth", nth).join(before, ["part", "ont_id"]).select("ont_id", "axiom_key", (F.col("nth") + F.col("before")).alias("place"))
 
 
 RENAMED = {f"{EX}Customer": f"{EX}Buyer2", f"{EX}Party": f"{EX}Agent"}

@@ -135,8 +135,8 @@ RULES: tuple[Rule, ...] = (
         {"reach": sig(("OWLClass", "OWLDatatype", "OWLObjectProperty", "OWLDataProperty", "OWLAnnotationProperty")), "declared": edge(kinds("Declaration"), ["entity"]), "builtin": _BUILTIN},
     ),
     Rule("defined_datatype_literal", "DEFINED_DATATYPE_LITERAL", _same("SELECT DISTINCT l.root_key AS axiom_key, l.lexical, l.datatype_iri FROM {literal} l JOIN {defined} d ON d.child_key = 'Datatype(<' || l.datatype_iri || '>)' WHERE d.field = 'datatype'"), {"literal": literal(AXIOM_KINDS), "defined": edge(kinds("DatatypeDefinition"), ["datatype"])}),
-    Rule("literal_status", "LITERAL", lambda d: f"SELECT lexical, lang, datatype_iri, {status(d).replace('{', '{{').replace('}', '}}')} AS status FROM (SELECT DISTINCT lexical, lang, datatype_iri FROM {{literal}}) l", {"literal": literal(kinds("DataPropertyAssertion", "NegativeDataPropertyAssertion"))}),
-    Rule("literal_status_counts", "LITERAL", lambda d: f"SELECT datatype_iri, {status(d).replace('{', '{{').replace('}', '}}')} AS status, count(*) AS n_literals FROM {{literal}} GROUP BY 1, 2", {"literal": literal(kinds("AnnotationAssertion", "DataPropertyAssertion"))}),
+    Rule("literal_status", "LITERAL", lambda d: f"SELECT lexical, lang, datatype_iri, {status(d).replace('{', '{{').replace('}', '}}')} AS status FROM (SELECT DISTINCT lexical, lang, datatype_iri FROM {{literal}}) l", {"literal": literal(AXIOM_KINDS)}),
+    Rule("literal_status_counts", "LITERAL", lambda d: f"SELECT datatype_iri, {status(d).replace('{', '{{').replace('}', '}}')} AS status, count(*) AS n_literals FROM {{literal}} GROUP BY 1, 2", {"literal": literal(AXIOM_KINDS)}),
     Rule("defined_datatype_restriction", "DEFINED_DATATYPE_RESTRICTION", _same("SELECT DISTINCT parent_key, child_key FROM {edge} e WHERE NOT EXISTS (SELECT 1 FROM {builtin} b WHERE b.entity = e.child_key)"), {"edge": edge(kinds("DatatypeRestriction"), ["datatype"], nested=True), "builtin": _BUILTIN}),
     *(Rule(f"{q.lower()}_forbidden_axioms", "PROFILE_AXIOM_NOT_ALLOWED", _same("SELECT ont_id, kind, count(*) AS n_axioms FROM {axiom} GROUP BY ont_id, kind"), {"axiom": axiom(_forbidden(q))}) for q in ("EL", "QL", "RL")),
     *(
@@ -150,7 +150,7 @@ RULES: tuple[Rule, ...] = (
     Rule("el_class_expressions", "PROFILE_CLASS_EXPRESSION_NOT_ALLOWED", _same(f"SELECT DISTINCT node_kind, node_key FROM {{reach}} WHERE node_kind IN ({quoted(x for x in _CLASS_KINDS if x not in _EL_CLASSES)})"), {"reach": sig(_CLASS_KINDS)}),
     Rule("rl_properties", "PROFILE_PROPERTY_NOT_ALLOWED", _same(f"SELECT DISTINCT root_key AS axiom_key, node_key FROM {{reach}} WHERE node_key IN ({quoted(f'{kw}(<{OWL}{side}{kw}>)' for kw in ('ObjectProperty', 'DataProperty') for side in ('top', 'bottom'))})"), {"reach": within(("OWLObjectProperty", "OWLDataProperty"))}),
     Rule("ql_class_assertion_not_atomic", "PROFILE_CLASS_ASSERTION_NOT_ATOMIC", _same("SELECT parent_key AS axiom_key, child_kind FROM {edge} WHERE child_kind <> 'OWLClass'"), {"edge": edge(kinds("ClassAssertion"), ["classExpression"])}),
-    Rule("multiple_anonymous_edges", "MULTIPLE_ANONYMOUS_EDGE_ASSERTIONS", _same("SELECT least(a.child_key, b.child_key) AS x, greatest(a.child_key, b.child_key) AS y, count(*) AS n_axioms FROM {edge} a JOIN {edge} b ON a.parent_key = b.parent_key WHERE a.field = 'subject' AND b.field = 'value' AND a.child_kind = 'OWLAnonymousIndividual' AND b.child_kind = 'OWLAnonymousIndividual' GROUP BY 1, 2 HAVING count(*) > 1"), {"edge": edge(kinds("ObjectPropertyAssertion"), ["subject", "value"], onts=["schema"])}),
+    Rule("multiple_anonymous_edges", "MULTIPLE_ANONYMOUS_EDGE_ASSERTIONS", _same("SELECT least(a.child_key, b.child_key) AS x, greatest(a.child_key, b.child_key) AS y, count(*) AS n_axioms FROM {edge} a JOIN {edge} b ON a.parent_key = b.parent_key WHERE a.field = 'subject' AND b.field = 'value' AND a.child_kind = 'OWLAnonymousIndividual' AND b.child_kind = 'OWLAnonymousIndividual' GROUP BY 1, 2 HAVING count(*) > 1"), {"edge": edge(kinds("ObjectPropertyAssertion"), ["subject", "value"])}),
     Rule("range_category_collision", "SOURCE_RANGE_CATEGORY_COLLISION", _same("SELECT iri FROM (SELECT substr(child_key, position('(<' IN child_key) + 2) AS iri, parent_kind FROM {edge} WHERE field = 'property') GROUP BY iri HAVING count(DISTINCT parent_kind) > 1"), {"edge": edge(kinds("ObjectPropertyRange", "DataPropertyRange"), ["property"])}),
 )
 

@@ -63,9 +63,9 @@ def ontology_ids(s: Store) -> DataFrame:
     return s.ontologies()
 
 
-@query(ctes(axiom=p.axiom_sql(None, ["geo", "trade"])) + " SELECT DISTINCT axiom_key FROM axiom WHERE ont_id IN ('geo', 'trade')")
+@query(ctes(axiom=p.axiom_sql()) + " SELECT DISTINCT ont_id, axiom_key FROM axiom")
 def axioms_direct(s: Store) -> DataFrame:
-    return s.axioms(None, ["geo", "trade"]).select("axiom_key").distinct()
+    return s.axioms().select("ont_id", "axiom_key").distinct()
 
 
 _CLOSURE = f"""e AS (SELECT ont_id AS src, target AS dst FROM (SELECT * FROM (VALUES {", ".join(f"('{a}', {chr(39) + c + chr(39) if c else 'NULL'})" for a, _, c in p.import_rows())}) t(ont_id, target)) WHERE target IS NOT NULL),
@@ -78,9 +78,9 @@ def imports_closure(s: Store) -> DataFrame:
     return structural.imports_closure(s)
 
 
-@query("WITH RECURSIVE " + _CLOSURE + f", axiom AS ({p.axiom_sql(k('ClassAssertion', 'SubClassOf'))}) SELECT DISTINCT axiom_key FROM axiom JOIN closure ON ont_id = member WHERE root = 'trade'")
+@query("WITH RECURSIVE " + _CLOSURE + f", axiom AS ({p.axiom_sql()}) SELECT DISTINCT axiom_key FROM axiom JOIN closure ON ont_id = member WHERE root = 'trade'")
 def closure_union_distinct(s: Store) -> DataFrame:
-    return structural.axioms_of(s, "trade", True, k("ClassAssertion", "SubClassOf")).select("axiom_key")
+    return structural.axioms_of(s, "trade", True).select("axiom_key")
 
 
 @query(ctes(axiom=p.axiom_sql(k("SubClassOf"))) + " SELECT ont_id, axiom_key FROM axiom")
@@ -88,9 +88,9 @@ def axioms_by_type(s: Store) -> DataFrame:
     return s.axioms(k("SubClassOf")).select("ont_id", "axiom_key")
 
 
-@query(ctes(axiom=p.axiom_sql(None, ["schema", "trade"])) + " SELECT ont_id, axiom_key FROM axiom WHERE is_logical")
+@query(ctes(axiom=p.axiom_sql()) + " SELECT ont_id, axiom_key FROM axiom WHERE is_logical")
 def logical_axioms(s: Store) -> DataFrame:
-    return s.axioms(LOGICAL_KINDS, ["schema", "trade"]).select("ont_id", "axiom_key")
+    return s.axioms(LOGICAL_KINDS).select("ont_id", "axiom_key")
 
 
 @query(ctes(axiom=p.axiom_sql()) + " SELECT kind, count(*) AS n_axioms FROM axiom GROUP BY kind")
@@ -152,22 +152,15 @@ POSITIONS: dict[str, tuple[list[str], tuple[str, ...]]] = {
     "different_individuals_axioms": (k("DifferentIndividuals"), ("individuals",)),
     "has_key_axioms": (k("HasKey"), ("classExpression",)),
     "datatype_definition_axioms": (k("DatatypeDefinition"), ("datatype",)),
+    "class_assertion_axioms_of_individual": (k("ClassAssertion"), ("individual",)),
+    "class_assertion_axioms_of_class": (k("ClassAssertion"), ("classExpression",)),
+    "object_property_assertion_axioms": (k("ObjectPropertyAssertion"), ("subject",)),
+    "data_property_assertion_axioms": (k("DataPropertyAssertion"), ("subject",)),
+    "annotation_assertion_axioms": (k("AnnotationAssertion"), ("subject",)),
 }
 for _name, (_kinds, _fields) in POSITIONS.items():
     query(ctes(edge=p.edge_sql(_kinds, _fields)) + " SELECT ont_id, child_key, parent_key AS axiom_key FROM edge", _name)(lambda s, kinds=_kinds, fields=_fields: structural.by_position(s, kinds[0], fields))
 
-#: lookups of one value, where all values would be the whole table
-LOOKUPS: dict[str, tuple[str, str, str]] = {
-    "class_assertion_axioms_of_individual": ("ClassAssertion", "individual", f"NamedIndividual(<{EX}customer/42>)"),
-    "class_assertion_axioms_of_class": ("ClassAssertion", "classExpression", f"Class(<{EX}nation/7>)"),
-    "object_property_assertion_axioms": ("ObjectPropertyAssertion", "subject", f"NamedIndividual(<{EX}order/7>)"),
-    "data_property_assertion_axioms": ("DataPropertyAssertion", "subject", f"NamedIndividual(<{EX}part/11>)"),
-    "annotation_assertion_axioms": ("AnnotationAssertion", "subject", f"<{EX}document/5>"),
-}
-for _name, (_kw, _field, _key) in LOOKUPS.items():
-    query(ctes(edge=p.edge_sql(k(_kw), [_field])) + f" SELECT ont_id, child_key, parent_key AS axiom_key FROM edge WHERE child_key = '{_key}'", _name)(lambda s, kw=_kw, field=_field, key=_key: structural.by_position(s, k(kw)[0], (field,), key))
-
-
 @query(ctes(i=p.import_sql()) + " SELECT ont_id, import_iri FROM i")
 def imports_declarations(s: Store) -> DataFrame:
     return s.imports().select("ont_id", "import_iri")
@@ -178,17 +171,12 @@ def ontology_annotations(s: Store) -> DataFrame:
     return s.annotations().select("ont_id", "ann_key").distinct()
 
 
-_SIG_KINDS = k("SubClassOf", "ClassAssertion", "Declaration", "ObjectPropertyAssertion", "DataPropertyAssertion", "EquivalentClasses")
-
-
 def _signature_sql(kinds, node_kinds) -> str:
     return ctes(reach=p.reach_sql(kinds), ann=p.annot_sql(), sig=f"SELECT DISTINCT ont_id, node_kind, node_key FROM (SELECT ont_id, node_kind, node_key FROM reach UNION ALL SELECT ont_id, node_kind, node_key FROM ann) WHERE node_kind IN ({quoted(node_kinds)})")
 
 
 for _kind, _name in (("OWLClass", "classes"), ("OWLObjectProperty", "object_properties"), ("OWLDataProperty", "data_properties"), ("OWLAnnotationProperty", "annotation_properties"), ("OWLNamedIndividual", "individuals"), ("OWLDatatype", "datatypes")):
-    # The SQL of individuals knows six kinds of axioms only; the query reads all.
-    _some = AXIOM_KINDS if _kind != "OWLNamedIndividual" else _SIG_KINDS
-    query(_signature_sql(_some, [_kind]) + " SELECT ont_id, node_key FROM sig", f"{_name}_in_signature")(lambda s, kind=_kind: structural.signature(s, [kind], axiom_kinds=AXIOM_KINDS).select("ont_id", "node_key"))
+    query(_signature_sql(AXIOM_KINDS, [_kind]) + " SELECT ont_id, node_key FROM sig", f"{_name}_in_signature")(lambda s, kind=_kind: structural.signature(s, [kind], axiom_kinds=AXIOM_KINDS).select("ont_id", "node_key"))
 
 
 @query(_signature_sql(AXIOM_KINDS, ENTITY_KINDS) + " SELECT node_kind, count(DISTINCT node_key) AS n_entities FROM sig GROUP BY node_kind")
@@ -239,10 +227,11 @@ def anyuri_references(s: Store) -> DataFrame:
     return s.literals(k("AnnotationAssertion")).where(F.col("datatype_iri") == XSD + "anyURI").groupBy(F.col("lexical").alias("iri")).agg(F.count(F.lit(1)).alias("n_axioms"))
 
 
-@query(ctes(reach=p.reach_sql(AXIOM_KINDS, ["schema"])) + " SELECT root_key AS axiom_key, node_kind, count(DISTINCT node_key) AS n_nodes FROM reach WHERE ont_id = 'schema' GROUP BY root_key, node_kind")
+@query(ctes(reach=p.reach_sql(AXIOM_KINDS), one="SELECT ont_id, root_kind, root_key, node_kind, count(DISTINCT node_key) AS n FROM reach GROUP BY ont_id, root_kind, root_key, node_kind") + " SELECT ont_id, root_kind, node_kind, count(*) AS n_axioms, CAST(sum(n) AS BIGINT) AS n_nodes, max(n) AS most FROM one GROUP BY ont_id, root_kind, node_kind")
 def structural_traversal(s: Store) -> DataFrame:
-    """Distinct nodes inside each axiom, by kind."""
-    return s.reach(AXIOM_KINDS, ["schema"]).where("ont_id = 'schema'").groupBy(F.col("root_key").alias("axiom_key"), "node_kind").agg(F.countDistinct("node_key").alias("n_nodes"))
+    """Distinct nodes inside each axiom, by kind; summed over the axioms of a kind of each ontology."""
+    one = s.reach(AXIOM_KINDS).groupBy("ont_id", "root_kind", "root_key", "node_kind").agg(F.countDistinct("node_key").alias("n"))
+    return one.groupBy("ont_id", "root_kind", "node_kind").agg(F.count(F.lit(1)).alias("n_axioms"), F.sum("n").alias("n_nodes"), F.max("n").alias("most"))
 
 
 # E: asserted search
@@ -268,7 +257,7 @@ def annotation_objects(s: Store) -> DataFrame:
     return search.annotation_objects(s, f"AnnotationProperty(<{EX}quality>)")
 
 
-_ALL_ANN = ctes(edge=p.edge_sql(k("AnnotationAssertion"), nested=True, onts=["schema"]), nested=p.edge_sql(None, nested=True, onts=["schema"])) + """,
+_ALL_ANN = ctes(edge=p.edge_sql(k("AnnotationAssertion"), nested=True), nested=p.edge_sql(["OWLAnnotation"], nested=True)) + """,
 own AS (SELECT s.parent_key AS axiom_key, s.child_key AS subject_key, q.child_key AS property_key, v.child_key AS value_key
   FROM edge s JOIN edge q ON s.parent_key = q.parent_key JOIN edge v ON s.parent_key = v.parent_key
   WHERE s.field = 'subject' AND q.field = 'property' AND v.field = 'value' AND s.in_axiom AND q.in_axiom AND v.in_axiom),
@@ -281,11 +270,11 @@ SELECT subject_key, property_key, value_key FROM own UNION SELECT subject_key, p
 @query(_ALL_ANN)
 def annotations_with_nested(s: Store) -> DataFrame:
     """Annotations of each subject: what assertions say, and the assertions' own annotations besides."""
-    e = s.edges(k("AnnotationAssertion"), onts=["schema"]).where("ont_id = 'schema'")
+    own = s.rows(k("AnnotationAssertion"), ["subject", "property", "value"])
     at = lambda f: F.max(F.when(F.col("field") == f, F.col("child_key")))
-    own = e.groupBy("parent_key").agg(at("subject").alias("subject_key"), at("property").alias("property_key"), at("value").alias("value_key"))
-    parts = s.edges(["OWLAnnotation"], ["property", "value"], ["schema"], nested=True).groupBy(F.col("parent_key").alias("ann")).agg(at("property").alias("property_key"), at("value").alias("value_key"))
-    more = e.where("field = 'annotations'").select("parent_key", F.col("child_key").alias("ann")).join(own.select("parent_key", "subject_key"), "parent_key").join(parts, "ann")
+    parts = s.edges(["OWLAnnotation"], ["property", "value"], nested=True).groupBy(F.col("parent_key").alias("ann")).agg(at("property").alias("property_key"), at("value").alias("value_key"))
+    nested = s.edges(k("AnnotationAssertion"), ["annotations"]).select(F.col("parent_key").alias("axiom_key"), F.col("child_key").alias("ann"))
+    more = nested.join(own.select("axiom_key", "subject_key"), "axiom_key").join(parts, "ann")
     return own.select("subject_key", "property_key", "value_key").union(more.select("subject_key", "property_key", "value_key")).distinct()
 
 
@@ -369,10 +358,10 @@ def class_ancestors(s: Store) -> DataFrame:
 # U: set operations
 
 
-@query("WITH RECURSIVE " + _CLOSURE + f", axiom AS ({p.axiom_sql([x for x in LOGICAL_KINDS if x in k('SubClassOf', 'ClassAssertion', 'SameIndividual')])}) SELECT DISTINCT axiom_key FROM axiom JOIN closure ON ont_id = member WHERE root = 'trade' AND is_logical")
+@query("WITH RECURSIVE " + _CLOSURE + f", axiom AS ({p.axiom_sql(LOGICAL_KINDS)}) SELECT DISTINCT axiom_key FROM axiom JOIN closure ON ont_id = member WHERE root = 'trade' AND is_logical")
 def merge_logical_only(s: Store) -> DataFrame:
     """A merged ontology's logical axioms: direct axioms of all members once, annotations and imports left behind."""
-    return structural.axioms_of(s, "trade", True, k("SubClassOf", "ClassAssertion", "SameIndividual")).where("is_logical").select("axiom_key")
+    return structural.axioms_of(s, "trade", True, LOGICAL_KINDS).select("axiom_key")
 
 
 @query(ctes(axiom=p.axiom_sql(k("Declaration", "SubClassOf"))) + " SELECT axiom_key FROM axiom WHERE ont_id IN ('geo', 'schema')")
@@ -433,26 +422,20 @@ def _rename_sql(old: str, new: str) -> str:
     return f" SELECT 'remove' AS op, axiom_key FROM axiom WHERE position('{old}' IN axiom_key) > 0 UNION SELECT 'add', replace(axiom_key, '{old}', '{new}') FROM axiom WHERE position('{old}' IN axiom_key) > 0"
 
 
-_RENAME_KINDS = k("Declaration", "SubClassOf", "ClassAssertion", "EquivalentClasses", "AnnotationAssertion")
-
-
-@query(ctes(axiom=p.axiom_sql(_RENAME_KINDS)) + _rename_sql(f"<{EX}nation/7>", f"<{EX}country/7>"))
+@query(ctes(axiom=p.axiom_sql(AXIOM_KINDS)) + _rename_sql(f"<{EX}nation/7>", f"<{EX}country/7>"))
 def rename_changes(s: Store) -> DataFrame:
-    return changes.rename(s.axioms(_RENAME_KINDS), f"{EX}nation/7", f"{EX}country/7")
+    return changes.rename(s.axioms(AXIOM_KINDS), f"{EX}nation/7", f"{EX}country/7")
 
 
-@query(ctes(axiom=p.axiom_sql(AXIOM_KINDS, ["schema"])) + _rename_sql(f"ObjectProperty(<{EX}source>)", f"ObjectProperty(<{EX}origin>)"))
+@query(ctes(axiom=p.axiom_sql(AXIOM_KINDS)) + _rename_sql(f"ObjectProperty(<{EX}source>)", f"ObjectProperty(<{EX}origin>)"))
 def rename_changes_typed(s: Store) -> DataFrame:
     """One kind of a punned IRI renamed; the annotation property of that IRI stays."""
-    return changes.rename(s.axioms(AXIOM_KINDS, ["schema"]), f"{EX}source", f"{EX}origin", "ObjectProperty")
-
-
-_REMOVE = k("Declaration", "SubClassOf", "EquivalentClasses", "DisjointUnion", "AnnotationAssertion", "ObjectPropertyRange", "ClassAssertion")
+    return changes.rename(s.axioms(AXIOM_KINDS), f"{EX}source", f"{EX}origin", "ObjectProperty")
 
 
-@query(ctes(reach=p.reach_sql(_REMOVE), edge=p.edge_sql(k("AnnotationAssertion"), ["subject"])) + f" SELECT * FROM (SELECT DISTINCT ont_id, root_key AS axiom_key FROM reach WHERE node_key = 'Class(<{EX}Customer>)') UNION ALL SELECT ont_id, parent_key FROM edge WHERE child_key = '<{EX}Customer>'")
+@query(ctes(reach=p.reach_sql(AXIOM_KINDS), edge=p.edge_sql(k("AnnotationAssertion"), ["subject"])) + f" SELECT * FROM (SELECT DISTINCT ont_id, root_key AS axiom_key FROM reach WHERE node_key = 'Class(<{EX}Customer>)') UNION ALL SELECT ont_id, parent_key FROM edge WHERE child_key = '<{EX}Customer>'")
 def remove_changes(s: Store) -> DataFrame:
-    return changes.removal(s, f"Class(<{EX}Customer>)", f"{EX}Customer", _REMOVE)
+    return changes.removal(s, f"Class(<{EX}Customer>)", f"{EX}Customer", AXIOM_KINDS)
 
 
 _DUPLICATED = "axiom_key"
@@ -460,14 +443,14 @@ for _a, _b in sorted(changes.RENAMED.items()):
     _DUPLICATED = f"replace({_DUPLICATED}, '<{_a}>', '<{_b}>')"
 
 
-@query(ctes(axiom=p.axiom_sql(AXIOM_KINDS, ["schema"])) + rf" SELECT DISTINCT regexp_replace({_DUPLICATED}, '(_:[^\s()@]+)@schema', '\1@copy', 'g') AS axiom_key FROM axiom")
+@query(ctes(axiom=p.axiom_sql(AXIOM_KINDS)) + rf" SELECT DISTINCT regexp_replace({_DUPLICATED}, '(_:[^\s()@]+)@schema', '\1@copy', 'g') AS axiom_key FROM axiom")
 def duplicate_axioms(s: Store) -> DataFrame:
-    return changes.duplicate(s.axioms(AXIOM_KINDS, ["schema"]), changes.RENAMED, "schema", "copy")
+    return changes.duplicate(s.axioms(AXIOM_KINDS), changes.RENAMED, "schema", "copy")
 
 
-@query(ctes(axiom=p.axiom_sql(AXIOM_KINDS, ["schema"])) + " SELECT DISTINCT key_noann FROM axiom")
+@query(ctes(axiom=p.axiom_sql(AXIOM_KINDS)) + " SELECT DISTINCT key_noann FROM axiom")
 def axioms_without_annotations(s: Store) -> DataFrame:
-    return s.axioms(AXIOM_KINDS, ["schema"]).select("key_noann").distinct()
+    return s.axioms(AXIOM_KINDS).select("key_noann").distinct()
 
 
 _LABELS = [f"AnnotationProperty(<{RDFS}label>)", f"AnnotationProperty(<{EX}source>)"]
@@ -551,9 +534,9 @@ def _type_index_sql() -> str:
     return "CASE kind " + " ".join(f"WHEN '{x}' THEN {i}" for x, i in TYPE_INDEX.items() if x in AXIOM_KINDS) + " END"
 
 
-@query(ctes(axiom=p.axiom_sql(AXIOM_KINDS, ["schema"])) + f" SELECT ont_id, axiom_key, row_number() OVER (PARTITION BY ont_id ORDER BY {_type_index_sql()}, axiom_key) AS place FROM axiom")
+@query(ctes(axiom=p.axiom_sql(AXIOM_KINDS)) + f" SELECT ont_id, axiom_key, row_number() OVER (PARTITION BY ont_id ORDER BY {_type_index_sql()}, axiom_key) AS place FROM axiom")
 def display_order(s: Store) -> DataFrame:
-    return changes.display_order(s.axioms(AXIOM_KINDS, ["schema"]))
+    return changes.display_order(s.axioms(AXIOM_KINDS))
 
 
 # M: RDF
@@ -575,9 +558,9 @@ def _triples_sql(onts=None) -> str:
     return ctes(f=p.edge_sql(k(*_FIXED), fields, onts=onts), g=p.edge_sql(k("ObjectPropertyAssertion", "DataPropertyAssertion", "AnnotationAssertion"), ["property", "subject", "value"], onts=onts), t="\nUNION ".join(parts))
 
 
-@query(_triples_sql(["schema", "geo", "trade"]) + " SELECT subject, predicate, object, graph FROM t WHERE graph IN ('schema', 'geo', 'trade')")
+@query(_triples_sql() + " SELECT subject, predicate, object, graph FROM t")
 def owl_to_rdf(s: Store) -> DataFrame:
-    return changes.triples(s, ["schema", "geo", "trade"])
+    return changes.triples(s)
 
 
 @query(_triples_sql() + " SELECT graph, count(*) AS n_triples FROM t GROUP BY graph")
@@ -724,15 +707,11 @@ def sample_formats(s: Store) -> DataFrame:
 
 # G, P, O: schema rules and orders
 
-_LAST_REACH = p.reach_sql(AXIOM_KINDS, ["schema"])
-
-
-@query(ctes(reach=_LAST_REACH) + f" SELECT root_key AS axiom_key, count(DISTINCT CASE WHEN node_kind IN ({quoted(ENTITY_KINDS)}) THEN node_key END) AS n_entities, count(DISTINCT node_kind || node_key) + 1 AS n_nodes FROM reach WHERE ont_id = 'schema' GROUP BY root_key")
+@query(ctes(reach=p.reach_sql(AXIOM_KINDS)) + f" SELECT ont_id, root_key AS axiom_key, count(DISTINCT CASE WHEN node_kind IN ({quoted(ENTITY_KINDS)}) THEN node_key END) AS n_entities, count(DISTINCT node_kind || node_key) + 1 AS n_nodes FROM reach GROUP BY ont_id, root_key")
 def locality_vectors(s: Store) -> DataFrame:
     """Entities and nodes of each axiom, which extraction works with."""
-    r = s.reach(AXIOM_KINDS, ["schema"]).where("ont_id = 'schema'")
     entity = F.when(F.col("node_kind").isin(*ENTITY_KINDS), F.col("node_key"))
-    return r.groupBy(F.col("root_key").alias("axiom_key")).agg(F.countDistinct(entity).alias("n_entities"), (F.countDistinct(F.concat("node_kind", "node_key")) + 1).alias("n_nodes"))
+    return s.reach(AXIOM_KINDS).groupBy("ont_id", F.col("root_key").alias("axiom_key")).agg(F.countDistinct(entity).alias("n_entities"), (F.countDistinct(F.concat("node_kind", "node_key")) + 1).alias("n_nodes"))
 
 
 @query("WITH RECURSIVE " + _CLOSURE + f", o AS ({p.ontology_sql()}) SELECT root, member, row_number() OVER (PARTITION BY root ORDER BY root <> member, ontology_iri, coalesce(version_iri, '')) AS place FROM closure JOIN o ON member = o.ont_id")
