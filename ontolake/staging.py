@@ -10,9 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset a temporary folder of this machine, which then becomes it."""
+    """spark.checkpoint.dir, or where that is unset and the session has one machine a temporary folder of it, which then
+    becomes it. A cluster without one is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"ontolake-{uuid.uuid4().hex}")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
