@@ -8,7 +8,7 @@ one document of the target.
 A prefix sum over a source that holds a third of all rows would be one task's work as a window. As all steps of a source
 are equal, the prefix sum is a rank times the step, and the rank is put together from counts: of smaller sizes in the
 source, of earlier cells (hash buckets) of the same size, and of rows before it in its cell. Only counts meet in one
-place; the windows over rows are of cells.
+place; the windows over rows are of cells. A row for each source goes through one task: sources are collections, not hosts.
 
 Defined results for odd input: a null text has size 0; a null source is a source of its own, last in order; a source
 of size 0 has target 0 and takes nothing; equal rows are ranked one after another, which of them gets a copy does not
@@ -74,12 +74,12 @@ def _copies(keyed: DataFrame, counted: DataFrame, tie: list[Column], **targets)
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **targets) -> DataFrame:
-    """The mixture itself: every row of df as often as it is taken, with the columns of df (names that start with an
-    underscore and a key's name must be free). The rows pass one exchange, by keys that no hot source can fill."""
-    keys = _keys(F.col(id_col), F.col(source_col), n_words(F.col(text_col)))
-    keyed = df.withColumns(keys)
-    copies = _copies(keyed, df.select(*(c.alias(k) for k, c in keys.items())), [F.col(id_col), F.xxhash64(text_col)], **targets)
-    return copies.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(F.col(f"`{c}`") for c in df.columns))
+    """The mixture itself: every row of df as often as it is taken, with the columns of df, whatever their names: a row travels
+    as one column. The rows pass one exchange, by keys that no hot source can fill."""
+    keys = [c.alias(k) for k, c in _keys(F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), n_words(F.col(f"`{text_col}`"))).items()]
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    copies = _copies(df.select(row, *keys), df.select(*keys), [F.col("_row")[id_col], F.xxhash64(F.col("_row")[text_col])], **targets)
+    return copies.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
 
 
 def op5_source_mix(documents: DataFrame) -> DataFrame:
