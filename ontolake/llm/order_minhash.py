@@ -478,14 +478,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def deduplicated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each group: that with the smallest id; of rows that repeat id and text, one. Rows with a null id
-    go if their group has any id; else they stay. Columns that start with an underscore and this operator's names must be
-    free."""
+    go if their group has any id; else they stay. df's columns may have any names: a row travels as one column."""
     found = near_duplicates(df, id_col, text_col)
     gone = found.where(~F.col("kept")).select(F.col(id_col).alias("_id"), F.col("digest").alias("_digest")).distinct()
-    rows = df.withColumn("_own", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    rows = rows.join(gone, F.col("_own").eqNullSafe(F.col("_digest")) & F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    nth = F.row_number().over(Window.partitionBy(id_col, "_own").orderBy(F.lit(0)))
-    return rows.withColumn("_nth", nth).where((F.col("_nth") == 1) | F.col(id_col).isNull()).select(*(F.col(f"`{c}`") for c in df.columns))
+    row = F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_row")
+    rows = df.select(row, F.col(f"`{id_col}`").alias("_own_id"), F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("_own"))
+    rows = rows.join(gone, F.col("_own").eqNullSafe(F.col("_digest")) & F.col("_own_id").eqNullSafe(F.col("_id")), "left_anti")
+    nth = F.row_number().over(Window.partitionBy("_own_id", "_own").orderBy(F.lit(0)))
+    return rows.withColumn("_nth", nth).where((F.col("_nth") == 1) | F.col("_own_id").isNull()).select("_row.*")
 
 
 def op2_near_duplicates(documents: DataFrame) -> DataFrame:
