@@ -3,9 +3,10 @@ calibration.
 
 Statistics of whole texts (lengths, repetition, character classes, compressibility) are standardised by the labelled
 rows. Random cosine features approximate a Gaussian kernel over them. Each partition sums its part of the normal
-equations, and the parts are added by row of the matrix; the driver solves a system of fixed size. Raw scores of the
-labelled rows, counted in BINS bins, give a rising step function by pooling adjacent violators, which maps raw scores to
-the share of good documents.
+equations, and the parts are added by row of the matrix, in two steps so that no task adds up all of them; the driver solves
+systems of fixed size. Rows are dealt into FOLDS by a hash of their statistics; a row's raw score for the calibration comes
+from weights that were fitted without its fold, so that it is not that of rows known by heart. These scores, counted in BINS
+bins, give rising levels by pooling adjacent violators; between the pools' middles levels are interpolated.
 
 All labelled rows are used. Only the text enters a score.
 
@@ -28,13 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import staged
+from .common import partitions, staged
 
 STATS = (
     "log_chars", "log_words", "word_len", "word_len_sd", "distinct_words", "top_word", "same_as_before", "distinct_lines", "line_words", "symbols",
     "digits", "upper", "pipes", "marks_a_word", "stops_a_word", "letters", "entropy", "squeezed", "distinct_pairs", "symbol_ended",
 )
-FEATURES, WIDTH, RIDGE, BINS, SEED = 256, 4.0, 1e-3, 2048, 7
+FEATURES, WIDTH, RIDGE, BINS, FOLDS, SEED = 256, 4.0, 1e-3, 2048, 4, 7
 
 _SYMBOLS = b"#$%&*+<=>@^_`|~\\{}[]/!"
 _CLASS = bytearray(256)
@@ -134,34 +135,40 @@ def fit(labelled: DataFrame) -> Model:
     size = FEATURES + 1
 
     def sums_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gram = np.zeros((size, size + 1))
+        from pyspark import TaskContext
+
+        gram = np.zeros((FOLDS, size, size + 1))
         for batch in batches:
-            z = shape.features(_matrix(batch))
+            stats = _matrix(batch)
+            z, fold = shape.features(stats), folds_of(stats)
             y = batch.column(batch.schema.get_field_index("_good")).to_numpy(zero_copy_only=False)
-            gram += z.T @ np.hstack([z, y[:, None]])
-        yield pa.RecordBatch.from_arrays([pa.array(range(size), pa.int32()), pa.array([r.tobytes() for r in gram], pa.binary())], names=["row", "part"])
+            for f in range(FOLDS):
+                gram[f] += z[fold == f].T @ np.hstack([z[fold == f], y[fold == f, None]])
+        place = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_arrays([pa.array([place] * size, pa.int32()), pa.array(range(size), pa.int32()), pa.array([np.ascontiguousarray(gram[:, r]).tobytes() for r in range(size)], pa.binary())], names=["place", "row", "part"])
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for i, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for place, row, part in zip(*(c.to_pylist() for c in batch.columns)):
                 v = np.frombuffer(part)
-                total[i] = total[i] + v if i in total else v
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["row", "part"])
-
-    rows = labelled.mapInArrow(sums_of, "row int, part binary").repartition(8, "row").mapInArrow(added, "row int, part binary").collect()
-    gram = np.zeros((size, size + 1))
+                total[place, row] = total[place, row] + v if (place, row) in total else v
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in total], pa.int32()), pa.array([k[1] for k in total], pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], names=["place", "row", "part"])
+
+    shape_of = "place int, row int, part binary"
+    wide = max(1, math.isqrt(partitions(labelled.sparkSession)))
+    half = labelled.mapInArrow(sums_of, shape_of).withColumn("place", F.pmod("place", F.lit(wide)).cast("int")).repartition(8 * wide, "place", "row").mapInArrow(added, shape_of)
+    rows = half.withColumn("place", F.lit(0)).repartition(8, "row").mapInArrow(added, shape_of).collect()  # a row for each of the matrix
+    gram = np.zeros((FOLDS, size, size + 1))
     for r in rows:
-        gram[r["row"]] += np.frombuffer(r["part"])
-    n = row["n"]
-    ridge = RIDGE * n / size * np.eye(size)
-    ridge[-1, -1] = 1e-9 * n
-    model.weights = np.linalg.solve(gram[:, :size] + ridge, gram[:, size])
+        gram[:, r["row"]] += np.frombuffer(r["part"]).reshape(FOLDS, size + 1)
+    model.weights = solved(gram.sum(0))
+    without = np.stack([solved(gram.sum(0) - gram[f]) for f in range(FOLDS)])
     fitted = model
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(fitted.raw(_matrix(batch))), batch.column(batch.schema.get_field_index("_good"))], names=["raw", "good"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_of_fold(fitted, _matrix(batch), without)), batch.column(batch.schema.get_field_index("_good"))], names=["raw", "good"])
 
     bins = labelled.mapInArrow(scored, "raw double, good double").groupBy(F.floor((F.col("raw") + 1) / 3 * BINS).alias("bin")).agg(F.avg("raw").alias("raw"), F.sum("good").alias("good"), F.count(F.lit(1)).alias("n"))
     found = sorted((r["raw"], r["good"], r["n"]) for r in bins.collect())  # BINS rows at most
@@ -169,6 +176,25 @@ def fit(labelled: DataFrame) -> Model:
     return model
 
 
+def folds_of(stats: np.ndarray) -> np.ndarray:
+    """A fold for each row, by its statistics alone."""
+    return np.array([zlib.crc32(row.tobytes()) % FOLDS for row in np.ascontiguousarray(stats)], int)
+
+
+def solved(gram: np.ndarray) -> np.ndarray:
+    """Ridge weights of summed normal equations; the last feature is constant, so that its square counts the rows."""
+    size = len(gram)
+    n = max(gram[-1, size - 1], 1.0)
+    ridge = RIDGE * n / size * np.eye(size)
+    ridge[-1, -1] = 1e-9 * n
+    return np.linalg.solve(gram[:, :size] + ridge, gram[:, size])
+
+
+def out_of_fold(model: Model, stats: np.ndarray, without: np.ndarray) -> np.ndarray:
+    """Raw scores by the weights that were fitted without a row's fold."""
+    return np.clip((model.features(stats) * without[folds_of(stats)]).sum(1), -1, 2)
+
+
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 3 == 1, F.lit(False))
 

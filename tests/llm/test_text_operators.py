@@ -449,7 +449,60 @@ def test_classifier_holds_out_and_learns(spark):
     assert kept == set(got.index[got.score >= 0.5])
 
 
+def test_scores_equal_a_fit_in_one_piece(spark):
+    rng = np.random.default_rng(17)
+    n = 700
+    stats = rng.normal(size=(n, len(quality.STATS))) * rng.uniform(0.1, 5, len(quality.STATS))
+    stats[:, 3] = 2.0  # constant
+    good = (stats[:, 0] / np.abs(stats[:, 0]).max() + 0.3 * rng.normal(size=n) > 0).astype(float)
+    frame = spark.createDataFrame([(x.tolist(), float(y)) for x, y in zip(stats, good)], "_stats array<double>, _good double").repartition(7)
+    model = quality.fit(frame)
+    # The same by hand: all rows at once.
+    sd = stats.std(0)
+    x = np.clip((stats - stats.mean(0)) / np.where(sd > 1e-9, sd, 1), -8, 8)
+    z = np.c_[np.cos(x @ model.directions + model.phases) * np.sqrt(2 / quality.FEATURES), np.ones(n)]
+
+    def weights(some):
+        m, k = some.sum(), z.shape[1]
+        penalty = np.diag(np.r_[np.full(k - 1, quality.RIDGE * m / k), 1e-9 * m])
+        return np.linalg.solve(z[some].T @ z[some] + penalty, z[some].T @ good[some])
+
+    assert np.allclose(model.weights, weights(np.ones(n, bool)), atol=1e-6)
+    fold = np.array([zlib.crc32(r.tobytes()) % quality.FOLDS for r in stats])
+    raw = np.zeros(n)
+    for f in range(quality.FOLDS):
+        raw[fold == f] = np.clip(z[fold == f] @ weights(fold != f), -1, 2)
+    bins = np.floor((raw + 1) / 3 * quality.BINS)
+    cells = sorted((raw[bins == b].mean(), good[bins == b].sum(), (bins == b).sum()) for b in np.unique(bins))
+    # The isotonic fit by its definition: the largest, over starts, of the smallest, over ends, of the mean.
+    g, m = np.array([c[1] for c in cells], float), np.array([c[2] for c in cells], float)
+    cg, cm = np.r_[0, np.cumsum(g)], np.r_[0, np.cumsum(m)]
+    k = len(g)
+    mean = lambda a, b: (cg[b + 1] - cg[a]) / (cm[b + 1] - cm[a])
+    level = np.array([max(min(mean(a, b) for b in range(i, k)) for a in range(i + 1)) for i in range(k)])
+    place = np.cumsum(np.r_[True, np.diff(level) > 1e-12]) - 1
+    mass, sums, middle = np.bincount(place, m), np.bincount(place, g), np.bincount(place, m * [c[0] for c in cells])
+    score = np.interp(np.clip(z @ model.weights, -1, 2), middle / mass, (sums + good.mean()) / (mass + 1))
+    assert np.allclose(model.score(stats), score, atol=1e-5)
+
+
+NAMES = "_row _cell _own _own_id _rank _digest _id _size _copies _copy _nth _sk _sn _n _less _in _step _offset _text _stats _good _label_id node comp digest component_id kept size bucket first words text2 score spans".split()
+
+
+def test_columns_of_any_name_are_carried(spark):
+    schema = T.StructType([*DOCS.fields[:5], *(T.StructField(c, T.StringType()) for c in NAMES)])
+    rows = [(i, f"text number {i} with some words of its own and more", "en", f"s{i % 2}", 5, *(f"{c}{i}" for c in NAMES)) for i in range(12)]
+    d = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(0, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    for f in (secrets.redact, mixing.mix, order_minhash.deduplicated, lambda x: quality.keep_good(x, labels)):
+        out = f(d)
+        assert out.columns == d.columns
+        got = out.collect()
+        assert got and all(tuple(r) == rows[r["doc_id"]] for r in got)
+
+
 def test_statistics_are_finite():
+
     for t in ("", " ", "a", "\n\n", "é" * 10, "x" * 100_000):
         s = quality.statistics(t)
         assert len(s) == len(quality.STATS) and all(map(math.isfinite, s))
