@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where that is unset (tests, one
-    machine), a new temporary folder that is then set for the session."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir, or, where that is unset and the session has
+    one machine (tests), a new temporary folder that is then set for the session. A cluster without one is an error: what
+    an executor wrote to its own disk, others could not read."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), f"ontolake-{uuid.uuid4().hex}")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -27,9 +30,20 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_STAGED: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes the tables that `staged` wrote. Only when what was made of them is written elsewhere."""
+    while _STAGED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_STAGED.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: df written as Parquet in the shared folder, and read back. It outlives lost executors."""
     path = shared_path(df.sparkSession, name)
+    _STAGED.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
