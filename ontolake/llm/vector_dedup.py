@@ -31,7 +31,7 @@ from .components import connected_components
 from .hnsw import Graph, levels_of, links
 from .vectors import cosines, matrix, products, takes_part, usable
 
-LEAST, SHARD, SALTS, TILE = 0.98, 4096, 8, 16
+LEAST, SHARD, SALTS, TILE = 0.98, 2048, 8, 16
 #: What single precision may take from a cosine.
 SLACK = 1e-5
 _AUDIT = ("beam", "true", "hit", "asked", "met", "every")

@@ -87,7 +87,7 @@ def brute_links(x, labels, least=0.98):
     return deg, [root(i) for i in range(n)]
 
 
-@pytest.mark.parametrize("shard", [40, 4096])
+@pytest.mark.parametrize("shard", [40, vector_dedup.SHARD])
 def test_vector_links(spark, monkeypatch, shard):
     monkeypatch.setattr(vector_dedup, "SHARD", shard)
     x = clusters(300, 8, 3, 0.05)
