@@ -82,10 +82,10 @@ def same(left: Iterable[str], right: Iterable[str], steps: int = 100_000) -> dic
 def compare(left: Iterable[Obj], right: Iterable[Obj]) -> bool:
     """Do two sets of axioms say the same, whatever their anonymous individuals are called. Sets inside axioms are put in
     order by key, which depends on names; so keys are compared with their sets' members sorted by what is left of them."""
-    return same(_stable(left), _stable(right)) is not None
+    return same(stable(left), stable(right)) is not None
 
 
-def _stable(axioms: Iterable[Obj]) -> list[str]:
+def stable(axioms: Iterable[Obj]) -> list[str]:
     from ..model import KIND
 
     def text(o: Obj) -> str:

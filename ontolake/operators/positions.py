@@ -1,15 +1,18 @@
-"""Rules over single expressions and over the property hierarchy, which depend on the schema and not on the data."""
+"""Rules over single expressions: class positions and facets."""
 
 from __future__ import annotations
 
 import re
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import literals as lit
-from ..model import DATATYPES, KIND, OWL, RDF, THING, XSD, Obj, walk
+from ..model import DATATYPES, KIND, OWL, RDF, THING, XSD, Obj
 
 _OF = {d.iri: d for d in DATATYPES}
 
@@ -69,60 +72,6 @@ def class_positions(a: Obj, profile: str, rl_disjoint: str = "sub") -> Iterator[
             yield c
 
 
-def irregular(axioms: Iterable[Obj]) -> tuple[str, str] | None:
-    """The first pair of properties, if any, that breaks a strict order of the property hierarchy: chains may be
-    R R -> R, and R S1..Sn -> R, S1..Sn R -> R or S1..Sn -> R with every S below R."""
-    name = lambda p: ("-" if p.kind == "OWLObjectInverseOf" else "+") + (p.fields[0] if p.kind == "OWLObjectInverseOf" else p).iri
-    flip = lambda n: ("+" if n[0] == "-" else "-") + n[1:]
-    up: dict[str, set[str]] = {}
-    below: set[tuple[str, str]] = set()
-
-    def edge(a: str, b: str) -> None:
-        up.setdefault(a, set()).add(b)
-        up.setdefault(flip(a), set()).add(flip(b))
-
-    for a in axioms:
-        k, f = KIND[a.kind].keyword, a.fields
-        if k == "SubObjectPropertyOf":
-            edge(name(f[0]), name(f[1]))
-        elif k == "EquivalentObjectProperties":
-            for p in f[0][1:]:
-                edge(name(f[0][0]), name(p))
-                edge(name(p), name(f[0][0]))
-        elif k == "InverseObjectProperties":
-            edge(name(f[0][0]), flip(name(f[0][1])))
-            edge(flip(name(f[0][1])), name(f[0][0]))
-        elif k == "SymmetricObjectProperty":
-            edge(name(f[0]), flip(name(f[0])))
-            edge(flip(name(f[0])), name(f[0]))
-        elif k == "SubPropertyChainOf":
-            chain, top = [name(p) for p in f[0]], name(f[1])
-            if chain == [top, top] or top == "+" + OWL + "topObjectProperty":
-                continue
-            rest = chain[1:] if chain[0] == top else chain[:-1] if chain[-1] == top else chain
-            below.update((s, top) for s in rest)
-            below.update((flip(s), top) for s in rest)
-    every = set(up) | {x for p in below for x in p}
-    reach: dict[str, set[str]] = {}
-    for s in every:
-        seen, todo = {s}, [s]
-        while todo:
-            for n in up.get(todo.pop(), ()):
-                if n not in seen:
-                    seen.add(n)
-                    todo.append(n)
-        reach[s] = seen
-    grown = True
-    while grown:
-        more = {(a, d) for a, b in below for c, d in below if b == c} | {(flip(a), b) for a, b in below}
-        grown = not more <= below
-        below |= more
-    for a, b in sorted(below):
-        if a == b or a in reach.get(b, ()):
-            return a, b
-    return None
-
-
 def rational(text: str, datatype: str) -> Fraction | None:
     """Exact value of a number's text, if it is one."""
     try:
@@ -137,41 +86,48 @@ def rational(text: str, datatype: str) -> Fraction | None:
 
 
 _FACETS = {"order": ("minInclusive", "maxInclusive", "minExclusive", "maxExclusive"), "length": ("length", "minLength", "maxLength", "pattern"), "octets": ("length", "minLength", "maxLength"), "lang": ("length", "minLength", "maxLength", "pattern", "langRange"), "none": ()}
-
-
-def facet_status(datatype: str, facet: str, value: Obj) -> str:
-    """'valid', 'invalid' or 'unverified' of a facet restriction of a datatype."""
-    d = _OF.get(datatype)
-    name = facet.removeprefix(XSD).removeprefix(RDF)
-    if d is None:
-        return "unverified"
-    if name not in _FACETS[d.facets] or (name == "langRange") != facet.startswith(RDF):
+_FLOATS, _TIMES = (XSD + "float", XSD + "double"), (XSD + "dateTime", XSD + "dateTimeStamp")
+_TEXTS = tuple(XSD + x for x in ("string", "normalizedString", "token", "language", "Name", "NCName", "NMTOKEN"))
+
+
+def in_value_space(datatype: str, v: Fraction | None) -> bool:
+    """Is an exact number a value of a numeric datatype: of owl:real and owl:rational any is, of xsd:decimal those with a
+    finite decimal fraction, of the others the whole ones between their bounds."""
+    if v is None or datatype in (OWL + "real", OWL + "rational"):
+        return v is not None
+    if datatype == XSD + "decimal":
+        den = v.denominator
+        for p in (2, 5):
+            while den % p == 0:
+                den //= p
+        return den == 1
+    d = _OF[datatype]
+    return v.denominator == 1 and (d.low is None or v >= int(d.low)) and (d.high is None or v <= int(d.high))
+
+
+def facet_status(datatype: str, facet: str, lexical: str, own: str, literal: str = "valid") -> str:
+    """'valid', 'invalid' or 'unverified' of a facet restriction of a built-in datatype: the value must be a literal in order
+    itself (`literal` is its status), of the base's value space where it is a bound, a whole number of any exact numeric
+    datatype where it is a length, a text where it is a pattern or a basic language range."""
+    if literal != "valid":
+        return literal
+    d, name = _OF.get(datatype), facet.removeprefix(XSD).removeprefix(RDF)
+    if d is None or name not in _FACETS[d.facets] or (name == "langRange") != facet.startswith(RDF):
         return "invalid"
-    lexical, _, own = value.fields
+    exact = rational(lexical, own) if own not in _FLOATS and (own == OWL + "rational" or own in _OF and _OF[own].facets == "order" and own not in _TIMES) else None
     if d.facets == "order":
-        if datatype in (XSD + "dateTime", XSD + "dateTimeStamp"):
-            return "valid" if own in (XSD + "dateTime", XSD + "dateTimeStamp") and re.match(lit.DATETIME, lexical) else "invalid"
-        v = rational(lexical, own)
-        if v is None:
-            return "invalid"
-        floats = {XSD + "float", XSD + "double"}
-        if (own in floats) != (datatype in floats) or own in floats and own != datatype:
-            return "invalid"
-        if datatype == XSD + "decimal" or d.low is not None or d.high is not None or datatype == XSD + "integer":
-            den = v.denominator
-            for p in (2, 5):
-                while den % p == 0:
-                    den //= p
-            if den != 1 or datatype != XSD + "decimal" and v.denominator != 1:
-                return "invalid"
-            if d.low is not None and v < int(d.low) or d.high is not None and v > int(d.high):
-                return "invalid"
-        return "valid"
-    if name == "pattern":
-        return "valid" if own == XSD + "string" and xsd_pattern(lexical) else "invalid"
-    if name == "langRange":
-        return "valid" if re.fullmatch(r"(?:[A-Za-z]{1,8}|\*)(?:-(?:[A-Za-z0-9]{1,8}|\*))*", lexical) else "invalid"
-    return "valid" if re.match(r"^\+?[0-9]+$", lexical) and own.startswith(XSD) and own in _OF and _OF[own].facets == "order" else "invalid"
+        if datatype in _TIMES:
+            fits = own in _TIMES and (datatype == XSD + "dateTime" or re.search(r"(?:Z|[+-][0-9]{2}:[0-9]{2})$", lexical) is not None)
+        elif datatype in _FLOATS:
+            fits = own == datatype
+        else:
+            fits = in_value_space(datatype, exact)
+    elif name in ("pattern", "langRange"):
+        text = lexical if own in _TEXTS else lexical[:-1] if own == RDF + "PlainLiteral" and lexical.endswith("@") else None
+        fits = text is not None and (xsd_pattern(text) if name == "pattern" else re.fullmatch(r"\*|[A-Za-z]{1,8}(?:-[A-Za-z0-9]{1,8})*", text) is not None)
+    else:
+        fits = exact is not None and exact.denominator == 1 and exact >= 0
+    return "valid" if fits else "invalid"
 
 
 def xsd_pattern(text: str) -> bool:
@@ -248,12 +204,20 @@ def xsd_pattern(text: str) -> bool:
     return branch(0) and at == n
 
 
-def facets_of(axioms: Iterable[Obj]) -> Iterator[tuple[str, str, str, str]]:
-    """(datatype, facet, value, status) of every facet restriction in axioms."""
-    for a in axioms:
-        for x, _ in walk(a):
-            if x.kind == "OWLDatatypeRestriction":
-                for f in x.fields[1]:
-                    yield x.fields[0].iri, f.fields[0].iri, f.fields[1].key, facet_status(x.fields[0].iri, f.fields[0].iri, f.fields[1])
+def facet_frame(s) -> DataFrame:
+    """datatype, facet, lexical, value_type, status of every facet restriction of a built-in datatype in a Store, without
+    repeats. The grammar of patterns and exact numbers are Python's work, in Arrow batches over the distinct restrictions."""
+    part = lambda kind, field, *names: s.edges([kind], [field], nested=True).selectExpr("parent_key", *names)
+    of = part("OWLDatatypeRestriction", "datatype", "child_key AS datatype").join(part("OWLDatatypeRestriction", "facetRestrictions", "child_key AS restriction"), "parent_key").drop("parent_key")
+    facet = part("OWLFacetRestriction", "facet", "child_key AS facet").join(part("OWLFacetRestriction", "value", "child_key AS value"), "parent_key").withColumnRenamed("parent_key", "restriction")
+    values = s.nodes().where("kind = 'OWLLiteral'").selectExpr("node_key AS value", "lexical", "lang", "datatype_iri", f"{lit.status(lit.SPARK)} AS literal")
+    plain = "regexp_extract({}, '<(.*)>', 1)"
+    rows = of.join(facet, "restriction").join(values, "value")
+    rows = rows.selectExpr(f"{plain.format('datatype')} AS datatype", f"{plain.format('facet')} AS facet", "lexical", "datatype_iri AS value_type", "literal").where(F.col("datatype").isin([d.iri for d in DATATYPES])).distinct()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [facet_status(*r) for r in zip(*(c.to_pylist() for c in batch.columns))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.string())], names=["datatype", "facet", "lexical", "value_type", "status"])
 
+    return rows.mapInArrow(run, "datatype string, facet string, lexical string, value_type string, status string")

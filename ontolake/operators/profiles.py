@@ -88,7 +88,6 @@ _CATEGORIES = ("OWLObjectProperty", "OWLDataProperty", "OWLAnnotationProperty")
 _IRI = "substr(node_key, position('(<' IN node_key) + 2, length(node_key) - position('(<' IN node_key) - 3)"
 _EL_RANGES = [d.iri for d in DATATYPES if d.el_ql]
 _RL_RANGES = [d.iri for d in DATATYPES if d.rl]
-_NONSIMPLE_KINDS = kinds("ObjectMinCardinality", "ObjectMaxCardinality", "ObjectExactCardinality", "ObjectHasSelf", "FunctionalObjectProperty", "InverseFunctionalObjectProperty", "IrreflexiveObjectProperty", "AsymmetricObjectProperty", "DisjointObjectProperties")
 _EL_CLASSES = kinds("Class", "ObjectIntersectionOf", "ObjectOneOf", "ObjectSomeValuesFrom", "ObjectHasValue", "ObjectHasSelf", "DataSomeValuesFrom", "DataHasValue")
 _CLASS_KINDS = [k.kind for k in KINDS if k.category == "class"]
 
@@ -101,14 +100,6 @@ def _forbidden(profile: str) -> list[str]:
     return [k.kind for k in KINDS if profile in k.forbidden.split()]
 
 
-#: Properties that are not simple follow from these: where transitive, chained, or top or bottom, and what is above.
-_SUBPROPERTY_FRAMES = {
-    "sub": edge(kinds("SubObjectPropertyOf"), ["subProperty", "superProperty"]),
-    "equal": edge(kinds("EquivalentObjectProperties"), ["properties"]),
-    "inverse": edge(kinds("InverseObjectProperties"), ["properties"]),
-    "seed": edge(kinds("TransitiveObjectProperty", "SubPropertyChainOf"), ["property", "superProperty"]),
-}
-
 RULES: tuple[Rule, ...] = (
     Rule("import_closure_incomplete", "IMPORT_CLOSURE_INCOMPLETE", _same("SELECT ont_id, import_iri FROM {imports} WHERE target IS NULL"), {"imports": _IMPORTS}),
     Rule("reserved_ontology_iri", "RESERVED_ONTOLOGY_IRI", _same(f"SELECT ont_id FROM {{onts}} WHERE {_reserved('ontology_iri')} OR {_reserved('version_iri')}"), {"onts": _ONTOLOGIES}),
@@ -155,51 +146,6 @@ RULES: tuple[Rule, ...] = (
 )
 
 
-def _property_edges(s: Store) -> DataFrame:
-    """The inclusion graph of object properties: sub to super, both ways between equals and between inverses."""
-    text = """SELECT a.child_key AS src, b.child_key AS dst FROM {sub} a JOIN {sub} b ON a.parent_key = b.parent_key AND a.field = 'subProperty' AND b.field = 'superProperty'
-    UNION SELECT a.child_key, b.child_key FROM {equal} a JOIN {equal} b ON a.parent_key = b.parent_key AND a.child_key <> b.child_key
-    UNION SELECT a.child_key, b.child_key FROM {inverse} a JOIN {inverse} b ON a.parent_key = b.parent_key AND a.ord <> b.ord"""
-    return s.spark.sql(text, **{n: _SUBPROPERTY_FRAMES[n][0](s) for n in ("sub", "equal", "inverse")})
-
-
-def nonsimple_properties(s: Store) -> DataFrame:
-    """Top and bottom, transitive and chained properties, and all properties above one of them."""
-    seeds = _SUBPROPERTY_FRAMES["seed"][0](s).select("child_key").union(s.spark.sql(f"SELECT * FROM VALUES ('ObjectProperty(<{OWL}topObjectProperty>)'), ('ObjectProperty(<{OWL}bottomObjectProperty>)') t(child_key)"))
-    return reachable(_property_edges(s), seeds.selectExpr("child_key AS src"), reflexive=True).selectExpr("dst AS property").distinct()
-
-
-NONSIMPLE_SQL = (
-    "WITH RECURSIVE " + ", ".join(f"{n} AS ({q})" for n, (_, q) in _SUBPROPERTY_FRAMES.items())
-    + """, g AS (SELECT a.child_key AS src, b.child_key AS dst FROM sub a JOIN sub b ON a.parent_key = b.parent_key AND a.field = 'subProperty' AND b.field = 'superProperty'
-    UNION SELECT a.child_key, b.child_key FROM equal a JOIN equal b ON a.parent_key = b.parent_key AND a.child_key <> b.child_key
-    UNION SELECT a.child_key, b.child_key FROM inverse a JOIN inverse b ON a.parent_key = b.parent_key AND a.ord <> b.ord),
-    n(property) AS (SELECT child_key FROM seed UNION SELECT 'ObjectProperty(<""" + OWL + "topObjectProperty>)' UNION SELECT 'ObjectProperty(<" + OWL + """bottomObjectProperty>)'
-    UNION SELECT g.dst FROM n JOIN g ON n.property = g.src)"""
-)
-
-
-def nonsimple_uses(s: Store) -> DataFrame:
-    """Non-simple properties where only simple ones may stand."""
-    e = s.edges(_NONSIMPLE_KINDS, ["property", "properties"], nested=True)
-    n = nonsimple_properties(s)
-    return e.join(n, e.child_key == n.property, "left_semi").select("parent_key", "child_key").distinct()
-
-
-def cyclic_datatypes(s: Store) -> DataFrame:
-    """Datatypes whose definition leads back to them."""
-    d = s.edges(kinds("DatatypeDefinition"), ["datatype"]).selectExpr("parent_key", "child_key AS src")
-    r = s.reach(kinds("DatatypeDefinition")).where("node_kind = 'OWLDatatype'").selectExpr("root_key AS parent_key", "node_key AS dst")
-    uses = d.join(r, "parent_key").where("src <> dst").select("src", "dst")
-    return reachable(uses).where("src = dst").selectExpr("src AS datatype")
-
-
-CYCLIC_SQL = f"""WITH RECURSIVE d AS ({p.edge_sql(kinds('DatatypeDefinition'), ['datatype'])}), r AS ({p.reach_sql(kinds('DatatypeDefinition'))}),
-u AS (SELECT DISTINCT d.child_key AS src, r.node_key AS dst FROM d JOIN r ON d.parent_key = r.root_key WHERE r.node_kind = 'OWLDatatype' AND d.child_key <> r.node_key),
-c(src, dst) AS (SELECT src, dst FROM u UNION SELECT c.src, u.dst FROM c JOIN u ON c.dst = u.src)
-SELECT src AS datatype FROM c WHERE src = dst"""
-
-
 def anonymous_forest(s: Store) -> DataFrame:
     """Components of anonymous individuals under object property assertions: nodes, edges, named edges, and whether the
     component is a tree and has at most one link to a named individual."""

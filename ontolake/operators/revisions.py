@@ -1,12 +1,14 @@
 """Versioned axiom tables: staged writes, optimistic commits, duplicate checks.
 
-A revision is a folder of Parquet; a commit writes the next one and then its marker, so readers see all of it or nothing.
+A revision is a folder of Parquet. A commit writes to a folder of its own and then renames it to the revision's name, which
+succeeds for one of several commits only; a write that breaks leaves nothing that counts. Readers see all of it or nothing.
 All paths go through Spark's file systems.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +49,17 @@ class Revisions:
         after = applied(before, log)
         if net_changes(before, after).isEmpty():
             return expected
-        after.write.mode("error").parquet(f"{self.root}/{ont}/revision={expected + 1}")
+        aside = f"{self.root}/{ont}/_commit-{uuid.uuid4().hex}"
+        after.write.mode("error").parquet(aside)
+        fs, _ = self._files()
+        of = self.spark._jvm.org.apache.hadoop.fs.Path
+        target = of(f"{self.root}/{ont}/revision={expected + 1}")
+        moved = not fs.exists(target) and fs.rename(of(aside), target)
+        # A rename onto a folder that came up in between puts this one inside it.
+        inside = of(target, aside.rsplit("/", 1)[1])
+        if not moved or fs.exists(inside):
+            fs.delete(inside if moved else of(aside), True)
+            raise OWLOntologyStateError(f"{ont} has moved on from revision {expected}")
         return expected + 1
 
 

@@ -382,9 +382,52 @@ from ..operators import profiles  # noqa: E402
 for _rule in profiles.RULES:
     query(_rule.duckdb(), _rule.name)(_rule.spark)
 
-query(profiles.NONSIMPLE_SQL + " SELECT property FROM n", "nonsimple_properties")(profiles.nonsimple_properties)
-query(profiles.NONSIMPLE_SQL + f", u AS ({p.edge_sql(profiles._NONSIMPLE_KINDS, ['property', 'properties'], True)}) SELECT DISTINCT parent_key, child_key FROM u WHERE child_key IN (SELECT property FROM n)", "nonsimple_uses")(profiles.nonsimple_uses)
-query(profiles.CYCLIC_SQL, "cyclic_datatypes")(profiles.cyclic_datatypes)
+# The rules over the property hierarchy and over datatypes, against what follows from the schema by hand: a list of names, read
+# from the rules' definitions and the schema's text, that no code of this package has part in.
+
+from ..operators import hierarchy, positions  # noqa: E402
+
+
+def _listed(columns: str, rows: list[str]) -> str:
+    """SQL of rows written as text, their cells parted by a bar."""
+    cells = (", ".join("'" + c.strip().replace("'", "''") + "'" for c in r.split("|")) for r in rows)
+    return f"SELECT * FROM (VALUES {', '.join(f'({c})' for c in cells)}) t({columns})"
+
+
+_NOT_SIMPLE = "partOf locatedIn hasPart trades dealsWith reaches bends loops flips".split()
+_BOTH_ENDS = ["ObjectProperty(<http://www.w3.org/2002/07/owl#topObjectProperty>)", "ObjectProperty(<http://www.w3.org/2002/07/owl#bottomObjectProperty>)"]
+query(_listed("property", [f"ObjectProperty(<urn:ex:{x}>)" for x in _NOT_SIMPLE] + [f"ObjectInverseOf(ObjectProperty(<urn:ex:{x}>))" for x in _NOT_SIMPLE] + _BOTH_ENDS), "nonsimple_properties")(hierarchy.nonsimple_properties)
+query(
+    _listed("parent_key, child_key", [
+        "ObjectMinCardinality(10 ObjectProperty(<urn:ex:hasPart>) Class(<urn:ex:Product>)) | ObjectProperty(<urn:ex:hasPart>)",
+        "FunctionalObjectProperty(ObjectProperty(<urn:ex:reaches>)) | ObjectProperty(<urn:ex:reaches>)",
+        "InverseFunctionalObjectProperty(ObjectProperty(<urn:ex:partOf>)) | ObjectProperty(<urn:ex:partOf>)",
+        "AsymmetricObjectProperty(ObjectProperty(<urn:ex:hasPart>)) | ObjectProperty(<urn:ex:hasPart>)",
+        "AsymmetricObjectProperty(ObjectProperty(<urn:ex:locatedIn>)) | ObjectProperty(<urn:ex:locatedIn>)",
+    ]), "nonsimple_uses")(hierarchy.nonsimple_uses)
+query(_listed("datatype", ["Datatype(<urn:ex:loopA>)", "Datatype(<urn:ex:loopB>)", "Datatype(<urn:ex:selfish>)"]), "cyclic_datatypes")(hierarchy.cyclic_datatypes)
+query(_listed("lower, upper", ["+urn:ex:loops | +urn:ex:bends"]), "irregular_hierarchy")(hierarchy.irregular_hierarchy)
+_XSD, _RDF, _OWL = "http://www.w3.org/2001/XMLSchema#", "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2002/07/owl#"
+query(
+    _listed("datatype, facet, lexical, value_type, status", [x.replace("xsd:", _XSD).replace("rdf:", _RDF).replace("owl:", _OWL) for x in (
+        "xsd:decimal | xsd:minInclusive | 5000 | xsd:decimal | valid",
+        "xsd:decimal | xsd:minInclusive | 0 | xsd:decimal | valid",
+        "xsd:decimal | xsd:maxExclusive | 1000000 | xsd:decimal | valid",
+        "xsd:decimal | xsd:minInclusive | 1/3 | owl:rational | invalid",
+        "xsd:decimal | xsd:minInclusive | 1/4 | owl:rational | valid",
+        "xsd:byte | xsd:maxInclusive | 300 | xsd:byte | invalid",
+        "xsd:byte | xsd:maxInclusive | 300 | xsd:integer | invalid",
+        "xsd:string | xsd:length | 5.0 | xsd:decimal | valid",
+        "xsd:string | xsd:length | -5 | xsd:integer | invalid",
+        "xsd:string | xsd:pattern | a[bc]+ | xsd:string | valid",
+        "xsd:string | xsd:pattern | a[ | xsd:string | invalid",
+        "rdf:PlainLiteral | rdf:langRange | de-* | xsd:string | invalid",
+        "rdf:PlainLiteral | rdf:langRange | de-AT | xsd:string | valid",
+        "xsd:dateTimeStamp | xsd:minInclusive | 2024-01-01T00:00:00 | xsd:dateTime | invalid",
+        "xsd:dateTimeStamp | xsd:minInclusive | 2024-01-01T00:00:00Z | xsd:dateTime | valid",
+        "xsd:double | xsd:minInclusive | 1 | xsd:decimal | invalid",
+        "xsd:boolean | xsd:length | 1 | xsd:integer | invalid",
+    )]), "facet_statuses")(positions.facet_frame)
 query(profiles.FOREST_SQL, "anonymous_forest")(profiles.anonymous_forest)
 query(profiles.EL_CHAIN_SQL, "el_chain_ranges")(profiles.el_chain_ranges)
 
@@ -725,27 +768,6 @@ def closure_order(s: Store) -> DataFrame:
     return c.select("root", "member", F.row_number().over(by).alias("place"))
 
 
-@query()
-def facet_statuses(s: Store) -> DataFrame:
-    """datatype, facet, value, status of every facet restriction of the schema."""
-    from ..sources.functional import parse
-    from .schema_text import SCHEMA
-
-    rows = sorted(set(positions.facets_of(parse(SCHEMA, "schema").axioms)))
-    return p.local(s.spark, rows, "datatype string, facet string, value string, status string")
-
-
-@query()
-def irregular_hierarchy(s: Store) -> DataFrame:
-    """lower, upper: the first pair that breaks a strict order of the object properties, and whether there is one. The rule
-    saturates the order of the schema's properties, whatever the data."""
-    from ..sources.functional import parse
-    from .schema_text import SCHEMA
-
-    found = positions.irregular(parse(SCHEMA, "schema").axioms)
-    return p.local(s.spark, [(found is None, *(found or (None, None)))], "regular boolean, lower string, upper string")
-
-
 _PARTS = f"SELECT 'user/' || CAST(user_id AS VARCHAR(20)) AS ont_id, CASE event_id % 4 WHEN 0 THEN 'axiom' WHEN 1 THEN 'import' WHEN 2 THEN 'annotation' ELSE 'id' END AS part, '{EX}event/' || event_type AS key, CASE WHEN event_id % 3 = 0 AND event_id % 4 <> 3 THEN 'remove' ELSE 'add' END AS op, ts, event_id AS seq"
 
 

@@ -15,6 +15,7 @@ Declaration(DataProperty(:acctbal)) Declaration(DataProperty(:retailPrice)) Decl
 Declaration(AnnotationProperty(:source)) Declaration(AnnotationProperty(:quality)) Declaration(AnnotationProperty(:maintainer)) Declaration(AnnotationProperty(:note))
 Declaration(Datatype(:money)) Declaration(Datatype(:loopA)) Declaration(Datatype(:loopB)) Declaration(NamedIndividual(:alice)) Declaration(NamedIndividual(:bob))
 Declaration(DataProperty(:Mixed)) Declaration(ObjectProperty(:source))
+Declaration(ObjectProperty(:reaches)) Declaration(ObjectProperty(:loops)) Declaration(ObjectProperty(:winds)) Declaration(ObjectProperty(:bends)) Declaration(ObjectProperty(:flips)) Declaration(Datatype(:selfish)) Declaration(Datatype(:tight))
 SubClassOf(Annotation(rdfs:comment "by law") :Customer :Party)
 SubClassOf(:Customer :Party)
 SubClassOf(:Supplier :Party)
@@ -46,6 +47,9 @@ SubObjectPropertyOf(:suppliedBy :relatedTo)
 SubObjectPropertyOf(:relatedTo :knows)
 SubObjectPropertyOf(ObjectPropertyChain(:hasPart :suppliedBy) :trades)
 SubObjectPropertyOf(ObjectPropertyChain(:partOf :locatedIn) :locatedIn)
+SubObjectPropertyOf(ObjectInverseOf(:partOf) :reaches) FunctionalObjectProperty(:reaches)
+SubObjectPropertyOf(ObjectPropertyChain(:loops :winds) :bends) SubObjectPropertyOf(:bends :loops)
+SubObjectPropertyOf(ObjectPropertyChain(:flips :flips) ObjectInverseOf(:flips))
 EquivalentObjectProperties(:trades :dealsWith)
 DisjointObjectProperties(:placedBy :suppliedBy)
 ObjectPropertyDomain(:placedBy :Order) ObjectPropertyRange(:placedBy :Customer)
@@ -60,6 +64,8 @@ EquivalentDataProperties(:code :identifier) DisjointDataProperties(:code :orderD
 DataPropertyDomain(:acctbal :Party) DataPropertyRange(:acctbal xsd:decimal) DataPropertyDomain(:retailPrice :Product) DataPropertyRange(:retailPrice :money) DataPropertyRange(:orderDate xsd:dateTime)
 FunctionalDataProperty(:acctbal)
 DatatypeDefinition(:money DatatypeRestriction(xsd:decimal xsd:minInclusive "0"^^xsd:decimal xsd:maxExclusive "1000000"^^xsd:decimal))
+DatatypeDefinition(:selfish DataUnionOf(:selfish xsd:string))
+DatatypeDefinition(:tight DataUnionOf(DatatypeRestriction(xsd:decimal xsd:minInclusive "1/3"^^owl:rational) DatatypeRestriction(xsd:decimal xsd:minInclusive "1/4"^^owl:rational) DatatypeRestriction(xsd:byte xsd:maxInclusive "300"^^xsd:byte) DatatypeRestriction(xsd:byte xsd:maxInclusive "300"^^xsd:integer) DatatypeRestriction(xsd:string xsd:length "5.0"^^xsd:decimal) DatatypeRestriction(xsd:string xsd:length "-5"^^xsd:integer) DatatypeRestriction(xsd:string xsd:pattern "a[bc]+") DatatypeRestriction(xsd:string xsd:pattern "a[") DatatypeRestriction(rdf:PlainLiteral rdf:langRange "de-*") DatatypeRestriction(rdf:PlainLiteral rdf:langRange "de-AT") DatatypeRestriction(xsd:dateTimeStamp xsd:minInclusive "2024-01-01T00:00:00"^^xsd:dateTime) DatatypeRestriction(xsd:dateTimeStamp xsd:minInclusive "2024-01-01T00:00:00Z"^^xsd:dateTime) DatatypeRestriction(xsd:double xsd:minInclusive "1"^^xsd:decimal) DatatypeRestriction(xsd:boolean xsd:length "1"^^xsd:integer)))
 DatatypeDefinition(:loopA DataUnionOf(:loopB xsd:string)) DatatypeDefinition(:loopB DataComplementOf(:loopA))
 HasKey(:Order (:placedBy) (:orderDate))
 SameIndividual(:alice :ally) DifferentIndividuals(:alice :bob _:x)

@@ -140,10 +140,11 @@ def store(o: Ontology, key: str, proof: bool = True) -> str:
     quads = mapping.to_rdf(o)
     text = write_turtle(quads, o.prefixes) if key == "turtle" else write_rdfxml(quads, o.prefixes)
     if proof:
+        from ..operators import comparison
+
         back = mapping.from_rdf(quads_of(text, key))
-        plain = lambda x: sorted({re.sub(r"_:[^\s()@]+@[^\s()]*", "_:", a.key) for a in x.distinct().axioms})
-        again = mapping.from_rdf(quads)
-        if back.unconsumed or plain(back) != plain(again):
+        header = lambda x: (x.iri, x.version, sorted(x.imports), sorted(comparison.stable(x.annotations)))
+        if back.unconsumed or header(back) != header(o) or not comparison.compare(back.distinct().axioms, o.distinct().axioms):
             raise OWLOntologyStorageError("the text does not say what the ontology says")
     return text
 
