@@ -775,3 +775,16 @@ _PARTS = f"SELECT 'user/' || CAST(user_id AS VARCHAR(20)) AS ont_id, CASE event_
 def ontology_changes(s: Store) -> DataFrame:
     """Axioms, imports, annotations and ids of many ontologies after one log of all their changes."""
     return changes.ontology_state(s.spark.sql(_PARTS + " FROM {events}", events=s.table("events")))
+
+
+# S, K, M: readers, writers and the RDF mapping, over documents made of the tables' rows
+
+from . import readers  # noqa: E402
+
+for _key in (*readers.CUSTOMER, *readers.CONCEPTS):
+    query(readers.customer_sql(_key), f"read_{_key}")(lambda s, key=_key: readers.read_customers(s, key))
+for _key in ("functional", "owlxml", "turtle", "rdfxml"):
+    query(readers.customer_sql("functional"), f"write_{_key}")(lambda s, key=_key: readers.read_customers(s, "functional", (key,)))
+for _key in ("turtle", "rdfxml"):
+    query(readers.nation_sql(), f"owl_to_rdf_and_back_{_key}")(lambda s, key=_key: readers.map_nations(s, (key,)))
+query(readers.nation_sql(), "rewrite_in_all_syntaxes")(lambda s: readers.map_nations(s, ("owlxml", "turtle", "functional", "rdfxml")))

@@ -10,7 +10,8 @@ import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import AmbiguousRdfDatasetError, OntologyError, OWLOntologyStorageError, OWLStorerNotFoundError, ParserMismatchError, ResourceLimitError, UnparsableOntologyException
@@ -280,6 +281,32 @@ def functional_text(axiom_keys: DataFrame, column: str = "axiom_key") -> DataFra
     return axiom_keys.withColumn("text", chain)
 
 
+TEXT = "doc string, format string, axiom_key string, kind string, error string"
+
+
+def parse_texts(df: DataFrame, doc: Column, text: Column, key: str | None = None, through: tuple[str, ...] = ()) -> DataFrame:
+    """(doc, format, axiom_key, kind, error): the axioms of many documents in a table, each parsed once; doc is its IRI. A
+    document that fails gives one row with its error. through: formats that each ontology is then written in and read again
+    from, one after another, before its axioms are given."""
+    names = _names(TEXT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for iri, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    o, used = parse(text or "", key, iri or "")
+                    for name in through:
+                        o, used = parse(store(o, name), name, iri or "")
+                    rows += [(iri, used, a.key, a.kind, None) for a in o.distinct().axioms]
+                except (OntologyError, ValueError) as e:
+                    rows.append((iri, key, None, None, f"{getattr(e, 'code', 'ERROR')}: {e}"))
+            for i in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[i : i + 20_000])], names=names)
+
+    return df.select(doc.cast("string").alias("doc"), text.cast("string").alias("text")).mapInArrow(run, TEXT)
+
+
 def node_count(o: Obj) -> int:
     return sum(1 for _ in walk(o))
 
