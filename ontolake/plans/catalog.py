@@ -429,6 +429,14 @@ query(
         "xsd:boolean | xsd:length | 1 | xsd:integer | invalid",
     )]), "facet_statuses")(positions.facet_frame)
 query(profiles.FOREST_SQL, "anonymous_forest")(profiles.anonymous_forest)
+
+_TREELESS = "SELECT component, CASE WHEN is_tree THEN 'ANONYMOUS_TREE_WITHOUT_ROOT' ELSE 'ANONYMOUS_GRAPH_NOT_FOREST' END AS code FROM {} WHERE NOT is_tree OR n_named = 0"
+
+
+@query(f"{_TREELESS.format('(' + profiles.FOREST_SQL + ')')}")
+def anonymous_violations(s: Store) -> DataFrame:
+    """Components of anonymous individuals that are no trees, and trees that hang on no named individual."""
+    return s.spark.sql(_TREELESS.format("{forest}"), forest=profiles.anonymous_forest(s))
 query(profiles.EL_CHAIN_SQL, "el_chain_ranges")(profiles.el_chain_ranges)
 
 
@@ -788,3 +796,62 @@ for _key in ("functional", "owlxml", "turtle", "rdfxml"):
 for _key in ("turtle", "rdfxml"):
     query(readers.nation_sql(), f"owl_to_rdf_and_back_{_key}")(lambda s, key=_key: readers.map_nations(s, (key,)))
 query(readers.nation_sql(), "rewrite_in_all_syntaxes")(lambda s: readers.map_nations(s, ("owlxml", "turtle", "functional", "rdfxml")))
+
+
+# P: the report of a profile
+
+#: rule -> code, for the rules that every profile has; and what EL, QL and RL add.
+_DL = {r.name: r.code for r in profiles.RULES if not r.code.startswith("PROFILE_") and not r.name.startswith("literal_status")} | {
+    "cyclic_datatypes": "CYCLIC_DATATYPE_DEFINITION", "irregular_hierarchy": "IRREGULAR_PROPERTY_HIERARCHY", "nonsimple_uses": "NONSIMPLE_OBJECT_PROPERTY",
+}
+_MORE = {
+    "DL": (),
+    "EL": ("el_forbidden_axioms", "el_ql_datatypes", "data_range_not_allowed", "enumeration_not_singleton", "anonymous_not_allowed", "el_inverse_properties", "el_class_expressions"),
+    "QL": ("ql_forbidden_axioms", "el_ql_datatypes", "data_range_not_allowed", "anonymous_not_allowed", "ql_class_assertion_not_atomic"),
+    "RL": ("rl_forbidden_axioms", "rl_datatypes", "data_range_not_allowed", "rl_properties"),
+}
+#: An incomplete import closure alone leaves a profile open; anything else breaks it. So do literals and facets of no or unknown
+#: value space.
+_REPORTED = [(n, c, f"SELECT 1 FROM {{{n}}}") for n, c in _DL.items()] + [(n, next(r.code for r in profiles.RULES if r.name == n), f"SELECT 1 FROM {{{n}}}") for n in dict.fromkeys(x for m in _MORE.values() for x in m)]
+_REPORTED += [(f"literal_status/{x}", f"LITERAL_{x.upper()}", f"SELECT 1 FROM {{literal_status}} WHERE status = '{x}'") for x in ("invalid", "unverified")] + [(f"facet_statuses/{x}", f"FACET_{x.upper()}", f"SELECT 1 FROM {{facet_statuses}} WHERE status = '{x}'") for x in ("invalid", "unverified")]
+_REPORTED += [(f"anonymous_violations/{x}", x, f"SELECT 1 FROM {{anonymous_violations}} WHERE code = '{x}'") for x in ("ANONYMOUS_TREE_WITHOUT_ROOT", "ANONYMOUS_GRAPH_NOT_FOREST")]
+
+
+def _reported(profile: str) -> list[tuple[str, str, str]]:
+    special = {n for m in _MORE.values() for n in m}
+    return [r for r in _REPORTED if r[0] not in special or r[0] in _MORE[profile]]
+
+
+def _report_sql(frames: str, profile_of) -> str:
+    counts = " UNION ALL ".join(f"SELECT '{rule}' AS rule, '{code}' AS code, count(*) AS n FROM ({text}) x" for rule, code, text in _REPORTED)
+    belongs = ", ".join(f"('{p_}', '{rule}')" for p_ in _MORE for rule, _, _ in profile_of(p_))
+    open_ = "code = 'IMPORT_CLOSURE_INCOMPLETE' OR code LIKE '%UNVERIFIED'"
+    return f"""{frames} SELECT profile, code, sum(n) AS n_findings, CASE WHEN {open_} THEN 'unverified' ELSE 'invalid' END AS weight,
+  CASE WHEN sum(CASE WHEN {open_} THEN 0 ELSE sum(n) END) OVER (PARTITION BY profile) > 0 THEN 'invalid' WHEN sum(sum(n)) OVER (PARTITION BY profile) > 0 THEN 'unverified' ELSE 'valid' END AS status
+FROM (SELECT * FROM (VALUES {belongs}) b(profile, rule)) b JOIN ({counts}) c USING (rule) GROUP BY profile, code"""
+
+
+_RULE_NAMES = sorted({n.split("/")[0] for n, _, _ in _REPORTED})
+_REPORT_SQL = _report_sql("", _reported)
+for _n in _RULE_NAMES:
+    _REPORT_SQL = _REPORT_SQL.replace("{" + _n + "}", "(" + ORACLES[_n] + ")")
+
+
+@query(f"SELECT profile, code, CAST(n_findings AS BIGINT) AS n_findings, weight, status FROM ({_REPORT_SQL})")
+def profile_report(s: Store) -> DataFrame:
+    """profile, code, n_findings, weight, status: what each rule finds in all ontologies together, for each of the four profiles,
+    and the profile's status: invalid if a rule finds anything, else unverified if anything is open, else valid."""
+    frames = {n: QUERIES[n](s.spark, s.dir) for n in _RULE_NAMES}
+    parts = []
+    for rule, code, text in _REPORTED:
+        name = rule.split("/")[0]
+        parts.append(s.spark.sql(f"SELECT '{rule}' AS rule, '{code}' AS code, count(*) AS n FROM ({text}) x", **{name: frames[name]}))
+    counts = parts[0]
+    for x in parts[1:]:
+        counts = counts.union(x)
+    belongs = p.local(s.spark, [(name, rule) for name in _MORE for rule, _, _ in _reported(name)], "profile string, rule string")
+    one = belongs.join(counts, "rule").groupBy("profile", "code").agg(F.sum("n").alias("n_findings"))
+    one = one.withColumn("weight", F.when((F.col("code") == "IMPORT_CLOSURE_INCOMPLETE") | F.col("code").endswith("UNVERIFIED"), "unverified").otherwise("invalid"))
+    whole = one.groupBy("profile").agg(F.sum(F.when(F.col("weight") == "invalid", F.col("n_findings")).otherwise(0)).alias("bad"), F.sum("n_findings").alias("every"))
+    status = F.when(F.col("bad") > 0, "invalid").when(F.col("every") > 0, "unverified").otherwise("valid")
+    return one.join(whole, "profile").select("profile", "code", "n_findings", "weight", status.alias("status"))
