@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import BUILTIN_DATATYPES, DATATYPES, ENTITY_KINDS, KIND, NOTHING, RDFS, THING, Obj, walk
@@ -173,6 +173,32 @@ def extract(axioms: Iterable[Obj], seed: Iterable[str], mode: str) -> list[Obj]:
             return [axioms[i] for i in sorted(pool)]
 
 
+class ModuleExtractor:
+    """Modules of one pool of axioms. axioms and reach: as in module_frame; mode: BOTTOM, TOP or STAR."""
+
+    def __init__(self, spark: SparkSession, axioms: DataFrame, reach: DataFrame, mode: str) -> None:
+        if mode not in (BOTTOM, TOP, STAR):
+            raise ValueError(f"{mode} is no class of locality")
+        self.spark, self.axioms, self.reach, self.locality_class = spark, axioms, reach, mode
+
+    def axiom_base(self) -> DataFrame:
+        """All axioms of the pool, those that are not logical too."""
+        return self.axioms.select("axiom_key").distinct()
+
+    def contains_axiom(self, axiom_key: str) -> bool:
+        return not self.axioms.where(F.col("axiom_key") == axiom_key).isEmpty()
+
+    def extract(self, seed: list[str], where: Column | None = None) -> DataFrame:
+        """axiom_key of the module of a seed. where: a condition on the axioms, which holds before anything is propagated, so
+        that what it leaves out brings nothing in. A seed that is in no axiom of the pool is an error."""
+        wanted = self.spark.createDataFrame([(x,) for x in seed], "node_key string")
+        absent = wanted.join(self.reach, "node_key", "left_anti").first()
+        if absent:
+            raise ValueError(f"not in the signature: {absent['node_key']}")
+        pool = self.axioms if where is None else self.axioms.where(where)
+        return module_frame(self.spark, pool, self.reach, seed, self.locality_class)
+
+
 def module_frame(spark: SparkSession, axioms: DataFrame, reach: DataFrame, seed: list[str], mode: str, rounds: int = 100) -> DataFrame:
     """axiom_key of the module, distributed. axioms: axiom_key and text (functional notation with full IRIs); reach:
     root_key, node_key of the entities inside. Each round tests only axioms that hold an entity new to the signature,

@@ -6,7 +6,8 @@ import re
 import sys
 from typing import Any
 
-from ..errors import OWLSyntaxError
+from ..errors import OWLOntologyStorageError, OWLSyntaxError
+from ..functions.literals import LANGUAGE
 from ..model import AT_LEAST_TWO, BY_KEYWORD, KIND, OWL, RDF, RDFS, RDFS_LITERAL, THING, XSD, Obj, Ontology, anonymous, cardinality, entity, escape, iri, literal, make
 
 DEFAULT_PREFIXES = {"rdf:": RDF, "rdfs:": RDFS, "xsd:": XSD, "owl:": OWL}
@@ -247,6 +248,8 @@ def render_object(o: Obj, labels: dict[tuple[str, str], str] | None = None, as_e
     labels = {} if labels is None else labels
     if o.kind == "OWLLiteral":
         lexical, language, datatype = o.fields
+        if language and not re.match(LANGUAGE, language):
+            raise OWLOntologyStorageError(f"{language} is no language tag")
         return f'"{escape(lexical)}"' + (f"@{language}" if language else f"^^<{datatype}>")
     if o.kind == "OWLAnonymousIndividual":
         return labels.setdefault(o.fields, f"_:genid{len(labels)}")

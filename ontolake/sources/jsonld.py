@@ -236,4 +236,15 @@ def read_jsonld(text: str, base: str = "") -> list[Quad]:
         if not isinstance(one, dict):
             raise OWLSyntaxError("a JSON-LD document is an object or an array of objects")
         r.node(one, Context(base), None)
-    return r.quads
+    return [q for q in r.quads if all(_well_formed(t) for t in (q.s, q.p, q.o, q.g) if t is not None)]
+
+
+def _well_formed(t: Term) -> bool:
+    """IRIs are absolute, without blanks and brackets and with one fragment at most; language tags have a tag's form. Statements
+    with other terms are left out, as the format asks."""
+    iri = lambda x: re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", x) and not re.search(r'[\s<>"{}|\\^`]', x) and x.count("#") <= 1
+    if t.kind == "iri":
+        return bool(iri(t.value))
+    if t.kind == "literal":
+        return bool(iri(t.datatype)) and (not t.language or re.fullmatch(r"[A-Za-z]{2,8}(?:-[A-Za-z0-9]{1,8})*|[ixIX](?:-[A-Za-z0-9]{1,8})+", t.language) is not None)
+    return True

@@ -476,3 +476,78 @@ def test_xml_literals(spark):
     rows = [("a<b>c</b>", True), ("a<b", False), ("<b></b>", True), ("<b/>", False), ("<b z=\"1\" a=\"2\"></b>", False), ("", True), ("&amp;", True), ("&", False)]
     got = xml_literals(spark.createDataFrame([(t,) for t, _ in rows], "lexical string")).collect()
     assert [(r["lexical"], r["valid"]) for r in got] == rows
+
+
+# guards
+
+
+def test_dispatch_is_total(schema):
+    from ontolake.operators.guards import dispatch
+
+    every = {k.kind: (lambda o: o.kind) for k in KINDS}
+    assert {dispatch(a, every) for a in schema.axioms} == {a.kind for a in schema.axioms}
+    axioms = {k.kind: len for k in KINDS if k.category == "axiom"}
+    axioms.pop("OWLHasKeyAxiom")
+    with pytest.raises(TypeError, match="HasKey"):
+        dispatch(schema.axioms[0], axioms, "axiom")
+    with pytest.raises(TypeError):
+        dispatch(entity("Class", "urn:a"), every, "axiom")
+
+
+def test_stores_of_different_behaviours_are_kept_apart(stores):
+    from ontolake.operators import search
+    from ontolake.operators.guards import closure_provider, searched
+
+    tables, documents = stores
+    both = searched([tables, documents], search.super_classes).count()
+    assert both == search.super_classes(tables).count() + search.super_classes(documents).count()
+    documents.behavior = "java"
+    with pytest.raises(ValueError):
+        searched([tables, documents], search.super_classes)
+    documents.behavior = None
+    assert "geo" in {r["member"] for r in closure_provider(tables, "trade")().collect()}
+
+
+def test_jobs_end_with_their_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from ontolake.errors import ResourceLimitError
+    from ontolake.operators.guards import within
+
+    with within(spark, 60):
+        assert spark.range(10).count() == 10
+    began = time.time()
+    with pytest.raises(ResourceLimitError), within(spark, 1):
+        spark.range(0, 10**13, 1, 4).agg(F.sum(F.hash("id"))).collect()
+    assert time.time() - began < 40
+    assert spark.range(10).count() == 10
+
+
+def test_modules_of_an_extractor(spark, schema):
+    from ontolake.plans import catalog
+    from ontolake.plans.projection import EX, Store
+
+    pool, reach = catalog._pool(Store(spark, "/root/testdata/sf0.001"))
+    m = locality.ModuleExtractor(spark, pool, reach, locality.BOTTOM)
+    seed = [f"Class(<{EX}Customer>)"]
+    keys = lambda df: {r["axiom_key"] for r in df.collect()}
+    whole = keys(m.extract(seed))
+    assert m.locality_class == locality.BOTTOM and whole <= keys(m.axiom_base())
+    assert m.contains_axiom(f"SubClassOf(Class(<{EX}Customer>) Class(<{EX}Party>))") and not m.contains_axiom("SubClassOf(A B)")
+    some = keys(m.extract(seed, hierarchy.F.col("axiom_key").startswith("SubClassOf(")))
+    assert some and all(k.startswith("SubClassOf(") for k in some) and some <= whole
+    with pytest.raises(ValueError):
+        m.extract(["Class(<urn:none>)"])
+
+
+def test_ill_formed_terms_and_tags():
+    from ontolake.errors import OWLOntologyStorageError
+
+    text = '{"@id":"urn:x:a","urn:x:p":[{"@id":"urn:x:b c"},{"@value":"v","@language":"e"},{"@value":"w","@language":"en"},{"@value":"z","@type":"urn:t#a#b"}]}'
+    assert [nt(q.o) for q in read_jsonld(text)] == ['"w"@en']
+    o = functional.parse('Prefix(:=<urn:x:>) Ontology(DataPropertyAssertion(:d :a "x"@en))')
+    o.axioms = [make("DataPropertyAssertion", entity("DataProperty", "urn:x:d"), entity("NamedIndividual", "urn:x:a"), literal("x", "not_a_tag"))]
+    with pytest.raises(OWLOntologyStorageError):
+        functional.render(o)
