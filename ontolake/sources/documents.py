@@ -1,7 +1,8 @@
 """Documents as a store: the frames that all operators take, over parsed ontologies.
 
-Each document is parsed once. An axiom is one row, with its direct fields, inner objects and literals nested in it, so that
-position lookups and steps between fields need no join here either.
+Each document is parsed once, for all frames: its head (id, imports, counts, or the error) is one row, and each axiom another,
+with its direct fields, inner objects and literals nested in it, so that position lookups and steps between fields need no join
+here either. A document that fails has a head alone; `failures()` lists them.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ from pyspark.sql import functions as F
 from ..model import KIND, Obj, Ontology, height, walk
 from ..operators.revisions import resolve_imports
 from ..staging import stored
-from .registry import _documents, _names, _parsed, load_ontologies
+from .registry import _documents, _names, _parsed
 
 _EDGES = "array<struct<parent_key:string,parent_kind:string,field:string,ord:int,child_key:string,child_kind:string,in_axiom:boolean>>"
 _REACH = "array<struct<node_key:string,node_kind:string,in_annotation:boolean>>"
 _NODES = "array<struct<node_key:string,kind:string,iri:string,lexical:string,lang:string,datatype_iri:string,node_id:string,cardinality:string,height:int>>"
-ROW = f"doc string, part string, axiom_key string, key_noann string, kind string, is_logical boolean, edges {_EDGES}, reach {_REACH}, nodes {_NODES}"
+_HEAD = "struct<ontology_iri:string,version_iri:string,format:string,imports:array<string>,n_axioms:int,n_annotations:int,n_unconsumed:int,error:string>"
+ROW = f"doc string, part string, axiom_key string, key_noann string, kind string, is_logical boolean, edges {_EDGES}, reach {_REACH}, nodes {_NODES}, head {_HEAD}"
 
 
 def _node(x: Obj) -> dict:
@@ -36,7 +38,13 @@ def _row(doc: str, part: str, a: Obj) -> tuple:
             seen.add((x.key, x.kind))
             nodes.append(_node(x))
             edges += [{"parent_key": x.key, "parent_kind": x.kind, "field": f, "ord": i, "child_key": c.key, "child_kind": c.kind, "in_axiom": x is a} for f, i, c in x.children()]
-    return doc, part, a.key, a.key_noann, a.kind, KIND[a.kind].logical, edges, reach, nodes
+    return doc, part, a.key, a.key_noann, a.kind, KIND[a.kind].logical, edges, reach, nodes, None
+
+
+def _head(doc: str, o: Ontology | None, key: str | None, error: str | None = None) -> tuple:
+    what = (o.iri, o.version, key, o.imports, len(o.axioms), len(o.annotations), len(getattr(o, "unconsumed", []))) if o else (None, None, key, [], 0, 0, 0)
+    names = ("ontology_iri", "version_iri", "format", "imports", "n_axioms", "n_annotations", "n_unconsumed", "error")
+    return doc, "head", None, None, None, None, [], [], [], dict(zip(names, (*what, error)))
 
 
 class DocumentStore:
@@ -44,14 +52,16 @@ class DocumentStore:
 
     def __init__(self, spark: SparkSession, path: str, mapping: DataFrame | None = None) -> None:
         def rows(doc: str, o: Ontology, key: str) -> Iterator[tuple]:
+            yield _head(doc, o, key)
             for a in o.axioms:
                 yield _row(doc, "axiom", a)
             for a in o.annotations:
                 yield _row(doc, "annotation", a)
 
         self.spark = spark
-        self._rows = stored(_documents(spark, path).mapInPandas(lambda it: _parsed(it, rows, _names(ROW), None), ROW), "documents")
-        self._heads = stored(load_ontologies(spark, path), "document-heads")
+        failed = lambda doc, e: _head(doc, None, None, f"{getattr(e, 'code', 'ERROR')}: {e}")
+        self._rows = stored(_documents(spark, path).mapInPandas(lambda it: _parsed(it, rows, _names(ROW), failed), ROW), "documents")
+        self._heads = self._rows.where("part = 'head'").select("doc", "head.*")
         self._mapping = mapping
 
     def _axioms(self, kinds: Iterable[str] | None, onts: Iterable[str] | None) -> DataFrame:
@@ -94,7 +104,7 @@ class DocumentStore:
         return df.select("ont_id", "root_key", "n.lexical", "n.lang", "n.datatype_iri")
 
     def nodes(self) -> DataFrame:
-        return self._rows.select(F.inline("nodes")).distinct()
+        return self._rows.where("part <> 'head'").select(F.inline("nodes")).distinct()
 
     def ontologies(self) -> DataFrame:
         return self._heads.where("error IS NULL").select(F.col("doc").alias("ont_id"), "ontology_iri", "version_iri")
