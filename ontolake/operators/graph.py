@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ResourceLimitError
-from ..staging import stored
+from ..staging import stored, stored_rows
 
 
 def reachable(edges: DataFrame, seeds: DataFrame | None = None, reflexive: bool = False, rounds: int = 200) -> DataFrame:
@@ -19,8 +19,8 @@ def reachable(edges: DataFrame, seeds: DataFrame | None = None, reflexive: bool
     step = e.select(F.col("src").alias("dst"), F.col("dst").alias("next"))
     for _ in range(rounds):
         found = delta.join(step, "dst").select("src", F.col("next").alias("dst")).distinct().join(every, ["src", "dst"], "left_anti")
-        delta = stored(found, "closure")
-        if delta.isEmpty():
+        delta, n = stored_rows(found, "closure")
+        if not n:
             break
         every = every.union(delta)
     else:
@@ -40,7 +40,8 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
         near = both.join(label, both.dst == label.node).groupBy("src").agg(F.min("label").alias("near"))
         one = label.join(near, F.col("node") == F.col("src"), "left").select("node", F.least("label", F.coalesce("near", "label")).alias("to"), F.col("label").alias("was"))
         jump = one.select(F.col("node").alias("to"), F.col("to").alias("label"))
-        now = stored(one.join(jump, "to", "left").select("node", F.coalesce("label", "to").alias("label"), "was"), "components")
+        one = one.join(jump, "to", "left").select("node", F.coalesce("label", "to").alias("label"), "was")
+        now = stored(one, "components")
         moved = not now.where("label <> was").isEmpty()
         label = now.select("node", "label")
         if not moved:

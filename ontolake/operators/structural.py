@@ -49,8 +49,8 @@ def contains(s: Store, wanted: DataFrame, ignoring_annotations: bool = False, ki
 
 def counts(s: Store, root: str, included: bool = False, logical: bool = False, kinds=None) -> DataFrame:
     """Stored count of each member; the closure's count is their sum, without taking repeats out."""
-    a = s.axioms(kinds, members(s, root) if included else [root])
-    return (a.where("is_logical") if logical else a).agg(F.count(F.lit(1)).alias("n_axioms"))
+    a = s.axiom_counts(kinds, members(s, root) if included else [root])
+    return (a.where("is_logical") if logical else a).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_axioms"))
 
 
 def signature(s: Store, kinds=ENTITY_KINDS, onts=None, axiom_kinds=None, columns=("ont_id", "node_kind", "node_key")) -> DataFrame:

@@ -95,7 +95,7 @@ def logical_axioms(s: Store) -> DataFrame:
 
 @query(ctes(axiom=p.axiom_sql()) + " SELECT kind, count(*) AS n_axioms FROM axiom GROUP BY kind")
 def axioms_by_kind(s: Store) -> DataFrame:
-    return s.axioms().groupBy("kind").agg(F.count(F.lit(1)).alias("n_axioms"))
+    return s.axiom_counts().groupBy("kind").agg(F.sum("n").alias("n_axioms"))
 
 
 _WANTED = [(f"SubClassOf(Class(<{EX}Customer>) Class(<{EX}Party>))",) * 2, (f"SubClassOf(Class(<{EX}nation/3>) Class(<{EX}region/1>))",) * 2, (f"SubClassOf(Class(<{EX}Party>) Class(<{EX}Customer>))",) * 2, (f'SubClassOf(Annotation(AnnotationProperty(<{RDFS}comment>) "x"^^<{XSD}string>) Class(<{EX}Supplier>) Class(<{EX}Party>))', f"SubClassOf(Class(<{EX}Supplier>) Class(<{EX}Party>))")]
@@ -295,7 +295,7 @@ def logical_axiom_count_closure(s: Store) -> DataFrame:
 
 @query(ctes(axiom=p.axiom_sql()) + " SELECT ont_id, count(*) AS n_axioms, sum(CASE WHEN is_logical THEN 1 ELSE 0 END) AS n_logical FROM axiom GROUP BY ont_id")
 def axiom_counts(s: Store) -> DataFrame:
-    return s.axioms().groupBy("ont_id").agg(F.count(F.lit(1)).alias("n_axioms"), F.sum(F.col("is_logical").cast("int")).alias("n_logical"))
+    return s.axiom_counts().groupBy("ont_id").agg(F.sum("n").alias("n_axioms"), F.sum(F.when(F.col("is_logical"), F.col("n")).otherwise(0)).alias("n_logical"))
 
 
 @query(ctes(edge=p.edge_sql(k("ClassAssertion"), ["classExpression"])) + " SELECT child_key, count(*) AS n_axioms FROM edge GROUP BY child_key")

@@ -9,6 +9,7 @@ built of the branches whose kinds a query asks for, so a query reads only the ta
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable
 from functools import lru_cache
 from typing import NamedTuple
@@ -182,7 +183,7 @@ def values_sql(rows: Iterable[tuple], columns: str) -> str:
 
 def local(spark: SparkSession, rows: Iterable[tuple], columns: str) -> DataFrame:
     """A small fixed table, part of the plan."""
-    kinds = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64()}
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "long": pa.int64()}
     names = [c.split() for c in columns.split(", ")]
     rows = list(rows)
     return spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows], kinds[t]) for i, (n, t) in enumerate(names)}))
@@ -244,6 +245,26 @@ class Store:
         rows = [r for r in schema_rows()["axiom"] if (kinds is None or r[3] in kinds) and (onts is None or "schema" in onts)]
         return self._union(([local(self.spark, rows, AXIOM)] if rows else []) + parts, AXIOM)
 
+    def axiom_counts(self, kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None) -> DataFrame:
+        """ont_id, kind, is_logical, n: axioms of each kind of an ontology, in a row or several. A table is read once, whatever
+        the number of axioms that its rows make, and no key is written."""
+        by: dict[str, list[Branch]] = {}
+        for b in chosen(kinds, onts):
+            by.setdefault(b.table, []).append(b)
+        parts = []
+        for name, branches in by.items():
+            df, counts = self.table(name), []
+            for b in branches:
+                used = [c for c in df.columns if any(re.search(rf"\b{c}\b", f.key) for f in b.fields)]
+                what = f"DISTINCT struct({', '.join(used)})" if b.distinct else "1"
+                counts.append(f"count({what})" + (f" FILTER (WHERE {b.where})" if b.where else ""))
+            one = df.agg(*(F.expr(c).alias(f"n{i}") for i, c in enumerate(counts)))
+            rows = ", ".join(f"struct('{b.ont}' AS ont_id, '{b.kind}' AS kind, {str(KIND[b.kind].logical).lower()} AS is_logical, n{i} AS n)" for i, b in enumerate(branches))
+            parts.append(one.select(F.expr(f"inline(array({rows}))")))
+        own = Counter((r[0], r[3], r[4]) for r in schema_rows()["axiom"] if (kinds is None or r[3] in kinds) and (onts is None or "schema" in onts))
+        shape = "ont_id string, kind string, is_logical boolean, n long"
+        return self._union(([local(self.spark, [(*k, n) for k, n in own.items()], shape)] if own else []) + parts, shape)
+
     def edges(self, kinds: Iterable[str] | None = None, fields: Iterable[str] | None = None, onts: Iterable[str] | None = None, nested: bool = False, key: str | None = None) -> DataFrame:
         """Direct fields of axioms (and, with nested, of the expressions inside); with key, those whose value it is: the key
         becomes a condition on the tables' columns, and tables that cannot have it are not read."""

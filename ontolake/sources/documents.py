@@ -72,6 +72,9 @@ class DocumentStore:
     def axioms(self, kinds=None, onts=None) -> DataFrame:
         return self._axioms(kinds, onts).select("ont_id", "axiom_key", "key_noann", "kind", "is_logical")
 
+    def axiom_counts(self, kinds=None, onts=None) -> DataFrame:
+        return self._axioms(kinds, onts).groupBy("ont_id", "kind", "is_logical").agg(F.count(F.lit(1)).alias("n"))
+
     def edges(self, kinds=None, fields=None, onts=None, nested: bool = False, key: str | None = None) -> DataFrame:
         df = self._axioms(None if nested else kinds, onts).select("ont_id", F.inline("edges"))
         df = df if nested else df.where("in_axiom")
