@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import io
 import re
 import zipfile
@@ -150,20 +149,51 @@ def store(o: Ontology, key: str, proof: bool = True) -> str:
     return text
 
 
-def decoded(data: bytes) -> str:
-    """Text of a file: plain, gzip, deflate, or the one entry of a zip archive; UTF-16 by its mark, else UTF-8."""
+#: Most bytes that a packed document may unpack to.
+UNPACKED = 1 << 30
+
+
+def _unpacked(data: bytes, wbits: int, most: int) -> bytes:
+    """All members of a stream, one after another, as far as the bound."""
+    out = b""
+    while data:
+        one = zlib.decompressobj(wbits)
+        out += one.decompress(data, most + 1 - len(out))
+        if len(out) > most or one.unconsumed_tail:
+            raise ResourceLimitError(f"a document of more than {most} bytes when unpacked")
+        if not one.eof:
+            raise ParserMismatchError("a packed document that breaks off")
+        data = one.unused_data
+    return out
+
+
+def decoded(data: bytes, most: int = UNPACKED) -> str:
+    """Text of a file: plain, gzip, deflate, or the one entry of a zip archive; UTF-32 and UTF-16 by their marks, the encoding
+    that an XML document declares, else UTF-8. What unpacks to more than `most` bytes is refused before it is held."""
     if data[:2] == b"\x1f\x8b":
-        data = gzip.decompress(data)
+        data = _unpacked(data, 31, most)
     elif data[:4] == b"PK\x03\x04":
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             names = [n for n in z.namelist() if not n.endswith("/")]
             if len(names) != 1:
                 raise ParserMismatchError("an archive of more than one file")
-            data = z.read(names[0])  # checks the CRC
+            with z.open(names[0]) as f:
+                data = f.read(most + 1)
+                if len(data) > most:
+                    raise ResourceLimitError(f"a document of more than {most} bytes when unpacked")
+                f.read(1)  # at the end the CRC is checked
     elif data[:1] == b"\x78" and data[1:2] in (b"\x01", b"\x5e", b"\x9c", b"\xda"):
-        data = zlib.decompress(data)
+        data = _unpacked(data, 15, most)
+    if data[:4] in (b"\xff\xfe\x00\x00", b"\x00\x00\xfe\xff"):
+        return data.decode("utf-32")
     if data[:2] in (b"\xff\xfe", b"\xfe\xff"):
         return data.decode("utf-16")
+    declared = re.match(rb"\s*<\?xml[^>]*?encoding=[\"']([A-Za-z][A-Za-z0-9._-]*)[\"']", data)
+    if declared:
+        try:
+            return data.decode(declared[1].decode())
+        except LookupError as e:
+            raise ParserMismatchError(f"an unknown encoding: {declared[1].decode()}") from e
     return data.decode("utf-8-sig")
 
 

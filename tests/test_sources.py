@@ -551,3 +551,27 @@ def test_ill_formed_terms_and_tags():
     o.axioms = [make("DataPropertyAssertion", entity("DataProperty", "urn:x:d"), entity("NamedIndividual", "urn:x:a"), literal("x", "not_a_tag"))]
     with pytest.raises(OWLOntologyStorageError):
         functional.render(o)
+
+
+def test_bytes_of_documents():
+    import gzip
+    import io
+    import zipfile
+    import zlib
+
+    from ontolake.errors import ResourceLimitError
+
+    text = "Ontology(<urn:x:é>)"
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
+        z.writestr("o.ofn", text)
+    for data in (text.encode(), b"\xef\xbb\xbf" + text.encode(), text.encode("utf-16"), text.encode("utf-32"), gzip.compress(text.encode()), gzip.compress(text[:5].encode()) + gzip.compress(text[5:].encode()), zlib.compress(text.encode()), packed.getvalue()):
+        assert registry.decoded(data) == text
+    latin = "<?xml version='1.0' encoding='ISO-8859-1'?><r>é</r>"
+    assert registry.decoded(latin.encode("latin-1")) == latin
+    for data in (gzip.compress(b"x" * 100_000), zlib.compress(b"x" * 100_000)):
+        with pytest.raises(ResourceLimitError):
+            registry.decoded(data, 1000)
+    for data in (gzip.compress(b"x" * 1000)[:-9], b"<?xml version='1.0' encoding='none-such'?><r/>"):
+        with pytest.raises(ParserMismatchError):
+            registry.decoded(data)
