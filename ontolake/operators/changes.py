@@ -31,6 +31,16 @@ def applied(base: DataFrame, log: DataFrame) -> DataFrame:
     return kept.union(last.where("op = 'add'").select("axiom_key")).distinct()
 
 
+def applied_one_by_one(base: DataFrame, log: DataFrame) -> DataFrame:
+    """seq, axiom_key, op, status of a log that is applied change by change: SUCCESSFULLY where it changes the set, NO_OPERATION
+    where the axiom is there already, or is not there to remove. The change before it of the same axiom tells, or the base; one
+    axiom's changes are sorted in one place, which spills."""
+    before = F.lag("op").over(Window.partitionBy("axiom_key").orderBy("ts", "seq"))
+    rows = log.withColumn("before", before).join(base.select("axiom_key").distinct().withColumn("there", F.lit(True)), "axiom_key", "left")
+    present = F.when(F.col("before").isNull(), F.coalesce("there", F.lit(False))).otherwise(F.col("before") == "add")
+    return rows.select("seq", "axiom_key", "op", F.when((F.col("op") == "add") != present, "SUCCESSFULLY").otherwise("NO_OPERATION").alias("status"))
+
+
 def net_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """op, axiom_key: what turns one set of axioms into another; empty where a commit would change nothing."""
     b, a = before.select("axiom_key", F.lit(1).alias("b")), after.select("axiom_key", F.lit(1).alias("a"))

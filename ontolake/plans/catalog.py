@@ -464,6 +464,13 @@ def net_changes(s: Store) -> DataFrame:
     return changes.net_changes(changes.applied(none, log.where("seq % 2 = 0")), changes.applied(none, log))
 
 
+@query(f"WITH {_LOG}, b AS (SELECT DISTINCT axiom_key FROM log WHERE seq % 7 = 0), x AS (SELECT *, lag(op) OVER (PARTITION BY axiom_key ORDER BY ts, seq) AS before FROM log) SELECT seq, x.axiom_key, op, CASE WHEN (op = 'add') <> CASE WHEN before IS NULL THEN b.axiom_key IS NOT NULL ELSE before = 'add' END THEN 'SUCCESSFULLY' ELSE 'NO_OPERATION' END AS status FROM x LEFT JOIN b ON x.axiom_key = b.axiom_key")
+def change_statuses(s: Store) -> DataFrame:
+    """Every change of the log, applied one by one to a base that holds some axioms, with what became of it."""
+    log = changes.event_log(s)
+    return changes.applied_one_by_one(log.where("seq % 7 = 0"), log)
+
+
 @query(f"WITH {_LOG} SELECT axiom_key, count(*) AS n_changes, sum(CASE WHEN op = 'add' THEN 1 ELSE 0 END) AS n_adds FROM log GROUP BY axiom_key")
 def change_counts(s: Store) -> DataFrame:
     return changes.event_log(s).groupBy("axiom_key").agg(F.count(F.lit(1)).alias("n_changes"), F.sum((F.col("op") == "add").cast("int")).alias("n_adds"))
