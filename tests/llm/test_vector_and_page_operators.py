@@ -235,6 +235,104 @@ def test_pipeline(spark):
     assert final.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and final.count() > 0
 
 
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Every stage on what the one before it kept, by plain loops."""
+    import re
+    from collections import Counter
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from ontolake.llm import mixing, order_minhash, quality, secrets
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables")
+    # Some documents get a secret besides.
+    given, tables = spark.read.parquet(f"{sf}/documents.parquet"), f"file://{tmp_path}"
+    secret = ann.F.when(ann.F.col("doc_id") % 7 == 0, ann.F.concat("text", ann.F.lit(" password: hunter2hunter2. "))).otherwise(ann.F.col("text"))
+    given.withColumn("text", secret).withColumn("n_chars", ann.F.char_length("text").cast(given.schema["n_chars"].dataType)).write.parquet(f"{tables}/documents.parquet")
+    spark.read.parquet(f"{sf}/labels.parquet").write.parquet(f"{tables}/labels.parquet")
+    sf = tables
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    stages = [f for _, f in corpus_pipeline.STAGES]
+    rows = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    every = {r["doc_id"]: r.asDict() for r in docs.collect()}
+    # Quality: a fit in one piece over the labelled rows that are not held out.
+    known = {r["doc_id"]: float(r["quality"]) for r in labels.collect() if r["quality"] is not None and zlib_crc(r["doc_id"]) % 3 != 1}
+    frame = spark.createDataFrame([([float(v) for v in quality.statistics(every[i]["text"] or "")], y) for i, y in known.items() if i in every], "_stats array<double>, _good double")
+    model = quality.fit(frame)
+    score = {i: float(model.score(np.array([quality.statistics(r["text"] or "")]))[0]) for i, r in every.items()}
+    assert all(abs(s - 0.5) > 1e-6 for s in score.values())
+    good = stages[0](spark, docs, sf)
+    kept = {i for i, s in score.items() if s >= 0.5}
+    assert {r["doc_id"] for r in good.collect()} == kept and 0 < len(kept) < len(every)
+    # Near-duplicates: all pairs.
+    ids, words = sorted(kept), {i: order_minhash.words_of(every[i]["text"] or "") for i in kept}
+    parent = {i: i for i in ids}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for n, i in enumerate(ids):
+        for j in ids[:n]:
+            if (every[i]["text"] or "") == (every[j]["text"] or "") or len(words[i]) and len(words[j]) and order_minhash.similar(words[i], words[j]):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    single = stages[1](spark, good, sf)
+    firsts = {i for i in ids if root(i) == i}
+    assert {r["doc_id"] for r in single.collect()} == firsts and len(firsts) < len(ids)
+    # Secrets: spans cut out of each text, one after another.
+    scan = secrets.Scanner()
+    clean = {}
+    for i in firsts:
+        text, out, at = every[i]["text"], "", 0
+        for _, a, b in sorted(scan(text), key=lambda s: s[1:]) if text else ():
+            if a >= at:
+                out += text[at:a] + "[REDACTED]"
+            at = max(at, b)
+        clean[i] = out + text[at:] if text else text
+    assert any("[REDACTED]" in (x or "") for x in clean.values())
+    safe = stages[2](spark, single, sf)
+    assert {r["doc_id"]: r["text"] for r in safe.collect()} == clean
+    assert all(r["n_chars"] == len(r["text"]) for r in safe.collect() if r["text"] is not None)
+    # Mixture: each source near its target, no document more than twice.
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", x or "")) for i, x in clean.items()}
+    total = Counter()
+    for i in size:
+        total[every[i]["source"]] += size[i]
+    mixed = stages[3](spark, safe, sf)
+    times = Counter(r["doc_id"] for r in mixed.collect())
+    assert set(times) <= firsts and max(times.values()) <= 2
+    names = sorted((s for s in total if s is not None)) + ([None] if None in total else [])
+    weight, left, free, target = {s: (5, 2, 1)[n % 3] for n, s in enumerate(names)}, 1.5 * sum(total.values()), set(names), {}
+    while free:
+        over = [s for s in free if left * weight[s] / sum(weight[x] for x in free) > 2 * total[s]]
+        target |= {s: 2 * total[s] for s in over} or {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        left, free = left - sum(target[s] for s in over), free - set(over) if over else set()
+    for s in names:
+        taken = sum(size[i] * n for i, n in times.items() if every[i]["source"] == s)
+        assert abs(taken - target[s]) <= 2 * max(size.values())
+    # Encoding: the library.
+    theirs = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = []
+    for i, n in times.items():
+        e = theirs.encode(clean[i] or "", add_special_tokens=False).ids
+        want += [(i, len(e), hashlib.sha256(np.asarray(e, "<u4").tobytes()).hexdigest(), hashlib.sha256(theirs.decode(e, skip_special_tokens=False).encode()).hexdigest())] * n
+    assert rows(stages[4](spark, mixed, sf)) == sorted(want, key=str)
+    assert rows(corpus_pipeline.run(spark, sf)) == sorted(want, key=str)
+    assert mixing.WEIGHTS == (5, 2, 1)
+
+
+def zlib_crc(doc_id):
+    import zlib
+
+    return zlib.crc32(str(doc_id).encode())
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_equal_their_sql(spark, name):
     import duckdb
