@@ -1,7 +1,9 @@
 """Connected components of a graph given by its edges, by alternating large and small stars, all of it distributed.
 
-Each round ties every node to the smallest neighbour it sees; it ends when the edges form stars. Rounds grow with the
-logarithm of the longest path. Every round is a stored table, so a lost executor costs a task, not the rounds before it.
+Each round ties every node to the smallest neighbour it sees; it ends when the edges form stars, which is asked before each
+round, so edges that are stars need none. Rounds grow with the logarithm of the longest path. Every round is a stored table,
+so a lost executor costs a task, not the rounds before it. The driver learns one row a round; what a round adds to its memory
+is its plan, so each edge is read once for each end and not in both directions.
 """
 
 from __future__ import annotations
@@ -12,20 +14,21 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
+def _stars(e: DataFrame) -> bool:
+    """Has every node with an edge to a smaller one no other edge. e: distinct (u, v) with u > v."""
+    ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("up")), F.struct(F.col("v").alias("node"), F.lit(0).alias("up"))))).select("col.*")
+    return ends.groupBy("node").agg(F.max("up").alias("up"), F.count(F.lit(1)).alias("n")).where("up = 1 AND n > 1").isEmpty()
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """edges: two columns of ids (pairs in either direction, repeats and loops allowed). (node, component) for every node
     that has an edge to another; component is the smallest id reachable. Isolated nodes are not in it."""
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = staged(e, "components")
-    seen = None
-    while True:
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.max("u")).first()
-        if now[0] == 0 or now == seen:
-            break
-        seen = now
-        both = e.union(e.select(F.col("v"), F.col("u")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    while not _stars(e):
+        # The least of a node and its neighbours is one of the smaller ends of its edges, or itself.
+        least = e.groupBy(F.col("u").alias("x")).agg(F.min("v").alias("m"))
+        large = e.join(least, F.col("v") == F.col("x"), "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
         e = staged(small, "components")

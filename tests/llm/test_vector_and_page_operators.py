@@ -6,7 +6,7 @@ import os
 import numpy as np
 import pytest
 
-from ontolake.llm import ann, hnsw, vector_dedup, warc
+from ontolake.llm import ann, common, hnsw, vector_dedup, warc
 from ontolake.llm.components import connected_components
 from ontolake.llm.queries import ORACLES, QUERIES
 
@@ -162,6 +162,15 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_need_no_round(spark):
+    for edges, most in (([(9, 1), (8, 1), (1, 7), (5, 2), (2, 5), (3, 3)], 1), ([(i, i + 1) for i in range(4)], 4)):
+        before = len(common._STAGED)
+        got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert len(common._STAGED) - before <= most  # the edges are one table, and each round is
+        want = {9: 1, 8: 1, 7: 1, 1: 1, 5: 2, 2: 2} if most == 1 else dict.fromkeys(range(5), 0)
+        assert got == want
+
+
 def test_pages(spark):
     long = "<p>" + "é" * 100
     rows = [(3, "http://a/3", long), (1, "http://a\r\n/1", long), (2, None, "short"), (4, "u", "short"), (5, "u", None), (6, "u", "WARC/1.1\r\nContent-Length: 9\r\n\r\n" + "x" * 200), (1, "other", long), (None, "n", long), (None, "m", "z" * 100)]
