@@ -49,6 +49,22 @@ def test_nearest_neighbours(spark):
     assert sorted(few.vec_id) == [1, 2]
 
 
+def test_driver_gets_codebooks_and_no_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((3000, 8))
+    d = frame(spark, x, [0] * 3000)
+    vectors = ann.usable(d, "vec_id", "embedding").repartition(7)
+    monkeypatch.setattr(type(d), "toArrow", lambda self: pytest.fail("vectors on the driver"))
+    q = ann.fit_quantiser(vectors, 8, 3000, sample=500)
+    ids = [r["vec_id"] for r in vectors.orderBy(ann.F.xxhash64("vec_id"), "vec_id").limit(500).select("vec_id").collect()]
+    own = ann.Quantiser(8).fit(x[ids])  # the same sample in the same order
+    assert np.allclose(q.words, own.words) and np.allclose(q.finer, own.finer)
+    assert (q.margin, q.finer_margin) == ann.calibrated(own, x[ids])
+    assert 500 <= ann.sampled(vectors, 3000, 500).count() <= 1500  # what one task sorts
+    same = ann.usable(d, "vec_id", "embedding").withColumn("vec_id", ann.F.lit(7).cast("long"))
+    assert len(ann.fit_quantiser(same, 8, 3000, sample=500).words) == q.m
+
+
 def test_quantiser_prefers_small_parallel_error():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 64))
