@@ -2,9 +2,9 @@
 
 Documents are dealt by ranges of their id, sorted inside each range, encoded and written in that order, so that a range
 is one file of about FILE_BYTES of the table, its stripes are read in parallel, and a lookup by id skips stripes by their
-statistics and Bloom filters. Each row also holds where its ids start inside its range; the sums of the ranges before it
-(a table of a row for each file, FILES_AT_MOST rows at most, which is why it may be broadcast) turn that into the place
-among all ids.
+statistics and Bloom filters. Each row also holds where its ids start inside its range, and how many they are, so that
+no ids are read to add them up; the sums of the ranges before it (a table of a row for each file, FILES_AT_MOST rows at
+most, which is why it may be broadcast) turn that into the place among all ids.
 
 The tokenizers library encodes. Words repeat, so a text is handed to it in pieces, and what a short piece became is
 remembered, up to a fixed number of pieces. Texts are cut only before a single blank or around a single line break between
@@ -41,7 +41,7 @@ ORC_OPTIONS = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc
 #: Bytes of the table to a file, until there are FILES_AT_MOST; then files grow.
 FILE_BYTES, FILES_AT_MOST = 256 << 20, 1_000_000
 #: Pieces that a worker remembers between texts, about, and the longest that it remembers.
-KEPT_PIECES, KEPT_CHARS = 300_000, 64
+KEPT_PIECES, KEPT_CHARS = 1_000_000, 64
 #: White space but the blank and the line break, and the mark that `pieces` uses.
 _SELDOM = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n") + "\0"
 _MARKS = string.punctuation
@@ -134,7 +134,7 @@ def n_files(rows: DataFrame) -> int:
 
 
 def write_token_files(df: DataFrame, path: str, end_id: int = 2, vocab_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", files: int | None = None) -> None:
-    """Writes (doc_id, part, local_start, ids) in ascending id order as ORC. files: ranges to deal the ids into."""
+    """Writes (doc_id, part, local_start, n_tokens, ids) in ascending id order as ORC. files: ranges to deal the ids into."""
     spark = df.sparkSession
     spec = spark.sparkContext.broadcast(vocabulary(vocab_path or default_path()))
     kind = df.schema[id_col].dataType
@@ -152,28 +152,27 @@ def write_token_files(df: DataFrame, path: str, end_id: int = 2, vocab_path: str
         for batch in batches:
             n, done = batch.num_rows, 0
             while done < n:  # some rows at a time: ids take several times the room of texts
-                texts, starts, size, first = [], [], 0, done
+                texts, size, first = [], 0, done
                 while done < n and size < 2_000_000:
                     texts.append(batch.column(1)[done].as_py())
                     size += len(texts[-1])
                     done += 1
                 ids = [x + end for x in encode(texts)]
-                for x in ids:
-                    starts.append(at)
-                    at += len(x) // 4
-                offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype("<i4")
+                sizes = np.array([len(x) // 4 for x in ids], "<i8")
+                offsets = np.concatenate([[0], np.cumsum(sizes)])
+                starts, at = at + offsets[:-1], at + int(offsets[-1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, done - first), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))],
-                    names=["doc_id", "part", "local_start", "ids"],
+                    [batch.column(0).slice(first, done - first), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets.astype("<i4")), pa.array(np.frombuffer(b"".join(ids), "<i4")))],
+                    names=["doc_id", "part", "local_start", "n_tokens", "ids"],
                 )
 
-    rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, part int, local_start long, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
+    rows.select("doc_id", "text").mapInArrow(run, f"doc_id {kind.simpleString()}, part int, local_start long, n_tokens long, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:
     """doc_id, ids, n_tokens, and start: the number of ids of all documents before it."""
-    rows = spark.read.orc(path).withColumn("n_tokens", F.size("ids").cast("long"))
-    ends = spark.read.orc(path).groupBy("part").agg(F.max(F.col("local_start") + F.size("ids")).alias("total"))  # a row for each file
+    rows = spark.read.orc(path)
+    ends = rows.groupBy("part").agg(F.max(F.col("local_start") + F.col("n_tokens")).alias("total"))  # a row for each file
     before = ends.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
     return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 

@@ -236,6 +236,19 @@ def test_many_rows_of_one_id_spread_over_files(spark):
     assert sorted(r["start"] for r in tokenfiles.read_token_files(spark, path).collect())[0] == 0
 
 
+def test_places_are_summed_without_ids(spark):
+    path = tokenfiles.shared_path(spark, "test-token-files")
+    tokenfiles.write_token_files(docs(spark, [(i, f"text {i} " * (i % 7)) for i in range(200)]), path, files=8)
+    rows = tokenfiles.read_token_files(spark, path)
+    scans = [x for x in rows._jdf.queryExecution().executedPlan().toString().splitlines() if "Scan orc" in x]
+    assert len(scans) == 2 and sum("ids#" in x for x in scans) == 1
+    got, at = rows.orderBy("doc_id").collect(), 0
+    for r in got:
+        assert (r["start"], r["n_tokens"]) == (at, len(r["ids"]))
+        at += r["n_tokens"]
+    assert len(got) == 200
+
+
 def test_token_files(spark):
     theirs = tokenizer("byte_bpe_50k.json")
     rows = [(9, "nine words"), (2, None), (5, "five five"), (5, "five five"), (30, "z " * 500)]
