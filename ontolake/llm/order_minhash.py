@@ -48,7 +48,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import spare_driver
+from .common import staged as stored
 from .components import connected_components
 
 K, TAKEN, SKETCHES, LEAST, CROWD = 5, 2, 16, 0.8, 64
@@ -59,10 +60,19 @@ CELL, DEALS = 24, 2
 #: Members of a crowd, about, whose runs tell which are common in it; runs to a shard of its prefixes; holders of a run whose
 #: pairs are counted in a shard.
 REFERENCES, SHARD, HOT = 64, 4_000_000, 4000
+#: Share of its limit beyond which the driver's heap is collected after a stored table.
+HEAP = 0.45
 _WORD = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c for c in range(256))
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """A stored table, after which the driver's heap is small again: all plans together would bring it to its limit."""
+    out = stored(df, name)
+    spare_driver(df.sparkSession, HEAP)
+    return out
+
+
 def words_of(text: str) -> np.ndarray:
     """A 32-bit number for each word."""
     words = text.lower().encode("utf-8", "surrogatepass").translate(_WORD).split()
@@ -439,7 +449,7 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = stars.select(F.col("first.node").alias("a"), F.col("node").alias("b")).distinct()
     found = _verified(stars, words, "star-links")
     # Pairs of different components in a bucket, or of a crowd that share a run of their prefixes.
-    comps = connected_components(found.where("linked").select("a", "b"))
+    comps = connected_components(found.where("linked").select("a", "b"), store=staged)
     left = staged(_open(_comps(buckets.select("bucket", "node", "n", "size"), comps)), "open-buckets")
     pairs = _cross(left.where(F.col("size") <= CROWD))
     crowd = left.where(F.col("size") > CROWD)
@@ -457,7 +467,7 @@ def classes_and_links(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = links.union(crowd_links) if big is not None else links
     for last in (False, True):
         now = _verified(pairs.distinct().join(tested, ["a", "b"], "left_anti"), words, "cross-links")
-        comps = connected_components(links.union(now.where("linked").select("a", "b")))
+        comps = connected_components(links.union(now.where("linked").select("a", "b")), store=staged)
         if last or big is None:
             break
         links, tested = comps.select(F.col("node").alias("a"), F.col("component").alias("b")), tested.union(now.select("a", "b"))

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from ontolake.llm import bpe, licenses, mixing, order_minhash, quality, secrets, tokenfiles
+from ontolake.llm import bpe, common, licenses, mixing, order_minhash, quality, secrets, tokenfiles
 from ontolake.llm.license_rules import build
 
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("_text", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -370,6 +370,19 @@ def test_near_duplicates_equal_brute_force(spark):
     assert kept == {root(i) for i in range(len(texts))}
 
 
+def test_near_duplicates_collect_the_drivers_heap(spark, monkeypatch):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    collections = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    text = " ".join(f"w{i}" for i in range(60))
+    d = docs(spark, [(1, text), (2, text + " x"), (3, "y"), (4, text + " z")])
+    for share in (0, 1):  # of its limit beyond which the heap is collected, after every stored table then, or never
+        monkeypatch.setattr(order_minhash, "HEAP", share, raising=False)
+        tables, before = len(common._STAGED), collections()
+        assert {r["doc_id"]: r["component_id"] for r in order_minhash.op2_near_duplicates(d).collect()} == {1: 1, 2: 1, 3: 3, 4: 1}
+        tables = len(common._STAGED) - tables
+        assert tables > 5 and (collections() - before >= tables) == (share == 0)
+
+
 @pytest.mark.parametrize(("shard", "hot"), [(order_minhash.SHARD, order_minhash.HOT), (20_000, order_minhash.HOT), (20_000, 20), (10**9, 20)], ids=["whole", "dealt", "dealt-hot", "hot"])
 def test_pairs_inside_a_crowd_are_found(spark, monkeypatch, shard, hot):
     """Texts around one passage; some have a copy that goes on far beyond them, and meet it in crowded buckets only."""
