@@ -252,7 +252,8 @@ class Obj:
 
 
 def _set(values: Iterable[Obj]) -> tuple[Obj, ...]:
-    return tuple({v.key: v for v in sorted(values, key=lambda v: v.key)}.values())
+    values = tuple(values)
+    return values if len(values) < 2 else tuple({v.key: v for v in sorted(values, key=lambda v: v.key)}.values())
 
 
 def make(kind: str, *values: Any, annotations: Iterable[Obj] = ()) -> Obj:

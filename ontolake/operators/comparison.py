@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ResourceLimitError
-from ..model import Obj
+from ..model import KIND, Obj
 
 _BLANK = r"_:[^\s()]+"
 
@@ -82,12 +82,11 @@ def same(left: Iterable[str], right: Iterable[str], steps: int = 100_000) -> dic
 def compare(left: Iterable[Obj], right: Iterable[Obj]) -> bool:
     """Do two sets of axioms say the same, whatever their anonymous individuals are called. Sets inside axioms are put in
     order by key, which depends on names; so keys are compared with their sets' members sorted by what is left of them."""
-    return same(stable(left), stable(right)) is not None
+    left, right = list(left), list(right)
+    return {a.key for a in left} == {a.key for a in right} or same(stable(left), stable(right)) is not None
 
 
 def stable(axioms: Iterable[Obj]) -> list[str]:
-    from ..model import KIND
-
     def text(o: Obj) -> str:
         if o.kind in ("OWLLiteral", "OWLAnonymousIndividual") or o.iri is not None:
             return o.key

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import AmbiguousRdfDatasetError, OntologyError, OWLOntologyStorageError, OWLStorerNotFoundError, ParserMismatchError, ResourceLimitError, UnparsableOntologyException
 from ..model import ANNOTATION_AXIOMS, KIND, Obj, Ontology, height, walk
+from ..operators import comparison
 from . import dl, functional, krss, manchester, mapping, owlxml
 from .jsonld import read_jsonld
 from .rdf_terms import Quad, nt, read_lines, read_trig, read_turtle, write_turtle
@@ -131,22 +132,33 @@ def parse(text: str, key: str | None = None, document_iri: str = "", content_typ
 def store(o: Ontology, key: str, proof: bool = True) -> str:
     """An ontology's text in a format: functional, owlxml, turtle or rdfxml. proof: what went through RDF is read back and
     compared; a difference is an error and no text is given."""
+    return _stored(o, key, proof)[0]
+
+
+def _stored(o: Ontology, key: str, proof: bool = True) -> tuple[str, Ontology | None]:
+    """The text, and what its proof read if any reading of the text gives that: no IRI depends on the document's, and nothing
+    anonymous has a scope."""
     if key == "functional":
-        return functional.render(o)
+        return functional.render(o), None
     if key == "owlxml":
-        return owlxml.render(o)
+        return owlxml.render(o), None
     if key not in ("turtle", "rdfxml"):
         raise OWLStorerNotFoundError(key)
     quads = mapping.to_rdf(o)
     text = write_turtle(quads, o.prefixes) if key == "turtle" else write_rdfxml(quads, o.prefixes)
-    if proof:
-        from ..operators import comparison
+    if not proof:
+        return text, None
+    read = quads_of(text, key)
+    back = mapping.from_rdf(read)
+    header = lambda x: (x.iri, x.version, sorted(x.imports), sorted(comparison.stable(x.annotations)))
+    if back.unconsumed or header(back) != header(o) or not comparison.compare(back.distinct().axioms, o.distinct().axioms):
+        raise OWLOntologyStorageError("the text does not say what the ontology says")
+    iris = {x for q in read for t in q[:3] for x in ((t.value,) if t.kind == "iri" else (t.datatype,) if t.kind == "literal" else ())}
+    anywhere = not back.diagnostics and all(map(_ABSOLUTE, iris)) and not any("_:" in a.key for a in (*back.annotations, *back.axioms))
+    return text, back if anywhere else None
+
 
-        back = mapping.from_rdf(quads_of(text, key))
-        header = lambda x: (x.iri, x.version, sorted(x.imports), sorted(comparison.stable(x.annotations)))
-        if back.unconsumed or header(back) != header(o) or not comparison.compare(back.distinct().axioms, o.distinct().axioms):
-            raise OWLOntologyStorageError("the text does not say what the ontology says")
-    return text
+_ABSOLUTE = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*:").match
 
 
 #: Most bytes that a packed document may unpack to.
@@ -317,7 +329,8 @@ TEXT = "doc string, format string, axiom_key string, kind string, error string"
 def parse_texts(df: DataFrame, doc: Column, text: Column, key: str | None = None, through: tuple[str, ...] = ()) -> DataFrame:
     """(doc, format, axiom_key, kind, error): the axioms of many documents in a table, each parsed once; doc is its IRI. A
     document that fails gives one row with its error. through: formats that each ontology is then written in and read again
-    from, one after another, before its axioms are given."""
+    from, one after another, before its axioms are given. Documents are dealt over tasks, since the rows that they are made of
+    may be few bytes: a file of a million customers is two splits."""
     names = _names(TEXT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,14 +340,21 @@ def parse_texts(df: DataFrame, doc: Column, text: Column, key: str | None = None
                 try:
                     o, used = parse(text or "", key, iri or "")
                     for name in through:
-                        o, used = parse(store(o, name), name, iri or "")
+                        written, read = _stored(o, name)
+                        o, used = (read, name) if read is not None else parse(written, name, iri or "")
                     rows += [(iri, used, a.key, a.kind, None) for a in o.distinct().axioms]
                 except (OntologyError, ValueError) as e:
                     rows.append((iri, key, None, None, f"{getattr(e, 'code', 'ERROR')}: {e}"))
             for i in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows[i : i + 20_000])], names=names)
 
-    return df.select(doc.cast("string").alias("doc"), text.cast("string").alias("text")).mapInArrow(run, TEXT)
+    return dealt(df).select(doc.cast("string").alias("doc"), text.cast("string").alias("text")).mapInArrow(run, TEXT)
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly over the session's shuffle partitions, or three for each core if that is more."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 3 * spark.sparkContext.defaultParallelism))
 
 
 def node_count(o: Obj) -> int:

@@ -575,3 +575,48 @@ def test_bytes_of_documents():
     for data in (gzip.compress(b"x" * 1000)[:-9], b"<?xml version='1.0' encoding='none-such'?><r/>"):
         with pytest.raises(ParserMismatchError):
             registry.decoded(data)
+
+
+def test_documents_of_one_split_are_dealt_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from ontolake.sources.registry import parse_texts
+
+    one = spark.range(100).coalesce(1)
+    text = F.concat(F.lit("Ontology(Declaration(Class(<urn:x:"), F.col("id").cast("string"), F.lit(">)))"))
+    parsed = parse_texts(one, F.concat(F.lit("urn:d:"), F.col("id").cast("string")), text, "functional", ("turtle", "rdfxml"))
+    rows = parsed.withColumn("task", F.spark_partition_id()).collect()
+    assert {r["axiom_key"] for r in rows} == {f"Declaration(Class(<urn:x:{i}>))" for i in range(100)}
+    assert len({r["task"] for r in rows}) > 3 * spark.sparkContext.defaultParallelism // 2
+
+
+def test_a_proof_is_taken_for_a_reading_only_where_it_is_one(monkeypatch):
+    doc, read = "http://a.example/dir/doc", registry.quads_of
+    for body, readings in (
+        ("Declaration(Class(<urn:x:C>)) ClassAssertion(<urn:x:C> <urn:x:i>)", 1),
+        ("Declaration(Class(<urn:x:C>)) ClassAssertion(<urn:x:C> _:i)", 2),  # scoped by the document
+        ("Declaration(Class(<urn:x:C>)) ClassAssertion(<urn:x:C> <i>)", 2),  # relative to the document
+    ):
+        o, _ = registry.parse(f"Ontology({body})", "functional", doc)
+        for key in ("turtle", "rdfxml"):
+            asked = []
+            monkeypatch.setattr(registry, "quads_of", lambda *a: asked.append(a) or read(*a))
+            text, back = registry._stored(o, key)
+            back = back or registry.parse(text, key, doc)[0]
+            assert len(asked) == readings
+            want, _ = registry.parse(text, key, doc)
+            assert [a.key for a in back.distinct().axioms] == [a.key for a in want.distinct().axioms]
+            assert (back.iri, back.version, back.imports, back.prefixes) == (want.iri, want.version, want.imports, want.prefixes)
+
+
+def test_writers_run_where_the_package_is_not(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    (tmp_path / "f").write_bytes(cloudpickle.dumps(lambda text: registry.store(registry.parse(text, "functional")[0], "rdfxml")))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    run = "import pickle; print(pickle.load(open('f', 'rb'))('Ontology(Declaration(Class(<urn:x:C>)))'))"
+    assert "urn:x:C" in subprocess.run([sys.executable, "-c", run], cwd=tmp_path, env=env, capture_output=True, text=True, check=True).stdout
