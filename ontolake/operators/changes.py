@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.literals import SPARK, short_form
 from ..model import RDF, RDFS, TYPE_INDEX
-from ..plans.projection import EX, Store
+from ..plans.projection import EX, Store, axioms_of
+from ..plans.unique import can_hold
 from .structural import referencing
 
 LOG = "'ClassAssertion(Class(<urn:ex:event/' || event_type || '>) NamedIndividual(<urn:ex:user/' || CAST(user_id AS VARCHAR(20)) || '>))'"
@@ -71,6 +74,23 @@ def duplicate(axioms: DataFrame, iris: dict[str, str], scope: str, fresh: str) -
     return axioms.select(F.regexp_replace(out, rf"(_:[^\s()@]+)@{scope}", rf"$1@{fresh}").alias("axiom_key")).distinct()
 
 
+def duplicate_of(s: Store, kinds, iris: dict[str, str], scope: str, fresh: str) -> DataFrame:
+    """duplicate() of a store's axioms. Only what holds an IRI or a scope, old or new, can change or meet what changed; all else
+    stays as it is and has no repeats."""
+    marks = [*(f"<{x}>" for ab in sorted(iris.items()) for x in ab), f"@{scope}", f"@{fresh}"]
+    found, rest = s.unique_parts(kinds)
+    kept, open_ = [], [rest.select("axiom_key")]
+    for x in found:
+        rows = axioms_of(x).select("axiom_key")
+        some = [m for m in marks if can_hold(x.pattern, m)]
+        if some:
+            marked = reduce(Column.__or__, (F.contains("axiom_key", F.lit(m)) for m in some))
+            open_.append(rows.where(marked))
+            rows = rows.where(~marked)
+        kept.append(rows)
+    return reduce(DataFrame.union, [duplicate(reduce(DataFrame.union, open_), iris, scope, fresh), *kept])
+
+
 def preferred_labels(assertions: DataFrame, properties: list[str], languages: dict[str, list[str]]) -> DataFrame:
     """subject_key, label: for each subject the short form that annotations give, by a fold in encounter order.
 

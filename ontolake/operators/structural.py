@@ -32,7 +32,7 @@ def axioms_of(s: Store, root: str, included: bool = False, kinds=None) -> DataFr
     """The axiom set of an ontology, or of its closure without repeats."""
     if not included:
         return s.axioms(kinds, [root])
-    return s.axioms(kinds, members(s, root)).dropDuplicates(["axiom_key"])
+    return s.unique_axioms(kinds, members(s, root))
 
 
 def by_position(s: Store, kind: str, fields: tuple[str, ...], key: str | None = None) -> DataFrame:

@@ -65,7 +65,7 @@ def ontology_ids(s: Store) -> DataFrame:
 
 @query(ctes(axiom=p.axiom_sql()) + " SELECT DISTINCT ont_id, axiom_key FROM axiom")
 def axioms_direct(s: Store) -> DataFrame:
-    return s.axioms().select("ont_id", "axiom_key").distinct()
+    return s.unique_axioms(by=("ont_id", "axiom_key")).select("ont_id", "axiom_key")
 
 
 _CLOSURE = f"""e AS (SELECT ont_id AS src, target AS dst FROM (SELECT * FROM (VALUES {", ".join(f"('{a}', {chr(39) + c + chr(39) if c else 'NULL'})" for a, _, c in p.import_rows())}) t(ont_id, target)) WHERE target IS NOT NULL),
@@ -229,9 +229,20 @@ def anyuri_references(s: Store) -> DataFrame:
 
 @query(ctes(reach=p.reach_sql(AXIOM_KINDS), one="SELECT ont_id, root_kind, root_key, node_kind, count(DISTINCT node_key) AS n FROM reach GROUP BY ont_id, root_kind, root_key, node_kind") + " SELECT ont_id, root_kind, node_kind, count(*) AS n_axioms, CAST(sum(n) AS BIGINT) AS n_nodes, max(n) AS most FROM one GROUP BY ont_id, root_kind, node_kind")
 def structural_traversal(s: Store) -> DataFrame:
-    """Distinct nodes inside each axiom, by kind; summed over the axioms of a kind of each ontology."""
-    one = s.reach(AXIOM_KINDS).groupBy("ont_id", "root_kind", "root_key", "node_kind").agg(F.countDistinct("node_key").alias("n"))
-    return one.groupBy("ont_id", "root_kind", "node_kind").agg(F.count(F.lit(1)).alias("n_axioms"), F.sum("n").alias("n_nodes"), F.max("n").alias("most"))
+    """Distinct nodes inside each axiom, by kind; summed over the axioms of a kind of each ontology. What is inside an axiom of a
+    table is known from the branch, so its axioms are only counted."""
+    found, rest = s.reach_parts(AXIOM_KINDS)
+    one = rest.groupBy("ont_id", "root_kind", "root_key", "node_kind").agg(F.countDistinct("node_key").alias("n"))
+    out = one.groupBy("ont_id", "root_kind", "node_kind").agg(F.count(F.lit(1)).alias("n_axioms"), F.sum("n").alias("n_nodes"), F.max("n").alias("most"))
+    for x in found:
+        b, by = x.branch, {}
+        for key, kind, _ in p.inside(b):
+            by.setdefault(kind, []).append(key)
+        counts = {kind: s.distinct_count(x, keys) for kind, keys in by.items()}
+        whole = x.rows.agg(F.count(F.lit(1)).alias("n_axioms"), *(F.expr(f"{f}(CAST({c} AS BIGINT))").alias(f"{f}_{kind}") for kind, c in counts.items() for f in ("sum", "max"))).where("n_axioms > 0")
+        rows = ", ".join(f"struct('{b.ont}' AS ont_id, '{b.kind}' AS root_kind, '{kind}' AS node_kind, n_axioms, sum_{kind} AS n_nodes, max_{kind} AS most)" for kind in counts)
+        out = out.union(whole.select(F.expr(f"inline(array({rows}))")))
+    return out.groupBy("ont_id", "root_kind", "node_kind").agg(F.sum("n_axioms").alias("n_axioms"), F.sum("n_nodes").alias("n_nodes"), F.max("most").alias("most"))
 
 
 # E: asserted search
@@ -371,8 +382,12 @@ def union_all_search(s: Store) -> DataFrame:
 
 @query(ctes(a=p.axiom_sql(k("ClassAssertion"))) + " SELECT axiom_key FROM a WHERE ont_id = 'trade' EXCEPT SELECT axiom_key FROM a WHERE ont_id <> 'trade'")
 def axiom_difference(s: Store) -> DataFrame:
-    a = s.axioms(k("ClassAssertion"))
-    return a.where("ont_id = 'trade'").select("axiom_key").subtract(a.where("ont_id <> 'trade'").select("axiom_key"))
+    # Parts are apart from all other axioms, so only the rest can be on both sides.
+    found, rest = s.unique_parts(k("ClassAssertion"))
+    out = rest.where("ont_id = 'trade'").select("axiom_key").subtract(rest.where("ont_id <> 'trade'").select("axiom_key"))
+    for x in found:
+        out = out.union(p.axioms_of(x).select("axiom_key")) if x.branch.ont == "trade" else out
+    return out
 
 
 # P: profile rules
@@ -503,12 +518,12 @@ for _a, _b in sorted(changes.RENAMED.items()):
 
 @query(ctes(axiom=p.axiom_sql(AXIOM_KINDS)) + rf" SELECT DISTINCT regexp_replace({_DUPLICATED}, '(_:[^\s()@]+)@schema', '\1@copy', 'g') AS axiom_key FROM axiom")
 def duplicate_axioms(s: Store) -> DataFrame:
-    return changes.duplicate(s.axioms(AXIOM_KINDS), changes.RENAMED, "schema", "copy")
+    return changes.duplicate_of(s, AXIOM_KINDS, changes.RENAMED, "schema", "copy")
 
 
 @query(ctes(axiom=p.axiom_sql(AXIOM_KINDS)) + " SELECT DISTINCT key_noann FROM axiom")
 def axioms_without_annotations(s: Store) -> DataFrame:
-    return s.axioms(AXIOM_KINDS).select("key_noann").distinct()
+    return s.unique_axioms(AXIOM_KINDS, by=("key_noann",)).select("key_noann")
 
 
 _LABELS = [f"AnnotationProperty(<{RDFS}label>)", f"AnnotationProperty(<{EX}source>)"]
@@ -767,9 +782,18 @@ def sample_formats(s: Store) -> DataFrame:
 
 @query(ctes(reach=p.reach_sql(AXIOM_KINDS)) + f" SELECT ont_id, root_key AS axiom_key, count(DISTINCT CASE WHEN node_kind IN ({quoted(ENTITY_KINDS)}) THEN node_key END) AS n_entities, count(DISTINCT node_kind || node_key) + 1 AS n_nodes FROM reach GROUP BY ont_id, root_key")
 def locality_vectors(s: Store) -> DataFrame:
-    """Entities and nodes of each axiom, which extraction works with."""
+    """Entities and nodes of each axiom, which extraction works with. What is inside an axiom of a table is in the row that it is
+    made of."""
     entity = F.when(F.col("node_kind").isin(*ENTITY_KINDS), F.col("node_key"))
-    return s.reach(AXIOM_KINDS).groupBy("ont_id", F.col("root_key").alias("axiom_key")).agg(F.countDistinct(entity).alias("n_entities"), (F.countDistinct(F.concat("node_kind", "node_key")) + 1).alias("n_nodes"))
+    found, rest = s.reach_parts(AXIOM_KINDS)
+    out = rest.groupBy("ont_id", F.col("root_key").alias("axiom_key")).agg(F.countDistinct(entity).alias("n_entities"), (F.countDistinct(F.concat("node_kind", "node_key")) + 1).alias("n_nodes"))
+    for x in found:
+        b, own = x.branch, p.inside(x.branch)
+        entities = s.distinct_count(x, [key for key, kind, _ in own if kind in ENTITY_KINDS])
+        nodes = [s.distinct_count(x, [key for key, kind, _ in own if kind == k_]) for k_ in dict.fromkeys(kind for _, kind, _ in own)]
+        columns = {"ont_id": f"'{b.ont}'", "axiom_key": x.over(b.key), "n_entities": f"CAST({entities} AS BIGINT)", "n_nodes": f"CAST({' + '.join(nodes)} + 1 AS BIGINT)"}
+        out = out.union(x.rows.select(*(F.expr(e).alias(n) for n, e in columns.items())))
+    return out
 
 
 @query("WITH RECURSIVE " + _CLOSURE + f", o AS ({p.ontology_sql()}) SELECT root, member, row_number() OVER (PARTITION BY root ORDER BY root <> member, ontology_iri, coalesce(version_iri, '')) AS place FROM closure JOIN o ON member = o.ont_id")

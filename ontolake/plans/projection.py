@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..model import BRACKETED, BY_KEYWORD, KIND, RDFS, XSD, Obj, height, walk
 from ..sources.functional import parse
 from .schema_text import SCHEMA
+from .unique import Part, apart, decided, of_key, pattern, pieces
 
 EX = "urn:ex:"
 
@@ -217,6 +218,7 @@ class Store:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark, self.dir = spark, sf_dir
         self._tables: dict[str, DataFrame] = {}
+        self._whole: dict[tuple[str, str], bool] = {}
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:  # a reader looks at files to know a schema; once is enough
@@ -241,10 +243,57 @@ class Store:
 
     def axioms(self, kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None) -> DataFrame:
         """ont_id, axiom_key, key_noann, kind, is_logical; those of some kinds or ontologies."""
-        parts = [self._rows(b, {"ont_id": f"'{b.ont}'", "axiom_key": b.key, "key_noann": b.key, "kind": f"'{b.kind}'", "is_logical": str(KIND[b.kind].logical).lower()}) for b in chosen(kinds, onts)]
+        parts = [self._rows(b, axiom_columns(b)) for b in chosen(kinds, onts)]
         rows = [r for r in schema_rows()["axiom"] if (kinds is None or r[3] in kinds) and (onts is None or "schema" in onts)]
         return self._union(([local(self.spark, rows, AXIOM)] if rows else []) + parts, AXIOM)
 
+    def whole(self, name: str, expression: str) -> bool:
+        """Is an expression over a table's columns a whole number."""
+        if (name, expression) not in self._whole:
+            self._whole[name, expression] = self.table(name).select(F.expr(expression)).dtypes[0][1] in ("tinyint", "smallint", "int", "bigint")
+        return self._whole[name, expression]
+
+    def parts(self, kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None, across: bool = False, column: str = "axiom_key") -> tuple[list[Part], list[Branch], list[tuple[Branch, str]]]:
+        """Branches whose axioms are told apart by their columns, without repeats; the other branches; and, for rows of the first
+        that have null keys, the branch and the condition. across: also apart from axioms of other ontologies, those of the
+        schema too, by axiom_key or key_noann."""
+        branches = chosen(kinds, onts)
+        shapes = [pattern(b, lambda e, b=b: self.whole(b.table, e)) for b in branches]
+        meets = lambda i, j: i != j and branches[i].kind == branches[j].kind and (across or branches[i].ont == branches[j].ont) and not apart(shapes[i], shapes[j])
+        good = [decided(p) and not any(meets(i, j) for j in range(len(branches))) for i, p in enumerate(shapes)]
+        found, nulls = [], []
+        for b, p in ((b, p) for b, p, g in zip(branches, shapes, good) if g):
+            holes = list({x.text: x for x in p if not isinstance(x, str)}.values())
+            names = {basis: f"b{i}" for i, basis in enumerate(dict.fromkeys(x.basis for x in holes))}
+            df = self.table(b.table)
+            df = (df.where(b.where) if b.where else df).select(*(F.expr(e).alias(n) for e, n in names.items())).where(" AND ".join(f"{n} IS NOT NULL" for n in names.values()) or "TRUE").distinct()
+
+            def over(sql: str, holes=holes, names=names) -> str:
+                for x in holes:
+                    sql = sql.replace(x.text, x.shown.format(names[x.basis]))
+                return sql
+
+            part = Part(b, df, over, p)
+            same = sorted({r[1 if column == "axiom_key" else 2] for r in schema_rows()["axiom"] if r[3] == b.kind}) if across or b.ont == "schema" else []
+            if same:
+                part = part._replace(rows=df.where(~F.expr(over(b.key)).isin(same)))
+            found.append(part)
+            if names:
+                nulls.append((b, " OR ".join(f"({e}) IS NULL" for e in names)))
+        return found, [b for b, g in zip(branches, good) if not g], nulls
+
+    def unique_axioms(self, kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None, by: tuple[str, ...] = ("axiom_key",)) -> DataFrame:
+        """axioms() without repeats of ("ont_id", "axiom_key"), ("axiom_key",) or ("key_noann",)."""
+        found, rest = self.unique_parts(kinds, onts, "ont_id" not in by, by[-1])
+        return self._union([rest.dropDuplicates(list(by)), *(axioms_of(x) for x in found)], AXIOM)
+
+    def unique_parts(self, kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None, across: bool = True, column: str = "axiom_key") -> tuple[list[Part], DataFrame]:
+        """Parts as in parts(), and axioms() of all that they leave, repeats and all."""
+        found, others, nulls = self.parts(kinds, onts, across, column)
+        rows = [r for r in schema_rows()["axiom"] if (kinds is None or r[3] in kinds) and (onts is None or "schema" in onts)]
+        rest = [self._rows(b, axiom_columns(b), only) for b, only in (*((b, "") for b in others), *nulls)]
+        return found, self._union(([local(self.spark, rows, AXIOM)] if rows else []) + rest, AXIOM)
+
     def axiom_counts(self, kinds: Iterable[str] | None = None, onts: Iterable[str] | None = None) -> DataFrame:
         """ont_id, kind, is_logical, n: axioms of each kind of an ontology, in a row or several. A table is read once, whatever
         the number of axioms that its rows make, and no key is written."""
@@ -340,13 +389,33 @@ class Store:
             own = [x for x, c in zip(own, only) if c != "FALSE"] if key else own
             if not own:
                 continue
-            structs = ", ".join(f"named_struct('node_key', {k}, 'node_kind', '{kind}', 'in_annotation', {str(ann).lower()})" for k, kind, ann in own)
-            rows = self._rows(b, {"root_key": b.key, "x": f"explode(array({structs}))"}, conditions(only))
-            parts.append(rows.select(F.lit(b.ont).alias("ont_id"), "root_key", F.lit(b.kind).alias("root_kind"), "x.node_key", "x.node_kind", "x.in_annotation"))
+            parts.append(self._reach(b, own, conditions(only)))
         rows = [r for r in schema_rows()["reach"] if (kinds is None or r[2] in kinds) and (onts is None or "schema" in onts) and (node_kinds is None or r[4] in node_kinds)]
         out = self._union(([local(self.spark, rows, REACH)] if rows else []) + parts, REACH)
         return out.where(F.col("node_key") == key) if key else out
 
+    def reach_parts(self, kinds: Iterable[str] | None = None) -> tuple[list[Part], DataFrame]:
+        """Parts of unique axioms of each ontology, and reach() of all axioms that they leave."""
+        found, others, nulls = self.parts(kinds)
+        parts = [self._reach(b, inside(b), only) for b, only in (*((b, "") for b in others), *nulls)]
+        rows = [r for r in schema_rows()["reach"] if kinds is None or r[2] in kinds]
+        return found, self._union([local(self.spark, rows, REACH), *parts], REACH)
+
+    def _reach(self, b: Branch, own: list[tuple[str, str, bool]], only: str) -> DataFrame:
+        structs = ", ".join(f"named_struct('node_key', {k}, 'node_kind', '{kind}', 'in_annotation', {str(ann).lower()})" for k, kind, ann in own)
+        rows = self._rows(b, {"root_key": b.key, "x": f"explode(array({structs}))"}, only)
+        return rows.select(F.lit(b.ont).alias("ont_id"), "root_key", F.lit(b.kind).alias("root_kind"), "x.node_key", "x.node_kind", "x.in_annotation")
+
+    def distinct_count(self, part: Part, keys: Iterable[str]) -> str:
+        """SQL over a part's rows of how many of some keys inside an axiom differ: a number, if their fixed texts tell."""
+        keys = list(dict.fromkeys(keys))
+        texts = {f.key: f for f in part.branch.fields if f.lexical}
+        whole = lambda e: self.whole(part.branch.table, e)
+        shapes = [pieces(texts[k], whole) if k in texts else of_key(k, whole) for k in keys]
+        if all(apart(p, q) for i, p in enumerate(shapes) for q in shapes[:i]):
+            return str(len(keys))
+        return f"size(array_distinct(array({', '.join(map(part.over, keys))})))"
+
     def literals(self, kinds: Iterable[str] | None = None) -> DataFrame:
         """ont_id, root_key, lexical, lang, datatype_iri of the literals in axioms."""
         parts = []
@@ -389,6 +458,14 @@ def chosen(kinds: Iterable[str] | None, onts: Iterable[str] | None) -> list[Bran
     return [b for b in BRANCHES if (kinds is None or b.kind in kinds) and (onts is None or b.ont in onts)]
 
 
+def axiom_columns(b: Branch) -> dict[str, str]:
+    return {"ont_id": f"'{b.ont}'", "axiom_key": b.key, "key_noann": b.key, "kind": f"'{b.kind}'", "is_logical": str(KIND[b.kind].logical).lower()}
+
+
+def axioms_of(part: Part) -> DataFrame:
+    return part.select(**axiom_columns(part.branch))
+
+
 def inside(b: Branch) -> list[tuple[str, str, bool]]:
     """(key, kind, in annotation) of all objects inside a branch's axioms."""
     out = []

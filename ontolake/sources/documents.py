@@ -72,6 +72,9 @@ class DocumentStore:
     def axioms(self, kinds=None, onts=None) -> DataFrame:
         return self._axioms(kinds, onts).select("ont_id", "axiom_key", "key_noann", "kind", "is_logical")
 
+    def unique_axioms(self, kinds=None, onts=None, by=("axiom_key",)) -> DataFrame:
+        return self.axioms(kinds, onts).dropDuplicates(list(by))
+
     def axiom_counts(self, kinds=None, onts=None) -> DataFrame:
         return self._axioms(kinds, onts).groupBy("ont_id", "kind", "is_logical").agg(F.count(F.lit(1)).alias("n"))
 
