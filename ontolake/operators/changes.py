@@ -144,20 +144,29 @@ def triples(s: Store, onts=None) -> DataFrame:
     return out.where("graph = 'schema'").distinct().union(out.where("graph <> 'schema'"))
 
 
+#: Bytes of the tables behind axioms, by the optimizer's estimate, for each range that they are sorted in.
+RANGE_BYTES = 8 << 20
+
+
 def display_order(axioms: DataFrame) -> DataFrame:
-    """ont_id, axiom_key, place: axioms of each ontology by the index of their kind, then by key in UTF-16 code units. Axioms
-    are dealt by ranges of that order and numbered inside each; an ontology's axioms in the ranges before (a row for each range
-    and ontology) make the place, so that no ontology is sorted in one task."""
+    """ont_id, axiom_key, place: axioms of each ontology by the index of their kind, then by key in UTF-16 code units, null last.
+    Axioms are dealt by ranges of that order, sorted and numbered inside each where they are dealt; an ontology's axioms in the
+    ranges before (a row for each range and ontology, sent to all tasks) make the place, so axioms are exchanged once."""
     from ..staging import stored
 
     index = F.element_at(F.create_map(*(x for k, i in TYPE_INDEX.items() for x in (F.lit(k), F.lit(i)))), F.col("kind"))
-    rows = axioms.select("ont_id", index.alias("index"), F.encode("axiom_key", "UTF-16BE").alias("units"), "axiom_key")
-    rows = rows.repartitionByRange("ont_id", "index", "units").withColumn("part", F.spark_partition_id())
-    rows = stored(rows, "display-order")
-    before = rows.groupBy("ont_id", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = before.select("ont_id", "part", (F.sum("n").over(Window.partitionBy("ont_id").orderBy("part")) - F.col("n")).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("part", "ont_id").orderBy("index", "units"))
-    return rows.withColumn("nth", nth).join(before, ["part", "ont_id"]).select("ont_id", "axiom_key", (F.col("nth") + F.col("before")).alias("place"))
+    rows = axioms.select("ont_id", index.alias("index"), F.encode("axiom_key", "UTF-16BE").alias("units"))
+    order = ["ont_id", "index", F.asc_nulls_last("units")]
+    size = int(str(axioms._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # beyond all bounds where it is unknown
+    n = size // RANGE_BYTES
+    few = size >= 1 << 60 or n <= int(axioms.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = (rows.repartitionByRange(*order) if few else rows.repartitionByRange(min(n, 10_000), *order)).sortWithinPartitions(*order)
+    id = F.monotonically_increasing_id()  # the task's number and, in 33 bits, the row's
+    rows = stored(rows.select("ont_id", F.decode("units", "UTF-16BE").alias("axiom_key"), id.alias("id")), "display-order")
+    rows = rows.withColumn("part", F.shiftright("id", 33))
+    before = rows.groupBy("ont_id", "part").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = before.select("ont_id", "part", (F.sum("n").over(Window.partitionBy("ont_id").orderBy("part")) - F.col("n") - F.col("first")).alias("more"))
+    return rows.join(F.broadcast(before), ["ont_id", "part"]).select("ont_id", "axiom_key", (F.col("id") + F.col("more") + 1).alias("place"))
 
 
 RENAMED = {f"{EX}Customer": f"{EX}Buyer2", f"{EX}Party": f"{EX}Agent"}

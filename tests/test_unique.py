@@ -57,3 +57,19 @@ def test_what_fixed_texts_tell():
     assert not decided(branch("'urn:ex:' || CAST(i AS VARCHAR(20)) || CAST(j AS VARCHAR(20))", _id("n", "j")))
     assert not can_hold(a, "<urn:ex:Customer>") and can_hold(free, "<urn:ex:Customer>") and can_hold(a, "<urn:ex:n/12>)") and not can_hold(a, "<urn:ex:n/x>")
     assert _e("Class", "'x'")[1] == "OWLClass"
+
+
+def test_display_order_exchanges_axioms_once(spark, odd, monkeypatch):
+    from ontolake.operators import changes
+
+    folder, con = odd
+    axioms = lambda: Store(spark, folder).axioms(AXIOM_KINDS, ["geo", "trade", "text", "schema"])
+    want = [r for r in rows(con.execute(catalog.ORACLES["display_order"]).df()) if r[1] in ("", "geo", "trade", "text", "schema")]
+    assert any(r[0] == "" for r in want)  # a null key, which comes last
+    for size in (changes.RANGE_BYTES, 1000):  # as many ranges as the session's partitions, and more
+        monkeypatch.setattr(changes, "RANGE_BYTES", size)
+        have = changes.display_order(axioms())
+        assert rows(have.toPandas()) == want
+        plan = have._jdf.queryExecution().executedPlan().toString()
+        # What is exchanged after the store are counts.
+        assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(part" in x]
