@@ -65,6 +65,21 @@ def test_driver_gets_codebooks_and_no_vectors(spark, monkeypatch):
     assert len(ann.fit_quantiser(same, 8, 3000, sample=500).words) == q.m
 
 
+def test_search_spares_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=8)]) for i in range(60)], "vec_id long, embedding array<double>")
+    shares, tasks = [], []
+    monkeypatch.setattr(ann, "spare_driver", lambda session, share: shares.append(share))
+    monkeypatch.setattr(ann, "BLOCK", 1)
+    monkeypatch.setattr(ann, "QUERIES", 1)
+    monkeypatch.setattr(ann, "TASKS", 3)
+    kept = ann.staged
+    monkeypatch.setattr(ann, "staged", lambda rows, name: tasks.append(rows.rdd.getNumPartitions()) or kept(rows, name) if name == "ann-candidates" else kept(rows, name))
+    assert ann.op1_nearest_neighbours(df, every=6).count() == 50
+    assert shares == [ann.HEAP] * 4  # vectors, codebooks, index, candidates
+    assert tasks == [3]
+
+
 def test_quantiser_prefers_small_parallel_error():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 64))
